@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from alnspark.llm import line_dedup, packing, resharding, warc
+from alnspark.llm import decontaminate, line_dedup, packing, resharding, toxicity, warc
 from alnspark.llm.common import table
 
 
@@ -13,7 +13,9 @@ def _on(name: str, function):
 QUERIES = {
     "op1_line_dedup": _on("documents", line_dedup.query),
     "op5_resharding": _on("documents", resharding.query),
+    "op6_winnowing": lambda spark, sf_dir: decontaminate.query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op7_warc_revisit": _on("pages", warc.query),
+    "op9_toxicity": lambda spark, sf_dir: toxicity.query(spark, table(spark, sf_dir, "documents"), sf_dir),
     "op10_best_two_fit": _on("documents", packing.query),
 }
-ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL, "op7_warc_revisit": warc.SQL}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL, "op6_winnowing": decontaminate.SQL, "op7_warc_revisit": warc.SQL}
