@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
                     stop = at + (n % capacity or capacity if k == 0 else capacity)
                     rows.append((did, k, at, stop - at, zlib.crc32(ids[4 * at : 4 * stop])))
                     at = stop
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"], dtype=object).astype({"doc_id": "Int64", "piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
 
     # the id travels as text, so that nulls and large ids keep their values
     own = docs.select(F.col(f"`{id_col}`").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))

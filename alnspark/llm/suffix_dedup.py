@@ -205,7 +205,7 @@ def pieces(docs: DataFrame, hits: DataFrame, length: int, parts: int, shards: in
                     index = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
                     rows.append((1, b, int(shard[one[0]]), None, None, None, None, _pack(prints[f], "<u8"), _pack(code[f], "<u8"), _pack(size, "<u4"), _pack(did[doc[f]], "<i8"), _pack(one, "<u4"), data[index].tobytes()))
                 rows.append((2, b, None, None, None, None, None, _pack(doc, "<u4"), _pack(start, "<u8"), _pack(number, "<u4"), _pack(windows[first], "<u4"), _pack(did, "<i8"), _pack(left["th"].to_numpy(), "<i8")))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")], dtype=object)  # numbers beside nulls stay exact
         return out.astype({c: "Int64" for c in ("b", "shard", "did", "th", "n")})
 
     return docs.groupBy("b").cogroup(hits.groupBy("b")).applyInPandas(cut, PIECES)

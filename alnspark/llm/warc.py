@@ -106,8 +106,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         head["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest(),
                         head["WARC-Type"], int(head["X-Refers-To-Page"]) if revisit else None, head.get("WARC-Target-URI"), None if revisit else payload.decode(),
                     ))
-                out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"], dtype=object)
+                yield out.astype({"payload_bytes": "int64", "page_id": "Int64", "refers_to": "Int64"})
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload string"
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInPandas(files, schema)
