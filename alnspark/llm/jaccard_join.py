@@ -45,13 +45,19 @@ BROADCAST_ROWS = 2_000_000
 class Scheme:
     """Signatures of the sets in one size band."""
 
-    def __init__(self, band: int, largest: int, t: Fraction):
+    def __init__(self, band: int, smallest: int, largest: int, t: Fraction):
         self.band = band
         self.k = math.floor((1 - t) / (1 + t) * 2 * largest)
         self.spoilt = self.k // 2  # groups with two parts that differ, at most
         self.parts = 3 if largest <= THREE_PARTS_UP_TO else 2
-        self.groups = self.spoilt + 1 + (self.spoilt >= 4)
         self.subsets = list(combinations(range(self.parts), self.parts - 1))
+        self.groups = next((g for g in range(self.spoilt + 1, 2 * self.spoilt + 2) if self._idle(g, smallest) <= g - self.spoilt - 1), self.spoilt + 1)
+
+    def _idle(self, groups: int, size: int) -> float:
+        """As many groups of a set of ``size`` elements as may well have an empty subset."""
+        empty = math.exp(-size / (groups * self.parts))
+        mean = groups * (1 - (1 - empty) ** 2 if self.parts == 2 else 3 * empty**2)
+        return mean + 2.5 * math.sqrt(mean)
 
     def sign(self, row: np.ndarray, feature: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(set numbers, signatures) of ``n`` sets, given as (set number, feature) pairs.
@@ -98,7 +104,7 @@ class Bands:
     def scheme(self, band: int) -> Scheme:
         while len(self.schemes) <= band:
             high = max(self.lows[-1], math.floor(self.lows[-1] / self.t**2))
-            self.schemes.append(Scheme(len(self.schemes), high, self.t))
+            self.schemes.append(Scheme(len(self.schemes), math.ceil(self.lows[-1] * self.t), high, self.t))
             self.lows.append(high + 1)
         return self.schemes[band]
 
