@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from alnspark.llm import decontaminate, jaccard_join, line_dedup, packing, resharding, suffix_dedup, toxicity, warc
+from alnspark.llm import decontaminate, fingerprint_dedup, jaccard_join, line_dedup, packing, resharding, suffix_dedup, toxicity, warc
 from alnspark.llm.common import table
 
 
@@ -14,10 +14,11 @@ QUERIES = {
     "op1_line_dedup": _on("documents", line_dedup.query),
     "op2_suffix_array": _on("documents", suffix_dedup.query),
     "op3_partenum_join": _on("documents", jaccard_join.query),
+    "op4_fingerprint_index": _on("documents", fingerprint_dedup.query),
     "op5_resharding": _on("documents", resharding.query),
     "op6_winnowing": lambda spark, sf_dir: decontaminate.query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op7_warc_revisit": _on("pages", warc.query),
     "op9_toxicity": lambda spark, sf_dir: toxicity.query(spark, table(spark, sf_dir, "documents"), sf_dir),
     "op10_best_two_fit": _on("documents", packing.query),
 }
-ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL, "op2_suffix_array": suffix_dedup.SQL, "op3_partenum_join": jaccard_join.SQL, "op6_winnowing": decontaminate.SQL, "op7_warc_revisit": warc.SQL}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL, "op2_suffix_array": suffix_dedup.SQL, "op3_partenum_join": jaccard_join.SQL, "op4_fingerprint_index": fingerprint_dedup.SQL, "op6_winnowing": decontaminate.SQL, "op7_warc_revisit": warc.SQL}
