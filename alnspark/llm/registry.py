@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from alnspark.llm import decontaminate, fingerprint_dedup, jaccard_join, line_dedup, packing, resharding, suffix_dedup, toxicity, warc
+from alnspark.llm import ann, decontaminate, fingerprint_dedup, jaccard_join, line_dedup, packing, resharding, suffix_dedup, toxicity, warc
 from alnspark.llm.common import table
 
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op5_resharding": _on("documents", resharding.query),
     "op6_winnowing": lambda spark, sf_dir: decontaminate.query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op7_warc_revisit": _on("pages", warc.query),
+    "op8_pruned_graph": _on("embeddings", ann.query),
     "op9_toxicity": lambda spark, sf_dir: toxicity.query(spark, table(spark, sf_dir, "documents"), sf_dir),
     "op10_best_two_fit": _on("documents", packing.query),
 }
