@@ -1,0 +1 @@
+"""Sequence-alignment analytics on Spark."""
