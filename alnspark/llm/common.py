@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 from pathlib import Path
@@ -61,14 +60,14 @@ def id_or_null(column: str = "did") -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column))
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], out: str, rows_per_task: int = 100_000) -> DataFrame:
-    """Add ``out``: a gapless rank from 0 within ``group``.
+def ranked(df: DataFrame, group: list[str], order: list[str], out: str, rows_per_task: int = 1_000) -> DataFrame:
+    """Add ``out``: a gapless rank from 0 within ``group``, of which there are few (their sizes are broadcast).
 
-    No group meets in one task: rows are dealt by group and a bucket of the order columns' hash,
-    ranked there, and moved up by the running count of the buckets before.  ``df`` is read twice,
-    so hand over a stored table."""
-    buckets = max(1, math.ceil(df.count() / rows_per_task))
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    No group meets in one task: a group's rows are dealt to buckets by the order columns' hash, as many as
+    its size asks for, ranked there, and moved up by the running count of the buckets before.  ``df`` is read
+    three times, so hand over a stored table."""
+    sizes = df.groupBy(*group).agg(F.ceil(F.count("*") / rows_per_task).alias("_buckets"))
+    df = df.join(F.broadcast(sizes), group).withColumn("_bucket", F.pmod(F.xxhash64(*order), "_buckets")).drop("_buckets")
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = (
         df.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))

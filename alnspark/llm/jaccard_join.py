@@ -153,6 +153,13 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     return row, feature, np.bincount(row, minlength=len(texts))
 
 
+def sketches(row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+    """Parities of the sets' elements in 512 cells, as eight numbers a set."""
+    cell = row * SKETCH * 64 + (mix(feature + U(99)) >> U(55)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n * SKETCH * 64) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, -1), axis=1).view(np.int64)
+
+
 def _set_ids(row: np.ndarray, feature: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     code, total = mix(feature ^ U(0x5DEECE66D)), np.zeros(len(sizes), U)
     some = np.flatnonzero(sizes)
@@ -162,22 +169,25 @@ def _set_ids(row: np.ndarray, feature: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 def signed(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
-    """Rows of documents (did, th, n, sid) and of signatures (sid, rep, sigs).
+    """Rows of documents (did, th, n, sid, s0 ... s7) and of signatures (sid, rep, sigs).
 
     Within a batch a signature keeps one row, that of its least set, ``rep``; the others are handed on with
     that ``rep``, so a very common signature has one row a batch to shuffle."""
-    names = ["did", "th", "n", "sid", "rep", "sigs"]
-    types = [*[pa.int64()] * 5, pa.list_(pa.int64())]
+    parities = [f"s{i}" for i in range(SKETCH)]
+    names = ["did", "th", "n", "sid", "rep", "sigs", *parities]
+    lists_of = pa.list_(pa.int64())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(t)
         for batch in batches:
-            ids, sizes, sids, sigs = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            none = np.zeros(0, np.int64)
+            ids, sizes, sids, sigs, marks = [none], [none], [none], [none], [np.zeros((0, SKETCH), np.int64)]
             for _, texts in chunks(batch.column("text").to_pylist()):
                 row, feature, size = shingle_sets(texts, words)
                 sid = _set_ids(row, feature, size)
                 sizes.append(size)
                 ids.append(sid)
+                marks.append(sketches(row, feature, len(texts)))
                 _, once = np.unique(sid, return_index=True)
                 first = np.zeros(len(sid), bool)
                 first[once] = True
@@ -187,7 +197,8 @@ def signed(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
                 sigs.append(v.view(np.int64))
             n = batch.num_rows
             none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), pa.array(np.concatenate(sizes)), pa.array(np.concatenate([np.zeros(0, np.int64), *ids])), none, pa.nulls(n, types[5])], names)
+            mark = np.concatenate(marks)
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(ids)), none, pa.nulls(n, lists_of), *[pa.array(np.ascontiguousarray(mark[:, i])) for i in range(SKETCH)]], names)
             sid, sig = np.concatenate(sids), np.concatenate(sigs)
             order = np.lexsort((sid, sig))
             sid, sig = sid[order], sig[order]
@@ -202,9 +213,9 @@ def signed(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
             m = len(edge)
             none = pa.nulls(m, pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(sid)).astype(np.int32)), pa.array(sig))
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(sid[edge]), pa.array(rep[edge]), lists], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(sid[edge]), pa.array(rep[edge]), lists, *[none] * SKETCH], names)
 
-    return docs.mapInArrow(cut, "did long, th long, n long, sid long, rep long, sigs array<long>")
+    return docs.mapInArrow(cut, "did long, th long, n long, sid long, rep long, sigs array<long>, " + ", ".join(f"{p} long" for p in parities))
 
 
 def _needed(texts: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
@@ -212,6 +223,14 @@ def _needed(texts: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
     return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, on)
 
 
+def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sid, text): one text for each set in ``pairs``."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    one = sets.join(ends, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("did", "th")).alias("d")).select("sid", "d.*")
+    wanted = stored(one, "jaccard-wanted")
+    return stored(_needed(docs, wanted, ["did", "th"]).select("sid", "text").dropDuplicates(["sid"]), "jaccard-texts")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> DataFrame:
     """The pairs (a, b) of sets whose similarity is ``t`` or more."""
     num, den = t.numerator, t.denominator
@@ -230,22 +249,14 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> Dat
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(test, "a long, b long")
 
 
-def sketches(texts: DataFrame, words: int) -> DataFrame:
-    """(sid, n, s0 ... s7): parities of the sets' elements in 512 cells.  Two sets differ at least as often as their parities."""
+def _close(t: Fraction):
+    """Of rows with both ends' sizes and sketches: whether sizes and parities leave room for similarity ``t``.
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = np.zeros((len(pdf), SKETCH * 64), np.uint8)
-            sizes = []
-            for begin, group in chunks(pdf["text"]):
-                row, feature, size = shingle_sets(group, words)
-                sizes.append(size)
-                cell = (begin + row) * SKETCH * 64 + (mix(feature + U(99)) >> U(55)).astype(np.int64)
-                out ^= (np.bincount(cell, minlength=out.size) & 1).astype(np.uint8).reshape(out.shape)
-            packed = np.packbits(out, axis=1).view(np.int64)
-            yield pd.DataFrame({"sid": pdf["sid"], "n": np.concatenate(sizes) if sizes else [], **{f"s{i}": packed[:, i] for i in range(SKETCH)}})
-
-    return texts.select("sid", "text").mapInPandas(cut, "sid long, n long, " + ", ".join(f"s{i} long" for i in range(SKETCH)))
+    Sets differ at least as often as their parities, so no link is lost."""
+    num, den = t.numerator, t.denominator
+    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH)), F.lit(0))
+    sizes = F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num
+    return sizes & (differ * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num))
 
 
 def _unjoined(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -266,31 +277,30 @@ def join(docs: DataFrame, words: int = 5, t: Fraction = Fraction(4, 5), id_col:
     shared = stored(spans.where("lo <> hi").select("sig", "sid", "lo").distinct(), "jaccard-shared")
     near = sigs.where("sid <> rep").select("sig", "sid", F.col("rep").alias("lo"))
     edges = stored(shared.select("sid", "lo").union(near.select("sid", "lo")).where("sid <> lo").distinct().toDF("a", "b"), "jaccard-edges")
-    # one text for each set that has an edge
-    one = sets.groupBy("sid").agg(F.min(F.struct("did", "th")).alias("d")).select("sid", "d.*")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = stored(one.join(ends, "sid").select("did", "th", "sid"), "jaccard-wanted")
-    texts = stored(_needed(own, wanted, ["did", "th"]).select("sid", "text").dropDuplicates(["sid"]), "jaccard-texts")
+    marks = rows.where("did IS NOT NULL").select("sid", "n", *[f"s{i}" for i in range(SKETCH)]).dropDuplicates(["sid"])
+    x, y = marks.alias("x"), marks.alias("y")
+    # most edges of unlike sets end here, before any text is fetched
+    both = edges.join(x, F.col("a") == F.col("x.sid")).join(y, (F.col("b") == F.col("y.sid")) & _close(t))
+    hopeful = stored(both.select("a", "b"), "jaccard-hopeful")
+    texts = _texts(own, sets, hopeful)
     # first each set's least partner; then the edges that still lead to another component
-    links = stored(verified(edges.groupBy("a").agg(F.min("b").alias("b")), texts, words, t), "jaccard-links")
-    rest = stored(_unjoined(edges, components(links)), "jaccard-rest")
+    links = stored(verified(hopeful.groupBy("a").agg(F.min("b").alias("b")), texts, words, t), "jaccard-links")
+    rest = stored(_unjoined(hopeful, components(links)), "jaccard-rest")
     links = stored(links.union(verified(rest, texts, words, t)).distinct(), "jaccard-links")
     roots = components(links)
     # signatures with a failed link: all their members in different components
     failed = stored(_unjoined(edges, roots), "jaccard-failed")
     if not failed.isEmpty():
-        members = shared.union(near).union(near.select("sig", F.col("lo").alias("sid"), "lo")).union(shared.select("sig", F.col("lo").alias("sid"), "lo")).distinct()
+        members = shared.union(near).union(near.select("sig", F.col("lo").alias("sid"), "lo")).union(shared.select("sig", F.col("lo").alias("sid"), "lo"))
         open_sigs = members.join(failed.toDF("sid", "lo"), ["sid", "lo"]).select("sig").distinct()
-        found = stored(members.join(open_sigs, "sig", "left_semi").select("sig", "sid").distinct(), "jaccard-members")
-        marks = stored(sketches(_needed(texts, stored(found.select("sid").distinct(), "jaccard-open"), ["sid"]), words).join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "jaccard-marks")
-        side = found.join(marks, "sid")
+        found = members.join(open_sigs, "sig", "left_semi").select("sig", "sid").distinct()
+        side = stored(found.join(marks, "sid").join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "jaccard-members")
         x, y = side.alias("x"), side.alias("y")
-        differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH)), F.lit(0))
-        room = (F.col("x.n") + F.col("y.n")) * (t.denominator - t.numerator)
-        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.sid") > F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & (differ * (t.denominator + t.numerator) <= room))
-        pairs = stored(pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "jaccard-pairs")
-        more = stored(verified(pairs.join(failed, ["a", "b"], "left_anti"), texts, words, t), "jaccard-more")
-        if not more.isEmpty():
+        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.sid") > F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & _close(t))
+        pairs = pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+        pairs = stored(pairs.join(hopeful.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
+        if not pairs.isEmpty():
+            more = stored(verified(pairs, _texts(own, sets, pairs), words, t), "jaccard-more")
             roots = components(links.union(more))
     placed = sets.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = placed.where("n > 0").groupBy("root").agg(F.min("did").alias("component"))

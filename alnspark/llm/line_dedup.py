@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alnspark.llm.common import SPACE, fold_case, id_or_null, keyed, shared_path, stored
+from alnspark.llm.common import NO_ID, SPACE, fold_case, id_or_null, keyed, shared_path, stored
 
 SLOTS, KICKS = 4, 500
 KEYS_PER_SHARD = 200_000
@@ -175,49 +175,51 @@ class LineIndex:
         gone = lines.join(self.counts(), "key").where(F.col("did") != F.col("last_doc"))
         return gone.select("did", "th", "pos").distinct().groupBy("did", "th").agg(F.collect_list("pos").alias("drop"))
 
-    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_rest: bool = False) -> DataFrame:
-        """Per row of ``docs``: doc_id, n_lines, n_dropped, kept (the text that stays) and, with
-        ``keep_rest``, a struct ``rest`` of the row's own columns but the text."""
+    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+        """Per row of ``docs``: did, n_lines, n_dropped, kept (the text that stays) and, with ``carry``, a
+        struct ``row`` of the row's own columns."""
         own = keyed(docs, id_col, text_col)
-        rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-        wide = docs.select(
-            F.struct(*rest).alias("rest"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("did"),
-            F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
-        ).withColumn("th", F.xxhash64("text"))
-        wide = wide if keep_rest else own
-        both = wide.join(self.drops(own), ["did", "th"], "left")
-
-        def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                kept, n = [], []
-                for text, drop in zip(pdf["text"], pdf["drop"]):
-                    lines = text.split("\n")
-                    n.append(len(lines))
-                    if drop is not None:
-                        gone = set(drop)
-                        lines = [x for i, x in enumerate(lines) if i not in gone]
-                    kept.append("\n".join(lines))
-                yield pdf.drop(columns=["text", "drop", "th"]).assign(n_lines=n, n_dropped=[0 if d is None else len(d) for d in pdf["drop"]], kept=kept)
-
-        # the struct stays on the JVM's side as JSON-free columns: only its own fields travel
-        fields = [f"rest.`{c.name}`" for c in wide.schema["rest"].dataType] if keep_rest else []
-        flat = both.select("did", "th", "text", "drop", *[F.col(f).alias(f"rest_{i}") for i, f in enumerate(fields)])
-        schema = ", ".join(["did long", *[f"rest_{i} {flat.schema[f'rest_{i}'].dataType.simpleString()}" for i in range(len(fields))], "n_lines long, n_dropped long, kept string"])
-        out = flat.mapInPandas(rewrite, schema)
-        names = [c for c in docs.columns if c != text_col] if keep_rest else []
-        return out.select(id_or_null().alias("doc_id"), "n_lines", "n_dropped", "kept", *([F.struct(*[F.col(f"rest_{i}").alias(c) for i, c in enumerate(names)]).alias("rest")] if keep_rest else []))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, keep_rest: bool = False) -> DataFrame:
-    """Index ``docs`` as one batch and drop the lines that ``min_docs`` documents share from all but the last."""
+        if carry:
+            text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+            own = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).dropFields(f"`{text_col}`").alias("row"))
+        both = own.join(self.drops(keyed(docs, id_col, text_col)), ["did", "th"], "left")
+
+        @F.pandas_udf("n_lines long, n_dropped long, kept string")
+        def rewrite(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
+            rows = []
+            for text, drop in zip(texts, drops):
+                lines = text.split("\n")
+                gone = set() if drop is None else set(drop)
+                rows.append((len(lines), len(gone), "\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text))
+            return pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept"])
+
+        made = both.withColumn("made", rewrite("text", "drop"))
+        return made.select("did", "made.*", *(["row"] if carry else []))
+
+
+def index_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> LineIndex:
     index = LineIndex(docs.sparkSession, shared_path(docs.sparkSession, "line-index"), min_chars, min_docs)
     index.insert(docs, id_col, text_col)
-    return index.apply(docs, id_col, text_col, keep_rest)
+    return index
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """Index ``docs`` as one batch and drop the lines that ``min_docs`` documents share from all but the last."""
+    return index_of(docs, id_col, text_col, min_chars, min_docs).apply(docs, id_col, text_col)
+
+
+def rewrite_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """``docs`` with the lines dropped and, where there is such a column, n_chars counted anew.  A text that
+    loses all it had goes; texts that lose nothing keep their rows as they are."""
+    out = index_of(docs, id_col, text_col, min_chars, min_docs).apply(docs, id_col, text_col, carry=True)
+    out = out.where((F.col("n_dropped") == 0) | (F.length(F.btrim("kept", F.lit(SPACE))) > 0))
+    value = {text_col: F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    # a null text that lost nothing comes back as an empty one
+    return out.select(*[(value[c].cast(docs.schema[c].dataType) if c in value else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    out = dedup_lines(docs)
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+    return dedup_lines(docs).select(id_or_null().alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
 SQL = r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from alnspark.llm import ann, decontaminate, fingerprint_dedup, jaccard_join, line_dedup, packing, resharding, suffix_dedup, toxicity, warc
 from alnspark.llm.common import table
 
@@ -11,6 +12,7 @@ def _on(name: str, function):
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_line_dedup": _on("documents", line_dedup.query),
     "op2_suffix_array": _on("documents", suffix_dedup.query),
     "op3_partenum_join": _on("documents", jaccard_join.query),
@@ -23,3 +25,5 @@ QUERIES = {
     "op10_best_two_fit": _on("documents", packing.query),
 }
 ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL, "op2_suffix_array": suffix_dedup.SQL, "op3_partenum_join": jaccard_join.SQL, "op4_fingerprint_index": fingerprint_dedup.SQL, "op6_winnowing": decontaminate.SQL, "op7_warc_revisit": warc.SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

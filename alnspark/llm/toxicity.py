@@ -107,7 +107,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray | None]], kept: int = KEPT,
         share = float(y.mean()) if len(y) else 0.0
         return Model(float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros(0, np.int64), np.zeros(0))
     size = 1 << BITS
-    df = [np.zeros(size), np.zeros(size)]
+    df = [np.zeros(size, np.float32), np.zeros(size, np.float32)]
     for label, marks, _ in rows:
         df[label][marks] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
