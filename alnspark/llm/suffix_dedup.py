@@ -203,7 +203,7 @@ def pieces(docs: DataFrame, hits: DataFrame, length: int, parts: int, shards: in
                     size = windows[f] + length - 1
                     begin = offset[doc[f]] + start[f]
                     index = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
-                    rows.append((1, b, int(shard[one[0]]), None, None, None, None, _pack(prints[f], "<u8"), _pack(code[f], "<u8"), _pack(size, "<u4"), _pack(did[doc[f]], "<i8"), _pack(one, "<u4"), data[index].tobytes()))
+                    rows.append((1, b, int(shard[one[0]]), None, None, None, None, _pack(prints[f], "<u8"), _pack(size, "<u4"), _pack(did[doc[f]], "<i8"), _pack(one, "<u4"), data[index].tobytes(), None))
                 rows.append((2, b, None, None, None, None, None, _pack(doc, "<u4"), _pack(start, "<u8"), _pack(number, "<u4"), _pack(windows[first], "<u4"), _pack(did, "<i8"), _pack(left["th"].to_numpy(), "<i8")))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")], dtype=object)  # numbers beside nulls stay exact
         return out.astype({c: "Int64" for c in ("b", "shard", "did", "th", "n")})
@@ -214,10 +214,12 @@ def pieces(docs: DataFrame, hits: DataFrame, length: int, parts: int, shards: in
 def least_holders(shard: pd.DataFrame, length: int) -> pd.DataFrame:
     """Of a shard's runs: for each group and run, from which window on which document is the least to hold it."""
     read = lambda c, kind: np.frombuffer(b"".join(shard[c]), kind)
-    prints, code, size, did, idx = read("x1", "<u8"), read("x2", "<u8"), read("x3", "<u4").astype(np.int64), read("x4", "<i8"), read("x5", "<u4")
+    prints, size, did, idx = read("x1", "<u8"), read("x2", "<u4").astype(np.int64), read("x3", "<i8"), read("x4", "<u4")
     group = np.repeat(shard["b"].to_numpy().astype(np.int64), [len(x) // 8 for x in shard["x1"]])
-    data = read("x6", np.uint8)
+    data = read("x5", np.uint8)
     begin = np.cumsum(size) - size
+    cuts, _ = _spans_of(begin // BLOCK)
+    code = np.concatenate([_codes(data[b[0] : b[-1] + n[-1]], b - b[0], n) for b, n in zip(np.split(begin, cuts[1:]), np.split(size, cuts[1:]))])
     order = np.lexsort((did, code, prints))
     p, c = prints[order], code[order]
     new = np.ones(len(order), bool)
@@ -333,13 +335,18 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     """Per row of ``docs``: did, n_bytes, n_removed, n_spans, kept_sha256, and where bytes go, th, spans and kept (binary)."""
     if length < GRAM:
         raise ValueError(f"a window has {GRAM} bytes or more")
-    own = keyed(docs, id_col, text_col)
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    own = keyed(docs, id_col, text_col).withColumn("size", F.octet_length("text"))
+    total = own.agg(F.sum("size")).first()[0] or 0
     groups, shards = max(1, math.ceil(total / GROUP_BYTES)), max(1, math.ceil(total * EXPECTED / SHARD_BYTES))
+    # later copies of a whole text lose all of it, and say nothing that the first does not
+    firsts = stored(own.groupBy("th", "size").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").drop("last"), "suffix-copies")
+    marked = own.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, ["th", "size"], "left")
+    copies = marked.where("did > first")
+    own = marked.where("first IS NULL OR did = first").select("did", "th", "text")
     parts = min(1 << 23, max(1, math.ceil(total / (length - GRAM) * 2 / PART_ENTRIES)))
     own = own.withColumn("b", F.pmod(F.xxhash64("did", "th"), F.lit(groups)).cast("int"))
     cut = stored(pieces(own, repeated_prints(own, length, parts, groups), length, parts, shards), "suffix-pieces")
-    holders = cut.where("kind = 1").select("b", "shard", *[f"x{i}" for i in range(1, 7)]).groupBy("shard").applyInPandas(lambda pdf: least_holders(pdf, length), "b int, idx binary, off binary, least binary")
+    holders = cut.where("kind = 1").select("b", "shard", *[f"x{i}" for i in range(1, 6)]).groupBy("shard").applyInPandas(lambda pdf: least_holders(pdf, length), "b int, idx binary, off binary, least binary")
     gone = stored(removals(cut.where("kind = 2").select("b", *[f"x{i}" for i in range(1, 7)]), holders, length), "suffix-removed")
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -358,9 +365,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     texts = own.select("did", "th", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["did", "th"]).dropDuplicates(["did", "th"])
     changed = texts.join(gone, ["did", "th"]).mapInPandas(rewrite, "did long, th long, kept binary, kept_sha string, spans binary, n_removed long, n_spans long")
     all_docs = cut.where("kind = 0").select("did", "th", F.col("n").alias("n_bytes"), "sha")
-    return all_docs.join(changed, ["did", "th"], "left").select(
+    out = all_docs.join(changed, ["did", "th"], "left").select(
         "did", "th", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"), "spans", "kept",
     )
+    long = F.col("size") >= length
+    kept = F.when(long, F.lit("")).otherwise(F.col("text")).cast("binary")
+    return out.union(copies.select(
+        "did", "th", F.col("size").cast("long").alias("n_bytes"), F.when(long, F.col("size")).otherwise(0).cast("long").alias("n_removed"), long.cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"),
+        F.lit(None).cast("binary").alias("spans"), kept.alias("kept"),
+    ))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
