@@ -57,19 +57,28 @@ def _stretches(words: Words, window: int, gram: int):
     return doc, start - words.first[doc], stop - start, least[start], digest, again[stop] > again[start]
 
 
-ENTRIES = "did long, th long, start int, windows int, print long, digest long, twice boolean"
+ENTRIES = "did long, th long, size long, start int, windows int, print long, digest long, n long, twice boolean"
+
+
+def _few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, handed to every task while it has few rows (of some 40 bytes); a shuffled join's side beyond that."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return keyed(docs, id_col, text_col).withColumn("size", F.octet_length("text").cast("long"))
 
 
 def entries(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The stretches of keyed documents."""
+    """The stretches of documents (did, th, size, n, text), of which each stands for ``n`` equal texts."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            did, th = pdf["did"].to_numpy(), pdf["th"].to_numpy()
+            did, th, size, n = (pdf[c].to_numpy() for c in ("did", "th", "size", "n"))
             for begin, texts in chunks(pdf["text"]):
                 doc, start, windows, prints, digest, twice = _stretches(Words(texts, NOT_SPACE, False, streams=1), window, gram)
                 at = begin + doc
-                yield pd.DataFrame({"did": did[at], "th": th[at], "start": start.astype(np.int32), "windows": windows.astype(np.int32), "print": prints.view(np.int64), "digest": digest.view(np.int64), "twice": twice})
+                yield pd.DataFrame({"did": did[at], "th": th[at], "size": size[at], "n": n[at], "start": start.astype(np.int32), "windows": windows.astype(np.int32), "print": prints.view(np.int64), "digest": digest.view(np.int64), "twice": twice})
 
     return docs.mapInPandas(cut, ENTRIES)
 
@@ -85,12 +94,16 @@ class FingerprintIndex:
         self.docs: DataFrame | None = None
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        own = keyed(docs, id_col, text_col)
+        own = _sized(docs, id_col, text_col)
+        # equal texts lose the same words: the first stands for all
+        copies = stored(own.groupBy("th", "size").agg(F.min("did").alias("first"), F.count("*").alias("n")).where("n > 1"), "fingerprint-copies")
+        marked = own.join(_few(copies), ["th", "size"], "left").where("first IS NULL OR did = first")
+        firsts = marked.select("did", "th", "size", F.coalesce("n", F.lit(1)).alias("n"), "text")
         place = f"{self.path}/entries/{len(self.batches):05d}"
-        entries(own, self.window, self.gram).write.parquet(place)
+        entries(firsts, self.window, self.gram).write.option("compression", "zstd").parquet(place)
         self.batches.append(place)
         self.docs = own if self.docs is None else self.docs.union(own)
-        self._write(self.spark.read.schema(ENTRIES).parquet(place).select("print", "digest", F.lit(1).cast("long").alias("n"), "twice"))
+        self._write(self.spark.read.schema(ENTRIES).parquet(place).select("print", "digest", "n", "twice"))
         if len(self.runs) > RUNS:
             self.compact()
 
@@ -111,43 +124,52 @@ class FingerprintIndex:
         return merged.where("n > 1 OR twice").select("print", F.expr("lo <> hi OR twice").alias("mixed"))
 
     def spans(self) -> DataFrame:
-        """(did, th, spans): for each document that loses words, [first word, end) pairs that may overlap."""
+        """(th, size, spans): for each text that loses words, its [first word, end) spans in order, apart from each other."""
         width = self.window - 1
         found = self.spark.read.schema(ENTRIES).parquet(*self.batches).drop("twice").join(self.repeated(), "print")
         found = stored(found, "fingerprint-hits")
-        sure = found.where("NOT mixed").select("did", "th", "start", (F.col("start") + F.col("windows") + width).alias("stop"))
+        sure = found.where("NOT mixed").select("th", "size", "start", (F.col("start") + F.col("windows") + width).alias("stop"))
         mixed = found.where("mixed")
-        kinds = stored(mixed.groupBy("print", "digest").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "start", "windows")).alias("at")).select("print", "digest", "n", "at.*"), "fingerprint-kinds")
+        kinds = stored(mixed.groupBy("print", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("did", "th", "start", "windows")).alias("at")).select("print", "digest", "n", "at.*"), "fingerprint-kinds")
         good = self._verified(kinds)
-        checked = mixed.join(good, ["print", "digest"]).select("did", "th", (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + width).alias("stop"))
-        return sure.union(checked).groupBy("did", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+        checked = mixed.join(good, ["print", "digest"]).select("th", "size", (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + width).alias("stop"))
+        span = "struct<start:int,stop:int>"
+        none = F.struct(F.array().cast(f"array<{span}>").alias("done"), F.lit(None).cast(span).alias("last"))
+
+        def grow(acc, x):
+            joined = F.struct(acc["last"]["start"].alias("start"), F.greatest(acc["last"]["stop"], x["stop"]).alias("stop"))
+            apart = F.struct(F.when(acc["last"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"]))).alias("done"), x.alias("last"))
+            return F.when(acc["last"].isNotNull() & (x["start"] <= acc["last"]["stop"]), F.struct(acc["done"].alias("done"), joined.alias("last"))).otherwise(apart)
+
+        merged = F.aggregate(F.array_sort(F.collect_set(F.struct("start", "stop"))), none, grow, lambda acc: F.concat(acc["done"], F.array(acc["last"])))
+        return sure.union(checked).groupBy("th", "size").agg(merged.alias("spans"))
 
     def _verified(self, kinds: DataFrame) -> DataFrame:
-        """(print, digest, lo, hi): the windows lo ... hi - 1 of a kind of stretch that occur more than once."""
+        """(print, digest, lo, hi): the windows lo ... hi - 1 of a kind of stretch that occur more than once.
+
+        Equal windows have equal fingerprints, so these and a hash over all words name a window by 128 bits."""
         window = self.window
         wanted = kinds.groupBy("did", "th").agg(F.collect_list(F.struct("print", "digest", "n", "start", "windows")).alias("kinds"))
-        few = kinds.count() <= BROADCAST_ROWS  # 40 bytes each
-        texts = self.docs.join(F.broadcast(wanted) if few else wanted, ["did", "th"])
+        texts = self.docs.join(_few(wanted, kinds.count()), ["did", "th"])
 
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for begin, texts in chunks(pdf["text"]):
-                    words = Words(texts, NOT_SPACE, False)
-                    _, (h1, h2) = words.windows(window)
+                    words = Words(texts, NOT_SPACE, False, streams=1)
+                    _, (whole,) = words.windows(window, 1)
                     out = []
                     for i in range(len(texts)):
                         for k in pdf["kinds"].iloc[begin + i]:
-                            at = words.first[i] + k["start"] + np.arange(k["windows"])
-                            out.append((k["print"], k["digest"], k["n"], at))
-                    size = np.array([len(o[3]) for o in out], np.int64)
-                    at = np.concatenate([o[3] for o in out]) if out else np.zeros(0, np.int64)
-                    col = lambda j: np.repeat(np.array([o[j] for o in out], np.int64), size)
-                    yield pd.DataFrame({"print": col(0), "digest": col(1), "n": col(2), "off": (np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32), "h1": h1[at].view(np.int64), "h2": h2[at].view(np.int64)})
-
-        # one text for equal rows: a kind is verified at one place
-        rows = stored(texts.dropDuplicates(["did", "th"]).select("text", "kinds").mapInPandas(cut, "print long, digest long, n long, off int, h1 long, h2 long"), "fingerprint-windows")
-        many = rows.groupBy("h1", "h2").agg(F.sum("n").alias("m")).where("m > 1").drop("m")
-        offs = rows.join(many, ["h1", "h2"]).groupBy("print", "digest").agg(F.sort_array(F.collect_list("off")).alias("offs"))
+                            out.append((k["print"], k["digest"], k["n"], words.first[i] + k["start"], k["windows"]))
+                    print_, digest, n, at, size = (np.array([o[j] for o in out], np.int64) for j in range(5))
+                    off = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    col = lambda x: np.repeat(x, size)
+                    yield pd.DataFrame({"print": col(print_), "digest": col(digest), "n": col(n), "off": off.astype(np.int32), "whole": whole[col(at) + off].view(np.int64)})
+
+        # a repeated row is cut twice, but then its kinds count twice anyway
+        rows = stored(texts.select("text", "kinds").mapInPandas(cut, "print long, digest long, n long, off int, whole long"), "fingerprint-windows")
+        many = rows.groupBy("print", "whole").agg(F.sum("n").alias("m")).where("m > 1").drop("m")
+        offs = rows.join(many, ["print", "whole"]).groupBy("print", "digest").agg(F.sort_array(F.collect_set("off")).alias("offs"))
 
         def stretch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -164,7 +186,7 @@ class FingerprintIndex:
         """Per row of ``docs`` (appended before): did, n_words, n_removed, kept (the other words joined by spaces)."""
         gone = stored(self.spans(), "fingerprint-spans")
         size = gone.agg(F.sum(F.size("spans"))).first()[0] or 0
-        both = keyed(docs, id_col, text_col).join(F.broadcast(gone) if size <= BROADCAST_ROWS else gone, ["did", "th"], "left")
+        both = _sized(docs, id_col, text_col).join(_few(gone, size), ["th", "size"], "left")
 
         def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -174,10 +196,9 @@ class FingerprintIndex:
                     n = len(words)
                     if spans is not None:
                         at, kept = 0, []
-                        for lo, hi in sorted((s["start"], s["stop"]) for s in spans):
-                            if lo > at:
-                                kept += words[at:lo]
-                            at = max(at, hi)
+                        for span in spans:
+                            kept += words[at : span["start"]]
+                            at = span["stop"]
                         words = kept + words[at:]
                     kept = b" ".join(words)
                     rows.append((did, n, n - len(words), kept.decode(), hashlib.sha256(kept).hexdigest()))
