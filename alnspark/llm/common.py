@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 #: Stands in for a null id: such rows count as one more document, before all others.
 NO_ID = -(1 << 63)
 SPACE = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +37,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fold_case(text: Column) -> Column:
-    """Lower-case A-Z only."""
-    return F.translate(text, UPPER, LOWER)
-
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(did, th, text): id without nulls, digest of the text, text without nulls.

@@ -13,6 +13,7 @@ the line stripped of ASCII space with A-Z lower-cased; a key's lines in the docu
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alnspark.llm.common import NO_ID, SPACE, fold_case, id_or_null, keyed, shared_path, stored
+from alnspark.llm.common import NO_ID, SPACE, id_or_null, keyed, shared_path, stored
 
 SLOTS, KICKS = 4, 500
+SPACE_BYTES = SPACE.encode()
 KEYS_PER_SHARD = 200_000
 #: Filters up to this size go to every task; beyond it lines are joined with the exact counts directly.
 BROADCAST_BYTES = 32 << 20
@@ -96,10 +98,21 @@ def _words(keys) -> np.ndarray:
 
 
 def long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(did, th, pos, key): the lines of keyed documents whose key has ``min_chars`` code points or more."""
-    lines = docs.select("did", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    key = fold_case(F.btrim("line", F.lit(SPACE)))
-    return lines.select("did", "th", "pos", key.alias("k")).where(F.length("k") >= min_chars).select("did", "th", "pos", F.unhex(F.md5("k")).alias("key"))
+    """(did, th, pos, key): the lines of keyed documents whose key has ``min_chars`` code points or more, by 128 bits."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            row, at, keys = [], [], []
+            for i, text in enumerate(pdf["text"]):
+                for pos, line in enumerate(text.encode().split(b"\n")):
+                    key = line.strip(SPACE_BYTES)
+                    if len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode()) >= min_chars):
+                        row.append(i)
+                        at.append(pos)
+                        keys.append(hashlib.md5(key.lower(), usedforsecurity=False).digest())  # bytes.lower changes A-Z only
+            yield pd.DataFrame({"did": pdf["did"].to_numpy()[row], "th": pdf["th"].to_numpy()[row], "pos": np.array(at, np.int32), "key": keys})
+
+    return docs.mapInPandas(cut, "did long, th long, pos int, key binary")
 
 
 class LineIndex:
