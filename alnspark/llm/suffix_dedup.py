@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,7 +204,7 @@ def pieces(docs: DataFrame, hits: DataFrame, length: int, parts: int, shards: in
                     size = windows[f] + length - 1
                     begin = offset[doc[f]] + start[f]
                     index = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
-                    rows.append((1, b, int(shard[one[0]]), None, None, None, None, _pack(prints[f], "<u8"), _pack(size, "<u4"), _pack(did[doc[f]], "<i8"), _pack(one, "<u4"), data[index].tobytes(), None))
+                    rows.append((1, b, int(shard[one[0]]), None, None, None, None, _pack(prints[f], "<u8"), _pack(size, "<u4"), _pack(did[doc[f]], "<i8"), _pack(one, "<u4"), zstandard.compress(data[index].tobytes(), 1), None))
                 rows.append((2, b, None, None, None, None, None, _pack(doc, "<u4"), _pack(start, "<u8"), _pack(number, "<u4"), _pack(windows[first], "<u4"), _pack(did, "<i8"), _pack(left["th"].to_numpy(), "<i8")))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")], dtype=object)  # numbers beside nulls stay exact
         return out.astype({c: "Int64" for c in ("b", "shard", "did", "th", "n")})
@@ -216,7 +217,7 @@ def least_holders(shard: pd.DataFrame, length: int) -> pd.DataFrame:
     read = lambda c, kind: np.frombuffer(b"".join(shard[c]), kind)
     prints, size, did, idx = read("x1", "<u8"), read("x2", "<u4").astype(np.int64), read("x3", "<i8"), read("x4", "<u4")
     group = np.repeat(shard["b"].to_numpy().astype(np.int64), [len(x) // 8 for x in shard["x1"]])
-    data = read("x5", np.uint8)
+    data = np.frombuffer(b"".join(map(zstandard.decompress, shard["x5"])), np.uint8)
     begin = np.cumsum(size) - size
     cuts, _ = _spans_of(begin // BLOCK)
     code = np.concatenate([_codes(data[b[0] : b[-1] + n[-1]], b - b[0], n) for b, n in zip(np.split(begin, cuts[1:]), np.split(size, cuts[1:]))])
@@ -331,8 +332,11 @@ def removals(occurrences: DataFrame, holders: DataFrame, length: int) -> DataFra
     return out.dropDuplicates(["did", "th"])
 
 
+RESULT = "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, kept binary"
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: did, n_bytes, n_removed, n_spans, kept_sha256, and where bytes go, th, spans and kept (binary)."""
+    """Per row of ``docs``: did, n_bytes, n_removed, n_spans, kept_sha256, and where bytes go, spans (packed pairs) and kept (binary)."""
     if length < GRAM:
         raise ValueError(f"a window has {GRAM} bytes or more")
     own = keyed(docs, id_col, text_col).withColumn("size", F.octet_length("text"))
@@ -358,20 +362,18 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
                     out.append(data[at:lo])
                     at = hi
                 kept.append(b"".join([*out, data[at:]]))
-            yield pd.DataFrame({"did": pdf["did"], "th": pdf["th"], "kept": kept, "kept_sha": [hashlib.sha256(k).hexdigest() for k in kept], "spans": pdf["spans"], "n_removed": pdf["n_removed"], "n_spans": pdf["n_spans"]})
+            yield pd.DataFrame({"did": pdf["did"], "n_bytes": pdf["size"], "n_removed": pdf["n_removed"], "n_spans": pdf["n_spans"], "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept], "spans": pdf["spans"], "kept": kept})
 
     # texts stay where they are while the documents that change are few
-    wanted = gone.select("did", "th")
-    texts = own.select("did", "th", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["did", "th"]).dropDuplicates(["did", "th"])
-    changed = texts.join(gone, ["did", "th"]).mapInPandas(rewrite, "did long, th long, kept binary, kept_sha string, spans binary, n_removed long, n_spans long")
-    all_docs = cut.where("kind = 0").select("did", "th", F.col("n").alias("n_bytes"), "sha")
-    out = all_docs.join(changed, ["did", "th"], "left").select(
-        "did", "th", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"), "spans", "kept",
+    wanted = F.broadcast(gone) if (gone.agg(F.sum("n_spans")).first()[0] or 0) <= BROADCAST_ROWS else gone
+    changed = own.select("did", "th", "text", F.octet_length("text").cast("long").alias("size")).join(wanted, ["did", "th"]).mapInPandas(rewrite, RESULT)
+    unchanged = cut.where("kind = 0").join(gone.select("did", "th"), ["did", "th"], "left_anti").select(
+        "did", F.col("n").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("binary").alias("kept"),
     )
     long = F.col("size") >= length
     kept = F.when(long, F.lit("")).otherwise(F.col("text")).cast("binary")
-    return out.union(copies.select(
-        "did", "th", F.col("size").cast("long").alias("n_bytes"), F.when(long, F.col("size")).otherwise(0).cast("long").alias("n_removed"), long.cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"),
+    return changed.union(unchanged).union(copies.select(
+        "did", F.col("size").cast("long").alias("n_bytes"), F.when(long, F.col("size")).otherwise(0).cast("long").alias("n_removed"), long.cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"),
         F.lit(None).cast("binary").alias("spans"), kept.alias("kept"),
     ))
 
