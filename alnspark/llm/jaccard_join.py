@@ -2,9 +2,9 @@
 
 Sets of similarity ``t`` or more differ in few elements: |r ^ s| <= (1 - t) / (1 + t) * (|r| + |s|).  Sizes fall
 into bands; a set is signed in its band and, if a larger partner may lie there, in the next.  A band's
-scheme splits the feature domain into groups of parts.  Some group has at most one part that differs, so for
-one of its subsets without one part both sets hold the same elements: each such subset is a signature.
-(Bands of small sets take three parts a group; those of large sets two, where shared passages weigh less.)
+scheme splits the feature domain into groups of three parts.  Some group has at most one part that differs, so for
+one of its subsets of two parts both sets hold the same elements: each such subset is a signature.  In bands of
+large sets, where a shared passage weighs less, a group is one part and more groups than elements can differ.
 
 Equal sets are one node.  Nodes that share a signature are linked through the signature's least node, and
 these stars are verified on the texts; where a star's link fails, the signature's members that are still in
@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alnspark.llm.common import NO_ID, id_or_null, keyed, stored
@@ -48,15 +48,15 @@ class Scheme:
     def __init__(self, band: int, smallest: int, largest: int, t: Fraction):
         self.band = band
         self.k = math.floor((1 - t) / (1 + t) * 2 * largest)
-        self.spoilt = self.k // 2  # groups with two parts that differ, at most
-        self.parts = 3 if largest <= THREE_PARTS_UP_TO else 2
-        self.subsets = list(combinations(range(self.parts), self.parts - 1))
-        self.groups = next((g for g in range(self.spoilt + 1, 2 * self.spoilt + 2) if self._idle(g, smallest) <= g - self.spoilt - 1), self.spoilt + 1)
+        self.parts = 3 if largest <= THREE_PARTS_UP_TO else 1
+        self.spoilt = self.k // 2 if self.parts == 3 else self.k  # groups that no subset of survives, at most
+        self.subsets = list(combinations(range(self.parts), max(1, self.parts - 1)))
+        self.groups = next((g for g in range(self.spoilt + 1, 3 * self.spoilt + 2) if self._idle(g, smallest) <= g - self.spoilt - 1), self.spoilt + 1)
 
     def _idle(self, groups: int, size: int) -> float:
         """As many groups of a set of ``size`` elements as may well have an empty subset."""
         empty = math.exp(-size / (groups * self.parts))
-        mean = groups * (1 - (1 - empty) ** 2 if self.parts == 2 else 3 * empty**2)
+        mean = groups * (empty if self.parts == 1 else 3 * empty**2)
         return mean + 2.5 * math.sqrt(mean)
 
     def sign(self, row: np.ndarray, feature: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -96,14 +96,15 @@ class Scheme:
 
 
 class Bands:
-    """Size bands of ratio 1 / t**2."""
+    """Size bands of ratio 1 / t or more, so that partners lie in neighbouring bands."""
 
-    def __init__(self, t: Fraction):
+    def __init__(self, t: Fraction, power: float = 2.0):
         self.t, self.lows, self.schemes = t, [1], []
+        self.ratio = float(1 / t) ** power
 
     def scheme(self, band: int) -> Scheme:
         while len(self.schemes) <= band:
-            high = max(self.lows[-1], math.floor(self.lows[-1] / self.t**2))
+            high = max(self.lows[-1], math.floor(self.lows[-1] * self.ratio))
             self.schemes.append(Scheme(len(self.schemes), math.ceil(self.lows[-1] * self.t), high, self.t))
             self.lows.append(high + 1)
         return self.schemes[band]
@@ -168,26 +169,35 @@ def _set_ids(row: np.ndarray, feature: np.ndarray, sizes: np.ndarray) -> np.ndar
     return mix(total + sizes.astype(U)).view(np.int64)
 
 
-def signed(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
-    """Rows of documents (did, th, n, sid, s0 ... s7) and of signatures (sid, rep, sigs).
-
-    Within a batch a signature keeps one row, that of its least set, ``rep``; the others are handed on with
-    that ``rep``, so a very common signature has one row a batch to shuffle."""
+def set_rows(docs: DataFrame, words: int) -> DataFrame:
+    """(did, th, n, sid, s0 ... s7): each document's set size, set and parities."""
     parities = [f"s{i}" for i in range(SKETCH)]
-    names = ["did", "th", "n", "sid", "rep", "sigs", *parities]
-    lists_of = pa.list_(pa.int64())
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for begin, texts in chunks(pdf["text"]):
+                row, feature, size = shingle_sets(texts, words)
+                mark = sketches(row, feature, len(texts))
+                own = pdf.iloc[begin : begin + len(texts)]
+                yield pd.DataFrame({"did": own["did"].to_numpy(), "th": own["th"].to_numpy(), "n": size, "sid": _set_ids(row, feature, size), **{p: mark[:, i] for i, p in enumerate(parities)}})
+
+    return docs.mapInPandas(cut, "did long, th long, n long, sid long, " + ", ".join(f"{p} long" for p in parities))
+
+
+def signature_rows(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
+    """(sid, rep, sigs): the signatures of each set.
+
+    Within a batch a signature keeps one row as its own, that of its least set, ``rep``; the other sets' rows
+    name that ``rep``, so a very common signature has one row a batch that must meet others."""
+    names = ["sid", "rep", "sigs"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(t)
         for batch in batches:
-            none = np.zeros(0, np.int64)
-            ids, sizes, sids, sigs, marks = [none], [none], [none], [none], [np.zeros((0, SKETCH), np.int64)]
+            sids, sigs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, texts in chunks(batch.column("text").to_pylist()):
                 row, feature, size = shingle_sets(texts, words)
                 sid = _set_ids(row, feature, size)
-                sizes.append(size)
-                ids.append(sid)
-                marks.append(sketches(row, feature, len(texts)))
                 _, once = np.unique(sid, return_index=True)
                 first = np.zeros(len(sid), bool)
                 first[once] = True
@@ -195,10 +205,6 @@ def signed(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
                 r, v = bands.signatures(row[keep], feature[keep], np.where(first, size, 0))
                 sids.append(sid[r])
                 sigs.append(v.view(np.int64))
-            n = batch.num_rows
-            none = pa.nulls(n, pa.int64())
-            mark = np.concatenate(marks)
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(ids)), none, pa.nulls(n, lists_of), *[pa.array(np.ascontiguousarray(mark[:, i])) for i in range(SKETCH)]], names)
             sid, sig = np.concatenate(sids), np.concatenate(sigs)
             order = np.lexsort((sid, sig))
             sid, sig = sid[order], sig[order]
@@ -210,12 +216,10 @@ def signed(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
             order = np.lexsort((rep, sid))
             sid, sig, rep = sid[order], sig[order], rep[order]
             edge = np.flatnonzero(np.concatenate([[True], (sid[1:] != sid[:-1]) | (rep[1:] != rep[:-1])])[: len(sid)])
-            m = len(edge)
-            none = pa.nulls(m, pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(sid)).astype(np.int32)), pa.array(sig))
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(sid[edge]), pa.array(rep[edge]), lists, *[none] * SKETCH], names)
+            yield pa.RecordBatch.from_arrays([pa.array(sid[edge]), pa.array(rep[edge]), lists], names)
 
-    return docs.mapInArrow(cut, "did long, th long, n long, sid long, rep long, sigs array<long>, " + ", ".join(f"{p} long" for p in parities))
+    return docs.select("text").mapInArrow(cut, "sid long, rep long, sigs array<long>")
 
 
 def _needed(texts: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
@@ -269,15 +273,15 @@ def _unjoined(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def join(docs: DataFrame, words: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: did, th, n (set size), component (least did reachable by links of ``t`` or more)."""
     own = keyed(docs, id_col, text_col)
-    rows = stored(signed(own, words, t), "jaccard-signed")
-    sets = rows.where("did IS NOT NULL").select("did", "th", "n", "sid")
-    sigs = rows.where("did IS NULL").select("sid", "rep", F.explode("sigs").alias("sig"))
-    heads = sigs.where("sid = rep").select("sig", "sid")
-    spans = heads.select("sig", "sid", F.expr("min(sid) OVER (PARTITION BY sig)").alias("lo"), F.expr("max(sid) OVER (PARTITION BY sig)").alias("hi"))
-    shared = stored(spans.where("lo <> hi").select("sig", "sid", "lo").distinct(), "jaccard-shared")
-    near = sigs.where("sid <> rep").select("sig", "sid", F.col("rep").alias("lo"))
-    edges = stored(shared.select("sid", "lo").union(near.select("sid", "lo")).where("sid <> lo").distinct().toDF("a", "b"), "jaccard-edges")
-    marks = rows.where("did IS NOT NULL").select("sid", "n", *[f"s{i}" for i in range(SKETCH)]).dropDuplicates(["sid"])
+    sets = stored(set_rows(own, words), "jaccard-sets")
+    sigs = signature_rows(own, words, t).select("sid", "rep", F.explode("sigs").alias("sig"))
+    # rows of a batch's least set meet by signature; the others know their partner, and are dealt evenly
+    meets = F.col("sid") == F.col("rep")
+    where = Window.partitionBy(F.when(meets, F.col("sig")).otherwise(F.xxhash64("sig", "sid")), meets)
+    spans = sigs.select("sig", "sid", "rep", F.min("rep").over(where).alias("lo"), F.max("rep").over(where).alias("hi"))
+    shared = stored(spans.where((F.col("lo") < F.col("hi")) | ~meets).select("sig", "sid", "lo").distinct(), "jaccard-shared")
+    edges = stored(shared.select("sid", "lo").where("sid <> lo").distinct().toDF("a", "b"), "jaccard-edges")
+    marks = sets.select("sid", "n", *[f"s{i}" for i in range(SKETCH)]).dropDuplicates(["sid"])
     x, y = marks.alias("x"), marks.alias("y")
     # most edges of unlike sets end here, before any text is fetched
     both = edges.join(x, F.col("a") == F.col("x.sid")).join(y, (F.col("b") == F.col("y.sid")) & _close(t))
@@ -291,7 +295,7 @@ def join(docs: DataFrame, words: int = 5, t: Fraction = Fraction(4, 5), id_col:
     # signatures with a failed link: all their members in different components
     failed = stored(_unjoined(edges, roots), "jaccard-failed")
     if not failed.isEmpty():
-        members = shared.union(near).union(near.select("sig", F.col("lo").alias("sid"), "lo")).union(shared.select("sig", F.col("lo").alias("sid"), "lo"))
+        members = shared.union(shared.select("sig", F.col("lo").alias("sid"), "lo"))
         open_sigs = members.join(failed.toDF("sid", "lo"), ["sid", "lo"]).select("sig").distinct()
         found = members.join(open_sigs, "sig", "left_semi").select("sig", "sid").distinct()
         side = stored(found.join(marks, "sid").join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "jaccard-members")
@@ -302,7 +306,7 @@ def join(docs: DataFrame, words: int = 5, t: Fraction = Fraction(4, 5), id_col:
         if not pairs.isEmpty():
             more = stored(verified(pairs, _texts(own, sets, pairs), words, t), "jaccard-more")
             roots = components(links.union(more))
-    placed = sets.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    placed = sets.select("did", "th", "n", "sid").join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = placed.where("n > 0").groupBy("root").agg(F.min("did").alias("component"))
     placed = placed.join(least, "root", "left")
     return placed.select("did", "th", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("did")).alias("component"))
