@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 
+def slices(rows: pd.DataFrame, most: int = 1_000) -> Iterator[pd.DataFrame]:
+    """An Arrow batch in parts, so that what is made from it stays small."""
+    for lo in range(0, len(rows), most):
+        yield rows.iloc[lo : lo + most].reset_index(drop=True)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(did, th, text): id without nulls, digest of the text, text without nulls.
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alnspark.llm.common import id_or_null, keyed, shared_path, stored
+from alnspark.llm.common import id_or_null, keyed, shared_path, slices, stored
 from alnspark.llm.wordhash import NOT_SPACE, U, Words, chunks, mix, powers, running_min
 
 WINDOW, GRAM, RUNS = 35, 8, 4
@@ -153,7 +153,7 @@ class FingerprintIndex:
         texts = self.docs.join(_few(wanted, kinds.count()), ["did", "th"])
 
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in (part for whole in batches for part in slices(whole)):
                 for begin, texts in chunks(pdf["text"]):
                     words = Words(texts, NOT_SPACE, False, streams=1)
                     _, (whole,) = words.windows(window, 1)
@@ -182,14 +182,15 @@ class FingerprintIndex:
 
         return offs.mapInPandas(stretch, "print long, digest long, lo int, hi int")
 
-    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Per row of ``docs`` (appended before): did, n_words, n_removed, kept (the other words joined by spaces)."""
+    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+        """Per row of ``docs`` (appended before): did, n_words, n_removed, kept_sha256 and, with ``texts``, kept
+        (the other words joined by spaces)."""
         gone = stored(self.spans(), "fingerprint-spans")
         size = gone.agg(F.sum(F.size("spans"))).first()[0] or 0
         both = _sized(docs, id_col, text_col).join(_few(gone, size), ["th", "size"], "left")
 
         def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in (part for whole in batches for part in slices(whole)):
                 rows = []
                 for did, text, spans in zip(pdf["did"], pdf["text"], pdf["spans"]):
                     words = text.encode().split()
@@ -201,10 +202,10 @@ class FingerprintIndex:
                             at = span["stop"]
                         words = kept + words[at:]
                     kept = b" ".join(words)
-                    rows.append((did, n, n - len(words), kept.decode(), hashlib.sha256(kept).hexdigest()))
-                yield pd.DataFrame(rows, columns=["did", "n_words", "n_removed", "kept", "kept_sha256"])
+                    rows.append((did, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None))
+                yield pd.DataFrame(rows, columns=["did", "n_words", "n_removed", "kept_sha256", "kept"])
 
-        return both.select("did", "text", "spans").mapInPandas(rewrite, "did long, n_words long, n_removed long, kept string, kept_sha256 string")
+        return both.select("did", "text", "spans").mapInPandas(rewrite, "did long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     half = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2))
     for i in range(2):  # two batches: the second run is merged with the first
         index.append(docs.where(half == i))
-    return index.apply(docs).select(id_or_null().alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    return index.apply(docs, texts=False).select(id_or_null().alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 SQL = r"""

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alnspark.llm.common import id_or_null, keyed, stored
+from alnspark.llm.common import id_or_null, keyed, slices, stored
 from alnspark.llm.suffix_array import shares_prefix, suffix_array, words_at
 from alnspark.llm.wordhash import U, _byte_codes, mix, powers, running_min
 
@@ -335,8 +335,9 @@ def removals(occurrences: DataFrame, holders: DataFrame, length: int) -> DataFra
 RESULT = "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, kept binary"
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: did, n_bytes, n_removed, n_spans, kept_sha256, and where bytes go, spans (packed pairs) and kept (binary)."""
+def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+    """Per row of ``docs``: did, n_bytes, n_removed, n_spans, kept_sha256, and where bytes go, spans (packed pairs)
+    and, with ``texts``, kept (binary)."""
     if length < GRAM:
         raise ValueError(f"a window has {GRAM} bytes or more")
     own = keyed(docs, id_col, text_col).withColumn("size", F.octet_length("text"))
@@ -354,7 +355,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     gone = stored(removals(cut.where("kind = 2").select("b", *[f"x{i}" for i in range(1, 7)]), holders, length), "suffix-removed")
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (part for whole in batches for part in slices(whole)):
             kept = []
             for text, spans in zip(pdf["text"], pdf["spans"]):
                 data, at, out = text.encode(), 0, []
@@ -362,7 +363,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
                     out.append(data[at:lo])
                     at = hi
                 kept.append(b"".join([*out, data[at:]]))
-            yield pd.DataFrame({"did": pdf["did"], "n_bytes": pdf["size"], "n_removed": pdf["n_removed"], "n_spans": pdf["n_spans"], "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept], "spans": pdf["spans"], "kept": kept})
+            yield pd.DataFrame({"did": pdf["did"], "n_bytes": pdf["size"], "n_removed": pdf["n_removed"], "n_spans": pdf["n_spans"], "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept], "spans": pdf["spans"], "kept": kept if texts else [None] * len(kept)})
 
     # texts stay where they are while the documents that change are few
     wanted = F.broadcast(gone) if (gone.agg(F.sum("n_spans")).first()[0] or 0) <= BROADCAST_ROWS else gone
@@ -379,7 +380,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return dedup(docs).select(id_or_null().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return dedup(docs, texts=False).select(id_or_null().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 SQL = """
