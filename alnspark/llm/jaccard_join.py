@@ -7,9 +7,9 @@ one of its subsets of two parts both sets hold the same elements: each such subs
 large sets, where a shared passage weighs less, a group is one part and more groups than elements can differ.
 
 Equal sets are one node.  Nodes that share a signature are linked through the signature's least node, and
-these stars are verified on the texts; where a star's link fails, the signature's members that are still in
-different components are compared pairwise, behind an exact lower bound of their difference.  No group is
-gathered in one task, and copies are never expanded into pairs.
+these stars are verified on the texts.  Where a star's link fails, the signature's members meet its best-linked
+sets, and those then still in different components are compared pairwise, all behind an exact lower bound of
+their difference.  No group is gathered in one task, and copies are never expanded into pairs.
 
 Sets and features are named by 64-bit hashes.
 
@@ -38,6 +38,8 @@ from alnspark.llm.wordhash import NOT_SPACE, U, Words, chunks, mix
 THREE_PARTS_UP_TO = 256
 SALTS = 16
 SKETCH = 8
+#: Rounds, and best-linked sets a signature, before its members are compared pairwise.
+ROUNDS, CENTRES = 2, 3
 #: A table of needed sets is handed to every task up to this many rows (16 bytes each).
 BROADCAST_ROWS = 2_000_000
 
@@ -297,15 +299,29 @@ def join(docs: DataFrame, words: int = 5, t: Fraction = Fraction(4, 5), id_col:
     if not failed.isEmpty():
         members = shared.union(shared.select("sig", F.col("lo").alias("sid"), "lo"))
         open_sigs = members.join(failed.toDF("sid", "lo"), ["sid", "lo"]).select("sig").distinct()
-        found = members.join(open_sigs, "sig", "left_semi").select("sig", "sid").distinct()
-        side = stored(found.join(marks, "sid").join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "jaccard-members")
-        x, y = side.alias("x"), side.alias("y")
-        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.sid") > F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & _close(t))
-        pairs = pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-        pairs = stored(pairs.join(hopeful.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
-        if not pairs.isEmpty():
-            more = stored(verified(pairs, _texts(own, sets, pairs), words, t), "jaccard-more")
-            roots = components(links.union(more))
+        found = stored(members.join(open_sigs, "sig", "left_semi").select("sig", "sid").distinct(), "jaccard-open")
+        tested = hopeful.select("a", "b")
+
+        def compare(y_of) -> tuple[DataFrame, DataFrame]:
+            """Members of open signatures against ``y_of`` them, where components differ: (pairs tested, links)."""
+            degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("degree"))
+            side = found.join(marks, "sid").join(roots.toDF("sid", "root"), "sid", "left").join(degree, "sid", "left")
+            side = stored(side.withColumns({"root": F.coalesce("root", "sid"), "degree": F.coalesce("degree", F.lit(0))}), "jaccard-members")
+            x, y = side.alias("x"), y_of(side).alias("y")
+            met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & _close(t))
+            pairs = met.select(F.greatest("x.sid", "y.sid").alias("a"), F.least("x.sid", "y.sid").alias("b")).distinct()
+            pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+            return pairs, stored(verified(pairs, _texts(own, sets, pairs), words, t), "jaccard-more")
+
+        # a signature's best-linked sets first: they join most of a large group of near copies
+        best = Window.partitionBy("sig").orderBy(F.desc("degree"), "sid")
+        centres = lambda side: side.withColumn("place", F.row_number().over(best)).where(F.col("place") <= CENTRES).drop("place")
+        for y_of in (*[centres] * ROUNDS, lambda side: side):
+            pairs, more = compare(y_of)
+            if not more.isEmpty():
+                links = links.union(more)
+                roots = components(links)
+            tested = tested.union(pairs)
     placed = sets.select("did", "th", "n", "sid").join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = placed.where("n > 0").groupBy("root").agg(F.min("did").alias("component"))
     placed = placed.join(least, "root", "left")
