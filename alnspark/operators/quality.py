@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,36 +120,49 @@ def restore_strings(split: DataFrame) -> DataFrame:
     return split.select("aln_idx", "mode", "prefix", "coded", "suffix").mapInPandas(run, "aln_idx long, qual string")
 
 
-def leaders_of(qv: DataFrame, sample: int = 2_000, share: float = 0.05) -> DataFrame:
-    """(leader, qual): greedy leaders of the first ``sample`` strings, in order; the rare ones left out and the rest
-    numbered from 1.  Leaders depend on the order, so they are found on a bounded start of the data; assigning
-    strings to them (``d2``, ``assign``) is the distributed part."""
-    first = low_complexity(qv.orderBy("aln_idx").limit(sample)).where("NOT pile")
+def leaders_of(qv: DataFrame, sample: int = 200_001, share: float = 0.05) -> DataFrame:
+    """(leader, qual): greedy leaders of the first ``sample`` strings, in order; those that lead no more than ``share``
+    of all strings observed (pile included) are left out and the rest numbered from 1.
+
+    Leaders depend on the order, so one task finds them, from each distinct core with its count; assigning strings
+    to them (``d2``, ``assign``) is the distributed part.  Cores without a k-mer are observed but never near."""
+    first = low_complexity(qv.orderBy("aln_idx").limit(sample))
+    cores = split_strings(first.withColumn("qual", F.when(F.col("pile"), "").otherwise(F.col("qual"))))
+    core = F.when(F.length("core") >= K, F.col("core")).alias("qual")
+    distinct = cores.groupBy(core).agg(F.min("aln_idx").alias("at"), F.count("*").alias("n"))
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        made: list[list] = []
-        for qual, mode in pdf.sort_values("aln_idx")[["qual", "mode"]].itertuples(index=False):
-            core = trim(qual, mode)[1]
-            own = _profile(core)
-            for one in made:
-                if _distance(own, one[0]) < NEAR:
-                    one[1] += 1
-                    break
-            else:
-                made.append([own, 1, core])
-        kept = [m[2] for m in made if m[1] > share * len(pdf)]
-        return pd.DataFrame({"leader": range(1, len(kept) + 1), "qual": kept}).astype({"leader": "int32"})
-
-    return first.groupBy(F.lit("all")).applyInPandas(lead, "leader int, qual string")  # ``sample`` rows
-
-
-def _profile(text: str) -> dict[str, float]:
-    n = max(1, len(text) - K + 1)
-    out: dict[str, float] = {}
-    for i in range(len(text) - K + 1):
-        out[text[i : i + K]] = out.get(text[i : i + K], 0) + 1 / n
-    return out
-
-
-def _distance(a: dict[str, float], b: dict[str, float]) -> float:
-    return sum((a.get(k, 0) - b.get(k, 0)) ** 2 for k in a.keys() | b.keys())
+        least = share * pdf["n"].sum()
+        strings = pdf.dropna(subset=["qual"]).sort_values("at")
+        kept = greedy(strings["qual"].tolist(), strings["n"].to_numpy(), least)
+        return pd.DataFrame({"leader": range(1, len(kept) + 1), "qual": kept}).astype({"leader": "int32", "qual": "object"})
+
+    return distinct.groupBy(F.lit("all")).applyInPandas(lead, "leader int, qual string")  # ``sample`` rows at most
+
+
+def greedy(strings: list[str], n: np.ndarray, least: float) -> list[str]:
+    """Of distinct ``strings`` that occur ``n`` times, the leaders with more than ``least`` members: the first string
+    without a leader is one, and takes all later ones near it that no leader before has taken."""
+    lengths = np.array([len(s) for s in strings], np.int64)
+    _, text = np.unique(np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32), return_inverse=True)
+    owner = np.repeat(np.arange(len(strings)), lengths)
+    at = np.flatnonzero(owner[: len(owner) - K + 1] == owner[K - 1 :])
+    base = int(text.max(initial=0)) + 1
+    kmer = np.unique(sum(text[at + i].astype(np.int64) * base**i for i in range(K)), return_inverse=True)[1]
+    size = int(kmer.max(initial=0)) + 1
+    cells, counts = np.unique(owner[at] * size + kmer, return_counts=True)
+    # what is left: a string's k-mers lie together
+    row, kmer, total = cells // size, cells % size, (lengths - K + 1).astype(float)
+    own = np.bincount(row, counts * counts, len(strings)) / (total * total)
+    left, held, lead, kept = np.arange(len(strings)), np.bincount(row, minlength=len(strings)), np.zeros(size), []
+    while n[left].sum() > least:  # else no further leader can have enough members
+        one, k = left[0], kmer[: held[left[0]]]
+        lead[k] = counts[: len(k)]
+        dot = np.add.reduceat(lead[kmer] * counts, np.cumsum(held[left]) - held[left])
+        near = np.round(own[left] + own[one] - 2 * dot / (total[left] * total[one]), 9) < NEAR
+        lead[k] = 0
+        if n[left[near]].sum() > least:
+            kept.append(strings[one])
+        stay = np.repeat(~near, held[left])
+        left, kmer, counts = left[~near], kmer[stay], counts[stay]
+    return kept

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +124,52 @@ def test_mode_runs_round_trip():
         assert a + b + c == text and (not a or len(a) >= 8) and (not c or len(c) >= 8)
 
 
+def _greedy_by_hand(strings, share):
+    """Cores of the leaders with more than ``share`` of all strings, one string after another."""
+    made = []
+    for qual in strings:
+        weights = [(c, qual.count(chr(c + 32))) for c in range(90)]
+        mode, frequency = -1, 0
+        for c, n in weights:
+            if c * n >= frequency * 10:
+                mode, frequency = c, n
+        if frequency * 100 < len(qual) * 26:
+            continue
+        core = quality.trim(qual, chr(mode + 32))[1]
+        if len(core) < 4:
+            continue
+        own = Counter(core[i : i + 4] for i in range(len(core) - 3))
+        for one in made:
+            d2 = sum((own[k] / own.total() - one[0][k] / one[0].total()) ** 2 for k in own.keys() | one[0].keys())
+            if round(d2, 9) < 0.05:
+                one[1] += 1
+                break
+        else:
+            made.append([own, 1, core])
+    return [m[2] for m in made if m[1] > share * len(strings)]
+
+
+def _quality_strings():
+    rng = random.Random(6)
+    some = lambda n, chars: ["".join(rng.choice(chars) for _ in range(32)) for _ in range(n)]
+    mixed = some(1100, "IIIIIIIIIIIIHFDB") + some(900, "!#%+5:?@ABCDEFGH")  # the second kind goes to the pile, mostly
+    rng.shuffle(mixed)
+    # two kinds that begin after row 2,000; the last one has over 5 % of the strings outside the pile, but not of all
+    late = ["F" * 30 + rng.choice(["HH", "HF", "FH"]) for _ in range(400)] + ["5" * 29 + "HFH"] * 115
+    return mixed + late
+
+
+def test_leaders_equal_greedy_by_hand(spark):
+    strings = _quality_strings()
+    frame = spark.createDataFrame([(i * 3, q) for i, q in enumerate(strings)], "aln_idx long, qual string").repartition(5)
+    got = [r["qual"] for r in quality.leaders_of(frame).orderBy("leader").collect()]
+    assert got == _greedy_by_hand(strings, 0.05)
+    assert any(q.count("F") > 20 for q in got) and not any("5" * 20 in q for q in got)
+    assert [r["qual"] for r in quality.leaders_of(frame, sample=700).orderBy("leader").collect()] == _greedy_by_hand(strings[:700], 0.05)
+    assert quality.leaders_of(frame.limit(0)).isEmpty()
+    assert quality.leaders_of(frame.withColumn("qual", F.lit("!#%+5:?@ABCDEFGH"))).isEmpty()  # all in the pile
+
+
 def test_sam_round_trip(spark, tmp_path):
     header = "@HD\tVN:1.0\n@SQ\tSN:ref0\tLN:100\n@SQ\tSN:ref1\tLN:50\n"
     lines = ["r1\t0\tref0\t1\t60\t4M\t=\t11\t14\tACGT\tIIII\tMD:Z:4\tXS:i:3", "r2\t16\tref0\t5\t60\t4M\t*\t0\t0\tACNT\tIIII\tMD:Z:2G1", "r3\t0\tref1\t7\t9\t4M\tref0\t3\t0\tACGT\t!!!!\tMD:Z:4"]
