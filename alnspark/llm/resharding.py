@@ -13,8 +13,10 @@ rows; an empty table gives no rows.  Law ``rows``: counts of any two shards diff
 from __future__ import annotations
 
 import heapq
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alnspark.llm.common import ranked, stored
@@ -114,14 +116,41 @@ def reshard(rows: DataFrame, old: str, size: str, order: list[str], shards: int)
 
 
 def rewrite(docs: DataFrame, assigned: DataFrame, ids: list[str], path: str) -> list[int]:
-    """Write the texts of the shards that change to ``path``/shard=N; returns those shards.
-
-    ``assigned`` has ``ids``, ``old`` and ``shard``; the other shards' files stay as they are."""
+    """Write the rows of the shards that change to ``path``/shard=N; returns those shards.
+
+    ``assigned`` has ``ids``, ``old`` and ``shard``, a row for each of ``docs``; the other shards' files stay as they
+    are.  Rows are matched by ``ids`` and any further columns that both have, nulls being equal, and the k-th row of
+    a key takes its k-th place.  Where a key has different texts, its rows' old shards can't be told, so all shards
+    of the key are written if one is.  ``docs`` may lie in ``path``: rows are staged before a file is replaced, and
+    a shard that loses all rows ends without files."""
+    spark = docs.sparkSession
+    keys = [c for c in docs.columns if c in ids or c in assigned.columns and c != "shard"]
+    texts = [c for c in docs.columns if c not in (*keys, "shard")]
+    assigned = stored(assigned.select(*dict.fromkeys([*keys, "old", "shard"])), "reshard-places")
     moved = assigned.where("old <> shard")
-    changed = sorted({r[0] for r in moved.select("old").union(moved.select("shard")).distinct().collect()})  # shards, not rows
-    both = docs.join(assigned.where(F.col("shard").isin(changed)).select(*ids, "shard"), ids)
-    both.write.mode("overwrite").option("maxRecordsPerFile", 1_000_000).partitionBy("shard").parquet(path)
-    return changed
+    changed = {r[0] for r in moved.select("old").union(moved.select("shard")).distinct().collect()}  # shards, not rows
+    if not changed:
+        return []
+    same = lambda cols: reduce(and_, (F.col(f"x.`{c}`").eqNullSafe(F.col(f"y.`{c}`")) for c in cols))
+    digest = F.xxhash64(*texts) if texts else F.lit(0)
+    mixed = docs.groupBy(*keys).agg(F.min(digest).alias("_lo"), F.max(digest).alias("_hi")).where("_lo <> _hi")
+    places = assigned.alias("x").join(mixed.alias("y"), same(keys), "left_semi").withColumn("_at", F.explode(F.array("old", "shard")))
+    sets = places.groupBy(*keys).agg(F.sort_array(F.collect_set("_at")).alias("_at"))
+    linked = sets.select(F.col("_at")[0].alias("a"), F.explode("_at").alias("b")).distinct().collect()  # pairs of shards
+    while more := {s for a, b in linked if a in changed or b in changed for s in (a, b)} - changed:
+        changed |= more
+    nth = lambda df, *order: df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    x, y = nth(docs, digest).alias("x"), nth(assigned, "old", "shard").alias("y")
+    both = x.join(y, same([*keys, "_nth"])).where(F.col("y.shard").isin(changed))
+    staged = stored(both.select(*[F.col(f"x.`{c}`") for c in [*keys, *texts]], "y.shard"), "reshard-staged")
+    if staged.count() != assigned.where(F.col("shard").isin(changed)).count():
+        raise ValueError("docs and assigned don't have the same rows")
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 1_000_000).partitionBy("shard").parquet(path)
+    held = {r[0] for r in staged.select("shard").distinct().collect()}
+    for shard in changed - held:  # nothing was written there, so the old files would stay
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/shard={shard}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    return sorted(changed)
 
 
 def old_layout(source: Column, shards: int = OLD_SHARDS) -> Column:

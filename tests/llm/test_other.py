@@ -100,6 +100,29 @@ def test_rewrite_touches_changed_shards_only(spark):
     assert back.count() == placed.where(F.col("shard").isin(changed)).count()
 
 
+def test_rewrite_keeps_rows_and_other_shards(spark):
+    # shard 0 stays as it is, shard 1 loses all rows to shard 2, shard 3 has the only copies of two ids
+    rows = [(None, "a", 1, 2), (None, "a", 1, 2), (None, "b", 1, 2), (5, "c", 1, 2), (5, "d", 1, 2), (6, "e", 2, 2), (7, "f", 0, 0), (8, "g", 0, 0), (9, "h", 3, 2), (9, "i", 3, 3)]
+    placed = spark.createDataFrame(rows, "doc_id long, text string, old int, shard int")
+    path = shared_path(spark, "t")
+    placed.select("doc_id", "text", F.col("old").alias("shard")).write.partitionBy("shard").parquet(path)
+    files = lambda shard: sorted(f for f in spark.read.parquet(path).where(F.col("shard") == shard).inputFiles() if f"shard={shard}/" in f)
+    before = files(0)
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    assert resharding.rewrite(docs, placed.drop("text"), ["doc_id"], path) == [1, 2, 3]
+    back = [tuple(r) for r in spark.read.parquet(path).select("doc_id", "text", "shard").collect()]
+    key = lambda r: tuple(map(str, r))
+    assert sorted([r[:2] for r in back], key=key) == sorted([r[:2] for r in rows], key=key)
+    assert sorted([r[::2] for r in back], key=key) == sorted([(r[0], r[3]) for r in rows], key=key)
+    assert files(0) == before and not files(1)
+    # an id with different texts in a changed and an unchanged shard: neither is lost or doubled
+    rows = [(1, "a", 0, 0), (1, "b", 1, 2), (2, "c", 2, 2)]
+    placed, path = spark.createDataFrame(rows, "doc_id long, text string, old int, shard int"), shared_path(spark, "t")
+    placed.select("doc_id", "text", F.col("old").alias("shard")).write.partitionBy("shard").parquet(path)
+    assert resharding.rewrite(spark.read.parquet(path).select("doc_id", "text"), placed.drop("text"), ["doc_id"], path) == [0, 1, 2]
+    assert sorted(r["text"] for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+
+
 @pytest.mark.parametrize("rows", [fx.documents(), fx.with_null_ids(), []])
 def test_packing_is_whole(spark, rows):
     out = fx.pdf(packing.query(spark, fx.frame(spark, rows)))
