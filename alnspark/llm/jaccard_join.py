@@ -272,8 +272,9 @@ def _unjoined(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def join(docs: DataFrame, words: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: did, th, n (set size), component (least did reachable by links of ``t`` or more)."""
+def join(docs: DataFrame, words: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text", root: bool = False) -> DataFrame:
+    """Per row of ``docs``: did, th, n (set size), component (least did reachable by links of ``t`` or more), and with
+    ``root`` the component's set, which also tells components of one id apart."""
     own = keyed(docs, id_col, text_col)
     sets = stored(set_rows(own, words), "jaccard-sets")
     sigs = signature_rows(own, words, t).select("sid", "rep", F.explode("sigs").alias("sig"))
@@ -325,15 +326,23 @@ def join(docs: DataFrame, words: int = 5, t: Fraction = Fraction(4, 5), id_col:
     placed = sets.select("did", "th", "n", "sid").join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = placed.where("n > 0").groupBy("root").agg(F.min("did").alias("component"))
     placed = placed.join(least, "root", "left")
-    return placed.select("did", "th", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("did")).alias("component"))
+    return placed.select("did", "th", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("did")).alias("component"), *(["root"] if root else []))
 
 
 def keep_one(docs: DataFrame, words: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document is the least of its component, with their columns; of equal rows all stay."""
-    heads = join(docs, words, t, id_col, text_col).where("did = component").select(F.col("did").alias("_did"), F.col("th").alias("_th")).distinct()
+    """One row of ``docs`` for each component, with its columns: the least by id, nulls last, and text digest; of equal
+    rows any one.  Rows without words have no shingles and belong to no group: all stay."""
     did = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
     th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    return docs.join(heads, (did == F.col("_did")) & (th == F.col("_th")), "left_semi")
+    found = join(docs, words, t, id_col, text_col, root=True)
+    rows = found.where("n > 0").groupBy("root", "did", "th").agg(F.count("*").alias("rows"))
+    heads = rows.groupBy("root").agg(F.min(F.struct(F.col("did") == NO_ID, "did", "th", "rows")).alias("h")).select("h.did", "h.th", "h.rows")
+    bare = found.where("n = 0").select("did", "th", F.lit(1).cast("long").alias("rows")).distinct()
+    heads = stored(heads.union(bare).toDF("_did", "_th", "_rows"), "jaccard-heads")
+    kept = docs.withColumns({"_did": did, "_th": th}).join(heads, ["_did", "_th"])
+    # only heads with equal rows are shuffled by their texts
+    one = kept.where("_rows = 1").unionByName(kept.where("_rows > 1").dropDuplicates(["_did", "_th"]))
+    return one.select(*docs.columns)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

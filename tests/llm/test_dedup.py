@@ -80,6 +80,14 @@ def test_keep_one_keeps_a_document_of_each_group(spark):
     assert {r["doc_id"] for r in kept.collect()} == heads
 
 
+def test_keep_one_counts_rows(spark):
+    text = lambda tag, *ends: " ".join([*(f"{tag}{i}" for i in range(100)), *ends])
+    rows = [(None, text("a")), (None, text("a")), (None, text("a", "x")), (7, text("b")), (7, text("b", "x")), (8, text("b", "y")), (4, text("c")), (4, text("c")), (None, text("d")), (3, text("d", "x")), (7, text("e")), (None, ""), (None, None)]
+    docs = fx.frame(spark, [(i, t, None, None, 0, 0, 0.0, "") for i, t in rows])
+    kept = [(r["doc_id"], (r["text"] or "").split("0")[0]) for r in jaccard_join.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "a"), (7, "b"), (4, "c"), (3, "d"), (7, "e"), (None, ""), (None, "")], key=str)
+
+
 def test_line_index_is_reversible(spark):
     old = fx.frame(spark, [(i, f"alpha beta gamma delta {i % 2}\nother {i}", None, None, 0, 0, 0.0, "") for i in range(8)])
     new = fx.frame(spark, [(100 + i, "ALPHA beta gamma delta 1  \nnew line", None, None, 0, 0, 0.0, "") for i in range(3)])
