@@ -145,15 +145,18 @@ def test_packing_is_whole(spark, rows):
     assert out["sequence_id"].nunique() <= -(-out["length"].sum() // 2048) + 1
 
 
-def test_encoder_equals_the_tokenizer():
-    tok, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+def test_encoder_equals_the_tokenizer(spark):
+    vocabulary, ranks = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
+    tok, own = Tokenizer.from_file(vocabulary), packing.Encoder(vocabulary, ranks)
     rng = random.Random(4)
-    alphabet = "ab  \n\t'sll09é ß²½ª·中 ​ \u0085\x1c\x00“”—€!?.,_<|endoftext|>😀ŒŽ"
-    for _ in range(3000):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 24)))
-        assert np.frombuffer(own(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
-    for text in ("<|endoftext|>", "a<|endoftext|> b", "I'll  we've\r\n\r\n  x"):
-        assert np.frombuffer(own(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    alphabet = "ab  \n\t'sll09é ß²½ª·中 \u200b\u0085\xa0\u3000\x1c\x00“”—€!?.,_<|endoftext|>😀ŒŽ"
+    letters = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 24))) for _ in range(3000)]
+    ranges = [(0, 0x2FF), (0, 0xD7FF), (0xE000, 0x10FFFF)]
+    anything = ["".join(chr(rng.randint(*rng.choice(ranges))) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    special = ["<|endoftext|>", "a<|endoftext|> b", "I'll  we've\r\n\r\n  x", " " * 70_000, "\n" * 70_000 + "a", " " * (packing.MOST_SPACE - 1) + "a", "x" * 50_000, "a   " * 20_000]
+    real = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for text in [*letters, *anything, *special, *real]:
+        assert own(text).tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text[:80])
 
 
 def test_best_two_fit_replaces_the_smallest():
