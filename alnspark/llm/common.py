@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -22,11 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path below the folder that driver and executors share (``spark.checkpoint.dir``)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # only without a cluster's setting, as in tests
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(Path(tempfile.mkdtemp(prefix="spark-")).as_uri())
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:  # a session in one process, as in tests, may have a folder of its own
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(Path(tempfile.mkdtemp(prefix="spark-")).as_uri())
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
@@ -39,11 +40,33 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, folder: str) -> list[str]:
+    """The folders below ``folder`` that a Spark job has written to the end, in order of their names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = sorted(x.getPath().getName() for x in files.listStatus(path) if x.isDirectory())
+    return [f"{folder}/{n}" for n in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
 
-def slices(rows: pd.DataFrame, most: int = 1_000) -> Iterator[pd.DataFrame]:
-    """An Arrow batch in parts, so that what is made from it stays small."""
-    for lo in range(0, len(rows), most):
-        yield rows.iloc[lo : lo + most].reset_index(drop=True)
+
+def slices(batch, most: int = 1_000):
+    """An Arrow batch or a pandas frame in parts, so that what is made from it stays small."""
+    for lo in range(0, len(batch), most):
+        yield batch.iloc[lo : lo + most].reset_index(drop=True) if isinstance(batch, pd.DataFrame) else batch.slice(lo, most)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """``did`` and ``th`` of a row: its id without nulls, and the digest of its text."""
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,12 +74,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     ``(did, th)`` names a document's row: equal rows share it and get equal results, rows with one
     id and different texts are told apart."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("did"),
-        F.xxhash64(text).alias("th"),
-        text.alias("text"),
-    )
+    did, th = row_key(id_col, text_col)
+    return docs.select(did.alias("did"), th.alias("th"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
 def id_or_null(column: str = "did") -> Column:

@@ -13,7 +13,7 @@ from functools import cache
 import numpy as np
 
 U = np.uint64
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -119,6 +119,13 @@ def window_hash(values: np.ndarray, k: int, stream: int) -> np.ndarray:
     return out
 
 
+def group_starts(values: np.ndarray) -> np.ndarray:
+    """The first places of equal neighbours."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
 def running_min(values: np.ndarray, w: int) -> np.ndarray:
     """The least of ``w`` values from each place (of what is left, near the end), in log(w) steps."""
     out, span = values.copy(), 1
@@ -129,6 +136,11 @@ def running_min(values: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def running_max(values: np.ndarray, w: int) -> np.ndarray:
+    """The greatest of ``w`` values up to each place (of what there is, near the start)."""
+    return ~running_min(~values[::-1], w)[::-1]
+
+
 def chunks(texts: Iterable[str | None], most: int = 2 * BLOCK) -> Iterator[tuple[int, list[bytes]]]:
     """(number of the first text, texts as UTF-8) in groups of about ``most`` bytes; a longer text stands alone."""
     group: list[bytes] = []

@@ -88,24 +88,60 @@ def test_keep_one_counts_rows(spark):
     assert sorted(kept, key=str) == sorted([(None, "a"), (7, "b"), (4, "c"), (3, "d"), (7, "e"), (None, ""), (None, "")], key=str)
 
 
+def _filter_holds(index, keys):
+    """Which keys the index's filters know."""
+    made = {r["shard"]: line_dedup.Cuckoo(r["buckets"], bytes(r["cells"])) for r in index.filters().collect()}
+    return {bytes(r["key"]): r["shard"] in made and bool(made[r["shard"]].holds(line_dedup._words([r["key"]]))[0]) for r in index._sharded(keys).collect()}
+
+
 def test_line_index_is_reversible(spark):
-    old = fx.frame(spark, [(i, f"alpha beta gamma delta {i % 2}\nother {i}", None, None, 0, 0, 0.0, "") for i in range(8)])
+    old = fx.frame(spark, [(i, f"alpha beta gamma delta {i % 2}\nother {i}\nnumber {i // 3} of a long line", None, None, 0, 0, 0.0, "") for i in range(9)])
     new = fx.frame(spark, [(100 + i, "ALPHA beta gamma delta 1  \nnew line", None, None, 0, 0, 0.0, "") for i in range(3)])
-    index = line_dedup.LineIndex(spark, shared_path(spark, "t"), shards=3)
+    path = shared_path(spark, "t")
+    index = line_dedup.LineIndex(spark, path, shards=3)
     index.insert(old)
     before = fx.key([r.asDict() for r in index.counts().collect()])
+    keys = index.counts().select("key")
     index.insert(new)
-    counts = {r["n_docs"]: r["last_doc"] for r in index.counts().collect()}
-    assert counts == {4: 6, 7: 102}
+    counts = sorted((r["n_docs"], r["last_doc"]) for r in index.counts().collect())
+    assert counts == [(3, 2), (3, 5), (3, 8), (5, 8), (7, 102)]
     index.delete(new)
     assert fx.key([r.asDict() for r in index.counts().collect()]) == before
-    index.delete(old)
-    assert index.counts().count() == 0
-
-
-def test_exact_counts_without_filters(spark, monkeypatch):
+    index = line_dedup.LineIndex(spark, path)  # opened again
+    assert index.shards == 3 and len(index.batches) == 3
+    assert all(_filter_holds(index, keys).values())
+    index.delete(old.where("doc_id >= 6"))
+    assert sorted((r["n_docs"], r["last_doc"]) for r in index.counts().collect()) == [(3, 2), (3, 4), (3, 5), (3, 5)]
+    assert sum(_filter_holds(index, keys).values()) == 4  # the key that fell below the threshold left its filter
+    index.delete(old.where("doc_id < 6"))
+    assert index.counts().count() == 0 and not any(_filter_holds(index, keys).values())
+
+
+def test_deleting_first_counts_nothing(spark):
+    index = line_dedup.LineIndex(spark, shared_path(spark, "t"))
+    docs = fx.frame(spark, [(i, "a line that is long enough", None, None, 0, 0, 0.0, "") for i in range(5)])
+    index.delete(docs)
+    assert index.counts().isEmpty()
+    index.insert(docs)
+    assert index.counts().isEmpty()
+
+
+def test_a_full_filter_is_built_anew(spark):
+    text = lambda lo, hi: "\n".join(f"line number {i} of many lines" for i in range(lo, hi))
+    docs = lambda lo, hi: fx.frame(spark, [(i, text(lo, hi), None, None, 0, 0, 0.0, "") for i in range(3)])
+    index = line_dedup.LineIndex(spark, shared_path(spark, "t"), shards=1)
+    index.insert(docs(0, 50))
+    small = index.filters().first()["buckets"]
+    index.insert(docs(50, 900))
+    assert index.filters().first()["buckets"] > small and all(_filter_holds(index, index.counts()).values()) and index.counts().count() == 900
+
+
+@pytest.mark.parametrize("per_copy", [1_000_000, 3])
+def test_filters_dealt_by_shard(spark, monkeypatch, per_copy):
     rows = fx.documents()
     monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 1)
+    monkeypatch.setattr(line_dedup, "LINES_PER_COPY", per_copy)
     fx.same(line_dedup.query(spark, fx.frame(spark, rows)), fx.sql(line_dedup.SQL, documents=(rows, fx.DOCS)))
 
 
