@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alnspark.llm.common import NO_ID, id_or_null, keyed, stored
+from alnspark.llm.common import NO_ID, fresh, id_or_null, keyed, row_key, slices, stored
 from alnspark.llm.components import components
 from alnspark.llm.wordhash import NOT_SPACE, U, Words, chunks, mix
 
@@ -40,6 +40,7 @@ SALTS = 16
 SKETCH = 8
 #: Rounds, and best-linked sets a signature, before its members are compared pairwise.
 ROUNDS, CENTRES = 2, 3
+SIGNATURES = 500_000
 #: A table of needed sets is handed to every task up to this many rows (16 bytes each).
 BROADCAST_ROWS = 2_000_000
 
@@ -176,7 +177,7 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
     parities = [f"s{i}" for i in range(SKETCH)]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (part for whole in batches for part in slices(whole)):
             for begin, texts in chunks(pdf["text"]):
                 row, feature, size = shingle_sets(texts, words)
                 mark = sketches(row, feature, len(texts))
@@ -189,37 +190,46 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
 def signature_rows(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
     """(sid, rep, sigs): the signatures of each set.
 
-    Within a batch a signature keeps one row as its own, that of its least set, ``rep``; the other sets' rows
+    Within a batch (of about ``SIGNATURES`` at most) a signature keeps one row as its own, that of its least set, ``rep``; the other sets' rows
     name that ``rep``, so a very common signature has one row a batch that must meet others."""
     names = ["sid", "rep", "sigs"]
 
+    def gathered(sids: list[np.ndarray], sigs: list[np.ndarray]) -> pa.RecordBatch:
+        sid, sig = np.concatenate(sids), np.concatenate(sigs)
+        order = np.lexsort((sid, sig))
+        sid, sig = sid[order], sig[order]
+        head = np.ones(len(sig), bool)
+        head[1:] = sig[1:] != sig[:-1]
+        rep = sid[np.flatnonzero(head)][np.cumsum(head) - 1] if len(sig) else sid
+        new = head | np.concatenate([[True], sid[1:] != sid[:-1]])[: len(sig)]
+        sid, sig, rep = sid[new], sig[new], rep[new]
+        order = np.lexsort((rep, sid))
+        sid, sig, rep = sid[order], sig[order], rep[order]
+        edge = np.flatnonzero(np.concatenate([[True], (sid[1:] != sid[:-1]) | (rep[1:] != rep[:-1])])[: len(sid)])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(sid)).astype(np.int32)), pa.array(sig))
+        return pa.RecordBatch.from_arrays([pa.array(sid[edge]), pa.array(rep[edge]), lists], names)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(t)
         for batch in batches:
-            sids, sigs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for _, texts in chunks(batch.column("text").to_pylist()):
-                row, feature, size = shingle_sets(texts, words)
-                sid = _set_ids(row, feature, size)
-                _, once = np.unique(sid, return_index=True)
-                first = np.zeros(len(sid), bool)
-                first[once] = True
-                keep = first[row]
-                r, v = bands.signatures(row[keep], feature[keep], np.where(first, size, 0))
-                sids.append(sid[r])
-                sigs.append(v.view(np.int64))
-            sid, sig = np.concatenate(sids), np.concatenate(sigs)
-            order = np.lexsort((sid, sig))
-            sid, sig = sid[order], sig[order]
-            head = np.ones(len(sig), bool)
-            head[1:] = sig[1:] != sig[:-1]
-            rep = sid[np.flatnonzero(head)][np.cumsum(head) - 1] if len(sig) else sid
-            new = head | np.concatenate([[True], sid[1:] != sid[:-1]])[: len(sig)]
-            sid, sig, rep = sid[new], sig[new], rep[new]
-            order = np.lexsort((rep, sid))
-            sid, sig, rep = sid[order], sig[order], rep[order]
-            edge = np.flatnonzero(np.concatenate([[True], (sid[1:] != sid[:-1]) | (rep[1:] != rep[:-1])])[: len(sid)])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(sid)).astype(np.int32)), pa.array(sig))
-            yield pa.RecordBatch.from_arrays([pa.array(sid[edge]), pa.array(rep[edge]), lists], names)
+            sids, sigs, held = [], [], 0
+            for part in slices(batch):
+                for _, texts in chunks(part.column("text").to_pylist()):
+                    row, feature, size = shingle_sets(texts, words)
+                    sid = _set_ids(row, feature, size)
+                    _, once = np.unique(sid, return_index=True)
+                    first = np.zeros(len(sid), bool)
+                    first[once] = True
+                    keep = first[row]
+                    r, v = bands.signatures(row[keep], feature[keep], np.where(first, size, 0))
+                    sids.append(sid[r])
+                    sigs.append(v.view(np.int64))
+                    held += len(r)
+                    if held > SIGNATURES:
+                        yield gathered(sids, sigs)
+                        sids, sigs, held = [], [], 0
+            if held:
+                yield gathered(sids, sigs)
 
     return docs.select("text").mapInArrow(cut, "sid long, rep long, sigs array<long>")
 
@@ -242,7 +252,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> Dat
     num, den = t.numerator, t.denominator
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (part for whole in batches for part in slices(whole)):
             keep = []
             for x, y in zip(pdf["text_a"], pdf["text_b"]):
                 row, feature, size = shingle_sets([x.encode(), y.encode()], words)
@@ -323,8 +333,9 @@ def join(docs: DataFrame, words: int = 5, t: Fraction = Fraction(4, 5), id_col:
                 links = links.union(more)
                 roots = components(links)
             tested = tested.union(pairs)
-    placed = sets.select("did", "th", "n", "sid").join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = placed.where("n > 0").groupBy("root").agg(F.min("did").alias("component"))
+    # written apart: a grouping above a join would keep Spark from splitting a giant component's rows
+    placed = stored(sets.select("did", "th", "n", "sid").join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "jaccard-placed")
+    least = stored(placed.where("n > 0").groupBy("root").agg(F.min("did").alias("component")), "jaccard-least")
     placed = placed.join(least, "root", "left")
     return placed.select("did", "th", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("did")).alias("component"), *(["root"] if root else []))
 
@@ -332,17 +343,16 @@ def join(docs: DataFrame, words: int = 5, t: Fraction = Fraction(4, 5), id_col:
 def keep_one(docs: DataFrame, words: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component, with its columns: the least by id, nulls last, and text digest; of equal
     rows any one.  Rows without words have no shingles and belong to no group: all stay."""
-    did = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
-    th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    did, th, equal = (fresh(docs, c) for c in ("did", "th", "equal"))
     found = join(docs, words, t, id_col, text_col, root=True)
     rows = found.where("n > 0").groupBy("root", "did", "th").agg(F.count("*").alias("rows"))
     heads = rows.groupBy("root").agg(F.min(F.struct(F.col("did") == NO_ID, "did", "th", "rows")).alias("h")).select("h.did", "h.th", "h.rows")
     bare = found.where("n = 0").select("did", "th", F.lit(1).cast("long").alias("rows")).distinct()
-    heads = stored(heads.union(bare).toDF("_did", "_th", "_rows"), "jaccard-heads")
-    kept = docs.withColumns({"_did": did, "_th": th}).join(heads, ["_did", "_th"])
+    heads = stored(heads.union(bare).toDF(did, th, equal), "jaccard-heads")
+    kept = docs.withColumns(dict(zip((did, th), row_key(id_col, text_col)))).join(heads, [did, th])
     # only heads with equal rows are shuffled by their texts
-    one = kept.where("_rows = 1").unionByName(kept.where("_rows > 1").dropDuplicates(["_did", "_th"]))
-    return one.select(*docs.columns)
+    one = kept.where(F.col(equal) == 1).unionByName(kept.where(F.col(equal) > 1).dropDuplicates([did, th]))
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

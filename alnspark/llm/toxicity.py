@@ -14,6 +14,7 @@ labels every score is the share of label 1 (or 0).
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +43,22 @@ IDENTITY_TERMS = {
     "religion_es": ["cristiano", "musulmán", "judío", "ateo"],
     "gender_es": ["hombre", "mujer", "hombres", "mujeres"],
 }
-SWAP = {t: kind[(i + 1) % len(kind)] for kind in IDENTITY_TERMS.values() for i, t in enumerate(kind)}
-_TERM = re.compile(r"\b(" + "|".join(sorted(map(re.escape, SWAP), key=len, reverse=True)) + r")\b", re.IGNORECASE)
+KINDS = {t: [k for k, kind in IDENTITY_TERMS.items() if t in kind] for kind in IDENTITY_TERMS.values() for t in kind}
+_TERM = re.compile(r"\b(" + "|".join(sorted(map(re.escape, KINDS), key=len, reverse=True)) + r")\b", re.IGNORECASE)
 
 
 def swapped(text: str) -> str:
-    return _TERM.sub(lambda m: SWAP[m[0].lower()], text)
+    """``text`` with each identity term exchanged within its kind; a term of several kinds is of the language that
+    the text's terms are of most often, the first of them on ties."""
+    language = lambda kind: kind.rsplit("_", 1)[1]
+    seen = Counter(language(kind) for t in _TERM.findall(text) for kind in KINDS[t.lower()])
+
+    def other(match: re.Match) -> str:
+        term = match[0].lower()
+        kind = IDENTITY_TERMS[max(KINDS[term], key=lambda k: seen[language(k)])]
+        return kind[(kind.index(term) + 1) % len(kind)]
+
+    return _TERM.sub(other, text)
 
 
 def features(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -152,8 +163,8 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray | None]], kept: int = KEPT,
     return Model(float(b), keep, w)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``; a column of that name is replaced."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with a column ``out``; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -161,7 +172,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for texts in parts:
             yield pd.Series(np.concatenate([shared.value.scores(group) for _, group in chunks(texts)]) if len(texts) else [], dtype=float)
 
-    return docs.withColumn("score", rate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    return docs.withColumn(out, rate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
