@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alnspark.llm.common import table
+from alnspark.llm.common import slices, stored, table
 from alnspark.llm.wordhash import LETTERS, Words, chunks
 
 SAMPLE, KEPT, BITS, THRESHOLD = 12_000, 6_000, 22, 0.7
@@ -74,23 +75,50 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "utf-8")) % 3 == 1, F.lit(False))
 
 
-def training_set(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[int, np.ndarray, np.ndarray | None]]:
-    """(label, features, features with identity terms swapped or None) of at most ``sample`` documents."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def training_set(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, toxic, marks, other) of at most ``sample`` documents: their features, and those with identity terms
+    swapped, or null where there are none."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")  # ``sample`` rows at most
     rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def marks(text: str) -> bytes:
-            return np.unique(features([text.encode()])[1]).astype(np.int32).tobytes()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def marks(text: str) -> np.ndarray:
+            return np.unique(features([text.encode()])[1]).astype(np.int32)
 
-        for pdf in batches:
-            other = [marks(swapped(t)) if _TERM.search(t) else None for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "marks": [marks(t) for t in pdf["text"]], "other": other})
+        for part in (part for batch in batches for part in slices(batch, 200)):
+            texts = part.column("text").to_pylist()
+            other = [marks(swapped(t)) if _TERM.search(t) else None for t in texts]
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (list(map(marks, texts)), other)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *lists], ["doc_id", "toxic", "marks", "other"])
 
-    out = rows.mapInPandas(cut, "doc_id long, toxic int, marks binary, other binary").collect()
-    return [(int(r["toxic"]), np.frombuffer(r["marks"], np.int32), None if r["other"] is None else np.frombuffer(r["other"], np.int32)) for r in sorted(out, key=lambda r: r["doc_id"])]
+    return rows.mapInArrow(cut, "doc_id long, toxic int, marks array<int>, other array<int>")
+
+
+def telling(rows: DataFrame, n0: int, n1: int, kept: int = KEPT) -> np.ndarray:
+    """The ``kept`` features that tell most: seen often enough, and on one side."""
+    seen = rows.select("toxic", F.explode("marks").alias("mark")).groupBy("mark").agg(F.sum("toxic").alias("on"), F.sum(1 - F.col("toxic")).alias("off"))
+    odds = F.log((F.col("on") + 0.5) / (n1 + 1)) - F.log((F.col("off") + 0.5) / (n0 + 1))
+    worth = F.abs(odds) * F.sqrt(F.col("on") + F.col("off"))
+    best = seen.where((F.col("on") + F.col("off") >= 3) & (F.abs(odds) >= 1)).orderBy(F.round(worth, 9).desc(), "mark").limit(kept)
+    return np.sort(np.array([r["mark"] for r in best.select("mark").collect()], np.int64))
+
+
+def examples(rows: DataFrame, kept: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray | None]]:
+    """(label, places of its features among the kept, those of its swapped twin or None) of each row; ``SAMPLE`` at most."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def at(marks) -> bytes:
+            return np.flatnonzero(np.isin(kept, marks, assume_unique=True)).astype(np.uint16).tobytes()
+
+        for batch in batches:
+            both = [[None if x is None else at(np.array(x, np.int64)) for x in batch.column(c).to_pylist()] for c in ("marks", "other")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array(x, pa.binary()) for x in both)], ["doc_id", "toxic", "marks", "other"])
+
+    found = rows.mapInArrow(place, "doc_id long, toxic int, marks binary, other binary").collect()
+    read = lambda x: None if x is None else np.frombuffer(bytes(x), np.uint16)
+    return [(int(r["toxic"]), read(r["marks"]), read(r["other"])) for r in sorted(found, key=lambda r: r["doc_id"])]
 
 
 class Model:
@@ -112,31 +140,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -50, 50)))
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray | None]], kept: int = KEPT, penalty: float = 4.0, ridge: float = 2e-4, steps: int = 400) -> Model:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray | None]], kept: np.ndarray, penalty: float = 4.0, ridge: float = 2e-4, steps: int = 400) -> Model:
     y = np.array([r[0] for r in rows], float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros(0, np.int64), np.zeros(0))
-    size = 1 << BITS
-    df = [np.zeros(size, np.float32), np.zeros(size, np.float32)]
-    for label, marks, _ in rows:
-        df[label][marks] += 1
-    n1, n0 = y.sum(), len(y) - y.sum()
-    odds = np.log((df[1] + 0.5) / (n1 + 1)) - np.log((df[0] + 0.5) / (n0 + 1))
-    worth = np.abs(odds) * np.sqrt(df[1] + df[0])  # seen often enough, and on one side
-    worth[(df[1] + df[0] < 3) | (np.abs(odds) < 1)] = 0
-    order = np.argsort(-worth, kind="stable")[:kept]
-    keep = np.sort(order[worth[order] > 0]).astype(np.int64)
+    n1, n0, keep = y.sum(), len(y) - y.sum(), kept
 
     def matrix(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        row, col = [], []
-        for i, marks in enumerate(sets):
-            at = np.searchsorted(keep, marks)
-            at[at == len(keep)] = 0
-            here = at[keep[at] == marks] if len(keep) else at[:0]
-            row.append(np.full(len(here), i))
-            col.append(here)
-        return (np.concatenate(row), np.concatenate(col)) if row else (np.zeros(0, int), np.zeros(0, int))
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        return row, np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
 
     pairs = [i for i, r in enumerate(rows) if r[2] is not None]
     main, twin = matrix([r[1] for r in rows]), matrix([rows[i][2] for i in pairs])
@@ -175,8 +188,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     return docs.withColumn(out, rate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(training_set(docs, labels))
+def train(docs: DataFrame, labels: DataFrame, penalty: float = 4.0) -> Model:
+    """The features are chosen by Spark; the driver fits weights of ``KEPT`` features on ``SAMPLE`` rows at most."""
+    rows = stored(training_set(docs, labels), "toxicity-rows")
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}  # two labels
+    kept = telling(rows, n.get(0, 0), n.get(1, 0)) if len(n) > 1 else np.zeros(0, np.int64)
+    return fit(examples(rows, kept), kept, penalty)
 
 
 def query(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

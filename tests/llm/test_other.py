@@ -247,17 +247,31 @@ def test_toxicity_on_held_out_documents(spark, tmp_path):
     assert np.mean(right) > 0.97
 
 
-def test_counterfactual_penalty_levels_identity_terms():
+def test_counterfactual_penalty_levels_identity_terms(spark):
     docs, labels = _toxic_tables()
-    def marks(t):
-        return np.unique(toxicity.features([t.encode()])[1]).astype(np.int32)
-    rows = [(y, marks(t), marks(toxicity.swapped(t)) if "muslim" in t else None) for (_, t), (_, _, y) in zip(docs, labels)]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     gap = {}
-    for penalty in (0.0, 200.0):
-        model = toxicity.fit(rows, penalty=penalty)
-        a, b = model.scores([b"tree river muslim", b"tree river jewish"])
+    for penalty in (0.0, 4.0):  # the query's own
+        a, b = toxicity.train(docs, labels, penalty).scores([b"tree river muslim", b"tree river jewish"])
         gap[penalty] = abs(a - b)
-    assert gap[200.0] <= gap[0.0]
+    assert gap[4.0] < 0.8 * gap[0.0]
+
+
+def test_swaps_stay_within_a_kind():
+    assert toxicity.swapped("an Atheist") == "an christian"
+    assert toxicity.swapped("ein Mann, Atheist") == "ein frau, christ"
+    assert toxicity.swapped("no such term") == "no such term"
+
+
+def test_toxicity_hard_cases(spark):
+    docs, labels = _toxic_tables()
+    docs = [(i, t, 9.5, "x") for i, t in docs] + [(1, "nasty nasty", 9.5, "x"), (1, "nasty nasty", 9.5, "x"), (None, "vile", None, None), (7000, "nasty " * 200_000, 1.0, "y")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, score double, prediction string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    out = toxicity.score(docs, model, out="rate").collect()
+    assert len(out) == 904 and {r["score"] for r in out} == {9.5, None, 1.0}
+    rates = {r["doc_id"]: r["rate"] for r in out}
+    assert rates[7000] > 0.7 and rates[None] > 0.7
 
 
 def test_toxicity_without_labels(spark):
