@@ -25,9 +25,9 @@ def swaps_strand(seq: Column, k: int = 12) -> Column:
     return F.coalesce(minimizer(reverse_complement(seq), k) < minimizer(seq, k), F.lit(False))
 
 
-def canonical(seq: Column, k: int = 12) -> Column:
-    """The strand whose minimizer is smaller."""
-    return F.when(swaps_strand(seq, k), reverse_complement(seq)).otherwise(seq)
+def on_strand(value: Column, swapped: Column, turned: Column) -> Column:
+    """``turned`` where the strand is swapped.  Compute ``swapped`` once, for all that turns with it."""
+    return F.when(swapped, turned).otherwise(value)
 
 
 def insert_code(base: Column) -> Column:
@@ -69,15 +69,22 @@ def quality_by_strand(qual: Column, flag: Column) -> Column:
 
 def weighted_mode(qual: Column) -> Column:
     """struct(mode, frequency): going up the alphabet, a character replaces the held one when its weight
-    (a tenth of its value times its frequency) reaches the held one's frequency."""
-    chars = F.split(qual, "")
-    def step(acc, code):
-        n = F.size(F.filter(chars, lambda c: F.ascii(c) == code + 32))
-        # whole numbers keep the comparison exact
-        return F.when(code * n >= acc["f"] * 10, F.struct(code.alias("m"), n.alias("f"))).otherwise(acc)
-    start = F.struct(F.lit(-1).alias("m"), F.lit(0).alias("f"))
-    best = F.aggregate(F.sequence(F.lit(0), F.lit(89)), start, step)
-    return F.struct(F.char(best["m"] + 32).alias("mode"), best["f"].alias("frequency"))
+    (a tenth of its value times its frequency) reaches the held one's frequency.
+
+    One fold over the sorted characters; a run of equal ones is weighed when the next begins."""
+    codes = F.array_sort(F.transform(F.split(qual, ""), lambda c: F.ascii(c) - 32))
+
+    def weighed(a: Column) -> tuple[Column, Column]:
+        wins = a["c"].between(0, 89) & (a["c"] * a["n"] >= a["f"] * 10)  # whole numbers keep the comparison exact
+        return F.when(wins, a["c"]).otherwise(a["m"]).alias("m"), F.when(wins, a["n"]).otherwise(a["f"]).alias("f")
+
+    def step(a: Column, c: Column) -> Column:
+        m, f = weighed(a)
+        return F.when(a["c"] == c, F.struct(a["c"].alias("c"), (a["n"] + 1).alias("n"), a["m"].alias("m"), a["f"].alias("f"))).otherwise(F.struct(c.alias("c"), F.lit(1).alias("n"), m, f))
+
+    start = F.struct(F.lit(-99).alias("c"), F.lit(0).alias("n"), F.lit(89).alias("m"), F.lit(0).alias("f"))
+    best = F.aggregate(codes, start, step, lambda a: F.struct(*weighed(a)))
+    return F.transform(F.array(best), lambda b: F.struct(F.char(b["m"] + 32).alias("mode"), b["f"].alias("frequency")))[0]
 
 
 def splice_bytes(length: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 ALIGNMENTS = (
     "aln_idx long, qname string, flag int, ref_id int, pos int, mapq int, cigar string, rnext int, pnext int, "
-    "tlen int, seq string, qual string, md string, opt map<string,string>"
+    "tlen int, seq string, qual string, md string, opt array<struct<tag:string,type:string,value:string>>"
 )
 REFERENCES = "ref_id int, name string, length long, seq string"
 

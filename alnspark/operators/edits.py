@@ -19,6 +19,11 @@ def cigar_ops(aln: DataFrame) -> DataFrame:
     return one.select("*", moved(READ_OPS).alias("read_at"), moved(REF_OPS).alias("ref_at"))
 
 
+def is_mismatch(code: Column) -> Column:
+    """Whether an edit's code is a base, so that it replaces one."""
+    return code.isin("A", "C", "G", "T", "N")
+
+
 def has_edits(cigar: Column) -> Column:
     return cigar.rlike("[IDNSH]")
 
@@ -57,9 +62,9 @@ def deltas(edits: DataFrame) -> DataFrame:
     return edits.withColumn("delta", F.col("at") - F.coalesce(F.lag("at").over(before), F.lit(0)))
 
 
-def indel_runs(ops: DataFrame) -> DataFrame:
-    """(aln_idx, run, op, at, len): one row for neighbouring inserted or deleted bases (aln_idx, ord, op, at)."""
-    own = Window.partitionBy("aln_idx").orderBy("ord")
+def indel_runs(ops: DataFrame, order: list[str]) -> DataFrame:
+    """(aln_idx, run, op, at, len): one row for neighbouring inserted or deleted bases (aln_idx, op, at and ``order``)."""
+    own = Window.partitionBy("aln_idx").orderBy(*order)
     new = (F.col("op") != F.coalesce(F.lag("op").over(own), F.lit(""))) | (F.col("at") != F.coalesce(F.lag("at").over(own), F.lit(-1)))
     runs = ops.withColumn("_new", new.cast("int")).withColumn("run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy("aln_idx", "run", "op", "at").agg(F.count("*").alias("len")).select("aln_idx", F.col("run").cast("int").alias("run"), "op", "at", "len")
@@ -70,8 +75,8 @@ def soft_clips(aln: DataFrame) -> DataFrame:
     left = F.regexp_extract("cigar", r"^(?:\d+H)?(\d+)S", 1)
     right = F.regexp_extract("cigar", r"[MIDNPX=](\d+)S(?:\d+H)?$", 1)
     return aln.withColumns({
-        "left_clip": F.when(left != "", F.substring(F.col("seq"), F.lit(1), F.try_to_number(left, F.lit("9999")).cast("int"))),
-        "right_clip": F.when(right != "", F.substring(F.col("seq"), F.length("seq") - F.try_to_number(right, F.lit("9999")).cast("int") + 1, F.try_to_number(right, F.lit("9999")).cast("int"))),
+        "left_clip": F.when(left != "", F.left(F.col("seq"), left.try_cast("int"))),
+        "right_clip": F.when(right != "", F.right(F.col("seq"), right.try_cast("int"))),
     })
 
 

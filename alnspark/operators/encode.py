@@ -39,7 +39,7 @@ def encode_flags(aln: DataFrame) -> DataFrame:
     """(aln_idx, flag, mapq, rnext codes, pnext, pnext - tlen)."""
     out = aln
     for c in ("flag", "mapq", "rnext"):
-        out = out.join(F.broadcast(first_seen(aln, c).select(F.col("value").alias(c), F.col("code").alias(f"{c}_code"))), c)
+        out = out.join(first_seen(aln, c).select(F.col("value").alias(c), F.col("code").alias(f"{c}_code")), c)
     return out.select("aln_idx", "flag_code", "mapq_code", "rnext_code", "pnext", (F.col("pnext") - F.col("tlen")).alias("pnext_tlen"))
 
 
@@ -47,7 +47,7 @@ def decode_flags(codes: DataFrame, dictionaries: dict[str, DataFrame]) -> DataFr
     """The way back; a code that its dictionary lacks stays."""
     out = codes
     for c, words in dictionaries.items():
-        look = F.broadcast(words.select(F.col("code").alias(f"{c}_code"), F.col("value").alias(c)))
+        look = words.select(F.col("code").alias(f"{c}_code"), F.col("value").alias(c))
         out = out.join(look, f"{c}_code", "left").withColumn(c, F.coalesce(c, f"{c}_code"))
     return out.select("aln_idx", *dictionaries, "pnext", (F.col("pnext") - F.col("pnext_tlen")).alias("tlen"))
 
@@ -60,6 +60,26 @@ def zip_streams(*streams: DataFrame) -> DataFrame:
     return out
 
 
+def sync_edits(flags: DataFrame, lists: DataFrame, blocks: DataFrame, target: int) -> DataFrame:
+    """Bring the flags (aln_idx, present) and the edit lists to one alignment, and zip them from there.
+
+    ``blocks`` has aln_before of each block of lists, ``lists`` block and n, counted from 1 in its block.  The last
+    block that begins at ``target`` or before is read; flags before its first alignment are skipped."""
+    start = blocks.where(F.col("aln_before") <= target).agg(F.max(F.struct("aln_before", "block")).alias("s")).select("s.*")
+    own = flags.join(F.broadcast(start.select("aln_before")), F.col("aln_idx") >= F.col("aln_before")).drop("aln_before")  # one row
+    stop = F.broadcast(blocks.join(F.broadcast(start.select(F.col("aln_before").alias("_from"))), F.col("aln_before") > F.col("_from")).agg(F.min("aln_before").alias("_stop")))
+    own = own.join(stop).where(F.col("_stop").isNull() | (F.col("aln_idx") < F.col("_stop"))).drop("_stop")
+    return zip_sparse(own, lists.join(F.broadcast(start.select("block")), "block").drop("block"))
+
+
+def sync_streams(offsets: DataFrame, edits: DataFrame, off_start: int, edit_start: int, ref_id: int, coord: int) -> DataFrame:
+    """Two streams by ordinal ``n`` whose blocks begin at different ordinals: both from the later beginning on, and
+    there from the first alignment that reaches ``ref_id`` and ``coord``."""
+    begun = offsets.where(F.col("n") >= max(off_start, edit_start))
+    first = begun.where((F.col("ref_id") >= ref_id) & (F.col("pos") >= coord)).agg(F.min("n").alias("_first"))
+    return begun.join(F.broadcast(first), F.col("n") >= F.col("_first")).drop("_first").join(edits, "n", "left")  # one row
+
+
 def zip_sparse(flags: DataFrame, lists: DataFrame) -> DataFrame:
     """Give the n-th row whose ``present`` is set the n-th list (n from 1)."""
     n = ordered.running_sum(flags, [], ["aln_idx"], F.col("present").cast("long"), "n", 1 << 16)

@@ -49,5 +49,5 @@ def shown_quality(aln: DataFrame) -> DataFrame:
 
 
 def keep_tags(opt: Column) -> Column:
-    """Optional tags but MD, NM and those that begin with X."""
-    return F.map_filter(opt, lambda k, v: ~k.isin("MD", "NM") & ~k.startswith("X"))
+    """Optional tags, structs with ``tag``, but MD, NM and those that begin with X."""
+    return F.filter(opt, lambda t: ~t["tag"].isin("MD", "NM") & ~t["tag"].startswith("X"))

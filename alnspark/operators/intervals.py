@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alnspark.operators import ordered
@@ -44,14 +44,13 @@ def block_spans(aln: DataFrame, rows: int) -> DataFrame:
     )
 
 
-def seek(targets: DataFrame, blocks: DataFrame) -> DataFrame:
-    """For each ``target``: the last block with fewer alignments before it.  An as-of join by one sorted pass."""
+def seek(targets: DataFrame, blocks: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """For each ``target``: the last block with fewer alignments before it.  An as-of join by one ordered pass."""
     both = targets.select(F.col("target").alias("at"), F.lit(None).cast("long").alias("block"), F.lit(0).alias("side")).union(
         blocks.select(F.col("aln_before").alias("at"), "block", F.lit(1).alias("side"))
     )
-    # a block at the target itself sorts after it; blocks are far fewer than alignments
-    last = F.last("block", ignorenulls=True).over(Window.orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("block", last).where("side = 0").select(F.col("at").alias("target"), "block")
+    # a block at the target itself sorts after it
+    return ordered.latest(both, [], ["at", "side"], "block", "found", width).where("side = 0").select(F.col("at").alias("target"), F.col("found").alias("block"))
 
 
 def split_by_reference(blocks: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -1,30 +1,56 @@
 """Order-dependent operators without one task a partition key.
 
 The rows of a key (say, a chromosome) are cut into blocks along the order; a block is an ordinary window,
-and what it needs from the blocks before comes from one summary row a block."""
+and what it needs from the blocks before comes from one summary row a block.  Blocks are spans of the first
+order column; a span with very many rows is cut at each value, and a value with very many rows (a deep position)
+along the second order column."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a block, beyond which it is cut further.
+ROWS = 1_000_000
 
-def _blocked(df: DataFrame, axis: str, width: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(axis) / width))
+
+def _blocked(df: DataFrame, key: list[str], order: list[str], width: int) -> DataFrame:
+    df = df.withColumn("_bin", F.floor(F.col(order[0]) / width))
+    # both tables have a row for every ROWS rows at most
+    full = df.groupBy(*key, "_bin").agg(F.count("*").alias("_n")).where(F.col("_n") > ROWS).drop("_n").withColumn("_full", F.lit(True))
+    df = df.join(F.broadcast(full), [*key, "_bin"], "left").withColumn("_value", F.when(F.col("_full"), F.col(order[0])).cast("long"))
+    part = F.lit(0).cast("long")
+    if len(order) > 1:
+        second = F.col(order[1]).cast("long")
+        deep = df.where("_full").groupBy(*key, "_value").agg(F.count("*").alias("_n"), F.min(second).alias("_lo"), F.max(second).alias("_hi")).where(F.col("_n") > ROWS)
+        df = df.join(F.broadcast(deep), [*key, "_value"], "left")
+        part = F.coalesce(F.floor((second - F.col("_lo")) / ((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / ROWS))), part)
+    return df.withColumn("_block", F.struct("_bin", F.coalesce("_value", F.lit(0)).alias("value"), part.alias("part"))).drop("_bin", "_full", "_value", "_n", "_lo", "_hi")
 
 
 def previous(df: DataFrame, key: list[str], order: list[str], value: str, out: str, width: int) -> DataFrame:
-    """Add ``out``: ``value`` of the row before in ``key``, by ``order``; blocks are ``width`` of the first order column."""
-    df = _blocked(df, order[0], width)
+    """Add ``out``: ``value`` of the row before in ``key``, by ``order``; blocks are ``width`` of the first order column, or less."""
+    df = _blocked(df, key, order, width)
     ends = df.groupBy(*key, "_block").agg(F.max(F.struct(*order, F.col(value).alias("_v")))["_v"].alias("_end"))
     carry = ends.withColumn("_carry", F.lag("_end").over(Window.partitionBy(*key).orderBy("_block"))).drop("_end")
     here = F.lag(value).over(Window.partitionBy(*key, "_block").orderBy(*order))
     return df.withColumn(out, here).join(carry, [*key, "_block"]).withColumn(out, F.coalesce(out, "_carry")).drop("_block", "_carry")
 
 
+def latest(df: DataFrame, key: list[str], order: list[str], value: str, out: str, width: int) -> DataFrame:
+    """Add ``out``: the last ``value`` up to and with the row that is not null."""
+    df = _blocked(df, key, order, width)
+    ends = df.where(F.col(value).isNotNull()).groupBy(*key, "_block").agg(F.max(F.struct(*order, F.col(value).alias("_v")))["_v"].alias("_end"))
+    before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    every = df.select(*key, "_block").distinct().join(ends, [*key, "_block"], "left")
+    carry = every.withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    here = F.last(value, ignorenulls=True).over(Window.partitionBy(*key, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn(out, here).join(carry, [*key, "_block"]).withColumn(out, F.coalesce(out, "_carry")).drop("_block", "_carry")
+
+
 def running_sum(df: DataFrame, key: list[str], order: list[str], value: Column, out: str, width: int) -> DataFrame:
     """Add ``out``: the sum of ``value`` up to and with the row."""
-    df = _blocked(df, order[0], width).withColumn("_x", value)
+    df = _blocked(df, key, order, width).withColumn("_x", value)
     sums = df.groupBy(*key, "_block").agg(F.sum("_x").alias("_sum"))
     upto = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.withColumn("_carry", F.coalesce(F.sum("_sum").over(upto), F.lit(0))).drop("_sum")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alnspark.functions.sequence import kmers, weighted_mode
+from alnspark.operators import ordered
 
 K, NEAR, LOW = 4, 0.05, 0.26
 
@@ -51,73 +50,62 @@ def abundant(members: DataFrame, share: float = 0.05) -> DataFrame:
     return counts.withColumn("_all", F.sum("n").over(Window.partitionBy())).where(F.col("n") > share * F.col("_all")).drop("_all")
 
 
-def trim(qual: str, mode: str, least: int = 8) -> tuple[str, str, str]:
-    """(prefix, core, suffix): the ends up to the first and last of two neighbours with the mode, if ``least`` or longer."""
-    n = len(qual)
-    hits = [i for i in range(n - 1) if mode in qual[i : i + 2]]
-    head = hits[0] + 1 if hits else max(0, n - 1)
-    tail = n - 1
-    while tail > head + 1 and qual[tail] != mode and qual[tail - 1] != mode:
-        tail -= 1
-    head = head if head >= least else 0
-    stop = tail if n - tail >= least else n
-    stop = max(head, stop)
-    return qual[:head], qual[head:stop], qual[stop:]
+def trimmed(qual: Column, mode: Column, least: int = 8) -> Column:
+    """struct(prefix, core, suffix): the ends up to the first and from the last pair of neighbours with the mode, if
+    they have ``least`` characters or more.
+
+    With the mode's first and last place a and b (from 0) the first such pair ends at max(a, 1), the last at b + 1;
+    without the mode the prefix has all but one character."""
+    n, a = F.length(qual), F.instr(qual, mode) - 1
+    b = n - F.instr(F.reverse(qual), mode)
+    head = F.when((a >= 0) & (n >= 2), F.greatest(a, F.lit(1))).otherwise(F.greatest(n - 1, F.lit(0)))
+    tail = F.greatest(F.when(a >= 0, F.least(b + 1, n - 1)).otherwise(F.lit(0)), F.least(head + 1, n - 1))
+    start = F.when(head >= least, head).otherwise(0)
+    stop = F.greatest(start, F.when(n - tail >= least, tail).otherwise(n))
+    piece = lambda lo, hi: F.substring(qual, lo + 1, hi - lo)
+    return F.struct(piece(F.lit(0), start).alias("prefix"), piece(start, stop).alias("core"), piece(stop, n).alias("suffix"))
 
 
-def mode_runs(core: str, mode: str) -> str:
+def mode_runs(core: Column, mode: Column) -> Column:
     """A core as lengths of runs of its mode between other characters; digits in the text are escaped by a backslash."""
-    out, run = [], 0
-    for c in core:
-        if c == mode:
-            run += 1
-            continue
-        out.append((str(run) if run else "") + ("\\" + c if c.isdigit() or c == "\\" else c))
-        run = 0
-    return "".join(out) + (str(run) if run else "")
-
-
-def from_mode_runs(text: str, mode: str) -> str:
-    out, i = [], 0
-    while i < len(text):
-        if text[i] == "\\":
-            out.append(text[i + 1])
-            i += 2
-        elif text[i].isdigit():
-            j = i
-            while j < len(text) and text[j].isdigit():
-                j += 1
-            out.append(mode * int(text[i:j]))
-            i = j
-        else:
-            out.append(text[i])
-            i += 1
-    return "".join(out)
+    shut = lambda a: F.concat(a["done"], F.when(a["run"] > 0, a["run"].cast("string")).otherwise(F.lit("")))
+    shown = lambda c: F.when(c.rlike(r"^[0-9\\]$"), F.concat(F.lit("\\"), c)).otherwise(c)
+    return F.aggregate(
+        F.split(core, ""), F.struct(F.lit(0).alias("run"), F.lit("").alias("done")),
+        lambda a, c: F.when(c == mode, F.struct((a["run"] + 1).alias("run"), a["done"].alias("done"))).otherwise(F.struct(F.lit(0).alias("run"), F.concat(shut(a), shown(c)).alias("done"))),
+        shut,
+    )
 
 
-def split_strings(strings: DataFrame) -> DataFrame:
-    """(aln_idx, mode, prefix, core, suffix, coded) of strings with their mode."""
+def from_mode_runs(text: Column, mode: Column) -> Column:
+    tokens = F.regexp_extract_all(text, F.lit(r"(?s)(\\.|[0-9]+|.)"))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.startswith("\\"), F.substring(t, 2, 1)).when(t.rlike("^[0-9]"), F.repeat(mode, t.try_cast("int"))).otherwise(t)), "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            cut = [trim(q, m) for q, m in zip(pdf["qual"], pdf["mode"])]
-            yield pd.DataFrame({
-                "aln_idx": pdf["aln_idx"], "mode": pdf["mode"], "prefix": [c[0] for c in cut], "core": [c[1] for c in cut], "suffix": [c[2] for c in cut],
-                "coded": [mode_runs(c[1], m) for c, m in zip(cut, pdf["mode"])],
-            })
 
-    return strings.select("aln_idx", "qual", "mode").mapInPandas(run, "aln_idx long, mode string, prefix string, core string, suffix string, coded string")
+def split_strings(strings: DataFrame) -> DataFrame:
+    """(aln_idx, mode, prefix, core, suffix, coded) of strings with their mode."""
+    parts = strings.select("aln_idx", "mode", trimmed(F.col("qual"), F.col("mode")).alias("p")).select("aln_idx", "mode", "p.*")
+    return parts.select("*", mode_runs(F.col("core"), F.col("mode")).alias("coded"))
 
 
 def restore_strings(split: DataFrame) -> DataFrame:
     """(aln_idx, qual) from their parts."""
+    return split.select("aln_idx", F.concat("prefix", from_mode_runs(F.col("coded"), F.col("mode")), "suffix").alias("qual"))
+
+
+def stored_clusters(strings: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is kept of strings (aln_idx, qual, mode) with their clusters (aln_idx, cluster): each cluster's parts and the
+    pile (cluster 0), both numbered from 1 in the order of the strings."""
+    own = ordered.row_numbers(members, ["cluster"], ["aln_idx"], "n", 1 << 16)
+    rows = strings.join(own, "aln_idx")
+    parts = split_strings(strings).join(own.where("cluster > 0"), "aln_idx").select("cluster", "n", "mode", "prefix", "coded", "suffix")
+    return parts, rows.where("cluster = 0").select("n", "qual")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            core = [from_mode_runs(c, m) for c, m in zip(pdf["coded"], pdf["mode"])]
-            yield pd.DataFrame({"aln_idx": pdf["aln_idx"], "qual": pdf["prefix"] + core + pdf["suffix"]})
 
-    return split.select("aln_idx", "mode", "prefix", "coded", "suffix").mapInPandas(run, "aln_idx long, qual string")
+def restore_members(members: DataFrame, parts: DataFrame, pile: DataFrame) -> DataFrame:
+    """(aln_idx, qual): the n-th string of a cluster is the n-th of its parts; of the pile, the n-th line."""
+    own = ordered.row_numbers(members, ["cluster"], ["aln_idx"], "n", 1 << 16)
+    return restore_strings(own.join(parts, ["cluster", "n"])).union(own.where("cluster = 0").join(pile, "n").select("aln_idx", "qual"))
 
 
 def leaders_of(qv: DataFrame, sample: int = 200_001, share: float = 0.05) -> DataFrame:

@@ -15,9 +15,8 @@ _OP = re.compile(r"(\d+)([MIDNSHP=X])")
 def read_of(cigar: str, reference: str, mismatches: list[tuple[int, str]], inserts: str, left: str, right: str) -> tuple[str, str]:
     """(sequence, MD).  ``reference`` starts at the read's position; mismatches are (read place, read base);
     ``inserts`` has the inserted bases in order; ``left`` and ``right`` the clipped ones."""
-    changed = dict(mismatches)
-    seq, md, equal, at, used = [], [], 0, 0, 0
-    place = 0
+    changed = sorted(mismatches)
+    seq, md, equal, at, used, place, k = [], [], 0, 0, 0, 0, 0
     ops = [(int(n), op) for n, op in _OP.findall(cigar)]
     for i, (n, op) in enumerate(ops):
         if op == "S":
@@ -33,17 +32,20 @@ def read_of(cigar: str, reference: str, mismatches: list[tuple[int, str]], inser
                 md.append(f"{equal}^{reference[at : at + n]}")
                 equal = 0
             at += n
-        elif op in "M=X":
-            for _ in range(n):
-                base = changed.get(place, reference[at])
-                if base == reference[at]:
-                    equal += 1
-                else:
-                    md.append(f"{equal}{reference[at]}")
-                    equal = 0
-                seq.append(base)
-                place += 1
-                at += 1
+        elif op in "M=X":  # whole slices of the reference between the mismatches
+            shift, stop, begin = at - place, place + n, place
+            while k < len(changed) and changed[k][0] < stop:
+                spot, base = changed[k]
+                k += 1
+                own = reference[spot + shift] if spot >= begin else base
+                if base == own:
+                    continue
+                seq += [reference[begin + shift : spot + shift], base]
+                md.append(f"{equal + spot - begin}{own}")
+                equal, begin = 0, spot + 1
+            seq.append(reference[begin + shift : stop + shift])
+            equal += stop - begin
+            place, at = stop, at + n
     return "".join(seq), "".join(md) + str(equal)
 
 
@@ -62,9 +64,14 @@ def rebuild(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_made", made).select("*", "_made.*").drop("_made")
 
 
-def sam_line(names: Column | None = None) -> Column:
-    """The text of an alignment: 1-based positions, = for a mate on the same reference, * for what is missing."""
-    name = lambda c: F.concat(F.lit("ref"), F.col(c).cast("string"))
-    mate = F.when(F.col("rnext") < 0, F.lit("*")).when(F.col("rnext") == F.col("ref_id"), F.lit("=")).otherwise(name("rnext"))
-    return F.concat_ws("\t", "qname", F.col("flag").cast("string"), name("ref_id"), (F.col("pos") + 1).cast("string"), F.col("mapq").cast("string"), "cigar", mate,
-        F.when(F.col("rnext") < 0, F.lit("0")).otherwise((F.col("pnext") + 1).cast("string")), F.col("tlen").cast("string"), "seq", "qual", F.concat(F.lit("MD:Z:"), "md"))
+def sam_line() -> Column:
+    """The text of an alignment with ``rname`` and ``mate`` (reference names or null): 1-based positions, = for a mate on
+    the same reference, * and 0 for what is missing; then MD, and the optional tags with their types."""
+    text = lambda c: F.col(c).cast("string")
+    placed = lambda name, pos: F.when(F.col(name).isNotNull() & (F.col(pos) >= 0), (F.col(pos) + 1).cast("string")).otherwise(F.lit("0"))
+    mate = F.when(F.col("mate").isNull(), F.lit("*")).when(F.col("mate") == F.col("rname"), F.lit("=")).otherwise(F.col("mate"))
+    tags = F.filter(F.coalesce("opt", F.array().cast("array<struct<tag:string,type:string,value:string>>")), lambda t: t["tag"] != "MD")
+    return F.concat_ws(
+        "\t", "qname", text("flag"), F.coalesce("rname", F.lit("*")), placed("rname", "pos"), text("mapq"), "cigar", mate, placed("mate", "pnext"), text("tlen"), "seq", "qual",
+        F.concat(F.lit("MD:Z:"), "md"), F.transform(tags, lambda t: F.concat_ws(":", t["tag"], t["type"], t["value"])),
+    )

@@ -11,6 +11,8 @@ from alnspark.functions import sequence as sq
 from alnspark.functions import text as tx
 from alnspark.operators import coverage, edits, encode, filters, intervals, ordered, quality, rebuild, report
 from alnspark.plans import views as v
+from alnspark.sources import fasta, files, head, logs, sam
+from alnspark.streaming import offsets
 from alnspark.plans.views import ALN_SQL, CIGAR_SQL, GENOME_SQL, IV_SQL, READ, SIZES_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,12 +202,13 @@ def record_counts(spark, sf):
     )
 
 
-@query("""SELECT event_id, (SELECT string_agg(k || '=' || x, ',' ORDER BY k) FROM (SELECT unnest(ks) AS k, unnest(xs) AS x) WHERE k NOT IN ('MD', 'NM') AND k NOT LIKE 'X%') AS tags
-FROM (SELECT event_id, ['MD', 'NM', 'XS', 'AS', 'KV'] AS ks, ['32', '1', '7', CAST(event_id % 50 AS VARCHAR), json_extract_string(props, '$.k')] AS xs FROM events)""", "")
+@query("""SELECT event_id, (SELECT string_agg(k || ':' || t || ':' || x, chr(9) ORDER BY k) FROM (SELECT unnest(ks) AS k, unnest(ts) AS t, unnest(xs) AS x) WHERE k NOT IN ('MD', 'NM') AND k NOT LIKE 'X%') AS tags
+FROM (SELECT event_id, ['MD', 'NM', 'XS', 'AS', 'KV'] AS ks, ['Z', 'i', 'i', 'i', 'Z'] AS ts, ['32', '1', '7', CAST(event_id % 50 AS VARCHAR), json_extract_string(props, '$.k')] AS xs FROM events)""", "")
 def opt_tags_filter(spark, sf):
-    tags = F.create_map(*[x for k, c in (("MD", F.lit("32")), ("NM", F.lit("1")), ("XS", F.lit("7")), ("AS", (F.col("event_id") % 50).cast("string")), ("KV", F.get_json_object("props", "$.k"))) for x in (F.lit(k), c)])
-    kept = F.array_sort(F.map_entries(filters.keep_tags(tags)))
-    return v.events(spark, sf).select("event_id", F.array_join(F.transform(kept, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("tags"))
+    values = (("MD", "Z", F.lit("32")), ("NM", "i", F.lit("1")), ("XS", "i", F.lit("7")), ("AS", "i", (F.col("event_id") % 50).cast("string")), ("KV", "Z", F.get_json_object("props", "$.k")))
+    tags = F.array(*[F.struct(F.lit(k).alias("tag"), F.lit(t).alias("type"), x.alias("value")) for k, t, x in values])
+    shown = F.transform(F.array_sort(filters.keep_tags(tags)), lambda t: F.concat(t["tag"], F.lit(":"), t["type"], F.lit(":"), t["value"]))
+    return v.events(spark, sf).select("event_id", F.array_join(shown, "\t").alias("tags"))
 
 
 # ---- sequence functions
@@ -228,9 +231,11 @@ def minimizer12(spark, sf):
     return v.aln(spark, sf).select("aln_idx", sq.minimizer(F.col("seq")).alias("minimizer"))
 
 
-@query("SELECT aln_idx, CASE WHEN r < f THEN rc ELSE seq END AS canonical, r < f AS swapped FROM q", ALN_SQL + _MINS)
+@query("SELECT q.aln_idx, CASE WHEN r < f THEN rc ELSE q.seq END AS canonical, r < f AS swapped, CASE WHEN r < f THEN reverse(qual) ELSE qual END AS qual FROM q JOIN aln ON q.aln_idx = aln.aln_idx", ALN_SQL + _MINS)
 def canonical_strand(spark, sf):
-    return v.aln(spark, sf).select("aln_idx", sq.canonical(F.col("seq")).alias("canonical"), sq.swaps_strand(F.col("seq")).alias("swapped"))
+    rows = v.aln(spark, sf).select("aln_idx", "seq", "qual", sq.swaps_strand(F.col("seq")).alias("swapped"))
+    turn = lambda c, turned: sq.on_strand(F.col(c), F.col("swapped"), turned)
+    return rows.select("aln_idx", turn("seq", sq.reverse_complement(F.col("seq"))).alias("canonical"), "swapped", turn("qual", F.reverse("qual")).alias("qual"))
 
 
 @query("SELECT count(*) FILTER (WHERE r < f) AS swapped FROM q", ALN_SQL + _MINS)
@@ -430,11 +435,16 @@ def edits_merge(spark, sf):
 
 
 
+@query("SELECT aln_idx, count(*) AS n FROM two WHERE base IN ('A', 'C', 'G', 'T', 'N') GROUP BY aln_idx", CIGAR_SQL + _REFSEQ + _MM + _OPS + _EDITS + _MERGED)
+def mismatch_codes(spark, sf):
+    codes = _edit_rows(spark, sf).select("aln_idx", F.col("op").alias("code")).union(_mismatches(spark, sf).select("aln_idx", "base"))
+    return codes.where(edits.is_mismatch(F.col("code"))).groupBy("aln_idx").agg(F.count("*").alias("n"))
+
 
 @query("SELECT aln_idx, CAST(row_number() OVER (PARTITION BY aln_idx ORDER BY ord) AS INT) AS run, op, read_at AS at, CAST(len AS BIGINT) AS len FROM ops WHERE op IN ('I', 'D')", CIGAR_SQL + _OPS)
 def indel_runs(spark, sf):
     each = _ops(spark, sf).where(F.col("op").isin("I", "D")).select("aln_idx", "ord", "op", F.col("read_at").alias("at"), F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("i"))
-    return edits.indel_runs(each.select("aln_idx", (F.col("ord") * 1000 + F.col("i")).alias("ord"), "op", "at"))
+    return edits.indel_runs(each, ["ord", "i"])
 
 
 @query("""SELECT aln_idx, CASE WHEN cigar LIKE '4S%' THEN left(seq, 4) END AS left_clip, CASE WHEN cigar LIKE '%4S' THEN right(seq, 4) END AS right_clip FROM ca WHERE cigar LIKE '%S%'""", CIGAR_SQL)
@@ -453,7 +463,8 @@ def sam_rebuild(spark, sf):
   CASE WHEN rnext < 0 THEN '*' WHEN rnext = ref_id THEN '=' ELSE 'ref' || CAST(rnext AS VARCHAR) END, CASE WHEN rnext < 0 THEN '0' ELSE CAST(pnext + 1 AS VARCHAR) END,
   CAST(tlen AS VARCHAR), seq, qual, 'MD:Z:' || md) AS line FROM aln""")
 def sam_lines(spark, sf):
-    return v.aln(spark, sf).select("aln_idx", rebuild.sam_line().alias("line"))
+    rows = v.aln(spark, sf).withColumn("opt", F.lit(None).cast("array<struct<tag:string,type:string,value:string>>"))
+    return sam.named(rows, ref_name_map(spark, sf)).select("aln_idx", rebuild.sam_line().alias("line"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gained, count(*) AS n_reads FROM aln")
@@ -595,7 +606,13 @@ def leader_clustering(spark, sf):
     return rows.select("aln_idx").join(found, "aln_idx", "left").select("aln_idx", F.coalesce("cluster", F.lit(0)).alias("cluster"))
 
 
-@query()
+_TRIM = """, tp AS (SELECT aln_idx, qual, mode, length(qual) AS n, strpos(qual, mode) - 1 AS a, length(qual) - strpos(reverse(qual), mode) AS b FROM wm WHERE frequency * 100 >= length(qual) * 26),
+th AS (SELECT *, greatest(a, 1) AS head FROM tp),
+tt AS (SELECT *, greatest(least(b + 1, n - 1), least(head + 1, n - 1)) AS tail FROM th),
+tc AS (SELECT *, CASE WHEN head >= 8 THEN head ELSE 0 END AS lo, greatest(CASE WHEN head >= 8 THEN head ELSE 0 END, CASE WHEN n - tail >= 8 THEN tail ELSE n END) AS hi FROM tt)"""
+
+
+@query("SELECT aln_idx, left(qual, lo) AS prefix, substr(qual, lo + 1, hi - lo) AS core, substr(qual, hi + 1) AS suffix FROM tc", ALN_SQL + _mode_sql() + _TRIM)
 def trim_ends(spark, sf):
     return quality.split_strings(quality.low_complexity(v.qv(spark, sf)).where("NOT pile")).select("aln_idx", "prefix", "core", "suffix")
 
@@ -612,6 +629,13 @@ def quality_restore(spark, sf):
     return quality.restore_strings(quality.split_strings(rows.where("NOT pile"))).unionByName(pile)
 
 
+@query("SELECT aln_idx, qual FROM qv")
+def membership_restore(spark, sf):
+    members = leader_assign(spark, sf)
+    parts, pile = quality.stored_clusters(quality.low_complexity(v.qv(spark, sf)), members)
+    return quality.restore_members(members, parts, pile)
+
+
 # ---- reports
 
 _TYPE = "CASE suffix WHEN 'flags' THEN 'fields' WHEN 'ids' THEN 'ids' ELSE 'seq' END"
@@ -702,3 +726,214 @@ def aligned_union(spark, sf):
 def coordinate_sorted(spark, sf):
     rows = _mapped(spark, sf).withColumn("axis", F.col("ref_id").cast("long") * (1 << 32) + F.col("pos"))
     return ordered.row_numbers(rows, [], ["axis", "aln_idx"], "place", 1 << 16).select("aln_idx", "place")
+
+
+# ---- streams that begin apart
+
+@query("""SELECT n, ref_id, pos, CASE WHEN aln_idx % 3 = 0 THEN md END AS md FROM (SELECT *, row_number() OVER (ORDER BY ref_id, pos, aln_idx) AS n FROM m)
+WHERE n >= (SELECT min(n) FROM (SELECT *, row_number() OVER (ORDER BY ref_id, pos, aln_idx) AS n FROM m) WHERE n >= 150 AND ref_id >= 2 AND pos >= 4000)""")
+def stream_sync(spark, sf):
+    rows = _mapped(spark, sf).withColumn("axis", F.col("ref_id").cast("long") * (1 << 32) + F.col("pos"))
+    rows = ordered.row_numbers(rows, [], ["axis", "aln_idx"], "n", 1 << 16)
+    lists = rows.where("aln_idx % 3 = 0 AND n >= 150").select("n", "md")
+    return encode.sync_streams(rows.where("n >= 100").select("n", "ref_id", "pos"), lists, 100, 150, 2, 4000)
+
+
+@query("SELECT aln_idx, CASE WHEN aln_idx % 3 = 0 THEN md END AS md FROM aln WHERE aln_idx >= 200 AND aln_idx < 300")
+def edit_sync(spark, sf):
+    a = v.aln(spark, sf).withColumn("block", F.floor(F.col("aln_idx") / 100))
+    lists = ordered.row_numbers(a.where("aln_idx % 3 = 0").select("block", "aln_idx", "md"), ["block"], ["aln_idx"], "n", 1 << 16).select("block", "n", "md")
+    blocks = a.select("block").distinct().withColumn("aln_before", F.col("block") * 100)
+    return encode.sync_edits(a.select("aln_idx", (F.col("aln_idx") % 3 == 0).alias("present")), lists, blocks, 250).select("aln_idx", "md")
+
+
+# ---- files: written from a table, and read back
+
+@query("SELECT CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gained, count(*) AS n_reads, CAST(5 AS BIGINT) AS n_refs, '1.6' AS version FROM aln")
+def sam_roundtrip(spark, sf):
+    """Names, header, unplaced reads and tags (types, repeated ones) survive."""
+    refs = v.genome(spark).select("ref_id", F.concat(F.lit("chr"), (F.col("ref_id") + 1).cast("string")).alias("name"), "length")
+    unplaced, tag = filters.is_unaligned(F.col("flag")), lambda k, t, x: F.struct(F.lit(k).alias("tag"), F.lit(t).alias("type"), x.alias("value"))
+    tags = F.array(tag("XA", "Z", F.col("qname")), tag("AS", "i", F.col("mapq").cast("string")), tag("XA", "Z", F.lit("a:b")))
+    rows = v.aln(spark, sf).withColumns({"ref_id": F.when(unplaced, -1).otherwise(F.col("ref_id")), "pos": F.when(unplaced, -1).otherwise(F.col("pos")), "opt": tags})
+    path = files.new_path(spark, "sam")
+    sam.write(rows, refs, path)
+    columns = ["qname", "flag", "ref_id", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "md", "opt"]
+    back = sam.read(spark, path).withColumn("opt", F.filter("opt", lambda t: t["tag"] != "MD"))
+    a, b = rows.select(columns), back.select(columns)
+    side = lambda df, n: F.broadcast(df.agg(F.count("*").alias(n)))  # noqa: E731  single rows
+    both = side(a.exceptAll(b), "lost").join(side(b.exceptAll(a), "gained")).join(side(b, "n_reads")).join(side(sam.read_header(spark, path).join(refs, ["ref_id", "name", "length"]), "n_refs"))
+    return both.withColumn("version", F.lit(sam.read_version(spark, path)))
+
+
+@query("SELECT qname AS name, seq, qual FROM aln WHERE flag & 4 <> 0")
+def fastq_roundtrip(spark, sf):
+    path = files.new_path(spark, "fastq")
+    sam.unaligned_fastq(v.aln(spark, sf)).write.text(path)
+    return fasta.read_fastq(spark, path)
+
+
+def _fasta(spark):
+    path = files.new_path(spark, "fasta")
+    text = F.concat(F.lit(">ref"), F.col("ref_id").cast("string"), F.lit(" made up\n"), F.regexp_replace("seq", "(.{60})", "$1\n"))
+    files.write_lines(v.genome(spark).select("ref_id", text.alias("value")), ["ref_id"], path)
+    return path
+
+
+@query("SELECT 'ref' || CAST(ref_id AS VARCHAR) AS name, CAST(length AS BIGINT) AS length, md5(seq) AS digest FROM genome", GENOME_SQL)
+def fasta_records(spark, sf):
+    return fasta.read(spark, _fasta(spark)).select("name", "length", F.md5("seq").alias("digest"))
+
+
+_FAI_SQL = "SELECT 'ref' || CAST(ref_id AS VARCHAR) AS name, CAST(65536 AS BIGINT) AS bases, CAST(ref_id * (14 + 65536 + 1093) + 14 AS BIGINT) AS byte_offset, 60 AS bases_per_line, 61 AS bytes_per_line FROM genome"
+
+
+@query(_FAI_SQL, GENOME_SQL)
+def fasta_index(spark, sf):
+    return fasta.index(spark, _fasta(spark))
+
+
+@query(_FAI_SQL, GENOME_SQL)
+def fai_roundtrip(spark, sf):
+    path = files.new_path(spark, "fai")
+    fasta.write_fai(fasta_index(spark, sf), path)
+    return fasta.read_fai(spark, path)
+
+
+@query("SELECT 'ref' || CAST(ref_id AS VARCHAR) AS name, CAST(length AS BIGINT) AS length, md5(seq) AS digest FROM genome WHERE ref_id IN (1, 3)", GENOME_SQL)
+def fasta_load(spark, sf):
+    path = _fasta(spark)
+    entries = fasta.index(spark, path).where("name IN ('ref1', 'ref3')")
+    return fasta.load(spark, path, entries).select("name", "length", F.md5("seq").alias("digest"))
+
+
+@query("""SELECT 'HD' AS kind, CAST(NULL AS INT) AS key, '1.6' AS name, CAST(NULL AS BIGINT) AS number UNION ALL SELECT 'read_len', NULL, NULL, 32
+UNION ALL SELECT 'reference', ref_id, 'ref' || CAST(ref_id AS VARCHAR), length FROM genome
+UNION ALL SELECT 'flags', NULL, CAST(value AS VARCHAR), code FROM flag_d UNION ALL SELECT 'mapq', NULL, CAST(value AS VARCHAR), code FROM mapq_d
+UNION ALL SELECT 'rnext', NULL, CAST(value AS VARCHAR), code FROM rnext_d""", ALN_SQL + _DICTS)
+def head_roundtrip(spark, sf):
+    rows, path = v.aln(spark, sf), files.new_path(spark, "head")
+    words = {name: encode.first_seen(rows, column) for name, column in (("flags", "flag"), ("mapq", "mapq"), ("rnext", "rnext"))}
+    head.write(ref_name_map(spark, sf), words, READ, "1.6", path)
+    return head.read(spark, path)
+
+
+@query("SELECT 'offs' AS suffix, aln_before, start_ref, start_pos, end_ref, end_pos FROM blk", ALN_SQL + _BLOCKS)
+def block_span_lines(spark, sf):
+    path = files.new_path(spark, "spans")
+    head.write_spans(intervals.block_spans(_mapped(spark, sf), 1000), "offs", path)
+    return head.read_spans(spark, path)
+
+
+def _log(spark, rows, *order):
+    """The path of a small log with the lines ``value`` in order."""
+    path = files.new_path(spark, "log")
+    files.write_lines(rows, list(order), path)
+    return path
+
+
+def _sections(rows, by, title):
+    """(s, k, value): ``rows`` (s, k, value) below a line ``title`` for each ``s``."""
+    return rows.select(by, "k", "value").union(rows.select(by).distinct().select(by, F.lit(""), title))
+
+
+_SUMS = ", sm AS (SELECT dataset, method, suffix, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS n FROM sizes GROUP BY ALL)"
+
+
+def _sums(spark, sf):
+    return v.sizes(spark, sf).groupBy("dataset", "method", "suffix").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+
+
+@query("SELECT method, bytes, dataset || '/x.' || suffix AS path FROM sm", SIZES_SQL + _SUMS)
+def size_log(spark, sf):
+    path = F.concat("dataset", F.lit("/x."), "suffix")
+    rows = _sums(spark, sf).select("method", path.alias("k"), F.concat_ws(" ", F.col("bytes").cast("string"), path).alias("value"))
+    return logs.sizes(spark, _log(spark, _sections(rows, "method", F.concat(F.lit("# "), "method")), "method", "k"))
+
+
+@query("SELECT dataset, CASE method WHEN 'F' THEN 0.9 ELSE 0.8 END::DOUBLE AS z, CAST(sum(n) AS BIGINT) AS edits, CAST(sum(bytes) AS BIGINT) AS bytes FROM sm GROUP BY ALL", SIZES_SQL + _SUMS)
+def error_log(spark, sf):
+    title = F.concat("dataset", F.lit(" z="), F.when(F.col("method") == "F", "0.9").otherwise("0.8"))
+    rows = _sums(spark, sf).withColumn("t", title)
+    edit = rows.groupBy("t").agg(F.sum("n").alias("n")).select("t", F.lit(" ").alias("k"), F.concat(F.lit("edits: "), F.col("n").cast("string")).alias("value"))
+    lines = edit.union(rows.select("t", "suffix", F.concat_ws(" ", F.col("bytes").cast("string"), "suffix")))
+    return logs.error_rates(spark, _log(spark, _sections(lines, "t", F.concat(F.lit("*** "), "t")), "t", "k"))
+
+
+@query("SELECT '/data/' || dataset AS dataset, count(*) AS alignments, CASE WHEN count(*) % 4 = 0 THEN count(*) // 4 ELSE count(*) // 3 END AS unaligned, round((count(*) % 1000) / 100, 2) AS error_percent FROM sizes GROUP BY dataset", SIZES_SQL)
+def summary_log(spark, sf):
+    n = F.col("n").cast("string")
+    parts = [F.concat(F.lit("Saw "), n, F.lit(" total alignments; of them")), F.concat(F.lit("Error rate: "), F.format_string("%.2f", (F.col("n") % 1000) / 100), F.lit("%")), F.concat(n, F.lit(" /data/reads"))]
+    rows = v.sizes(spark, sf).groupBy("dataset").agg(F.count("*").alias("n")).select("dataset", F.posexplode(F.array(*parts)).alias("k", "value")).withColumn("k", F.col("k").cast("string"))
+    return logs.summaries(spark, _log(spark, _sections(rows, "dataset", F.concat(F.lit("=== /data/"), "dataset")), "dataset", "k"))
+
+
+@query("SELECT dataset || '_' || method AS total, CAST(sum(bytes) + (method = 'F')::INT AS BIGINT) AS bytes, CAST(sum(bytes) AS BIGINT) AS parts, method <> 'F' AS consistent FROM sm GROUP BY dataset, method", SIZES_SQL + _SUMS)
+def part_log(spark, sf):
+    pair = F.concat_ws(" ", "suffix", F.format_number("bytes", 0))
+    rows = _sums(spark, sf).groupBy("dataset", "method").agg(F.array_join(F.array_sort(F.collect_list(pair)), " ").alias("p"), F.sum("bytes").alias("b"))
+    total = F.col("b") + (F.col("method") == "F").cast("int")  # one kind of line does not add up
+    value = F.concat(F.lit("["), "p", F.lit("] "), "dataset", F.lit("_"), "method", F.lit(": "), total.cast("string"))
+    return logs.part_sizes(spark, _log(spark, rows.select("dataset", "method", value.alias("value")), "dataset", "method"))
+
+
+@query("SELECT n AS lines FROM sm", SIZES_SQL + _SUMS)
+def written_log(spark, sf):
+    rows = _sums(spark, sf).select("n", F.concat(F.lit("Written "), F.format_number("n", 0), F.lit(" lines")).alias("value"))
+    return logs.lines_written(spark, _log(spark, rows, "n"))
+
+
+@query("SELECT suffix AS stream, CAST(sum(bytes) AS BIGINT) AS compressed, CAST(sum(n) AS BIGINT) AS original FROM sm GROUP BY suffix", SIZES_SQL + _SUMS)
+def stream_log(spark, sf):
+    rows = _sums(spark, sf).select("dataset", F.concat(F.lit(" "), "suffix", F.lit(": "), F.col("bytes").cast("string"), F.lit(" of "), F.col("n").cast("string")).alias("value"))
+    return logs.stream_sums(spark, _log(spark, rows, "dataset"))
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY dataset, method, suffix) AS INT) AS fd, dataset || method || '.' || CASE WHEN suffix = 'offs' THEN 'k=4' ELSE suffix END AS name,
+  CASE WHEN suffix = 'offs' THEN n * 100 ELSE bytes END AS bytes FROM sm""", SIZES_SQL + _SUMS)
+def quality_log(spark, sf):
+    rows = _sums(spark, sf).withColumn("fd", F.row_number().over(Window.orderBy("dataset", "method", "suffix")))  # a row a stream
+    name = F.concat("dataset", "method", F.lit("."), F.when(F.col("suffix") == "offs", "k=4").otherwise(F.col("suffix")))
+    fd = F.col("fd").cast("string")
+    opened = rows.select(F.lit(1).alias("part"), "fd", F.concat(F.lit("Opened /data/"), name, F.lit(" stream for compressed data (fd="), fd, F.lit(")")).alias("value"))
+    closed = rows.select(F.lit(2).alias("part"), "fd", F.concat(F.lit("Cluster "), fd, F.lit(" "), F.col("n").cast("string"), F.lit("; Closing fd="), fd, F.lit(", size "), F.col("bytes").cast("string"), F.lit(" bytes;")).alias("value"))
+    length = spark.range(1).select(F.lit(0).alias("part"), F.lit(0).alias("fd"), F.lit("Assuming uniform read len of 100 bases").alias("value"))
+    return logs.quality_streams(spark, _log(spark, opened.union(closed).union(length), "part", "fd"))
+
+
+@query("SELECT CAST(s AS DOUBLE) AS seconds FROM range(0, 90000, 997) t(s)", "")
+def time_log(spark, sf):
+    s = F.col("id")
+    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    clock = F.when(s >= 3600, F.concat(F.floor(s / 3600).cast("string"), F.lit(":"), two(F.floor(s % 3600 / 60)), F.lit(":"), two(s % 60))).otherwise(F.concat(F.floor(s / 60).cast("string"), F.lit(":"), two(s % 60)))
+    rows = spark.range(0, 90000, 997).select("id", F.concat(F.lit("\tElapsed (wall clock) time (h:mm:ss or m:ss): "), clock).alias("value"))
+    return logs.elapsed(spark, _log(spark, rows, "id"))
+
+
+@query("SELECT dataset || '_' || suffix AS name, bytes AS lines, CAST(n AS INT) AS length FROM (SELECT dataset, suffix, CAST(sum(bytes) AS BIGINT) AS bytes, sum(n) AS n FROM sm GROUP BY ALL)", SIZES_SQL + _SUMS)
+def length_log(spark, sf):
+    rows = _sums(spark, sf).groupBy("dataset", "suffix").agg(F.sum("bytes").alias("b"), F.sum("n").alias("n"))
+    value = F.concat_ws("\n", F.concat_ws("_", "dataset", "suffix"), F.col("b").cast("string"), F.col("n").cast("string"))
+    return logs.read_lengths(spark, _log(spark, rows.select("dataset", "suffix", value.alias("value")), "dataset", "suffix"))
+
+
+@query("""SELECT event_id, CASE WHEN u = 'B' THEN CASE WHEN x >= 1000 THEN '1,' || substr(CAST(n AS VARCHAR), 2) ELSE CAST(n AS VARCHAR) END
+  WHEN x >= 1000 THEN '1,' || substr(printf('%.2f', x), 2) ELSE printf('%.2f', x) END || ' ' || u AS size FROM (
+  SELECT event_id, n, CASE WHEN n >= 1 << 30 THEN 'GiB' WHEN n >= 1 << 20 THEN 'MiB' WHEN n >= 1024 THEN 'KiB' ELSE 'B' END AS u,
+    CAST(n AS DOUBLE) / CASE WHEN n >= 1 << 30 THEN 1 << 30 WHEN n >= 1 << 20 THEN 1 << 20 WHEN n >= 1024 THEN 1024 ELSE 1 END AS x
+  FROM (SELECT event_id, CAST(event_id * event_id * 3 % 900000000000 AS BIGINT) AS n FROM events))""", "")
+def binary_sizes(spark, sf):
+    return v.events(spark, sf).select("event_id", tx.binary_size(F.col("event_id") * F.col("event_id") * 3 % 900000000000).alias("size"))
+
+
+@query("SELECT ref_id, CAST(pos // 1024 AS BIGINT) AS bin, count(*) AS reads, count(*) * 32 AS bases FROM m GROUP BY ALL")
+def stream_depth(spark, sf):
+    """Alignments that arrive as files, counted by a stream until all are read."""
+    path = files.new_path(spark, "arriving")
+    rows = v.aln(spark, sf).select("ref_id", "pos", "flag")
+    rows.write.parquet(path)
+    counts, out = offsets.running_depth(spark.readStream.schema(rows.schema).parquet(path), READ), files.new_path(spark, "depth")
+    # complete mode: each batch replaces the table
+    run = counts.writeStream.outputMode("complete").option("checkpointLocation", files.new_path(spark, "stream")).trigger(availableNow=True)
+    run.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(out)

@@ -1,31 +1,44 @@
-"""FASTA files and their .fai indexes."""
+"""FASTA and FASTQ files and .fai indexes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alnspark.sources import files
+
 FAI = "name string, bases long, byte_offset long, bases_per_line int, bytes_per_line int"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(name, length, seq) of each record; a record is a task's row, so it must fit in memory."""
     parts = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
-    lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
-    seq = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "")
-    rows = parts.select(F.split(lines[0], r"\s+")[0].alias("name"), seq.alias("seq"))
-    return rows.select("name", F.length("seq").cast("long").alias("length"), "seq")
+    rows = F.split(F.regexp_replace("value", "\r", ""), "\n")
+    seq = F.array_join(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), "")
+    out = parts.select(F.split(rows[0], r"\s+")[0].alias("name"), seq.alias("seq"))
+    return out.select("name", F.length("seq").cast("long").alias("length"), "seq")
+
+
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """(name, seq, qual) of records of four lines."""
+    rows = files.lines(spark, path).withColumn("slot", F.col("line") % 4)
+    pick = lambda slot, name: F.max(F.when(F.col("slot") == slot, F.col("value"))).alias(name)
+    whole = rows.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(pick(0, "head"), pick(1, "seq"), pick(3, "qual"))
+    return whole.where(F.col("head").startswith("@")).select(F.regexp_extract("head", r"^@(\S+)", 1).alias("name"), "seq", "qual")
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """The columns of an .fai file, from line lengths and their running byte count."""
-    lines = spark.read.text(path, wholetext=False).withColumn("at", F.monotonically_increasing_id())
-    size = F.octet_length("value") + 1
-    order = Window.orderBy("at")  # an index reads lines in order: one file, one pass
-    rows = lines.select("at", "value", size.alias("size"), (F.sum(size).over(order) - size).alias("offset"), F.sum(F.col("value").startswith(">").cast("int")).over(order).alias("rec"))
-    head = rows.where(F.col("value").startswith(">")).select("rec", F.regexp_extract("value", r"^>(\S+)", 1).alias("name"), (F.col("offset") + F.col("size")).alias("byte_offset"))
-    body = rows.where(~F.col("value").startswith(">")).groupBy("rec").agg(F.sum(F.length("value")).alias("bases"), F.max(F.length("value")).alias("bases_per_line"), F.max("size").alias("bytes_per_line"))
-    return head.join(body, "rec").orderBy("rec").selectExpr("name", "bases", "byte_offset", "bases_per_line", "bytes_per_line")
+    """The columns of an .fai file, in the file's order, from line lengths and byte offsets."""
+    is_head = F.col("value").startswith(">")
+    rows = files.lines(spark, path, {"heads": is_head}).withColumn("size", F.octet_length("value"))
+    # a line's width in bytes, its break included, is the distance to the next line's offset: 1, or 2 with a carriage return
+    head = rows.where(is_head).select("file", F.col("heads").alias("rec"), F.col("offset").alias("at"), F.regexp_extract("value", r"^>(\S+)", 1).alias("name"))
+    body = rows.where(~is_head & (F.col("size") > 0)).groupBy("file", (F.col("heads") - 1).alias("rec")).agg(
+        F.sum("size").alias("bases"), F.max("size").alias("bases_per_line"), F.min("offset").alias("byte_offset"), F.max("offset").alias("_last"), F.count("*").alias("_n"), F.max_by("size", "offset").alias("_tail"),
+    )
+    width = F.when(F.col("_n") > 1, ((F.col("_last") - F.col("byte_offset")) / (F.col("_n") - 1)).cast("int")).otherwise(F.col("bases_per_line") + F.col("byte_offset") - F.col("at") - F.col("head_size"))
+    both = head.join(rows.where(is_head).select("file", F.col("heads").alias("rec"), F.col("size").alias("head_size")), ["file", "rec"]).join(body, ["file", "rec"])
+    return both.orderBy("file", "rec").select("name", "bases", "byte_offset", F.col("bases_per_line").cast("int").alias("bases_per_line"), width.cast("int").alias("bytes_per_line"))
 
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
@@ -36,6 +49,11 @@ def write_fai(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.option("sep", "\t").csv(path)
 
 
-def load(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One record by name."""
-    return read(spark, path).where(F.col("name") == name)
+def load(spark: SparkSession, path: str, entries: DataFrame) -> DataFrame:
+    """(name, length, seq) of the records that ``entries`` of the index name: the lines in their byte ranges."""
+    span = F.floor(F.col("bases") / F.col("bases_per_line")) * F.col("bytes_per_line") + F.col("bases") % F.col("bases_per_line")
+    wanted = F.broadcast(entries.select("name", "byte_offset", (F.col("byte_offset") + span).alias("_end")))  # an index is small
+    found = files.lines(spark, path).join(wanted, (F.col("offset") >= F.col("byte_offset")) & (F.col("offset") < F.col("_end")))
+    kept = found.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("parts"))
+    seq = F.array_join(F.transform("parts", lambda x: x["value"]), "")
+    return kept.select("name", F.length(seq).cast("long").alias("length"), seq.alias("seq"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alnspark.operators.rebuild import sam_line
@@ -13,34 +13,52 @@ def read_header(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where(F.col("value").startswith("@SQ")).withColumn("at", F.monotonically_increasing_id())
     field = lambda tag: F.regexp_extract("value", rf"\t{tag}:([^\t]+)", 1)
     rows = lines.select("at", field("SN").alias("name"), field("LN").cast("long").alias("length"))
-    from pyspark.sql import Window
-
     return rows.select((F.row_number().over(Window.orderBy("at")) - 1).cast("int").alias("ref_id"), "name", "length")  # a header is small
 
 
+def read_version(spark: SparkSession, path: str) -> str | None:
+    """The format version of the @HD line."""
+    found = spark.read.text(path).where(F.col("value").startswith("@HD")).select(F.regexp_extract("value", r"\tVN:([^\t]+)", 1)).first()
+    return found[0] if found else None
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of a SAM file, with 0-based positions, ids for reference names and optional tags as a map.
+    """Alignments of a SAM file, with 0-based positions, ids for reference names (-1 for none) and optional tags as
+    structs (tag, type, value) in their order, repeated ones included.
 
     The ordinal follows the file's order; it has gaps between Spark's partitions."""
-    refs = F.broadcast(read_header(spark, path).select("ref_id", "name"))
+    refs = read_header(spark, path).select("ref_id", "name")
     lines = spark.read.text(path).withColumn("aln_idx", F.monotonically_increasing_id()).where(~F.col("value").startswith("@") & (F.col("value") != ""))
     p = F.split("value", "\t")
-    tags = F.transform(F.slice(p, F.lit(12), F.greatest(F.size(p) - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, 6, 1 << 30).alias("v")))
+    fields = F.slice(p, F.lit(12), F.greatest(F.size(p) - 11, F.lit(0)))
+    tags = F.transform(fields, lambda t: F.struct(F.substring(t, 1, 2).alias("tag"), F.substring(t, 4, 1).alias("type"), F.substring(t, 6, 1 << 30).alias("value")))
     own = lines.select(
         "aln_idx", p[0].alias("qname"), p[1].cast("int").alias("flag"), p[2].alias("rname"), (p[3].cast("int") - 1).alias("pos"), p[4].cast("int").alias("mapq"), p[5].alias("cigar"),
-        p[6].alias("mate"), (p[7].cast("int") - 1).alias("pnext"), p[8].cast("int").alias("tlen"), p[9].alias("seq"), p[10].alias("qual"), F.map_from_entries(tags).alias("opt"),
+        F.when(p[6] == "=", p[2]).otherwise(p[6]).alias("mate"), (p[7].cast("int") - 1).alias("pnext"), p[8].cast("int").alias("tlen"), p[9].alias("seq"), p[10].alias("qual"), tags.alias("opt"),
     )
-    own = own.join(refs.withColumnRenamed("name", "rname"), "rname", "left").join(refs.select(F.col("ref_id").alias("mate_id"), F.col("name").alias("mate")), "mate", "left")
-    rnext = F.when(F.col("mate") == "=", F.col("ref_id")).when(F.col("mate") == "*", -1).otherwise(F.col("mate_id"))
+    own = own.join(refs.withColumnRenamed("name", "rname"), "rname", "left").join(refs.select(F.col("ref_id").alias("rnext"), F.col("name").alias("mate")), "mate", "left")
+    md = F.filter("opt", lambda t: t["tag"] == "MD")
     return own.select(
-        "aln_idx", "qname", "flag", F.coalesce("ref_id", F.lit(-1)).alias("ref_id"), "pos", "mapq", "cigar", rnext.alias("rnext"), F.greatest("pnext", F.lit(0)).alias("pnext"), "tlen", "seq", "qual",
-        F.try_element_at("opt", F.lit("MD")).alias("md"), "opt",
+        "aln_idx", "qname", "flag", F.coalesce("ref_id", F.lit(-1)).alias("ref_id"), "pos", "mapq", "cigar", F.coalesce("rnext", F.lit(-1)).alias("rnext"), F.greatest("pnext", F.lit(0)).alias("pnext"),
+        "tlen", "seq", "qual", F.get(md, 0)["value"].alias("md"), "opt",
     )
 
 
-def write(aln: DataFrame, path: str) -> None:
-    """The lines in coordinate order, one file a range of coordinates."""
-    aln.orderBy("ref_id", "pos", "aln_idx").select(sam_line().alias("value")).write.text(path)
+def named(aln: DataFrame, references: DataFrame) -> DataFrame:
+    """Add ``rname`` and ``mate``: the names of the ids, null where an id has none."""
+    name = lambda key, out: references.select(F.col("ref_id").alias(key), F.col("name").alias(out))
+    return aln.join(name("ref_id", "rname"), "ref_id", "left").join(name("rnext", "mate"), "rnext", "left")
+
+
+def write(aln: DataFrame, references: DataFrame, path: str, version: str = "1.6") -> None:
+    """The header and the lines in coordinate order, unplaced ones last; one file a range of coordinates, the header in the first."""
+    spark = aln.sparkSession
+    rows = aln if "opt" in aln.columns else aln.withColumn("opt", F.lit(None).cast("array<struct<tag:string,type:string,value:string>>"))
+    place = F.when(F.col("rname").isNull(), F.lit(1 << 31)).otherwise(F.col("ref_id").cast("long"))
+    body = named(rows, references).select(place.alias("ref"), F.col("pos").cast("long").alias("at"), F.col("aln_idx").alias("n"), sam_line().alias("value"))
+    first = spark.range(1).select(F.lit(-2).cast("long").alias("ref"), F.lit(0).cast("long").alias("at"), F.col("id").alias("n"), F.lit(f"@HD\tVN:{version}\tSO:coordinate").alias("value"))
+    names = references.select(F.lit(-1).cast("long").alias("ref"), F.col("ref_id").cast("long").alias("at"), F.lit(0).cast("long").alias("n"), F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:"), "name"), F.concat(F.lit("LN:"), F.col("length").cast("string"))).alias("value"))
+    first.union(names).union(body).orderBy("ref", "at", "n").select("value").write.text(path)
 
 
 def unaligned_fastq(aln: DataFrame) -> DataFrame:

@@ -114,14 +114,66 @@ def test_merge_keeps_first_list_on_ties(spark):
     assert [(x["at"], x["base"]) for x in got] == [(1, "T"), (3, "I"), (3, "C"), (9, "D")]
 
 
-def test_mode_runs_round_trip():
+def _trim_by_hand(qual, mode, least=8):
+    """(prefix, core, suffix) from the pairs of neighbours with the mode."""
+    n = len(qual)
+    pairs = [i for i in range(n - 1) if mode in qual[i : i + 2]]
+    head = pairs[0] + 1 if pairs else max(0, n - 1)
+    last = max([i + 1 for i in pairs if i + 1 > head], default=min(head + 1, n - 1))
+    start = head if head >= least else 0
+    stop = max(start, last if n - last >= least else n)
+    return qual[:start], qual[start:stop], qual[stop:]
+
+
+def test_trim_and_mode_runs(spark):
     rng = random.Random(4)
-    for _ in range(500):
-        text = "".join(rng.choice("II1J\\9") for _ in range(rng.randint(0, 30)))
-        mode = rng.choice("IJ")
-        assert quality.from_mode_runs(quality.mode_runs(text, mode), mode) == text
-        a, b, c = quality.trim(text, mode)
-        assert a + b + c == text and (not a or len(a) >= 8) and (not c or len(c) >= 8)
+    made = [("".join(rng.choice("II1J\\9abc") for _ in range(rng.choice([0, 1, 2, 5, 12, 30]))), rng.choice("IJ1")) for _ in range(400)]
+    made += [("aaaaaaaaaaaIIIbbbbbbbbbbbbbb", "I"), ("abcdefghijkl", "I"), ("Iaaaaaaaaaaaaaaaa", "I"), ("aaaaaaaaaaaaaaaaI", "I")]
+    df = spark.createDataFrame([(i, q, m) for i, (q, m) in enumerate(made)], "aln_idx long, qual string, mode string")
+    split = quality.split_strings(df)
+    for r in split.collect():
+        assert (r["prefix"], r["core"], r["suffix"]) == _trim_by_hand(*made[r["aln_idx"]]), made[r["aln_idx"]]
+    assert {r["aln_idx"]: r["qual"] for r in quality.restore_strings(split).collect()} == {i: q for i, (q, _) in enumerate(made)}
+
+
+def test_long_clips_and_runs(spark):
+    seq = "A" * 12_000 + "C" * 20 + "G" * 15_000
+    df = spark.createDataFrame([("12000S20M15000S", seq)], "cigar string, seq string")
+    got = edits.soft_clips(df).first()
+    assert (got["left_clip"], got["right_clip"]) == ("A" * 12_000, "G" * 15_000)
+    each = spark.createDataFrame([(0, 1, "I", 10, i) for i in range(1500)] + [(0, 2, "D", 1510, i) for i in range(3)], "aln_idx long, ord int, op string, at int, i int")
+    assert sorted(map(tuple, edits.indel_runs(each, ["ord", "i"]).collect())) == [(0, 1, "I", 10, 1500), (0, 2, "D", 1510, 3)]
+
+
+def test_weighted_mode_by_hand(spark):
+    rng = random.Random(9)
+    made = ["", " ", "  !", "~~~", "z"] + ["".join(chr(rng.randint(32, rng.choice([40, 126]))) for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    got = spark.createDataFrame([(i, q) for i, q in enumerate(made)], "i int, q string").select("i", sq.weighted_mode(F.col("q")).alias("w")).collect()
+    for r in got:
+        mode, frequency = -1, 0
+        for c in range(90):
+            n = made[r["i"]].count(chr(c + 32))
+            if c * n >= frequency * 10:
+                mode, frequency = c, n
+        assert (r["w"]["mode"], r["w"]["frequency"]) == (chr(mode + 32), frequency), made[r["i"]]
+
+
+def test_full_blocks_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS", 10)
+    rng = random.Random(5)
+    data = [(rng.choice([0, 0, 1]), rng.choice([3, 3, 3, 4, 50]), i, rng.randint(-5, 5)) for i in range(400)]  # one deep position
+    df = spark.createDataFrame(data, "k int, a int, b int, x int")
+    blocks = ordered._blocked(df, ["k"], ["a", "b"], 64)
+    assert blocks.groupBy("k", "_block").count().agg(F.max("count")).first()[0] <= 40
+    out = ordered.running_sum(ordered.previous(df, ["k"], ["a", "b"], "x", "before", 64), ["k"], ["a", "b"], F.col("x"), "total", 64)
+    out = ordered.latest(out.withColumn("some", F.when(F.col("b") % 7 == 0, F.col("x"))), ["k"], ["a", "b"], "some", "last", 64)
+    got = {r["b"]: (r["before"], r["total"], r["last"]) for r in out.collect()}
+    for k in range(2):
+        before, total, last = None, 0, None
+        for _, a, b, x in sorted(d for d in data if d[0] == k):
+            total, last = total + x, x if b % 7 == 0 else last
+            assert got[b] == (before, total, last)
+            before = x
 
 
 def _greedy_by_hand(strings, share):
@@ -135,7 +187,7 @@ def _greedy_by_hand(strings, share):
                 mode, frequency = c, n
         if frequency * 100 < len(qual) * 26:
             continue
-        core = quality.trim(qual, chr(mode + 32))[1]
+        core = _trim_by_hand(qual, chr(mode + 32))[1]
         if len(core) < 4:
             continue
         own = Counter(core[i : i + 4] for i in range(len(core) - 3))
@@ -171,15 +223,19 @@ def test_leaders_equal_greedy_by_hand(spark):
 
 
 def test_sam_round_trip(spark, tmp_path):
-    header = "@HD\tVN:1.0\n@SQ\tSN:ref0\tLN:100\n@SQ\tSN:ref1\tLN:50\n"
-    lines = ["r1\t0\tref0\t1\t60\t4M\t=\t11\t14\tACGT\tIIII\tMD:Z:4\tXS:i:3", "r2\t16\tref0\t5\t60\t4M\t*\t0\t0\tACNT\tIIII\tMD:Z:2G1", "r3\t0\tref1\t7\t9\t4M\tref0\t3\t0\tACGT\t!!!!\tMD:Z:4"]
+    header = "@HD\tVN:1.0\n@SQ\tSN:chrX\tLN:100\n@SQ\tSN:chr 2\tLN:50\n"
+    lines = ["r1\t0\tchrX\t1\t60\t4M\t=\t11\t14\tACGT\tIIII\tMD:Z:4\tXS:i:3\tXS:A:c", "r2\t16\tchrX\t5\t60\t4M\t*\t0\t0\tACNT\tIIII\tMD:Z:2G1", "r3\t0\tchr 2\t7\t9\t4M\tchrX\t3\t0\tACGT\t!!!!\tMD:Z:4", "r4\t4\t*\t0\t0\t*\t*\t0\t0\tACGT\t!!!!"]
     (tmp_path / "a.sam").write_text(header + "\n".join(lines) + "\n")
-    assert [tuple(r) for r in sam.read_header(spark, str(tmp_path / "a.sam")).collect()] == [(0, "ref0", 100), (1, "ref1", 50)]
+    refs = sam.read_header(spark, str(tmp_path / "a.sam"))
+    assert [tuple(r) for r in refs.collect()] == [(0, "chrX", 100), (1, "chr 2", 50)]
     rows = sam.read(spark, str(tmp_path / "a.sam"))
-    assert rows.where("qname = 'r1'").first()["opt"] == {"MD": "4", "XS": "3"}
-    sam.write(rows, str(tmp_path / "out"))
+    assert [tuple(t) for t in rows.where("qname = 'r1'").first()["opt"]] == [("MD", "Z", "4"), ("XS", "i", "3"), ("XS", "A", "c")]
+    assert rows.where("qname = 'r4'").first()["ref_id"] == -1
+    sam.write(rows, refs, str(tmp_path / "out"), version="1.0")
     back = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
-    assert sorted(back) == sorted(x.split("\tXS:")[0] for x in lines)
+    assert sorted(back) == sorted([*header.replace("VN:1.0", "VN:1.0\tSO:coordinate").strip().split("\n"), *lines])
+    first = sorted((tmp_path / "out").glob("part-00000*"))[0].read_text().split("\n")
+    assert first[0].startswith("@HD") and sam.read_version(spark, str(tmp_path / "out")) == "1.0"
     fq = sam.unaligned_fastq(spark.createDataFrame([("u", 4, "AC", "II"), ("v", 0, "AC", "II")], "qname string, flag int, seq string, qual string"))
     assert [r["value"] for r in fq.collect()] == ["@u\nAC\n+\nII"]
 
@@ -192,7 +248,11 @@ def test_fasta_and_index(spark, tmp_path):
     assert index == [("c1", 6, 10, 4, 5), ("c2", 4, 22, 4, 5)]
     fasta.write_fai(fasta.index(spark, path), str(tmp_path / "fai"))
     assert sorted(map(tuple, fasta.read_fai(spark, str(tmp_path / "fai")).collect())) == sorted(index)
-    assert fasta.load(spark, path, "c2").first()["seq"] == "GGGG"
+    assert [tuple(r) for r in fasta.load(spark, path, fasta.index(spark, path).where("name = 'c1'")).collect()] == [("c1", 6, "ACGTAC")]
+    (tmp_path / "b.fa").write_bytes(b">a\r\nACGT\r\n>b\r\nGG\r\nGG\r\nG")
+    assert [tuple(r) for r in fasta.index(spark, str(tmp_path / "b.fa")).collect()] == [("a", 4, 4, 4, 6), ("b", 5, 14, 2, 4)]
+    (tmp_path / "c.fq").write_text("@r1 x\nAC\n+\n@I\n@r2\nGT\n+r2\nII\n")
+    assert sorted(map(tuple, fasta.read_fastq(spark, str(tmp_path / "c.fq")).collect())) == [("r1", "AC", "@I"), ("r2", "GT", "II")]
 
 
 def test_logs(spark, tmp_path):
