@@ -10,10 +10,19 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))
 
 
+def _once(value: Column, of) -> Column:
+    """``of(value)`` with ``value`` computed once: inside another function's lambda it would be computed for each element."""
+    return F.transform(F.array(value), of)[0]
+
+
 def kmers(seq: Column, k: int) -> Column:
     """All substrings of length ``k``, in order; none where ``seq`` is shorter."""
-    last = F.length(seq) - k + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    def of(s: Column) -> Column:
+        last = F.length(s) - k + 1
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    return _once(seq, of)
 
 
 def minimizer(seq: Column, k: int = 12) -> Column:
@@ -22,7 +31,7 @@ def minimizer(seq: Column, k: int = 12) -> Column:
 
 
 def swaps_strand(seq: Column, k: int = 12) -> Column:
-    return F.coalesce(minimizer(reverse_complement(seq), k) < minimizer(seq, k), F.lit(False))
+    return _once(seq, lambda s: F.coalesce(minimizer(reverse_complement(s), k) < minimizer(s, k), F.lit(False)))
 
 
 def on_strand(value: Column, swapped: Column, turned: Column) -> Column:
@@ -84,7 +93,7 @@ def weighted_mode(qual: Column) -> Column:
 
     start = F.struct(F.lit(-99).alias("c"), F.lit(0).alias("n"), F.lit(89).alias("m"), F.lit(0).alias("f"))
     best = F.aggregate(codes, start, step, lambda a: F.struct(*weighed(a)))
-    return F.transform(F.array(best), lambda b: F.struct(F.char(b["m"] + 32).alias("mode"), b["f"].alias("frequency")))[0]
+    return _once(best, lambda b: F.struct(F.char(b["m"] + 32).alias("mode"), b["f"].alias("frequency")))
 
 
 def splice_bytes(length: Column) -> Column:
