@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 #: Stands in for a null id: such rows count as one more document, before all others.
 NO_ID = -(1 << 63)
 SPACE = " \t\n\x0b\x0c\r"
+#: A bit table has 2**bits bits, this many times the number of values where these bounds allow.
+MOST_BITS, LEAST_BITS, ROOM, BIT_PARTS = 27, 16, 64, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,3 +106,28 @@ def ranked(df: DataFrame, group: list[str], order: list[str], out: str, rows_per
         .withColumn(out, (F.col("_base") + F.col("_here")).cast("long"))
         .drop("_bucket", "_base", "_here")
     )
+
+
+def bit_table(rows: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A table of bits set at the 64-bit values of ``column``, made in parts, and the log of its size: at most 2**MOST_BITS bits."""
+    values = rows.select(F.col(column).alias("value")).distinct()
+    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, values.count()) * ROOM)))))
+    part = (1 << bits) // BIT_PARTS
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(part, bool)
+        held[pdf["bit"].to_numpy() % part] = True
+        return pd.DataFrame({"part": [int(pdf["bit"].iloc[0]) // part], "cells": [np.packbits(held).tobytes()]})
+
+    bit = F.shiftrightunsigned("value", 64 - bits)
+    parts = values.select(bit.alias("bit")).distinct().groupBy(F.floor(F.col("bit") / part)).applyInPandas(fill, "part int, cells binary").collect()
+    table = np.zeros((BIT_PARTS, part // 8), np.uint8)
+    for p, cells in parts:
+        table[p] = np.frombuffer(cells, np.uint8)
+    return table.ravel(), bits
+
+
+def in_bits(table: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
+    """Which of the unsigned 64-bit ``values`` the table may hold."""
+    bit = (values >> np.uint64(64 - bits)).astype(np.int64)
+    return (table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)

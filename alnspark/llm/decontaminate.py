@@ -19,18 +19,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alnspark.llm.common import fresh, id_or_null, keyed, row_key, slices, stored
+from alnspark.llm.common import bit_table, fresh, id_or_null, in_bits, keyed, row_key, slices, stored
 from alnspark.llm.wordhash import ALNUM, Words, chunks, running_max, running_min
 
 WINDOW, GRAM = 10, 5
-#: The bit table has 2**bits bits, this many times the number of fingerprints where these bounds allow.
-MOST_BITS, LEAST_BITS, ROOM = 27, 16, 64
-PARTS = 64
 
 PRINT = "start int, n int, print long, before array<long>, after array<long>"
 
@@ -107,25 +103,6 @@ def item_classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kinds, stored(one.join(prints.where("item_id IS NOT NULL"), ["n", "print", "before", "after"]).select("class", "item_id").distinct(), "item-classes")
 
 
-def bit_table(prints: DataFrame) -> tuple[np.ndarray, int]:
-    """A table of bits set at the fingerprints, made in parts; at most 2**MOST_BITS bits."""
-    n = prints.select("print").distinct().count()
-    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, n) * ROOM)))))
-    part = (1 << bits) // PARTS
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = np.zeros(part, bool)
-        held[pdf["bit"].to_numpy() % part] = True
-        return pd.DataFrame({"part": [int(pdf["bit"].iloc[0]) // part], "cells": [np.packbits(held).tobytes()]})
-
-    bit = F.shiftrightunsigned("print", 64 - bits)
-    rows = prints.select(bit.alias("bit")).distinct().groupBy(F.floor(F.col("bit") / part)).applyInPandas(fill, "part int, cells binary").collect()
-    table = np.zeros((PARTS, part // 8), np.uint8)
-    for p, cells in rows:
-        table[p] = np.frombuffer(cells, np.uint8)
-    return table.ravel(), bits
-
-
 def candidates(docs: DataFrame, table: np.ndarray, bits: int, lengths: list[int], gram: int = GRAM) -> DataFrame:
     """(did, th, n_words, found): each keyed document with its fingerprints that the table may have."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -138,8 +115,7 @@ def candidates(docs: DataFrame, table: np.ndarray, bits: int, lengths: list[int]
             docs, columns = [], [[] for _ in names]
             for n in lengths:
                 found = Prints(words, n, gram)
-                bit = (found.print[found.at] >> np.uint64(64 - bits)).astype(np.int64)
-                found.keep((table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool))
+                found.keep(in_bits(table, bits, found.print[found.at]))
                 doc = words.doc[found.at]
                 docs.append(doc)
                 values = (pa.array((found.at - words.first[doc]).astype(np.int32)), pa.array(np.full(len(doc), n, np.int32)), pa.array(found.print[found.at].view(np.int64)), *found.around(words.first[doc], words.first[doc + 1]))
@@ -179,7 +155,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     if not gram <= window <= 15 - window + gram:
         raise ValueError("a window has at least as many words as a gram, and an extended one at most 15")
     items = stored(item_prints(benchmark, window, gram), "item-prints")
-    table, bits = bit_table(items)
+    table, bits = bit_table(items, "print")
     lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # at most ``window`` numbers
     scanned = stored(candidates(keyed(docs, id_col, text_col), table, bits, lengths, gram), "doc-prints")
     kinds, classes = item_classes(items)

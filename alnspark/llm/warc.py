@@ -1,45 +1,69 @@
 """WARC archives with revisit records.
 
-Headers are grouped by payload digest; the smallest page of a digest keeps its response record and the
-others become revisit records that refer to it.  The archives are written with fresh headers by Spark's
-text writer (a record ends with the four bytes that the writer puts after each line) and read back by
-their Content-Length fields.
+Headers (id, digest, size) are grouped by payload digest; the smallest page of a digest keeps its response record
+and the others become revisit records that refer to it.  Payloads stay where they are while the repeated digests
+are few enough to hand out.  Beyond that a bit table of bounded size tells which payloads may be repeated: only
+these move, dealt by digest and page, and revisit records are made of headers alone.
+
+The archives are written with fresh headers by Spark's text writer (a record ends with the four bytes that the
+writer puts after each line) and read back as a stream: the text reader cuts at the same four bytes, and records
+are put together again by their Content-Length, one at a time.
 
 Defined cases: a null html is an empty payload; payloads under ``min_bytes`` are always responses; a null
 page_id never becomes the original while the digest has another; pages with one page_id and equal
 payloads are all responses when that page_id is the smallest; a null url gives no target header; line
-breaks in a url are percent-encoded; an empty table gives no records.
+breaks in a url are percent-encoded; an empty table gives no records; a record must fit in a task's memory.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alnspark.llm.common import shared_path
+from alnspark.llm.common import bit_table, in_bits, shared_path, stored
 
 END = "\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-RECORDS_PER_FILE = 20_000
+#: Payload bytes of a file, about; and repeated digests (of some 100 bytes) that are handed to every task.
+FILE_BYTES, BROADCAST_ROWS = 256 << 20, 1_000_000
 
 
 def resolve(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, digest, refers_to); ``refers_to`` is set for revisits."""
+    """(page_id, url, payload, payload_bytes, digest, refers_to); ``refers_to`` is set for revisits, whose payload may be null."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    heads = pages.select("page_id", "url", payload.alias("payload")).select(
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).select(
         "*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2(F.encode("payload", "utf-8"), 256).alias("digest")
     )
-    first = heads.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = heads.join(first, "digest", "left")
+    large = F.col("payload_bytes") >= min_bytes
+    first = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = stored(first, "warc-firsts")
     other = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return joined.select("page_id", "url", "payload", "payload_bytes", "digest", F.when(other, F.col("first")).alias("refers_to"))
+    refers = F.when(other, F.col("first")).alias("refers_to")
+    names = ["page_id", "url", "payload", "payload_bytes", "digest", "refers_to"]
+    if first.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(first), "digest", "left").select(*names[:-1], refers)
+    table, bits = bit_table(first.select(F.xxhash64("digest").alias("mark")), "mark")
+    shared = pages.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may_repeat(marks: pd.Series) -> pd.Series:
+        return pd.Series(in_bits(shared.value, bits, marks.to_numpy().view(np.uint64)))
+
+    marked = rows.withColumn("repeats", large & may_repeat(F.xxhash64("digest")))
+    alone, maybe = marked.where("NOT repeats").drop("repeats"), marked.where("repeats").drop("repeats")
+    revisits = maybe.drop("payload").join(first, "digest").select("*", refers).where("refers_to IS NOT NULL")
+    x, y = maybe.alias("x"), revisits.select("digest", "page_id").alias("y")
+    kept = x.join(y, (F.col("x.digest") == F.col("y.digest")) & F.col("x.page_id").eqNullSafe(F.col("y.page_id")), "left_anti")
+    none = F.lit(None).cast("long").alias("refers_to")
+    return alone.select(*names[:-1], none).union(kept.select(*names[:-1], none)).union(revisits.withColumn("payload", F.lit(None).cast("string")).select(*names))
 
 
 def _uuid(*parts) -> F.Column:
@@ -74,49 +98,77 @@ def records(resolved: DataFrame) -> DataFrame:
 
 
 def write(resolved: DataFrame, path: str) -> None:
-    records(resolved).write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The (headers, block) pairs of an archive."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        head = dict(x.split(": ", 1) for x in data[at:stop].decode().split(END)[1:])
-        size = int(head["Content-Length"])
-        yield head, data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError("a record does not end where its Content-Length says")
-        at += 4
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Per record of the archives below ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload."""
-
-    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                rows = []
-                for head, block in parse(gzip.decompress(content)):
-                    page, revisit = head.get("X-Page-Id"), head["WARC-Type"] == "revisit"
-                    payload = block.split(b"\r\n\r\n", 1)[1]
-                    rows.append((
-                        None if page is None else int(page), int(head["X-Payload-Bytes"]) if revisit else len(payload),
-                        head["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest(),
-                        head["WARC-Type"], int(head["X-Refers-To-Page"]) if revisit else None, head.get("WARC-Target-URI"), None if revisit else payload.decode(),
-                    ))
-                out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"], dtype=object)
-                yield out.astype({"payload_bytes": "int64", "page_id": "Int64", "refers_to": "Int64"})
-
+    size = resolved.agg(F.avg(F.octet_length("payload"))).first()[0] or 0
+    most = max(1, int(FILE_BYTES / (size + 1_000)))
+    records(resolved).write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+
+def parse(data: bytearray) -> tuple[dict[str, str], bytes] | int:
+    """The first record's (headers, block), taken from ``data``; or how many bytes it needs at least."""
+    stop = data.find(b"\r\n\r\n")
+    if stop < 0:
+        return len(data) + 1
+    head = dict(x.split(": ", 1) for x in data[:stop].decode().split(END)[1:])
+    end = stop + 4 + int(head["Content-Length"])
+    if len(data) < end + 4:
+        return end + 4
+    if data[end : end + 4] != b"\r\n\r\n":
+        raise ValueError("a record does not end where its Content-Length says")
+    block = bytes(data[stop + 4 : end])
+    del data[: end + 4]
+    return head, block
+
+
+def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Per record of the archives below ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to, url and,
+    with ``payloads``, payload."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload string"
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInPandas(files, schema)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def row(head: dict[str, str], block: bytes) -> tuple:
+        page, revisit = head.get("X-Page-Id"), head["WARC-Type"] == "revisit"
+        payload = block.split(b"\r\n\r\n", 1)[1]
+        return (
+            None if page is None else int(page), int(head["X-Payload-Bytes"]) if revisit else len(payload),
+            head["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest(),
+            head["WARC-Type"], int(head["X-Refers-To-Page"]) if revisit else None, head.get("WARC-Target-URI"), payload.decode() if payloads and not revisit else None,
+        )
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, need, file = bytearray(), 0, None
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+        for batch in batches:
+            rows, size = [], 0
+            for name, part in zip(batch.column("file").to_pylist(), batch.column("value").cast(pa.binary()).to_pylist()):
+                if name != file:  # what is left of a file are line breaks
+                    if held.strip():
+                        raise ValueError("a file ends within a record")
+                    held, need, file = bytearray(), 0, name
+                held += part + b"\r\n\r\n"
+                while len(held) >= need and held.strip(b"\r\n"):
+                    found = parse(held)
+                    if isinstance(found, int):
+                        need = found
+                        break
+                    need = 0
+                    rows.append(row(*found))
+                    size += len(found[1])
+                if size > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+        if held.strip():
+            raise ValueError("a file ends within a record")
+
+    lines = spark.read.option("lineSep", END * 2).text(path).select("value", F.xxhash64("_metadata.file_path").alias("file"))
+    return lines.mapInArrow(assemble, schema)
 
 
 def query(spark: SparkSession, pages: DataFrame) -> DataFrame:
     path = shared_path(spark, "warc")
     write(resolve(pages), path)
-    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """

@@ -35,18 +35,24 @@ def _pages():
     return [(5, "http://a/5", big), (2, "http://a/2\r\nX: y", big), (9, None, big), (9, None, big), (2**60 + 1, "u", crlf), (2**60 + 3, "u", crlf), (3, "u", "short"), (4, "u", "short"), (6, "u", None), (7, "u", ""), (None, "u", big), (None, "v", None)]
 
 
+@pytest.mark.parametrize("few", [1_000_000, -1])
 @pytest.mark.parametrize("rows", [_pages(), []])
-def test_warc_equals_sql(spark, rows):
+def test_warc_equals_sql(spark, monkeypatch, rows, few):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", few)
     fx.same(warc.query(spark, fx.frame(spark, rows, PAGES)), fx.sql(warc.SQL, pages=(rows, PAGES)))
 
 
-def test_warc_round_trip(spark):
-    rows = _pages()
+def test_warc_round_trip(spark, monkeypatch):
+    rng = random.Random(2)
+    breaks = [(100 + i, "u", "".join(rng.choice(["\r", "\n", "\r\n", "a", "WARC/1.1"]) for _ in range(rng.randint(0, 60)))) for i in range(300)]
+    rows = _pages() + breaks + [(1000, "long", "é\r\n\r\n" * 500_000), (1001, "u", "x\r\n")]
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
     path = shared_path(spark, "t")
     warc.write(warc.resolve(fx.frame(spark, rows, PAGES)), path)
-    got = [r for r in warc.read(spark, path).collect() if r["record_type"] == "response"]
-    want = {(p, h or "") for p, _, h in rows}
-    assert {(r["page_id"], r["payload"]) for r in got} <= want
+    got = warc.read(spark, path).collect()
+    assert len(got) == len(rows)
+    assert {(r["page_id"], r["payload"]) for r in got if r["record_type"] == "response"} <= {(p, h or "") for p, _, h in rows}
+    assert {r["page_id"] for r in got} == {p for p, *_ in rows} and max(r["payload_bytes"] for r in got) == 3_000_000
 
 
 def _check_rows_law(out, n):
