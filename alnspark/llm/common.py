@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Stands in for a null id: such rows count as one more document, before all others.
 NO_ID = -(1 << 63)
 SPACE = " \t\n\x0b\x0c\r"
+MOST_BUCKETS = 100_000
 #: A bit table has 2**bits bits, this many times the number of values where these bounds allow.
 MOST_BITS, LEAST_BITS, ROOM, BIT_PARTS = 27, 16, 64, 64
 
@@ -91,7 +92,8 @@ def ranked(df: DataFrame, group: list[str], order: list[str], out: str, rows_per
     No group meets in one task: a group's rows are dealt to buckets by the order columns' hash, as many as
     its size asks for, ranked there, and moved up by the running count of the buckets before.  ``df`` is read
     three times, so hand over a stored table."""
-    sizes = df.groupBy(*group).agg(F.ceil(F.count("*") / rows_per_task).alias("_buckets"))
+    # of a very large group the buckets grow instead of their number
+    sizes = df.groupBy(*group).agg(F.ceil(F.count("*") / F.greatest(F.lit(rows_per_task), F.count("*") / MOST_BUCKETS)).alias("_buckets"))
     df = df.join(F.broadcast(sizes), group).withColumn("_bucket", F.pmod(F.xxhash64(*order), "_buckets")).drop("_buckets")
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = (

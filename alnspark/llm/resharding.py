@@ -1,13 +1,16 @@
 """Resharding by minimum-cost flow.
 
-The rows of each old shard are counted in blocks by size class.  A flow network with one node a block
-and a shard (its size depends on the number of shards, not of rows) gives each new shard its capacity in
-rows at the fewest bytes moved: a block's rows stay where they are for nothing or move at their mean
-size.  The blocks' rows are then ranked without gaps and dealt by the flow, and files of shards that
-neither lose nor gain a row are left alone.
+To move the fewest bytes an overfull shard gives up its smallest rows.  How many it gives depends on whether it
+is one of the shards that hold a row more, so two sizes matter in each shard: those of the last row that goes in
+either case.  They are found digit by digit from counts.  They cut a shard's rows into at most four blocks; rows
+below go, rows above stay.  A flow network with one node a block and a shard (its size depends on the number of
+shards, not of rows) then gives each new shard its capacity in rows, and places the extra rows, at the fewest
+bytes moved.  Rows of blocks with several targets are ranked without gaps and dealt by the flow, and files of
+shards that neither lose nor gain a row are left alone.
 
 Defined cases: a null text has no bytes; null ids are placed like any other row; equal rows are separate
-rows; an empty table gives no rows.  Law ``rows``: counts of any two shards differ by one at most.
+rows; an empty table gives no rows; columns of any name pass.  Law ``rows``: counts of any two shards differ by
+one at most.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alnspark.llm.common import ranked, stored
+from alnspark.llm.common import ranked, shared_path, stored
 
 SHARDS, OLD_SHARDS, OVERHEAD = 24, 16, 8
 
@@ -61,13 +64,12 @@ def min_cost_flow(n: int, edges: list[tuple[int, int, int, int]], source: int, s
 
 
 def plan(blocks: list[tuple[int, int, int, int]], shards: int) -> list[tuple[int, int, int, int, int]]:
-    """From (old shard, size class, rows, bytes): (old shard, size class, new shard, first rank, end rank)."""
+    """From (old shard, block, rows, bytes): (old shard, block, new shard, first rank, end rank).
+
+    Rows cost their block's mean size, and a little, so that of equal bytes the fewest rows move."""
     total = sum(rows for _, _, rows, _ in blocks)
-    before = {s: sum(r for o, _, r, _ in blocks if o == s) for s in range(shards)}
-    fuller = set(sorted(range(shards), key=lambda s: (-before[s], s))[: total % shards])
-    holds = [total // shards + (s in fuller) for s in range(shards)]
     b = len(blocks)
-    source, pool, sink = b + shards, b + shards + 1, b + shards + 2
+    source, pool, extra, sink = b + shards, b + shards + 1, b + shards + 2, b + shards + 3
     edges, stay, move = [], {}, {}
     for i, (old, _, rows, size) in enumerate(blocks):
         edges.append((source, i, rows, 0))
@@ -75,24 +77,26 @@ def plan(blocks: list[tuple[int, int, int, int]], shards: int) -> list[tuple[int
             stay[i] = len(edges)
             edges.append((i, b + old, rows, 0))
         move[i] = len(edges)
-        edges.append((i, pool, rows, max(1, size // rows)))
+        edges.append((i, pool, rows, (size << 20) // rows + 1))
     into = {}
     for s in range(shards):
         into[s] = len(edges)
         edges.append((pool, b + s, total, 0))
-        edges.append((b + s, sink, holds[s], 0))
-    flow = min_cost_flow(b + shards + 3, edges, source, sink)
+        edges.append((b + s, sink, total // shards, 0))
+        edges.append((b + s, extra, 1, 0))
+    edges.append((extra, sink, total % shards, 0))
+    flow = min_cost_flow(b + shards + 4, edges, source, sink)
     wants = [[s, flow[into[s]]] for s in range(shards) if flow[into[s]]]
     out = []
-    for i, (old, size, rows, _) in enumerate(blocks):
+    for i, (old, block, rows, _) in enumerate(blocks):
         at = flow[stay[i]] if i in stay else 0
         if at:
-            out.append((old, size, old, 0, at))
+            out.append((old, block, old, 0, at))
         left = flow[move[i]]
         while left:
             target = wants[-1]
             n = min(left, target[1])
-            out.append((old, size, target[0], at, at + n))
+            out.append((old, block, target[0], at, at + n))
             at, left = at + n, left - n
             target[1] -= n
             if not target[1]:
@@ -100,19 +104,53 @@ def plan(blocks: list[tuple[int, int, int, int]], shards: int) -> list[tuple[int
     return out
 
 
+def nth_sizes(rows: DataFrame, ranks: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
+    """The size of the ``rank``-th smallest row (from 1) of a shard, for each (old shard, rank): a byte at a time, by counts."""
+    most = rows.agg(F.max("size")).first()[0] or 0
+    state = {key: (0, key[1]) for key in ranks}
+    for shift in range((max(1, most.bit_length()) + 7) // 8 * 8 - 8, -1, -8):
+        heads = rows.sparkSession.createDataFrame(sorted({(old, at) for (old, _), (at, _) in state.items()}), "old int, head long")  # two a shard
+        held = rows.join(F.broadcast(heads), (rows["old"] == heads["old"]) & (F.shiftright("size", shift + 8) == F.col("head")))
+        digits: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        counts = held.groupBy(heads["old"], "head", F.shiftright("size", shift).bitwiseAND(255).alias("digit")).count()
+        for old, head, digit, n in sorted(map(tuple, counts.collect())):  # 512 rows a shard
+            digits.setdefault((old, head), []).append((digit, n))
+        for key, (head, left) in state.items():
+            for digit, n in digits[key[0], head]:
+                if left <= n:
+                    break
+                left -= n
+            state[key] = (head * 256 + digit, left)
+    return {key: size for key, (size, _) in state.items()}
+
+
 def reshard(rows: DataFrame, old: str, size: str, order: list[str], shards: int) -> DataFrame:
     """Add ``shard`` to ``rows``; ``old`` is the shard a row lies in, ``size`` its bytes, ``order`` tells rows apart."""
     spark = rows.sparkSession
-    # two classes an octave: the number of blocks depends on the number of shards alone
-    rows = stored(rows.withColumn("_class", F.floor(2 * F.log2(F.greatest(F.col(size), F.lit(1)).cast("double"))).cast("int")), "reshard-rows")
-    blocks = [tuple(map(int, r)) for r in rows.groupBy(old, "_class").agg(F.count("*"), F.sum(size)).orderBy(old, "_class").collect()]
-    moves = spark.createDataFrame(plan(blocks, shards), f"`{old}` int, _class int, shard int, _from long, _to long")
-    return (
-        ranked(rows, [old, "_class"], order, "_rank")
-        .join(F.broadcast(moves), [old, "_class"])  # at most as many rows as blocks and shards
-        .where("_rank >= _from AND _rank < _to")
-        .drop("_class", "_rank", "_from", "_to")
-    )
+    own = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "shard"]).alias("row")
+    keys = [f"o{i}" for i in range(len(order))]
+    packed = stored(rows.select(own, F.col(f"`{old}`").cast("int").alias("old"), F.col(f"`{size}`").cast("long").alias("size"), *[F.col(f"`{c}`").alias(k) for c, k in zip(order, keys)]), "reshard-rows")
+    held = {r["old"]: r["count"] for r in packed.groupBy("old").count().collect()}  # shards
+    each, extra = divmod(sum(held.values()), shards)
+    gives = {o: sorted({n - each - (extra > 0), n - each} - {0}) for o, n in held.items() if o < shards and n > each}
+    sizes = nth_sizes(packed, [(o, r) for o, ranks in gives.items() for r in ranks]) if any(gives.values()) else {}
+    cuts = [(o, *([-1] * (2 - len(ranks)) + [sizes[o, r] for r in ranks])) for o, ranks in gives.items()]
+    low, high = F.col("low"), F.col("high")
+    # low and high are neighbours in the shard's order, so nothing lies between them
+    block = F.when(low.isNull() | (F.col("size") < high) & (F.col("size") != low), 0).when(F.col("size") == low, 1).when(F.col("size") == high, 2).otherwise(3)
+    packed = packed.join(F.broadcast(spark.createDataFrame(cuts, "old int, low long, high long")), "old", "left").withColumn("block", block).drop("low", "high")
+    blocks = [tuple(map(int, r)) for r in packed.groupBy("old", "block").agg(F.count("*"), F.sum("size")).orderBy("old", "block").collect()]
+    steps = plan(blocks, shards)
+    rows_of = {(o, c): n for o, c, n, _ in blocks}
+    table = lambda some: F.broadcast(spark.createDataFrame(some, "old int, block int, shard int, first long, end long"))  # noqa: E731  blocks and shards
+    whole = [s for s in steps if s[4] - s[3] == rows_of[s[0], s[1]]]
+    parts = [s for s in steps if s not in whole]
+    out = packed.join(table(whole), ["old", "block"]).select("row.*", "shard")
+    if not parts:
+        return out
+    split = stored(packed.join(table(parts).select("old", "block").distinct(), ["old", "block"], "left_semi"), "reshard-split")
+    dealt = ranked(split, ["old", "block"], keys, "rank").join(table(parts), ["old", "block"]).where("rank >= first AND rank < end")
+    return out.union(dealt.select("row.*", "shard"))
 
 
 def rewrite(docs: DataFrame, assigned: DataFrame, ids: list[str], path: str) -> list[int]:
@@ -159,8 +197,15 @@ def old_layout(source: Column, shards: int = OLD_SHARDS) -> Column:
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Lays the documents out by source, solves the transfers, rewrites the files of the shards that change, and reads the result."""
+    path, kept = shared_path(spark, "shards"), "doc_id long, text string, shard int"
+    old = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), old_layout(F.col("source")).alias("shard"))
+    old.write.partitionBy("shard").parquet(path)
     data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    rows = docs.select("doc_id", (F.octet_length(data) + OVERHEAD).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), old_layout(F.col("source")).alias("old"))
-    placed = stored(reshard(rows, "old", "size", ["doc_id", "text_crc32", "size"], SHARDS), "resharded")
-    out = ranked(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot")
+    measured = lambda df: df.withColumns({"size": (F.octet_length(data) + OVERHEAD).cast("long"), "text_crc32": F.crc32(data)})
+    rows, keys = measured(spark.read.schema(kept).parquet(path)), ["doc_id", "text_crc32", "size"]
+    placed = stored(reshard(rows.select(*keys, F.col("shard").alias("old")), "old", "size", keys, SHARDS), "resharded")
+    rewrite(rows.select(*keys, "text"), placed, keys, path)
+    out = stored(measured(spark.read.schema(kept).parquet(path)).select(*keys, "shard"), "reshard-result")
+    out = ranked(out, ["shard"], keys, "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -94,6 +94,30 @@ def test_flow_moves_the_fewest_bytes():
         assert moved == best
 
 
+def _fewest_bytes(rows, shards):
+    best = None
+    for to in itertools.product(range(shards), repeat=len(rows)):
+        counts = [to.count(s) for s in range(shards)]
+        if max(counts) - min(counts) <= 1:
+            cost = sum(size for (old, size), t in zip(rows, to) if t != old)
+            best = cost if best is None else min(best, cost)
+    return best
+
+
+def test_resharding_moves_the_fewest_bytes(spark):
+    rng = random.Random(4)
+    cases = [([(0, 300), (0, 300), (0, 7), (0, 7), (0, 300), (1, 70_000)], 3), ([(0, 126)] * 3 + [(0, 100)] * 3, 2), ([(0, 0), (0, 1), (0, 2)], 2)]
+    cases += [([(rng.choice([0, 0, 0, 1, 4]), rng.choice([5, 5, 260, rng.randint(0, 100_000)])) for _ in range(rng.randint(3, 7))], rng.randint(1, 3)) for _ in range(5)]
+    for rows, shards in cases:
+        df = spark.createDataFrame([(i, o, n, 1, "x") for i, (o, n) in enumerate(rows)], "doc_id long, old int, size long, _rank int, block string")
+        out = resharding.reshard(df, "old", "size", ["doc_id"], shards)
+        assert out.columns == [*df.columns, "shard"]
+        got = out.collect()
+        counts = [sum(r["shard"] == s for r in got) for s in range(shards)]
+        assert len(got) == len(rows) and max(counts) - min(counts) <= 1
+        assert sum(r["size"] for r in got if r["old"] != r["shard"]) == _fewest_bytes(rows, shards), rows
+
+
 def test_rewrite_touches_changed_shards_only(spark):
     rows = spark.createDataFrame([(i, 0 if i < 6 else 1 if i < 12 else 2, 10) for i in range(19)], "doc_id long, old int, size long")
     placed = resharding.reshard(rows, "old", "size", ["doc_id"], 3)
