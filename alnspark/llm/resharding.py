@@ -171,19 +171,23 @@ def rewrite(docs: DataFrame, assigned: DataFrame, ids: list[str], path: str) ->
         return []
     same = lambda cols: reduce(and_, (F.col(f"x.`{c}`").eqNullSafe(F.col(f"y.`{c}`")) for c in cols))
     digest = F.xxhash64(*texts) if texts else F.lit(0)
-    mixed = docs.groupBy(*keys).agg(F.min(digest).alias("_lo"), F.max(digest).alias("_hi")).where("_lo <> _hi")
+    repeated = stored(docs.groupBy(*keys).agg(F.min(digest).alias("_lo"), F.max(digest).alias("_hi"), F.count("*").alias("_n")).where("_n > 1"), "reshard-repeated")
+    mixed = repeated.where("_lo <> _hi")
     places = assigned.alias("x").join(mixed.alias("y"), same(keys), "left_semi").withColumn("_at", F.explode(F.array("old", "shard")))
     sets = places.groupBy(*keys).agg(F.sort_array(F.collect_set("_at")).alias("_at"))
     linked = sets.select(F.col("_at")[0].alias("a"), F.explode("_at").alias("b")).distinct().collect()  # pairs of shards
     while more := {s for a, b in linked if a in changed or b in changed for s in (a, b)} - changed:
         changed |= more
     nth = lambda df, *order: df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    x, y = nth(docs, digest).alias("x"), nth(assigned, "old", "shard").alias("y")
-    both = x.join(y, same([*keys, "_nth"])).where(F.col("y.shard").isin(changed))
+    if repeated.isEmpty():  # texts are dealt once
+        both = docs.alias("x").join(assigned.alias("y"), same(keys))
+    else:
+        both = nth(docs, digest).alias("x").join(nth(assigned, "old", "shard").alias("y"), same([*keys, "_nth"]))
+    both = both.where(F.col("y.shard").isin(changed))
     staged = stored(both.select(*[F.col(f"x.`{c}`") for c in [*keys, *texts]], "y.shard"), "reshard-staged")
     if staged.count() != assigned.where(F.col("shard").isin(changed)).count():
         raise ValueError("docs and assigned don't have the same rows")
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 1_000_000).partitionBy("shard").parquet(path)
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 1_000_000).option("compression", "zstd").partitionBy("shard").parquet(path)
     held = {r[0] for r in staged.select("shard").distinct().collect()}
     for shard in changed - held:  # nothing was written there, so the old files would stay
         gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/shard={shard}")
@@ -200,7 +204,7 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Lays the documents out by source, solves the transfers, rewrites the files of the shards that change, and reads the result."""
     path, kept = shared_path(spark, "shards"), "doc_id long, text string, shard int"
     old = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), old_layout(F.col("source")).alias("shard"))
-    old.write.partitionBy("shard").parquet(path)
+    old.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     measured = lambda df: df.withColumns({"size": (F.octet_length(data) + OVERHEAD).cast("long"), "text_crc32": F.crc32(data)})
     rows, keys = measured(spark.read.schema(kept).parquet(path)), ["doc_id", "text_crc32", "size"]
