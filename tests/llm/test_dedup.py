@@ -198,11 +198,16 @@ def test_fingerprint_index_is_incremental(spark, monkeypatch):
     monkeypatch.setattr(fingerprint_dedup, "BROADCAST_ROWS", -1)
     rows = fx.documents()
     docs = fx.frame(spark, rows)
-    index = fingerprint_dedup.FingerprintIndex(spark, shared_path(spark, "t"))
+    path = shared_path(spark, "t")
+    index = fingerprint_dedup.FingerprintIndex(spark, path)
     for i in range(4):
         index.append(docs.where(F.col("doc_id") % 4 == i))
-    assert len(index.runs) <= 3  # compacted
-    out = index.apply(docs).select(F.col("did").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    assert [r[:2] for r in index.runs] == [(0, 2), (3, 3)]  # compacted once
+    again = fingerprint_dedup.FingerprintIndex(spark, path)  # opened again
+    assert [r[:2] for r in again.runs] == [(0, 2), (3, 3)] and again.batches == 4 and again.buckets == index.buckets
+    plan = again._found(again.runs[1][2])._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan.split("== Physical Plan ==")[1]  # history is not moved
+    out = again.apply(docs).select(F.col("did").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
     fx.same(out, fx.sql(fingerprint_dedup.SQL, documents=(rows, fx.DOCS)))
 
 
