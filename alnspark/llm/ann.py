@@ -3,8 +3,10 @@
 Distinct vectors are dealt over shards of bounded size.  A shard starts from a random graph; each point's
 greedy search proposes neighbours, and relaxed distance pruning keeps a diverse few (a candidate goes if a
 kept one is nearer to it, by the factor ``alpha``, than the point is).  Edges are mirrored and pruned again.
-Queries, in blocks, are searched in every shard with a beam; the finds are scored in double precision on the
-original vectors and merged.  All work inside a shard is on arrays of many points at once.
+Queries, in blocks, are dealt to every shard and stream past its graph, which is searched with a beam; the finds are
+scored in double precision on the original vectors and merged.  All work inside a shard is on arrays of many
+points at once.  A shard's graph does not move for a block; shards grow with the table up to a bound, so that
+their number, and with it the copies of the queries, stays small for long.
 
 Equal vectors are one node that carries their smallest ids, as many as a result can need.
 
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 from alnspark.llm.common import stored
 
 K, DEGREE, BEAM, ALPHA = 5, 32, 96, 1.2
-SHARD_ROWS, BLOCK_ROWS, BATCH = 4_096, 2_048, 256
+BLOCK_ROWS, BATCH = 2_048, 256
+#: Vectors of a shard: the table dealt to ``SHARDS`` shards, within these bounds.
+LEAST_ROWS, MOST_ROWS, SHARDS = 4_096, 262_144, 64
 
 
 class Graph:
@@ -133,27 +137,27 @@ def usable(vectors: DataFrame) -> DataFrame:
     whole = F.size(v) > 0
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     some = F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & whole & finite & some).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<float>").alias("v"))
+    rows = vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & whole & finite & some).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
     rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
     most = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     return rows.where(F.size("v") == (most[0] if most else 0))
 
 
 def _matrix(arrays) -> np.ndarray:
-    return np.stack([np.asarray(a, np.float32) for a in arrays])
+    return np.stack([np.asarray(a, np.float64) for a in arrays])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-def build(rows: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
-    """The index (shard, dim, vectors, edges, members) of usable rows, and its number of shards."""
+def build(rows: DataFrame, k: int = K) -> tuple[DataFrame, int]:
+    """The index (shard, dim, vectors, edges, members, sizes) of usable rows, and its number of shards."""
     own = Window.partitionBy("v").orderBy("vec_id")
     nodes = rows.withColumn("place", F.row_number().over(own)).where(F.col("place") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     nodes = stored(nodes, "ann-nodes")
-    shards = max(1, -(-nodes.count() // shard_rows))
+    n = nodes.count()
+    shards = max(1, -(-n // min(MOST_ROWS, max(LEAST_ROWS, -(-n // SHARDS)))))
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.iloc[np.argsort([i[0] for i in pdf["ids"]])]
@@ -165,7 +169,8 @@ def build(rows: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> tuple[Da
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "dim": [x.shape[1]], "vectors": [x.tobytes()], "edges": [Graph(_unit(x)).out.tobytes()], "members": [members.tobytes()], "sizes": [lens.tobytes()]})
 
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(make, "shard int, dim int, vectors binary, edges binary, members binary, sizes binary"), shards
+    # a task a shard, however small the shards are
+    return dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(make, "shard int, dim int, vectors binary, edges binary, members binary, sizes binary"), shards
 
 
 def search(queries: DataFrame, index: DataFrame, shards: int, k: int = K, beam: int = BEAM) -> DataFrame:
@@ -173,36 +178,46 @@ def search(queries: DataFrame, index: DataFrame, shards: int, k: int = K, beam:
     blocks = max(1, -(-queries.count() // BLOCK_ROWS))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "query_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "query_vectors": [_matrix(pdf["v"]).tobytes()]})
+        q = _matrix(pdf["v"])
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "dim": [q.shape[1]], "vectors": [q.tobytes()], "members": [pdf["vec_id"].to_numpy(np.int64).tobytes()]})
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for one in pdf.itertuples():
-                x = np.frombuffer(one.vectors, np.float32).reshape(-1, one.dim)
-                members, sizes = np.frombuffer(one.members, np.int64).reshape(len(x), -1), np.frombuffer(one.sizes, np.int32)
-                ids, q = np.frombuffer(one.query_ids, np.int64), np.frombuffer(one.query_vectors, np.float32).reshape(-1, one.dim)
-                graph = Graph(_unit(x), np.frombuffer(one.edges, np.int32).reshape(len(x), -1))
-                exact = x.astype(np.float64)
+        at, graph = None, None
+        for one in (one for pdf in batches for one in pdf.itertuples()):
+            if one.block < 0:  # a shard's graph, ahead of the blocks that ask it
+                at = (one.shard, one.copy)
+                exact = np.frombuffer(one.vectors, np.float64).reshape(-1, int(one.dim))
+                graph = Graph(_unit(exact), np.frombuffer(one.edges, np.int32).reshape(len(exact), -1))
+                members, sizes = np.frombuffer(one.members, np.int64).reshape(len(exact), -1), np.frombuffer(one.sizes, np.int32)
                 norm = np.sqrt((exact * exact).sum(axis=1))
-                for lo in range(0, len(ids), BATCH):
-                    part, own = q[lo : lo + BATCH].astype(np.float64), ids[lo : lo + BATCH]
-                    found, _ = graph.search(_unit(part), beam)
-                    found = found[:, : 4 * (k + 1)]
-                    score = np.einsum("bd,bkd->bk", part, exact[found]) / (norm[found] * np.sqrt((part * part).sum(axis=1))[:, None])
-                    score[found < 0] = -np.inf
-                    # each node stands for up to k + 1 ids
-                    near = members[found]
-                    valid = (np.arange(members.shape[1]) < sizes[found][..., None]) & (near != own[:, None, None]) & (found >= 0)[..., None]
-                    near, value = near.reshape(len(own), -1), np.where(valid, score[..., None], -np.inf).reshape(len(own), -1)
-                    order = np.lexsort((near, -value), axis=1)[:, :k]
-                    near, value = np.take_along_axis(near, order, 1), np.take_along_axis(value, order, 1)
-                    some = np.isfinite(value)
-                    yield pd.DataFrame({"query_id": np.repeat(own, some.sum(axis=1)), "vec_id": near[some], "score": value[some]})
-
-    packed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(pack, "block int, query_ids binary, query_vectors binary")
-    asked = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = asked.join(index, "shard").repartition(shards * blocks, "shard", "block")
-    finds = pairs.mapInPandas(look, "query_id long, vec_id long, score double")
+                continue
+            if at != (one.shard, one.copy):
+                raise ValueError("a block came without its shard")
+            ids, q = np.frombuffer(one.members, np.int64), np.frombuffer(one.vectors, np.float64).reshape(-1, int(one.dim))
+            for lo in range(0, len(ids), BATCH):
+                part, own = q[lo : lo + BATCH], ids[lo : lo + BATCH]
+                found, _ = graph.search(_unit(part), beam)
+                found = found[:, : 4 * (k + 1)]
+                score = np.einsum("bd,bkd->bk", part, exact[found]) / (norm[found] * np.sqrt((part * part).sum(axis=1))[:, None])
+                score[found < 0] = -np.inf
+                # each node stands for up to k + 1 ids
+                near = members[found]
+                valid = (np.arange(members.shape[1]) < sizes[found][..., None]) & (near != own[:, None, None]) & (found >= 0)[..., None]
+                near, value = near.reshape(len(own), -1), np.where(valid, score[..., None], -np.inf).reshape(len(own), -1)
+                order = np.lexsort((near, -value), axis=1)[:, :k]
+                near, value = np.take_along_axis(near, order, 1), np.take_along_axis(value, order, 1)
+                some = np.isfinite(value)
+                yield pd.DataFrame({"query_id": np.repeat(own, some.sum(axis=1)), "vec_id": near[some], "score": value[some]})
+
+    packed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(pack, "block int, dim int, vectors binary, members binary")
+    # where shards are few, several copies of each share the blocks
+    copies = min(blocks, max(1, -(-queries.sparkSession.sparkContext.defaultParallelism // shards)))
+    asked = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("copy", F.col("block") % copies)
+    none = F.lit(None).cast("binary")
+    heads = index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    columns = ["shard", "copy", "block", "dim", "vectors", "edges", "members", "sizes"]
+    both = heads.withColumn("block", F.lit(-1)).select(columns).union(asked.withColumns({"edges": none, "sizes": none}).select(columns))
+    finds = both.repartition(shards * copies, "shard", "copy").sortWithinPartitions("shard", "copy", "block").mapInPandas(look, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return finds.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

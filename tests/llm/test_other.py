@@ -226,15 +226,30 @@ def _nearest(rows, k):
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
-def test_neighbours_recall(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SHARD_ROWS", 700)
-    rows = _vectors(1500, 24)
-    got = fx.pdf(ann.query(spark, spark.createDataFrame(rows, SCHEMA)))
+@pytest.mark.parametrize("shards", [1, 5])
+def test_neighbours_recall(spark, monkeypatch, shards):
+    """Against brute force, with graphs that have more points than a beam; several shards and blocks of queries."""
+    monkeypatch.setattr(ann, "LEAST_ROWS", 3000 // shards)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 20)
+    rows = _vectors(3000, 24)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert ann.build(ann.usable(frame))[1] == shards
+    got = fx.pdf(ann.query(spark, frame))
     want = _nearest(rows, 5)
     hits = sum(len(set(g["vec_id"]) & set(want[q])) for q, g in got.groupby("query_id"))
     assert hits / (5 * len(want)) >= 0.9 and len(got) == 5 * len(want)
 
 
+def test_neighbours_of_doubles(spark):
+    base = [1.0] * 16
+    rows = [(0, base, 0)] + [(i, [1.0 + i * 1e-12, *base[1:]], 0) for i in range(1, 30)]  # apart in doubles alone
+    got = ann.query(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == 5 and all(r["score"] <= 1 + 1e-15 for r in got)
+    a, norm = np.array([r[1] for r in rows]), np.linalg.norm(np.array([r[1] for r in rows]), axis=1)
+    score = a @ a[0] / (norm * norm[0])
+    assert all(abs(r["score"] - score[r["vec_id"]]) < 1e-15 for r in got)
+
+
 def test_neighbours_hard_cases(spark):
     good = _vectors(40)
     copies = [(1000 + i, good[0][1], 1) for i in range(30)]
