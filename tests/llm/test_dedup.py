@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from alnspark.llm import fingerprint_dedup, jaccard_join, line_dedup, suffix_dedup
+from alnspark.llm import fingerprint_dedup, jaccard_join, line_dedup, suffix_array as suffixes, suffix_dedup
 from alnspark.llm.common import shared_path
 from alnspark.llm.suffix_array import shares_prefix, suffix_array
 from tests.llm import fixtures as fx
@@ -165,12 +165,24 @@ def test_rewrite_documents_keeps_columns(spark):
     assert (got["n_chars"] == got["text"].str.len()).all()
 
 
-def test_suffix_array_by_induced_sorting():
+@pytest.mark.parametrize("small", [1, 1 << 17])
+def test_suffix_array_by_induced_sorting(monkeypatch, small):
+    """Random, periodic and repeated texts over few and many symbols; buckets at once, and suffix by suffix."""
+    monkeypatch.setattr(suffixes, "SMALL", small)
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        n, k = int(rng.integers(0, 80)), int(rng.integers(1, 5))
-        text = np.append(rng.integers(1, k + 1, n), 0)
-        assert suffix_array(text, k + 1).tolist() == sorted(range(n + 1), key=lambda i: text[i:].tolist())
+    for turn in range(300):
+        n, k = int(rng.integers(0, 80)), int(rng.choice([1, 2, 3, 4, 40, 100_000]))
+        text = rng.integers(1, k + 1, n)
+        text = np.append([text, np.tile(text[:7], 9), np.concatenate([text, text[n // 3 :], text])][turn % 3], 0)
+        assert suffix_array(text, k + 1).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+
+
+def test_suffix_array_of_long_runs():
+    """Substrings of many words, which the names compare to their end."""
+    rng = np.random.default_rng(2)
+    text = np.concatenate([np.repeat([2, 1, 2, 3], n) for n in rng.choice([1, 2, 50, 51, 400], 60)])
+    text = np.append(text, 0)
+    assert suffix_array(text, 4).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
 
 
 def test_shared_prefixes():
