@@ -52,8 +52,8 @@ def _stretches(words: Words, window: int, gram: int):
     keep = valid[start]
     start, stop = start[keep], stop[keep]
     sums = np.zeros(n + 1, U)
-    np.cumsum(words.hash[0] * powers(0, n), out=sums[1:])
-    digest = mix((sums[stop + window - 1] - sums[start]) * powers(0, n + 1, True)[start] + (stop - start).astype(U))
+    np.cumsum(whole * powers(0, n), out=sums[1:])  # of windows: long rows of words have collisions that these lack
+    digest = mix((sums[stop] - sums[start]) * powers(0, n + 1, True)[start] + (stop - start).astype(U))
     held = np.sort(whole[valid])
     twice = np.unique(held[1:][held[1:] == held[:-1]])
     again = np.zeros(n + 1, np.int64)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from alnspark.llm.common import id_or_null, keyed, slices, stored
 from alnspark.llm.suffix_array import shares_prefix, suffix_array, words_at
-from alnspark.llm.wordhash import U, _byte_codes, mix, powers, running_min
+from alnspark.llm.wordhash import U, mix, powers, running_min
 
 LENGTH, GRAM = 50, 16
 GROUP_BYTES, SHARD_BYTES, BLOCK = 4 << 20, 2 << 20, 2 << 20
@@ -56,8 +56,7 @@ class Runs:
         sizes = np.fromiter(map(len, slices), np.int64, len(slices))
         at = np.concatenate([[0], np.cumsum(sizes + 1)])
         n = int(at[-1])
-        eight = words_at(data)
-        gram = mix(eight[:-8] * U(0x9E3779B97F4A7C15) + (eight[8:] ^ (eight[8:] >> U(29))) * U(0xD6E8FEB86659FD93))
+        gram = _grams(data)
         least = running_min(gram, length - GRAM + 1)[:n]
         owner = np.repeat(np.arange(len(slices)), sizes + 1)
         valid = np.arange(n) + length <= (at[:-1] + sizes)[owner]
@@ -68,13 +67,20 @@ class Runs:
         keep = valid[start]
         start, stop = start[keep], stop[keep]
         own = owner[start]
-        return doc[own], start - at[own] + base[own], stop - start, least[start], _codes(data, start, stop - start + length - 1)
+        return doc[own], start - at[own] + base[own], stop - start, least[start], _codes(gram, start, stop - start + length - 1)
 
 
-def _codes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(_byte_codes(0)[data] * powers(0, len(data)), out=sums[1:])
-    return mix((sums[start + size] - sums[start]) * powers(0, len(data) + 1, True)[start] + size.astype(U))
+def _grams(data: np.ndarray) -> np.ndarray:
+    """The hash of the GRAM bytes from each place, as far as 16 bytes are left."""
+    eight = words_at(data)
+    return mix(eight[:-8] * U(0x9E3779B97F4A7C15) + (eight[8:] ^ (eight[8:] >> U(29))) * U(0xD6E8FEB86659FD93))
+
+
+def _codes(gram: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of slices, over the hashes of their grams: a polynomial over bytes has known collisions."""
+    sums = np.zeros(len(gram) + 1, U)
+    np.cumsum(gram * powers(0, len(gram)), out=sums[1:])
+    return mix((sums[start + size - GRAM + 1] - sums[start]) * powers(0, len(gram) + 1, True)[start] + size.astype(U))
 
 
 def _blocks(texts: list[bytes], length: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
@@ -182,12 +188,12 @@ def pieces(docs: DataFrame, hits: DataFrame, length: int, parts: int, shards: in
             doc, start, windows, prints, code = runs.doc[take], runs.start[take], runs.windows[take], runs.print[take], runs.code[take]
             del runs, part, key, full, at
             offset = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-            data = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
+            data = np.frombuffer(b"".join(texts) + b"\0" * GRAM, np.uint8)
             if hot.any():  # one piece a window
                 many = np.repeat(np.flatnonzero(hot), windows[hot])
                 step = np.arange(len(many)) - np.repeat(np.cumsum(windows[hot]) - windows[hot], windows[hot])
                 d, s = doc[many], start[many] + step
-                c = _codes(data, offset[d] + s, np.full(len(d), length))
+                c = _codes(_grams(data), offset[d] + s, np.full(len(d), length))
                 doc, start, windows, prints, code = (np.concatenate([x[~hot], y]) for x, y in ((doc, d), (start, s), (windows, np.ones(len(d), np.int64)), (prints, mix(c)), (code, c)))
             order = np.lexsort((doc, code, prints))
             doc, start, windows, prints, code = doc[order], start[order], windows[order], prints[order], code[order]
@@ -220,7 +226,7 @@ def least_holders(shard: pd.DataFrame, length: int) -> pd.DataFrame:
     data = np.frombuffer(b"".join(map(zstandard.decompress, shard["x5"])), np.uint8)
     begin = np.cumsum(size) - size
     cuts, _ = _spans_of(begin // BLOCK)
-    code = np.concatenate([_codes(data[b[0] : b[-1] + n[-1]], b - b[0], n) for b, n in zip(np.split(begin, cuts[1:]), np.split(size, cuts[1:]))])
+    code = np.concatenate([_codes(_grams(data[b[0] : b[-1] + n[-1]]), b - b[0], n) for b, n in zip(np.split(begin, cuts[1:]), np.split(size, cuts[1:]))])
     order = np.lexsort((did, code, prints))
     p, c = prints[order], code[order]
     new = np.ones(len(order), bool)

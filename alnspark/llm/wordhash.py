@@ -1,12 +1,16 @@
 """Vectorised word and window hashes of many texts at once (numpy inside tasks).
 
-A word's hash is a polynomial over its bytes modulo 2**64, read off prefix sums, so any slice's hash
-costs one subtraction and one product; windows of words are hashed alike from the words' hashes.  Two
-independent streams make 128 bits where a hash stands for the words themselves.
+A short word's hash is a polynomial over its bytes modulo 2**64, read off prefix sums, so it costs one
+subtraction and one product.  Such polynomials have known collisions from 1024 symbols on (Thue-Morse words and
+their complements, for every odd base), and lose bits on shorter words of that shape; so a word of more than
+``LONG`` bytes takes its hash from BLAKE2b, and a window of words is a polynomial over the mixed hashes of its
+neighbouring pairs, which such words do not cancel.  Two streams make 128 bits where a hash stands for
+the words themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -14,6 +18,7 @@ import numpy as np
 
 U = np.uint64
 BLOCK = 1 << 18
+LONG = 48
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -96,6 +101,10 @@ class Words:
                     long = e - s > n
                     cut = s[long]
                     self.prefix[n][a:b][long] = mix((sums[cut + n] - sums[cut]) * back[cut] ^ U(n << 32))
+        for i in np.flatnonzero(e - s > LONG):
+            digest = np.frombuffer(hashlib.blake2b(data[lo + s[i] : lo + e[i]], digest_size=16).digest(), "<u8")
+            for k in range(streams):
+                self.hash[k][a + i] = digest[k]
 
     def windows(self, k: int, streams: int = 2) -> tuple[np.ndarray, list[np.ndarray]]:
         """(valid, hashes): for each word, whether ``k`` words of its text start there, and their hash."""
@@ -112,10 +121,13 @@ def window_hash(values: np.ndarray, k: int, stream: int) -> np.ndarray:
     out, n = np.zeros(len(values), U), len(values)
     for lo in range(0, n - k + 1, BLOCK):  # blocks keep the tables of powers small
         part = values[lo : lo + BLOCK + k - 1]
+        m = len(part) - k + 1
+        if k > 1:
+            part = mix(part[:-1] * U(BASES[1 - stream]) + (part[1:] ^ (part[1:] >> U(29))))
         sums = np.zeros(len(part) + 1, U)
         np.cumsum(part * powers(stream, len(part)), out=sums[1:])
-        m = len(part) - k + 1
-        out[lo : lo + m] = mix((sums[k:] - sums[:m]) * powers(stream, m, True) + U(k))
+        pairs = max(1, k - 1)
+        out[lo : lo + m] = mix((sums[pairs : pairs + m] - sums[:m]) * powers(stream, m, True) + U(k))
     return out
 
 

@@ -32,6 +32,22 @@ def documents():
     return rows + [rows[12], rows[12], rows[20]]  # repeated rows
 
 
+def thue_morse(n, a, b):
+    """Rows of this shape and their complements collide under every polynomial hash modulo 2**64."""
+    return [(a, b)[bin(i).count("1") % 2] for i in range(n)], [(b, a)[bin(i).count("1") % 2] for i in range(n)]
+
+
+def colliding(first=0):
+    rng = random.Random(8)
+    other = lambda n: " ".join(f"o{rng.randint(0, 10**9)}" for _ in range(n))
+    letters = ["".join(x) for x in thue_morse(4096, "a", "b")]
+    rows = [" ".join(x) for x in thue_morse(2048, "left", "right")]
+    same = [f"s{i}" for i in range(34)]
+    with_word = [" ".join([*same[:17], w, *same[17:]]) for w in letters]  # windows of 35 words that differ in that word
+    texts = [*letters, *with_word, *rows, f"{other(40)} {rows[0]}", f"{other(40)} {letters[0]} {other(40)}", *["".join(x) for x in thue_morse(64, "cd", "ef")]]
+    return [(first + i, t, None, None, None, None, None, None) for i, t in enumerate(texts)]
+
+
 def with_null_ids():
     rows = documents()
     return rows + [(None, rows[9][1], None, None, None, None, None, None), (None, None, None, None, None, None, None, None)]

@@ -32,6 +32,12 @@ def test_jaccard_null_ids_come_first(spark):
     assert (None, None) in got and (rows[9][0], None) in got  # linked with the null row's text
 
 
+@pytest.mark.parametrize("module", [line_dedup, suffix_dedup, fingerprint_dedup, jaccard_join])
+def test_words_that_collide_under_polynomials(spark, module):
+    rows = fx.colliding()
+    fx.same(module.query(spark, fx.frame(spark, rows)), fx.sql(module.SQL, documents=(rows, fx.DOCS)))
+
+
 def _sets(texts, n):
     out = []
     for t in texts:

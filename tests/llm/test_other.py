@@ -22,6 +22,15 @@ def test_winnowing_equals_sql(spark, rows, items):
     fx.same(out, fx.sql(decontaminate.SQL, documents=(rows, fx.DOCS), benchmark=(items, ITEMS)))
 
 
+def test_decontamination_words_that_collide_under_polynomials(spark):
+    rows = fx.colliding()
+    one, other = ("".join(x) for x in fx.thue_morse(4096, "x", "y"))
+    rows += [(90, one, *[None] * 6), (91, f"a b c {one} d e f g h i j k", *[None] * 6)]
+    items = [(1, other), (2, rows[0][1]), (3, f"a b c {other} d e f g h"), (4, " ".join(rows[5][1].split()[600:640]))]
+    fx.same(decontaminate.query(spark, fx.frame(spark, rows), fx.frame(spark, items, ITEMS)), fx.sql(decontaminate.SQL, documents=(rows, fx.DOCS), benchmark=(items, ITEMS)))
+
+
+
 def test_winnowing_cleans(spark):
     docs = fx.frame(spark, fx.with_null_ids())
     kept = decontaminate.clean(docs, fx.frame(spark, fx.benchmark(), ITEMS))

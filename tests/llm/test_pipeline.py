@@ -80,7 +80,7 @@ def _pieces(docs):
 
 
 def test_run_equals_plain_python(spark, tmp_path):
-    rows, sf = fx.documents(), str(tmp_path)
+    rows, sf = fx.documents() + fx.colliding(5000), str(tmp_path)
     fx.frame(spark, rows).write.parquet(f"{sf}/documents.parquet")
     fx.frame(spark, fx.benchmark(), "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     labels = spark.createDataFrame([(r[0], 1, int(i % 7 == 0)) for i, r in enumerate(rows)], "doc_id long, quality int, toxic int")
