@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from alnspark.llm import ann, decontaminate, fingerprint_dedup, jaccard_join, line_dedup, packing, resharding, suffix_dedup, toxicity, warc
+from alnspark.llm import ann, decontaminate, fim, fingerprint_dedup, jaccard_join, line_dedup, mixing, packing, prefix_trie, resharding, suffix_dedup, toxicity, warc
 from alnspark.llm.common import table
 
 
@@ -23,7 +23,13 @@ QUERIES = {
     "op8_pruned_graph": _on("embeddings", ann.query),
     "op9_toxicity": lambda spark, sf_dir: toxicity.query(spark, table(spark, sf_dir, "documents"), sf_dir),
     "op10_best_two_fit": _on("documents", packing.query),
+    "op11_sainte_lague": _on("documents", mixing.query),
+    "op12_fill_in_middle": _on("documents", fim.query),
+    "op13_prefix_trie": _on("conversations", prefix_trie.query),
+}
+ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.SQL, "op2_suffix_array": suffix_dedup.SQL, "op3_partenum_join": jaccard_join.SQL, "op4_fingerprint_index": fingerprint_dedup.SQL,
+    "op6_winnowing": decontaminate.SQL, "op7_warc_revisit": warc.SQL, "op11_sainte_lague": mixing.SQL, "op12_fill_in_middle": fim.SQL, "op13_prefix_trie": prefix_trie.SQL,
 }
-ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL, "op2_suffix_array": suffix_dedup.SQL, "op3_partenum_join": jaccard_join.SQL, "op4_fingerprint_index": fingerprint_dedup.SQL, "op6_winnowing": decontaminate.SQL, "op7_warc_revisit": warc.SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
