@@ -5,26 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alnspark.sources import files
+from alnspark.sources import files, records
 
 FAI = "name string, bases long, byte_offset long, bases_per_line int, bytes_per_line int"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(name, length, seq) of each record; a record is a task's row, so it must fit in memory."""
-    parts = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
-    rows = F.split(F.regexp_replace("value", "\r", ""), "\n")
-    seq = F.array_join(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), "")
-    out = parts.select(F.split(rows[0], r"\s+")[0].alias("name"), seq.alias("seq"))
-    return out.select("name", F.length("seq").cast("long").alias("length"), "seq")
+    return records.read(spark, path).where("qual IS NULL").select("name", F.length("seq").cast("long").alias("length"), "seq")
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq, qual) of records of four lines."""
-    rows = files.lines(spark, path).withColumn("slot", F.col("line") % 4)
-    pick = lambda slot, name: F.max(F.when(F.col("slot") == slot, F.col("value"))).alias(name)
-    whole = rows.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(pick(0, "head"), pick(1, "seq"), pick(3, "qual"))
-    return whole.where(F.col("head").startswith("@")).select(F.regexp_extract("head", r"^@(\S+)", 1).alias("name"), "seq", "qual")
+    """(name, seq, qual) of records with qualities, over any number of lines."""
+    return records.read(spark, path).where("qual IS NOT NULL").select("name", "seq", "qual")
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
