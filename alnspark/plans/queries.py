@@ -11,9 +11,9 @@ from alnspark.functions import sequence as sq
 from alnspark.functions import text as tx
 from alnspark.operators import coverage, edits, encode, filters, intervals, ordered, quality, rebuild, report
 from alnspark.plans import views as v
-from alnspark.sources import fasta, files, head, logs, sam
+from alnspark.sources import fasta, files, head, logs, records, sam
 from alnspark.streaming import offsets
-from alnspark.plans.views import ALN_SQL, CIGAR_SQL, GENOME_SQL, IV_SQL, READ, SIZES_SQL
+from alnspark.plans.views import ALN_SQL, CIGAR_SQL, CONTIGS_SQL, GENOME_SQL, IV_SQL, READ, SIZES_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -766,6 +766,34 @@ def sam_roundtrip(spark, sf):
     return both.withColumn("version", F.lit(sam.read_version(spark, path)))
 
 
+def _sam_folder(spark, sf):
+    """Five files of mixed sizes, each in the order of its reads."""
+    refs = v.genome(spark).select("ref_id", F.concat(F.lit("chr"), (F.col("ref_id") + 1).cast("string")).alias("name"))
+    part = F.when(F.col("aln_idx") % 10 < 6, 3).otherwise(F.col("aln_idx") % 10 - 5).cast("int")
+    rows = sam.named(sam.with_tags(v.aln(spark, sf)), refs).select("aln_idx", part.alias("part"), rebuild.sam_line().alias("value"))
+    path = files.new_path(spark, "sam")
+    rows.repartition("part").sortWithinPartitions("part", "aln_idx").select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+_PLACED = "x AS (SELECT *, CASE WHEN aln_idx % 10 < 6 THEN 3 ELSE aln_idx % 10 - 5 END AS part, 'chr' || CAST(ref_id + 1 AS VARCHAR) AS rname FROM aln)"
+
+
+@query("SELECT qname, row_number() OVER (ORDER BY part, aln_idx) AS place FROM x", f"{ALN_SQL}, {_PLACED}")
+def sam_folder_order(spark, sf):
+    """The reads of a folder by the scan's ordinal: files by name, lines by place."""
+    rows = sam.scan(spark, _sam_folder(spark, sf), partitionBytes=1 << 20).select("aln_idx", "qname")
+    return ordered.row_numbers(rows.withColumn("one", F.lit(0)), ["one"], ["aln_idx"], "n", 1 << 16).select("qname", F.col("n").alias("place"))
+
+
+@query("SELECT qname, pos, flag, cigar, mapq, seq, md FROM x WHERE rname = 'chr2' AND pos >= 20000 AND pos < 30000 AND flag & 4 = 0 AND flag & 16 <> 0", f"{ALN_SQL}, {_PLACED}")
+def sam_region(spark, sf):
+    """A region's mapped reverse reads; the scan tests name, position and flags."""
+    found = sam.region(spark, _sam_folder(spark, sf), "chr2", 20_000, 30_000, required=16, excluded=4)
+    md = F.filter("opt", lambda t: t.startswith("MD:"))
+    return found.select("qname", "pos", "flag", "cigar", "mapq", "seq", F.substring(F.get(md, 0), 6, 1 << 30).alias("md"))
+
+
 @query("SELECT qname AS name, seq, qual FROM aln WHERE flag & 4 <> 0")
 def fastq_roundtrip(spark, sf):
     path = files.new_path(spark, "fastq")
@@ -773,38 +801,73 @@ def fastq_roundtrip(spark, sf):
     return fasta.read_fastq(spark, path)
 
 
-def _fasta(spark):
+@query("""SELECT qname AS name, 'len=32 a->b @c' AS comment, seq, CASE WHEN aln_idx % 5 > 0 THEN qual END AS qual FROM aln""")
+def wrapped_records(spark, sf):
+    """Reads as FASTQ and every fifth as FASTA, over lines of seven bases and five qualities, some with carriage returns."""
+    end = F.when(F.col("aln_idx") % 3 == 0, "\r\n").otherwise("\n")
+    wrap = lambda c, n: F.array_join(F.regexp_extract_all(c, F.lit(f"(.{{1,{n}}})"), F.lit(1)), "\n")
+    head = lambda mark: F.concat(F.lit(mark), "qname", F.lit(" len=32 a->b @c"))
+    fastq = F.concat_ws("\n", head("@"), wrap("seq", 7), F.lit("+"), wrap("qual", 5))
+    text = F.when(F.col("aln_idx") % 5 > 0, fastq).otherwise(F.concat_ws("\n", head(">"), wrap("seq", 7)))
+    path = files.new_path(spark, "records")
+    v.aln(spark, sf).select(F.regexp_replace(text, "\n", end).alias("value")).write.text(path)
+    return records.read(spark, path).select("name", "comment", "seq", "qual")
+
+
+def _fasta(spark, sf):
+    """Four files of sequences in lines of 60 bases, in the order of their keys."""
     path = files.new_path(spark, "fasta")
-    text = F.concat(F.lit(">ref"), F.col("ref_id").cast("string"), F.lit(" made up\n"), F.regexp_replace("seq", "(.{60})", "$1\n"))
-    files.write_lines(v.genome(spark).select("ref_id", text.alias("value")), ["ref_id"], path)
+    text = F.concat(F.lit(">"), F.col("name"), F.lit(" made > up\n"), F.array_join(F.regexp_extract_all("seq", F.lit("(.{1,60})"), F.lit(1)), "\n"))
+    rows = v.contigs(spark, sf).select("key", (F.col("key") % 4).alias("part"), text.alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "key").select("part", "value").write.partitionBy("part").text(path)
     return path
 
 
-@query("SELECT 'ref' || CAST(ref_id AS VARCHAR) AS name, CAST(length AS BIGINT) AS length, md5(seq) AS digest FROM genome", GENOME_SQL)
+def _file(c="file"):
+    """The number of the file."""
+    return F.regexp_extract(c, "part=([0-9])", 1).cast("int")
+
+
+@query("SELECT name, CAST(length(seq) AS BIGINT) AS length, md5(seq) AS digest FROM contigs", CONTIGS_SQL)
 def fasta_records(spark, sf):
-    return fasta.read(spark, _fasta(spark)).select("name", "length", F.md5("seq").alias("digest"))
+    return fasta.read(spark, _fasta(spark, sf)).select("name", "length", F.md5("seq").alias("digest"))
 
 
-_FAI_SQL = "SELECT 'ref' || CAST(ref_id AS VARCHAR) AS name, CAST(65536 AS BIGINT) AS bases, CAST(ref_id * (14 + 65536 + 1093) + 14 AS BIGINT) AS byte_offset, 60 AS bases_per_line, 61 AS bytes_per_line FROM genome"
+_FAI_SQL = """SELECT CAST(key % 4 AS INT) AS file, name, CAST(length(seq) AS BIGINT) AS bases, CAST(sum(size) OVER w - size + length(name) + 12 AS BIGINT) AS byte_offset,
+  CAST(least(60, length(seq)) AS INT) AS bases_per_line, CAST(least(60, length(seq)) + 1 AS INT) AS bytes_per_line
+FROM (SELECT *, length(name) + 12 + length(seq) + CAST(ceil(length(seq) / 60) AS BIGINT) AS size FROM contigs) WINDOW w AS (PARTITION BY key % 4 ORDER BY key)"""
 
 
-@query(_FAI_SQL, GENOME_SQL)
+@query(_FAI_SQL, CONTIGS_SQL)
 def fasta_index(spark, sf):
-    return fasta.index(spark, _fasta(spark))
+    found = fasta.index(spark, _fasta(spark, sf))
+    return found.select(_file().alias("file"), "name", "bases", "byte_offset", "bases_per_line", "bytes_per_line")
 
 
-@query(_FAI_SQL, GENOME_SQL)
+@query(_FAI_SQL.replace("SELECT CAST(key % 4 AS INT) AS file, name", "SELECT name"), CONTIGS_SQL)
 def fai_roundtrip(spark, sf):
     path = files.new_path(spark, "fai")
-    fasta.write_fai(fasta_index(spark, sf), path)
+    fasta.write_fai(fasta.index(spark, _fasta(spark, sf)), path)
     return fasta.read_fai(spark, path)
 
 
-@query("SELECT 'ref' || CAST(ref_id AS VARCHAR) AS name, CAST(length AS BIGINT) AS length, md5(seq) AS digest FROM genome WHERE ref_id IN (1, 3)", GENOME_SQL)
+def _indexed(spark, sf):
+    path = files.new_path(spark, "index")
+    fasta.write_index(fasta.index(spark, _fasta(spark, sf)), path)
+    return path
+
+
+@query("SELECT CAST(key % 4 AS INT) AS file, name, CAST(length(seq) AS BIGINT) AS length, md5(seq) AS digest FROM contigs", CONTIGS_SQL)
 def fasta_load(spark, sf):
-    path = _fasta(spark)
-    entries = fasta.index(spark, path).where("name IN ('ref1', 'ref3')")
-    return fasta.load(spark, path, entries).select("name", "length", F.md5("seq").alias("digest"))
+    """All sequences by their index, in pieces of a few lines."""
+    return fasta.load(spark, _indexed(spark, sf), pieceBytes=300).select(_file().alias("file"), "name", "length", F.md5("seq").alias("digest"))
+
+
+@query("SELECT name, md5(seq) AS digest, CAST(length(seq) + ceil(length(seq) / 60) - 1 AS BIGINT) AS bytes_read FROM contigs WHERE name IN ('part1', 'part7', 'part100')", CONTIGS_SQL)
+def fasta_fetch(spark, sf):
+    """A few sequences by name: only their bytes are read."""
+    parts = fasta.pieces(spark, _indexed(spark, sf)).where("name IN ('part1', 'part7', 'part100')")
+    return parts.groupBy("name").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "seq"))), lambda x: x["seq"]), "")).alias("digest"), F.sum("bytes_read").alias("bytes_read"))
 
 
 @query("""SELECT 'HD' AS kind, CAST(NULL AS INT) AS key, '1.6' AS name, CAST(NULL AS BIGINT) AS number UNION ALL SELECT 'read_len', NULL, NULL, 32

@@ -29,6 +29,13 @@ def genome_chunks(spark: SparkSession) -> DataFrame:
     return ids.select("ref_id", "chunk", F.concat(_chunk(F.col("ref_id"), F.col("chunk")), F.when(F.col("chunk") < REF_LENGTH // 32 - 1, _chunk(F.col("ref_id"), F.col("chunk") + 1)).otherwise(F.lit(""))).alias("seq"))
 
 
+def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, name, seq): a sequence for each part, of 32 to 1632 bases."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    bases = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size")), lambda n: _chunk(F.col("p_partkey"), n)), "")
+    return part.select(F.col("p_partkey").alias("key"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("name"), bases.alias("seq"))
+
+
 def aln(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments of 32 bases; a read's reference slice comes from its own two chunks, so no long string is cut."""
     e, i = events(spark, sf_dir).select("event_id", "user_id"), F.col("event_id")
@@ -96,6 +103,10 @@ GENOME_SQL = """genome AS (
   SELECT CAST(id AS INT) AS ref_id, 65536 AS length,
     array_to_string(list_transform(range(0, 2048), lambda n: translate(md5(concat(CAST(id AS VARCHAR), ':', CAST(n AS VARCHAR))), '0123456789abcdef', 'ACGTACGTACGTACGT')), '') AS seq
   FROM range(5) t(id))"""
+CONTIGS_SQL = """contigs AS (
+  SELECT p_partkey AS key, 'part' || CAST(p_partkey AS VARCHAR) AS name,
+    array_to_string(list_transform(range(0, p_size + 1), lambda n: translate(md5(concat(CAST(p_partkey AS VARCHAR), ':', CAST(n AS VARCHAR))), '0123456789abcdef', 'ACGTACGTACGTACGT')), '') AS seq
+  FROM part)"""
 ALN_SQL = GENOME_SQL + """,
 k0 AS (
   SELECT event_id AS aln_idx, CAST(user_id % 5 AS INT) AS ref_id, CAST(((event_id * 7919) % 2500) * 26 AS INT) AS pos,

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alnspark.sources import files, records
+from alnspark.sources import files, ranges, records
 
 FAI = "name string, bases long, byte_offset long, bases_per_line int, bytes_per_line int"
+_FAI = [c.split()[0] for c in FAI.split(", ")]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -21,17 +22,17 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """The columns of an .fai file, in the file's order, from line lengths and byte offsets."""
+    """The columns of an .fai file and the file's path, in the files' order, from line lengths and byte offsets."""
     is_head = F.col("value").startswith(">")
     rows = files.lines(spark, path, {"heads": is_head}).withColumn("size", F.octet_length("value"))
     # a line's width in bytes, its break included, is the distance to the next line's offset: 1, or 2 with a carriage return
     head = rows.where(is_head).select("file", F.col("heads").alias("rec"), F.col("offset").alias("at"), F.regexp_extract("value", r"^>(\S+)", 1).alias("name"))
-    body = rows.where(~is_head & (F.col("size") > 0)).groupBy("file", (F.col("heads") - 1).alias("rec")).agg(
+    body = rows.where(~is_head & (F.col("size") > 0) & (F.col("heads") > 0)).groupBy("file", (F.col("heads") - 1).alias("rec")).agg(
         F.sum("size").alias("bases"), F.max("size").alias("bases_per_line"), F.min("offset").alias("byte_offset"), F.max("offset").alias("_last"), F.count("*").alias("_n"), F.max_by("size", "offset").alias("_tail"),
     )
     width = F.when(F.col("_n") > 1, ((F.col("_last") - F.col("byte_offset")) / (F.col("_n") - 1)).cast("int")).otherwise(F.col("bases_per_line") + F.col("byte_offset") - F.col("at") - F.col("head_size"))
     both = head.join(rows.where(is_head).select("file", F.col("heads").alias("rec"), F.col("size").alias("head_size")), ["file", "rec"]).join(body, ["file", "rec"])
-    return both.orderBy("file", "rec").select("name", "bases", "byte_offset", F.col("bases_per_line").cast("int").alias("bases_per_line"), width.cast("int").alias("bytes_per_line"))
+    return both.orderBy("file", "rec").select("name", "bases", "byte_offset", F.col("bases_per_line").cast("int").alias("bases_per_line"), width.cast("int").alias("bytes_per_line"), "file")
 
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
@@ -39,14 +40,22 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_fai(rows: DataFrame, path: str) -> None:
-    rows.coalesce(1).write.option("sep", "\t").csv(path)
+    rows.select(*_FAI).coalesce(1).write.option("sep", "\t").csv(path)
 
 
-def load(spark: SparkSession, path: str, entries: DataFrame) -> DataFrame:
-    """(name, length, seq) of the records that ``entries`` of the index name: the lines in their byte ranges."""
-    span = F.floor(F.col("bases") / F.col("bases_per_line")) * F.col("bytes_per_line") + F.col("bases") % F.col("bases_per_line")
-    wanted = F.broadcast(entries.select("name", "byte_offset", (F.col("byte_offset") + span).alias("_end")))  # an index is small
-    found = files.lines(spark, path).join(wanted, (F.col("offset") >= F.col("byte_offset")) & (F.col("offset") < F.col("_end")))
-    kept = found.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("parts"))
-    seq = F.array_join(F.transform("parts", lambda x: x["value"]), "")
-    return kept.select("name", F.length(seq).cast("long").alias("length"), seq.alias("seq"))
+def write_index(rows: DataFrame, path: str) -> None:
+    """The index of several files: the columns of an .fai behind the file's path."""
+    rows.select("file", *_FAI).write.option("sep", "\t").csv(path)
+
+
+def pieces(spark: SparkSession, index: str, path: str = "", **options: int) -> DataFrame:
+    """(file, name, start, seq, bytes_read) of the records in an index, of which only the bytes wanted are read."""
+    ranges.register(spark)
+    return spark.read.format("fasta_ranges").options(index=index, path=path, **{k: str(v) for k, v in options.items()}).load()
+
+
+def load(spark: SparkSession, index: str, path: str = "", **options: int) -> DataFrame:
+    """(file, name, length, seq) of the records in an index; conditions on ``file`` and ``name`` reach the reading of it."""
+    parts = pieces(spark, index, path, **options).groupBy("file", "name").agg(F.array_sort(F.collect_list(F.struct("start", "seq"))).alias("parts"))
+    seq = F.array_join(F.transform("parts", lambda x: x["seq"]), "")
+    return parts.select("file", "name", F.length(seq).cast("long").alias("length"), seq.alias("seq"))
