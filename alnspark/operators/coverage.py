@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from alnspark.operators import ordered
 
-WIDTH = 4096
-
 
 def depth(aln: DataFrame, read_length: int) -> DataFrame:
     """(ref_id, bases, covered): sum of read lengths and covered positions, without a row for each base.
 
     Reads are counted at their start first; a start newly covers its distance to the one before, at most a read."""
     starts = aln.groupBy("ref_id", "pos").agg(F.count("*").alias("n"))
-    rows = ordered.previous(starts, ["ref_id"], ["pos"], "pos", "_before", WIDTH)
+    rows = ordered.previous(starts, ["ref_id"], ["pos"], "pos", "_before")
     new = F.least(F.coalesce(F.col("pos") - F.col("_before"), F.lit(read_length)), F.lit(read_length))
     return rows.groupBy("ref_id").agg((F.sum("n") * read_length).alias("bases"), F.sum(new).cast("long").alias("covered"))
 

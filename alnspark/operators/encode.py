@@ -7,25 +7,23 @@ from pyspark.sql import functions as F
 
 from alnspark.operators import ordered
 
-WIDTH = 4096
-
 
 def offset_deltas(aln: DataFrame) -> DataFrame:
     """Add ``delta``: the distance to the alignment before on the reference; the first has its position."""
-    rows = ordered.previous(aln, ["ref_id"], ["pos", "aln_idx"], "pos", "_before", WIDTH)
+    rows = ordered.previous(aln, ["ref_id"], ["pos", "aln_idx"], "pos", "_before")
     return rows.withColumn("delta", F.col("pos") - F.coalesce("_before", F.lit(0))).drop("_before")
 
 
 def offset_runs(aln: DataFrame) -> DataFrame:
     """(ref_id, pos, delta, mult): one row for alignments with equal offsets."""
     runs = aln.groupBy("ref_id", "pos").agg(F.count("*").alias("mult"))
-    rows = ordered.previous(runs, ["ref_id"], ["pos"], "pos", "_before", WIDTH)
+    rows = ordered.previous(runs, ["ref_id"], ["pos"], "pos", "_before")
     return rows.select("ref_id", "pos", (F.col("pos") - F.coalesce("_before", F.lit(0))).alias("delta"), "mult")
 
 
 def offsets_of(runs: DataFrame, order: str = "pos") -> DataFrame:
     """(ref_id, pos): one row an alignment, from runs of deltas in ``order``."""
-    at = ordered.running_sum(runs, ["ref_id"], [order], F.col("delta"), "_at", WIDTH)
+    at = ordered.running_sum(runs, ["ref_id"], [order], F.col("delta"), "_at")
     return at.select("ref_id", F.col("_at").cast("int").alias("pos"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("mult"))).alias("_")).drop("_")
 
 
@@ -82,5 +80,5 @@ def sync_streams(offsets: DataFrame, edits: DataFrame, off_start: int, edit_star
 
 def zip_sparse(flags: DataFrame, lists: DataFrame) -> DataFrame:
     """Give the n-th row whose ``present`` is set the n-th list (n from 1)."""
-    n = ordered.running_sum(flags, [], ["aln_idx"], F.col("present").cast("long"), "n", 1 << 16)
+    n = ordered.running_sum(flags, [], ["aln_idx"], F.col("present").cast("long"), "n")
     return n.withColumn("n", F.when(F.col("present"), F.col("n"))).join(lists, "n", "left")

@@ -2,41 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alnspark.operators import ordered
 
-BIN = 1024
+#: Bins of the lowest level span 2**FIRST places, and each level's 2**STEP times as many as those below; the last one is everything.
+FIRST, STEP, LEVELS = 10, 3, 18
 
 
-def _binned(df: DataFrame, prefix: str, width: int) -> DataFrame:
-    lo, hi = F.floor(F.col(f"{prefix}_start") / width), F.floor(F.col(f"{prefix}_stop") / width)
-    return df.withColumn("_bin", F.explode(F.sequence(lo, hi)))
+def _own_bin(df: DataFrame, prefix: str) -> DataFrame:
+    """Add ``_level`` and ``_bin``: the least bin that holds the whole interval.  However long, it is one row."""
+    lo, hi = (F.col(f"{prefix}_{end}").cast("long") for end in ("start", "stop"))
+    level = F.lit(LEVELS)
+    for n in range(LEVELS - 1, -1, -1):
+        level = F.when(F.shiftright(lo, FIRST + STEP * n) == F.shiftright(hi, FIRST + STEP * n), n).otherwise(level)
+    return df.withColumn("_level", level).withColumn("_bin", _bin_at(lo, F.col("_level")))
 
 
-def overlap(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
+def _bin_at(place: Column, level: Column) -> Column:
+    return F.when(level < LEVELS, F.call_function("shiftright", place.cast("long"), FIRST + STEP * level)).otherwise(0)
+
+
+def _levels(df: DataFrame) -> list[int]:
+    """The levels in use; there are ``LEVELS`` + 1 at most."""
+    return sorted(r[0] for r in df.select("_level").distinct().collect())
+
+
+def _asking(df: DataFrame, prefix: str, levels: list[int], own: bool) -> DataFrame:
+    """A row for each bin of ``levels`` above the interval's own one, and with ``own`` for that too."""
+    above = F.col("_level") <= F.col("_up") if own else F.col("_level") < F.col("_up")
+    up = df.withColumn("_up", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).where(above)
+    return up.withColumns({"_level": F.col("_up"), "_bin": _bin_at(F.col(f"{prefix}_start"), F.col("_up"))}).drop("_up")
+
+
+def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of closed intervals of one reference that overlap.
 
-    ``a`` has ref_id, a_start, a_stop and ``b`` has ref_id, b_start, b_stop.  Both are dealt to the bins that
-    they touch, and a pair is kept in the bin where its overlap begins, so it comes once."""
-    both = _binned(a, "a", width).join(_binned(b, "b", width), ["ref_id", "_bin"])
-    meet = (F.col("a_start") <= F.col("b_stop")) & (F.col("a_stop") >= F.col("b_start"))
-    begins = F.floor(F.greatest("a_start", "b_start") / width) == F.col("_bin")
-    return both.where(meet & begins).drop("_bin")
+    ``a`` has ref_id, a_start, a_stop and ``b`` has ref_id, b_start, b_stop.  Bins are nested, and each interval lies in one.  Two that overlap
+    have bins of which one holds the other, so each asks the levels above its own that the other side uses."""
+    a, b = _own_bin(a, "a"), _own_bin(b, "b")
+    on = ["ref_id", "_level", "_bin"]
+    up = _asking(a, "a", _levels(b), True).join(b, on)
+    down = a.join(_asking(b, "b", _levels(a), False), on).select(up.columns)
+    return up.union(down).where((F.col("a_start") <= F.col("b_stop")) & (F.col("a_stop") >= F.col("b_start"))).drop("_level", "_bin")
 
 
-def contained(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
-    """Pairs in which ``a`` lies inside ``b``."""
-    own = a.withColumn("_bin", F.floor(F.col("a_start") / width))
-    both = own.join(_binned(b, "b", width), ["ref_id", "_bin"])
-    return both.where((F.col("a_start") >= F.col("b_start")) & (F.col("a_stop") <= F.col("b_stop"))).drop("_bin")
+def contained(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs in which ``a`` lies inside ``b``: then the bin of ``b`` holds that of ``a``."""
+    a, b = _own_bin(a, "a"), _own_bin(b, "b")
+    both = _asking(a, "a", _levels(b), True).join(b, ["ref_id", "_level", "_bin"])
+    return both.where((F.col("a_start") >= F.col("b_start")) & (F.col("a_stop") <= F.col("b_stop"))).drop("_level", "_bin")
 
 
 def block_spans(aln: DataFrame, rows: int) -> DataFrame:
     """Blocks of ``rows`` alignments in coordinate order: their span, and the alignments before."""
     at = aln.withColumn("_axis", F.col("ref_id").cast("long") * (1 << 32) + F.col("pos"))
-    numbered = ordered.row_numbers(at, [], ["_axis", "aln_idx"], "_n", 1 << 16)
+    numbered = ordered.row_numbers(at, [], ["_axis", "aln_idx"], "_n")
     where = F.struct("_axis", "aln_idx")
     return numbered.groupBy(F.floor((F.col("_n") - 1) / rows).alias("block")).agg(
         F.min(F.col("_n") - 1).alias("aln_before"), F.min_by("ref_id", where).alias("start_ref"), F.min_by("pos", where).alias("start_pos"),
@@ -44,18 +66,18 @@ def block_spans(aln: DataFrame, rows: int) -> DataFrame:
     )
 
 
-def seek(targets: DataFrame, blocks: DataFrame, width: int = 1 << 16) -> DataFrame:
+def seek(targets: DataFrame, blocks: DataFrame) -> DataFrame:
     """For each ``target``: the last block with fewer alignments before it.  An as-of join by one ordered pass."""
     both = targets.select(F.col("target").alias("at"), F.lit(None).cast("long").alias("block"), F.lit(0).alias("side")).union(
         blocks.select(F.col("aln_before").alias("at"), "block", F.lit(1).alias("side"))
     )
     # a block at the target itself sorts after it
-    return ordered.latest(both, [], ["at", "side"], "block", "found", width).where("side = 0").select(F.col("at").alias("target"), F.col("found").alias("block"))
+    return ordered.latest(both, [], ["at", "side"], "block", "found").where("side = 0").select(F.col("at").alias("target"), F.col("found").alias("block"))
 
 
 def split_by_reference(blocks: DataFrame, lengths: DataFrame) -> DataFrame:
     """One piece for each reference that a block touches: its end, whole references between, its start."""
-    each = blocks.withColumn("ref_id", F.explode(F.sequence("start_ref", "end_ref"))).join(F.broadcast(lengths), "ref_id")
+    each = blocks.withColumn("ref_id", F.explode(F.sequence("start_ref", "end_ref"))).join(lengths, "ref_id")
     return each.select(
         "block", "ref_id", F.when(F.col("ref_id") == F.col("start_ref"), F.col("start_pos")).otherwise(0).alias("start"),
         F.when(F.col("ref_id") == F.col("end_ref"), F.col("end_pos")).otherwise(F.col("length") - 1).cast("int").alias("stop"),
@@ -64,5 +86,5 @@ def split_by_reference(blocks: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def overlapping_blocks(pieces: DataFrame, regions: DataFrame) -> DataFrame:
     """The blocks that regions (ref_id, start, stop) touch, each once."""
-    hits = overlap(pieces.withColumnsRenamed({"start": "a_start", "stop": "a_stop"}), regions.withColumnsRenamed({"start": "b_start", "stop": "b_stop"}), 1 << 16)
+    hits = overlap(pieces.withColumnsRenamed({"start": "a_start", "stop": "a_stop"}), regions.withColumnsRenamed({"start": "b_start", "stop": "b_stop"}))
     return hits.select("block").dropDuplicates()

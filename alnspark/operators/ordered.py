@@ -1,63 +1,135 @@
-"""Order-dependent operators without one task a partition key.
+"""Order-dependent operators in one pass, without one task a partition key.
 
-The rows of a key (say, a chromosome) are cut into blocks along the order; a block is an ordinary window,
-and what it needs from the blocks before comes from one summary row a block.  Blocks are spans of the first
-order column; a span with very many rows is cut at each value, and a value with very many rows (a deep position)
-along the second order column."""
+Rows are dealt once by ranges of (key, order), so a chromosome, or one deep position, lies in as many tasks as its rows ask for.  Each
+task goes through its range in order, in Arrow batches, and writes its rows with their local result.  What a range needs from the ones before is one value:
+it is worked out from one row a range, and added where the range begins within a key.  Results are files in the shared folder, so what
+follows starts from there and the input is computed once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructType
+
+from alnspark.sources import files
+
+
+class _Pass:
+    """One pass through a range: what came before, batch by batch."""
+
+    def __init__(self, kind: str, key: list[str]):
+        self.kind, self.key, self.last, self.held, self.begun = kind, key, None, None, True
+
+    def __call__(self, batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+        """The results, and which rows belong to the first key of the range."""
+        n = batch.num_rows
+        change = np.arange(n) == 0
+        for k in self.key:
+            code = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            change[1:] |= code[1:] != code[:-1]
+        ends = [tuple(batch.column(k)[i].as_py() for k in self.key) for i in (0, n - 1)]
+        goes_on = self.last is not None and ends[0] == self.last
+        self.begun &= self.last is None or goes_on
+        first = np.flatnonzero(change)
+        group = np.cumsum(change) - 1
+        out = getattr(self, self.kind)(batch.column("_value"), change, first, group, goes_on)
+        first_key = (group == 0) & self.begun
+        self.last = ends[1]
+        self.begun &= len(first) == 1
+        return out, first_key
+
+    def previous(self, value, change, first, group, goes_on) -> pa.Array:
+        out = value.take(pa.array(np.arange(len(value)) - 1, mask=change))
+        if goes_on:
+            out = pa.concat_arrays([pa.array([self.held], value.type), out.slice(1)])
+        self.held = value[-1].as_py()
+        return out
 
-#: Rows of a block, beyond which it is cut further.
-ROWS = 1_000_000
+    def running_sum(self, value, change, first, group, goes_on) -> pa.Array:
+        x = value.fill_null(0).to_numpy()
+        total = np.cumsum(x)
+        out = total - (total[first] - x[first])[group]
+        if goes_on:
+            out[group == 0] += self.held
+        self.held = int(out[-1])
+        return pa.array(out)
 
+    def latest(self, value, change, first, group, goes_on) -> pa.Array:
+        some = np.maximum.accumulate(np.where(value.is_valid().to_numpy(zero_copy_only=False), np.arange(len(value)), -1))
+        none = some < first[group]
+        out = value.take(pa.array(some, mask=none))
+        if goes_on and self.held is not None:
+            out = pc.if_else(pa.array(none & (group == 0)), pa.scalar(self.held, value.type), out)
+        self.held = out[-1].as_py()
+        return out
 
-def _blocked(df: DataFrame, key: list[str], order: list[str], width: int) -> DataFrame:
-    df = df.withColumn("_bin", F.floor(F.col(order[0]) / width))
-    # both tables have a row for every ROWS rows at most
-    full = df.groupBy(*key, "_bin").agg(F.count("*").alias("_n")).where(F.col("_n") > ROWS).drop("_n").withColumn("_full", F.lit(True))
-    df = df.join(F.broadcast(full), [*key, "_bin"], "left").withColumn("_value", F.when(F.col("_full"), F.col(order[0])).cast("long"))
-    part = F.lit(0).cast("long")
-    if len(order) > 1:
-        second = F.col(order[1]).cast("long")
-        deep = df.where("_full").groupBy(*key, "_value").agg(F.count("*").alias("_n"), F.min(second).alias("_lo"), F.max(second).alias("_hi")).where(F.col("_n") > ROWS)
-        df = df.join(F.broadcast(deep), [*key, "_value"], "left")
-        part = F.coalesce(F.floor((second - F.col("_lo")) / ((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / ROWS))), part)
-    return df.withColumn("_block", F.struct("_bin", F.coalesce("_value", F.lit(0)).alias("value"), part.alias("part"))).drop("_bin", "_full", "_value", "_n", "_lo", "_hi")
 
+def _passed(df: DataFrame, key: list[str], order: list[str], value: Column, kind: str, out: str) -> DataFrame:
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, step = TaskContext.get().partitionId(), 0, _Pass(kind, key)
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                result, first_key = step(batch)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(number, number + n)), pa.array(first_key), result], names)
+                number += n
 
-def previous(df: DataFrame, key: list[str], order: list[str], value: str, out: str, width: int) -> DataFrame:
-    """Add ``out``: ``value`` of the row before in ``key``, by ``order``; blocks are ``width`` of the first order column, or less."""
-    df = _blocked(df, key, order, width)
-    ends = df.groupBy(*key, "_block").agg(F.max(F.struct(*order, F.col(value).alias("_v")))["_v"].alias("_end"))
-    carry = ends.withColumn("_carry", F.lag("_end").over(Window.partitionBy(*key).orderBy("_block"))).drop("_end")
-    here = F.lag(value).over(Window.partitionBy(*key, "_block").orderBy(*order))
-    return df.withColumn(out, here).join(carry, [*key, "_block"]).withColumn(out, F.coalesce(out, "_carry")).drop("_block", "_carry")
+    dealt = df.withColumn("_value", value).repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+    own = dealt.schema
+    schema = StructType(list(own)).add("_part", IntegerType()).add("_row", LongType()).add("_first", BooleanType()).add("_out", own["_value"].dataType)
+    names, place = schema.names, files.new_path(df.sparkSession, "ordered")
+    dealt.mapInArrow(go, schema).write.option("compression", "zstd").parquet(place)
+    rows = df.sparkSession.read.schema(schema).parquet(place)
+    name = F.struct(F.lit(0).alias("_"), *key)
+    tail = F.col("_value" if kind == "previous" else "_out")
+    ends = rows.groupBy("_part").agg(F.min_by(name, "_row").alias("lo"), F.max_by(name, "_row").alias("hi"), F.max_by(tail, "_row").alias("tail")).orderBy("_part").collect()  # a row a range
+    carries, before, held = [], None, None
+    for part, lo, hi, tail in ends:
+        carry = held if lo == before else None
+        if carry is not None:
+            carries.append((part, carry))
+        alone = lo == hi
+        if kind == "running_sum":
+            held = (tail or 0) + ((carry or 0) if alone else 0)
+        elif kind == "latest" and alone and tail is None:
+            held = carry
+        else:
+            held = tail
+        before = hi
+    result = F.col("_out")
+    if carries:
+        spark = df.sparkSession
+        rows = rows.join(F.broadcast(spark.createDataFrame(carries, f"_part int, _carry {own['_value'].dataType.simpleString()}")), "_part", "left")
+        if kind == "running_sum":
+            result = result + F.when(F.col("_first"), F.coalesce("_carry", F.lit(0))).otherwise(0)
+        elif kind == "latest":
+            result = F.coalesce(result, F.when(F.col("_first"), F.col("_carry")))
+        else:
+            result = F.when(F.col("_row") == 0, F.col("_carry")).otherwise(result)
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns if c != out], result.alias(out))
 
 
-def latest(df: DataFrame, key: list[str], order: list[str], value: str, out: str, width: int) -> DataFrame:
+def previous(df: DataFrame, key: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Add ``out``: ``value`` of the row before in ``key``, by ``order``."""
+    return _passed(df, key, order, F.col(value), "previous", out)
+
+
+def latest(df: DataFrame, key: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the last ``value`` up to and with the row that is not null."""
-    df = _blocked(df, key, order, width)
-    ends = df.where(F.col(value).isNotNull()).groupBy(*key, "_block").agg(F.max(F.struct(*order, F.col(value).alias("_v")))["_v"].alias("_end"))
-    before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    every = df.select(*key, "_block").distinct().join(ends, [*key, "_block"], "left")
-    carry = every.withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).drop("_end")
-    here = F.last(value, ignorenulls=True).over(Window.partitionBy(*key, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(out, here).join(carry, [*key, "_block"]).withColumn(out, F.coalesce(out, "_carry")).drop("_block", "_carry")
-
-
-def running_sum(df: DataFrame, key: list[str], order: list[str], value: Column, out: str, width: int) -> DataFrame:
-    """Add ``out``: the sum of ``value`` up to and with the row."""
-    df = _blocked(df, key, order, width).withColumn("_x", value)
-    sums = df.groupBy(*key, "_block").agg(F.sum("_x").alias("_sum"))
-    upto = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.withColumn("_carry", F.coalesce(F.sum("_sum").over(upto), F.lit(0))).drop("_sum")
-    here = F.sum("_x").over(Window.partitionBy(*key, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(out, here).join(carry, [*key, "_block"]).withColumn(out, F.col(out) + F.col("_carry")).drop("_block", "_carry", "_x")
-
-
-def row_numbers(df: DataFrame, key: list[str], order: list[str], out: str, width: int) -> DataFrame:
+    return _passed(df, key, order, F.col(value), "latest", out)
+
+
+def running_sum(df: DataFrame, key: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` up to and with the row; nulls count as 0."""
+    return _passed(df, key, order, value.cast("long"), "running_sum", out)
+
+
+def row_numbers(df: DataFrame, key: list[str], order: list[str], out: str) -> DataFrame:
     """Add ``out``: the row's number from 1 in ``key``."""
-    return running_sum(df, key, order, F.lit(1).cast("long"), out, width)
+    return running_sum(df, key, order, F.lit(1), out)

@@ -96,7 +96,7 @@ def restore_strings(split: DataFrame) -> DataFrame:
 def stored_clusters(strings: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What is kept of strings (aln_idx, qual, mode) with their clusters (aln_idx, cluster): each cluster's parts and the
     pile (cluster 0), both numbered from 1 in the order of the strings."""
-    own = ordered.row_numbers(members, ["cluster"], ["aln_idx"], "n", 1 << 16)
+    own = ordered.row_numbers(members, ["cluster"], ["aln_idx"], "n")
     rows = strings.join(own, "aln_idx")
     parts = split_strings(strings).join(own.where("cluster > 0"), "aln_idx").select("cluster", "n", "mode", "prefix", "coded", "suffix")
     return parts, rows.where("cluster = 0").select("n", "qual")
@@ -104,7 +104,7 @@ def stored_clusters(strings: DataFrame, members: DataFrame) -> tuple[DataFrame,
 
 def restore_members(members: DataFrame, parts: DataFrame, pile: DataFrame) -> DataFrame:
     """(aln_idx, qual): the n-th string of a cluster is the n-th of its parts; of the pile, the n-th line."""
-    own = ordered.row_numbers(members, ["cluster"], ["aln_idx"], "n", 1 << 16)
+    own = ordered.row_numbers(members, ["cluster"], ["aln_idx"], "n")
     return restore_strings(own.join(parts, ["cluster", "n"])).union(own.where("cluster = 0").join(pile, "n").select("aln_idx", "qual"))
 
 

@@ -132,7 +132,7 @@ def stream_zip(spark, sf):
 @query("SELECT aln_idx, CASE WHEN aln_idx % 3 = 0 THEN md END AS md FROM aln")
 def sparse_zip(spark, sf):
     a = v.aln(spark, sf)
-    lists = ordered.row_numbers(a.where("aln_idx % 3 = 0").select("aln_idx", "md"), [], ["aln_idx"], "n", 1 << 16).select("n", "md")
+    lists = ordered.row_numbers(a.where("aln_idx % 3 = 0").select("aln_idx", "md"), [], ["aln_idx"], "n").select("n", "md")
     return encode.zip_sparse(a.select("aln_idx", (F.col("aln_idx") % 3 == 0).alias("present")), lists).select("aln_idx", "md")
 
 
@@ -183,13 +183,18 @@ def view_region(spark, sf):
     return filters.view(_mapped(spark, sf), 2, 1000, 5000).select("aln_idx", "pos", "seq")
 
 
-_REGIONS = ["chr1:100-200", "chr2:0-65536", "scaffold:7:30-40", "chrX"]
+_REGIONS = IV_SQL + """, regions AS (SELECT iv_id, CASE iv_id % 4 WHEN 0 THEN 'chr' || (ref_id + 1) || ':' || start || '-' || stop WHEN 1 THEN 'scaffold:' || ref_id || ':' || start || '-' || stop
+  WHEN 2 THEN 'chr' || (ref_id + 1) ELSE 'chrX:' || start END AS region FROM iv)"""
 
 
-@query("""SELECT r AS region, regexp_extract(r, '^(.+):(\\d+)-(\\d+)$', 1) AS name, TRY_CAST(regexp_extract(r, '^(.+):(\\d+)-(\\d+)$', 2) AS INT) AS start,
-  TRY_CAST(regexp_extract(r, '^(.+):(\\d+)-(\\d+)$', 3) AS INT) AS stop FROM (VALUES ('chr1:100-200'), ('chr2:0-65536'), ('scaffold:7:30-40'), ('chrX')) t(r)""", "")
+@query("""SELECT iv_id, region, regexp_extract(region, '^(.+):(\\d+)-(\\d+)$', 1) AS name, TRY_CAST(regexp_extract(region, '^(.+):(\\d+)-(\\d+)$', 2) AS INT) AS start,
+  TRY_CAST(regexp_extract(region, '^(.+):(\\d+)-(\\d+)$', 3) AS INT) AS stop FROM regions""", _REGIONS)
 def parse_region(spark, sf):
-    return spark.createDataFrame([(r,) for r in _REGIONS], "region string").select("region", tx.region(F.col("region")).alias("p")).select("region", "p.*")
+    """Regions with a range, with colons in the name, without a range, and with half of one."""
+    text = lambda c: F.col(c).cast("string")
+    span, chromosome, kind = F.concat(text("start"), F.lit("-"), text("stop")), F.concat(F.lit("chr"), (F.col("ref_id") + 1).cast("string")), F.col("iv_id") % 4
+    region = F.when(kind == 0, F.concat(chromosome, F.lit(":"), span)).when(kind == 1, F.concat(F.lit("scaffold:"), text("ref_id"), F.lit(":"), span)).when(kind == 2, chromosome).otherwise(F.concat(F.lit("chrX:"), text("start")))
+    return v.iv(spark, sf).select("iv_id", region.alias("region")).select("iv_id", "region", tx.region(F.col("region")).alias("p")).select("iv_id", "region", "p.*")
 
 
 @query("""SELECT count(*) AS n_reads, count(*) FILTER (WHERE flag & 4 <> 0) AS unaligned, count(*) FILTER (WHERE flag & 4 = 0) AS aligned,
@@ -335,10 +340,11 @@ def ref_lookup(spark, sf):
     return _with_reference(spark, sf).select("aln_idx", "ref")
 
 
-@query("""SELECT i AS at, CASE WHEN i >= 0 AND i + 40 <= 65536 THEN substr(seq, CAST(i + 1 AS INT), 40) END AS slice, ref_id FROM genome, (SELECT unnest([0, 100, 65496, 65500, 70000]) AS i)""", GENOME_SQL)
+@query("""SELECT name, start, CASE WHEN start + 40 <= length(seq) THEN substr(seq, CAST(start + 1 AS INT), 40) END AS slice
+FROM (SELECT name, seq, CAST((key * 37) % (length(seq) + 20) AS INT) AS start FROM contigs)""", CONTIGS_SQL)
 def ref_slice_checked(spark, sf):
-    at = F.explode(F.array(*[F.lit(i) for i in (0, 100, 65496, 65500, 70000)]))
-    return v.genome(spark).withColumn("at", at).select("at", sq.checked_slice(F.col("seq"), F.col("at"), F.lit(40)).alias("slice"), "ref_id")
+    at = ((F.col("key") * 37) % (F.length("seq") + 20)).cast("int")
+    return v.contigs(spark, sf).withColumn("start", at).select("name", "start", sq.checked_slice(F.col("seq"), F.col("start"), F.lit(40)).alias("slice"))
 
 
 _MM = ", mm AS (SELECT aln_idx, i AS spot, substr(seq, CAST(i + 1 AS INT), 1) AS base, substr(ref, CAST(i + 1 AS INT), 1) AS ref_base FROM (SELECT *, unnest(range(0, 32)) AS i FROM r) WHERE substr(seq, CAST(i + 1 AS INT), 1) <> substr(ref, CAST(i + 1 AS INT), 1))"
@@ -475,8 +481,16 @@ def roundtrip_diff(spark, sf):
     return side(a.exceptAll(b), "lost").join(F.broadcast(side(b.exceptAll(a), "gained"))).join(F.broadcast(side(a, "n_reads")))  # single rows
 
 
-@query("SELECT ref_id, 'ref' || CAST(ref_id AS VARCHAR) AS name, length FROM genome", GENOME_SQL)
+@query("SELECT CAST(row_number() OVER (ORDER BY key) - 1 AS INT) AS ref_id, name, CAST(length(seq) AS BIGINT) AS length FROM contigs", CONTIGS_SQL)
 def ref_name_map(spark, sf):
+    """Names and their ids, by the header of a SAM file."""
+    path = files.new_path(spark, "header")
+    line = F.concat(F.lit("@SQ\tSN:"), "name", F.lit("\tLN:"), F.length("seq").cast("string"))
+    files.write_lines(v.contigs(spark, sf).select("key", line.alias("value")), ["key"], path)
+    return sam.read_header(spark, path)
+
+
+def _ref_names(spark):
     return v.genome(spark).select("ref_id", F.concat(F.lit("ref"), F.col("ref_id").cast("string")).alias("name"), "length")
 
 
@@ -491,7 +505,7 @@ _READS = ", rd AS (SELECT ref_id, aln_idx, pos AS start, pos + 31 AS stop FROM m
 
 
 def _iv_and_reads(spark, sf):
-    a = v.iv(spark).select("iv_id", "ref_id", F.col("start").alias("b_start"), F.col("stop").alias("b_stop"))
+    a = v.iv(spark, sf).select("iv_id", "ref_id", F.col("start").alias("b_start"), F.col("stop").alias("b_stop"))
     b = _mapped(spark, sf).select("ref_id", "aln_idx", F.col("pos").alias("a_start"), (F.col("pos") + READ - 1).alias("a_stop"))
     return b, a
 
@@ -506,14 +520,14 @@ def interval_contained(spark, sf):
     return intervals.contained(*_iv_and_reads(spark, sf)).groupBy("iv_id").agg(F.count("*").alias("n"), F.sum("aln_idx").alias("ids"))
 
 
-@query("SELECT ref_id, min(start) AS start, arg_min(iv_id, start) AS iv_id FROM iv GROUP BY ref_id", IV_SQL)
+@query("SELECT ref_id, start, iv_id FROM iv QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY start, iv_id) = 1", IV_SQL)
 def first_interval(spark, sf):
-    return v.iv(spark).groupBy("ref_id").agg(F.min("start").alias("start"), F.min_by("iv_id", "start").alias("iv_id"))
+    return v.iv(spark, sf).groupBy("ref_id").agg(F.min(F.struct("start", "iv_id")).alias("first")).select("ref_id", "first.*")
 
 
 @query("SELECT iv_id, row_number() OVER (PARTITION BY ref_id ORDER BY start, iv_id) AS place, ref_id FROM iv", IV_SQL)
 def intervals_sorted(spark, sf):
-    return v.iv(spark).select("iv_id", F.row_number().over(Window.partitionBy("ref_id").orderBy("start", "iv_id")).cast("long").alias("place"), "ref_id")
+    return ordered.row_numbers(v.iv(spark, sf), ["ref_id"], ["start", "iv_id"], "place").select("iv_id", "place", "ref_id")
 
 
 _BLOCKS = """, num AS (SELECT ref_id, pos, aln_idx, row_number() OVER (ORDER BY ref_id, pos, aln_idx) AS n FROM m),
@@ -542,7 +556,7 @@ def block_split_ref(spark, sf):
 
 @query("SELECT DISTINCT block FROM pc JOIN iv ON pc.ref_id = iv.ref_id AND pc.start <= iv.stop AND pc.stop >= iv.start WHERE iv_id < 12", ALN_SQL + ", " + IV_SQL + _BLOCKS + _PIECES)
 def block_dedupe(spark, sf):
-    return intervals.overlapping_blocks(block_split_ref(spark, sf), v.iv(spark).where("iv_id < 12").select("ref_id", "start", "stop"))
+    return intervals.overlapping_blocks(block_split_ref(spark, sf), v.iv(spark, sf).where("iv_id < 12").select("ref_id", "start", "stop"))
 
 
 # ---- quality strings
@@ -698,17 +712,21 @@ def unaligned_from_lines(spark, sf):
     return v.events(spark, sf).select(F.col("event_id").alias("n_lines"), tx.unaligned_reads(F.col("event_id")).alias("n_reads"))
 
 
-@query("SELECT * FROM (VALUES ('P_aer.sam', 'P. aeruginosa'), ('SRR1294122.k.sam', 'SRR1294122'), ('K562_cytosol.sam', 'K562'), ('NA12878.S1.bam', 'NA12878'), ('my_file', 'my\\_file')) t(name, label)", "")
+_FILES = ["P_aer", "SRR1294122.k", "K562_cytosol", "NA12878.S1", "my_file"]
+
+
+@query("""SELECT iv_id, name, CASE iv_id % 5 WHEN 0 THEN 'P. aeruginosa' WHEN 1 THEN 'SRR1294122' WHEN 2 THEN 'K562' WHEN 3 THEN 'NA12878' ELSE 'my\\_file\\_' || iv_id END AS label
+FROM (SELECT iv_id, ['P_aer', 'SRR1294122.k', 'K562_cytosol', 'NA12878.S1', 'my_file'][iv_id % 5 + 1] || '_' || iv_id || '.sam' AS name FROM iv)""", IV_SQL)
 def name_label(spark, sf):
-    names = spark.createDataFrame([(n,) for n in ("P_aer.sam", "SRR1294122.k.sam", "K562_cytosol.sam", "NA12878.S1.bam", "my_file")], "name string")
-    return names.select("name", tx.label(F.col("name")).alias("label"))
+    name = F.concat(F.element_at(F.array(*map(F.lit, _FILES)), F.col("iv_id") % 5 + 1), F.lit("_"), F.col("iv_id").cast("string"), F.lit(".sam"))
+    return v.iv(spark, sf).select("iv_id", name.alias("name")).select("iv_id", "name", tx.label(F.col("name")).alias("label"))
 
 
 # ---- sorts and sets
 
 @query("SELECT ref_id, aln_idx, pos FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY pos, aln_idx) AS n FROM m) WHERE n = 5")
 def nth_row(spark, sf):
-    return ordered.row_numbers(_mapped(spark, sf), ["ref_id"], ["pos", "aln_idx"], "n", 4096).where("n = 5").select("ref_id", "aln_idx", "pos")
+    return ordered.row_numbers(_mapped(spark, sf), ["ref_id"], ["pos", "aln_idx"], "n").where("n = 5").select("ref_id", "aln_idx", "pos")
 
 
 @query("SELECT row_number() OVER (ORDER BY mapq) AS place, mapq FROM (SELECT DISTINCT mapq FROM aln)")
@@ -725,7 +743,7 @@ def aligned_union(spark, sf):
 @query("SELECT aln_idx, row_number() OVER (ORDER BY ref_id, pos, aln_idx) AS place FROM m")
 def coordinate_sorted(spark, sf):
     rows = _mapped(spark, sf).withColumn("axis", F.col("ref_id").cast("long") * (1 << 32) + F.col("pos"))
-    return ordered.row_numbers(rows, [], ["axis", "aln_idx"], "place", 1 << 16).select("aln_idx", "place")
+    return ordered.row_numbers(rows, [], ["axis", "aln_idx"], "place").select("aln_idx", "place")
 
 
 # ---- streams that begin apart
@@ -734,7 +752,7 @@ def coordinate_sorted(spark, sf):
 WHERE n >= (SELECT min(n) FROM (SELECT *, row_number() OVER (ORDER BY ref_id, pos, aln_idx) AS n FROM m) WHERE n >= 150 AND ref_id >= 2 AND pos >= 4000)""")
 def stream_sync(spark, sf):
     rows = _mapped(spark, sf).withColumn("axis", F.col("ref_id").cast("long") * (1 << 32) + F.col("pos"))
-    rows = ordered.row_numbers(rows, [], ["axis", "aln_idx"], "n", 1 << 16)
+    rows = ordered.row_numbers(rows, [], ["axis", "aln_idx"], "n")
     lists = rows.where("aln_idx % 3 = 0 AND n >= 150").select("n", "md")
     return encode.sync_streams(rows.where("n >= 100").select("n", "ref_id", "pos"), lists, 100, 150, 2, 4000)
 
@@ -742,7 +760,7 @@ def stream_sync(spark, sf):
 @query("SELECT aln_idx, CASE WHEN aln_idx % 3 = 0 THEN md END AS md FROM aln WHERE aln_idx >= 200 AND aln_idx < 300")
 def edit_sync(spark, sf):
     a = v.aln(spark, sf).withColumn("block", F.floor(F.col("aln_idx") / 100))
-    lists = ordered.row_numbers(a.where("aln_idx % 3 = 0").select("block", "aln_idx", "md"), ["block"], ["aln_idx"], "n", 1 << 16).select("block", "n", "md")
+    lists = ordered.row_numbers(a.where("aln_idx % 3 = 0").select("block", "aln_idx", "md"), ["block"], ["aln_idx"], "n").select("block", "n", "md")
     blocks = a.select("block").distinct().withColumn("aln_before", F.col("block") * 100)
     return encode.sync_edits(a.select("aln_idx", (F.col("aln_idx") % 3 == 0).alias("present")), lists, blocks, 250).select("aln_idx", "md")
 
@@ -783,7 +801,7 @@ _PLACED = "x AS (SELECT *, CASE WHEN aln_idx % 10 < 6 THEN 3 ELSE aln_idx % 10 -
 def sam_folder_order(spark, sf):
     """The reads of a folder by the scan's ordinal: files by name, lines by place."""
     rows = sam.scan(spark, _sam_folder(spark, sf), partitionBytes=1 << 20).select("aln_idx", "qname")
-    return ordered.row_numbers(rows.withColumn("one", F.lit(0)), ["one"], ["aln_idx"], "n", 1 << 16).select("qname", F.col("n").alias("place"))
+    return ordered.row_numbers(rows.withColumn("one", F.lit(0)), ["one"], ["aln_idx"], "n").select("qname", F.col("n").alias("place"))
 
 
 @query("SELECT qname, pos, flag, cigar, mapq, seq, md FROM x WHERE rname = 'chr2' AND pos >= 20000 AND pos < 30000 AND flag & 4 = 0 AND flag & 16 <> 0", f"{ALN_SQL}, {_PLACED}")
@@ -877,7 +895,7 @@ UNION ALL SELECT 'rnext', NULL, CAST(value AS VARCHAR), code FROM rnext_d""", AL
 def head_roundtrip(spark, sf):
     rows, path = v.aln(spark, sf), files.new_path(spark, "head")
     words = {name: encode.first_seen(rows, column) for name, column in (("flags", "flag"), ("mapq", "mapq"), ("rnext", "rnext"))}
-    head.write(ref_name_map(spark, sf), words, READ, "1.6", path)
+    head.write(_ref_names(spark), words, READ, "1.6", path)
     return head.read(spark, path)
 
 
@@ -964,13 +982,13 @@ def quality_log(spark, sf):
     return logs.quality_streams(spark, _log(spark, opened.union(closed).union(length), "part", "fd"))
 
 
-@query("SELECT CAST(s AS DOUBLE) AS seconds FROM range(0, 90000, 997) t(s)", "")
+@query("SELECT CAST((iv_id * 997) % 90000 AS DOUBLE) AS seconds FROM iv", IV_SQL)
 def time_log(spark, sf):
     s = F.col("id")
     two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
     clock = F.when(s >= 3600, F.concat(F.floor(s / 3600).cast("string"), F.lit(":"), two(F.floor(s % 3600 / 60)), F.lit(":"), two(s % 60))).otherwise(F.concat(F.floor(s / 60).cast("string"), F.lit(":"), two(s % 60)))
-    rows = spark.range(0, 90000, 997).select("id", F.concat(F.lit("\tElapsed (wall clock) time (h:mm:ss or m:ss): "), clock).alias("value"))
-    return logs.elapsed(spark, _log(spark, rows, "id"))
+    rows = v.iv(spark, sf).select(F.col("iv_id").alias("key"), ((F.col("iv_id") * 997) % 90000).alias("id")).select("key", F.concat(F.lit("\tElapsed (wall clock) time (h:mm:ss or m:ss): "), clock).alias("value"))
+    return logs.elapsed(spark, _log(spark, rows, "key"))
 
 
 @query("SELECT dataset || '_' || suffix AS name, bytes AS lines, CAST(n AS INT) AS length FROM (SELECT dataset, suffix, CAST(sum(bytes) AS BIGINT) AS bytes, sum(n) AS n FROM sm GROUP BY ALL)", SIZES_SQL + _SUMS)

@@ -73,10 +73,15 @@ def with_cigars(rows: DataFrame) -> DataFrame:
     return rows.withColumn("cigar", F.element_at(F.array(*[F.lit(c) for c in CIGARS]), (F.col("aln_idx") % len(CIGARS)).cast("int") + 1))
 
 
-def iv(spark: SparkSession) -> DataFrame:
-    i = F.col("id")
-    start = (i * 104729) % 65000
-    return spark.range(200).select(i.cast("int").alias("iv_id"), (i % 5).cast("int").alias("ref_id"), start.cast("int").alias("start"), (start + (i % 50) * 10).cast("int").alias("stop"))
+def iv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals, one for each customer; every 97th covers a whole reference."""
+    i = F.col("c_custkey")
+    wide, start = i % 97 == 0, (i * 104729) % 65000
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rows.select(
+        i.cast("int").alias("iv_id"), (i % 5).cast("int").alias("ref_id"), F.when(wide, 0).otherwise(start).cast("int").alias("start"),
+        F.when(wide, REF_LENGTH - 1).otherwise(start + (i % 50) * 10).cast("int").alias("stop"),
+    )
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +134,8 @@ qv AS (SELECT aln_idx, qual FROM aln WHERE flag & 2304 = 0)"""
 CIGAR_SQL = ALN_SQL + f""",
 ca AS (SELECT aln.* REPLACE (list_extract({CIGARS!r}, CAST(aln_idx % {len(CIGARS)} AS INT) + 1) AS cigar) FROM aln)"""
 IV_SQL = """iv AS (
-  SELECT CAST(id AS INT) AS iv_id, CAST(id % 5 AS INT) AS ref_id, CAST((id * 104729) % 65000 AS INT) AS start,
-    CAST((id * 104729) % 65000 + (id % 50) * 10 AS INT) AS stop FROM range(200) t(id))"""
+  SELECT CAST(c_custkey AS INT) AS iv_id, CAST(c_custkey % 5 AS INT) AS ref_id, CAST(CASE WHEN c_custkey % 97 = 0 THEN 0 ELSE (c_custkey * 104729) % 65000 END AS INT) AS start,
+    CAST(CASE WHEN c_custkey % 97 = 0 THEN 65535 ELSE (c_custkey * 104729) % 65000 + (c_custkey % 50) * 10 END AS INT) AS stop FROM customer)"""
 SIZES_SQL = """sizes AS (
   SELECT l_returnflag AS dataset, l_linestatus AS method,
     CASE l_linenumber WHEN 1 THEN 'offs' WHEN 2 THEN 'left_clip' WHEN 3 THEN 'right_clip' WHEN 4 THEN 'edits'

@@ -42,8 +42,8 @@ def test_ordered_operators_equal_plain_windows(spark):
     rng = random.Random(2)
     data = [(rng.randint(0, 2), rng.randint(0, 60), i, rng.randint(-5, 5)) for i in range(300)]
     df = spark.createDataFrame(data, "k int, a int, b int, x int")
-    out = ordered.previous(df, ["k"], ["a", "b"], "x", "before", 7)
-    out = ordered.running_sum(out, ["k"], ["a", "b"], F.col("x"), "total", 11)
+    out = ordered.previous(df, ["k"], ["a", "b"], "x", "before")
+    out = ordered.running_sum(out, ["k"], ["a", "b"], F.col("x"), "total")
     got = {r["b"]: (r["before"], r["total"]) for r in out.collect()}
     for k in range(3):
         before, total = None, 0
@@ -69,18 +69,31 @@ def test_depth_by_window_equals_depth_by_base(spark):
     assert a == b
 
 
-def test_binned_joins_equal_theta_joins(spark):
+def test_nested_bins_equal_theta_joins(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "FIRST", 2)
+    monkeypatch.setattr(intervals, "STEP", 1)
+    monkeypatch.setattr(intervals, "LEVELS", 7)
     rng = random.Random(3)
     def some(n, p):
-        return spark.createDataFrame([(rng.randint(0, 1), i, s, s + rng.randint(0, 300)) for i in range(n) for s in [rng.randint(0, 2000)]], f"ref_id int, {p} int, {p}_start int, {p}_stop int")
+        return spark.createDataFrame([(rng.randint(0, 1), i, s, s + rng.choice([0, 1, 5, 300, rng.randint(0, 2000)])) for i in range(n) for s in [rng.randint(0, 2000)]], f"ref_id int, {p} int, {p}_start int, {p}_stop int")
     a, b = some(60, "a"), some(40, "b")
     base = a.join(b, "ref_id")
     meet = base.where("a_start <= b_stop AND a_stop >= b_start").select("a", "b")
     inside = base.where("a_start >= b_start AND a_stop <= b_stop").select("a", "b")
-    for got, want in ((intervals.overlap(a, b, 64), meet), (intervals.contained(a, b, 64), inside)):
+    for got, want in ((intervals.overlap(a, b), meet), (intervals.contained(a, b), inside)):
         assert sorted(map(tuple, got.select("a", "b").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_a_long_interval_is_one_row(spark):
+    whole = spark.createDataFrame([(0, 0, 250_000_000), (0, 2**33, 2**40), (0, 2**60, 2**62)], "ref_id int, a_start long, a_stop long")
+    point = spark.createDataFrame([(0, p, p) for p in (0, 249_999_999, 250_000_001, 2**39, 2**61)], "ref_id int, b_start long, b_stop long")
+    assert intervals._own_bin(whole, "a").count() == 3
+    for a, b in ((whole, point), (point.toDF("ref_id", "a_start", "a_stop"), whole.toDF("ref_id", "b_start", "b_stop"))):
+        assert intervals.overlap(a, b).count() == 4
+    asked = intervals._asking(intervals._own_bin(point, "b"), "b", intervals._levels(intervals._own_bin(whole, "a")), True)
+    assert asked.groupBy("b_start").count().agg(F.max("count")).first()[0] <= 3
+
+
 CASES = [  # cigar, md, sequence, mismatches, inserts, left, right, reference
     ("8M", "8", "ACGTACGT", [], "", "", "", "ACGTACGT"),
     ("8M", "3A4", "ACGGACGT", [(3, "G")], "", "", "", "ACGAACGT"),
@@ -158,20 +171,27 @@ def test_weighted_mode_by_hand(spark):
         assert (r["w"]["mode"], r["w"]["frequency"]) == (chr(mode + 32), frequency), made[r["i"]]
 
 
-def test_full_blocks_are_cut(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "ROWS", 10)
+@pytest.fixture
+def many_ranges(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    for k, v in zip(old, ("false", "23", "7")):
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_carries_reach_over_ranges_and_batches(spark, many_ranges):
     rng = random.Random(5)
-    data = [(rng.choice([0, 0, 1]), rng.choice([3, 3, 3, 4, 50]), i, rng.randint(-5, 5)) for i in range(400)]  # one deep position
+    data = [(rng.choice([0, 0, 0, 1]), rng.choice([3, 3, 3, 4, 50]), i, rng.randint(-5, 5)) for i in range(400)]  # one deep position
     df = spark.createDataFrame(data, "k int, a int, b int, x int")
-    blocks = ordered._blocked(df, ["k"], ["a", "b"], 64)
-    assert blocks.groupBy("k", "_block").count().agg(F.max("count")).first()[0] <= 40
-    out = ordered.running_sum(ordered.previous(df, ["k"], ["a", "b"], "x", "before", 64), ["k"], ["a", "b"], F.col("x"), "total", 64)
-    out = ordered.latest(out.withColumn("some", F.when(F.col("b") % 7 == 0, F.col("x"))), ["k"], ["a", "b"], "some", "last", 64)
+    out = ordered.running_sum(ordered.previous(df, ["k"], ["a", "b"], "x", "before"), ["k"], ["a", "b"], F.col("x"), "total")
+    out = ordered.latest(out.withColumn("some", F.when(F.col("b") % 70 == 0, F.col("x"))), ["k"], ["a", "b"], "some", "last")
     got = {r["b"]: (r["before"], r["total"], r["last"]) for r in out.collect()}
     for k in range(2):
         before, total, last = None, 0, None
         for _, a, b, x in sorted(d for d in data if d[0] == k):
-            total, last = total + x, x if b % 7 == 0 else last
+            total, last = total + x, x if b % 70 == 0 else last
             assert got[b] == (before, total, last)
             before = x
 

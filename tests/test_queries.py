@@ -12,7 +12,7 @@ TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "D
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()
-    for t in ("events", "lineitem", "part"):
+    for t in ("events", "lineitem", "part", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
