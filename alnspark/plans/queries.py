@@ -11,8 +11,9 @@ from alnspark.functions import sequence as sq
 from alnspark.functions import text as tx
 from alnspark.operators import coverage, edits, encode, filters, intervals, ordered, quality, rebuild, report
 from alnspark.plans import views as v
-from alnspark.sources import fasta, files, head, logs, records, sam
-from alnspark.streaming import offsets
+from alnspark.sources import fasta, files, head, logs, records, sam, store
+from alnspark.streaming import offsets, runs
+from alnspark.streaming.dictionary import GrowingDictionary
 from alnspark.plans.views import ALN_SQL, CIGAR_SQL, CONTIGS_SQL, GENOME_SQL, IV_SQL, READ, SIZES_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,6 +181,14 @@ def column_subset(spark, sf):
 
 @query("SELECT aln_idx, pos, seq FROM m WHERE ref_id = 2 AND pos >= 1000 AND pos < 5000")
 def view_region(spark, sf):
+    """By the zone map of alignments stored by coordinate."""
+    path = files.new_path(spark, "store")
+    store.write(_mapped(spark, sf).select("aln_idx", "ref_id", "pos", "seq"), path, 2_000)
+    return store.view(spark, path, 2, 1000, 5000).select("aln_idx", "pos", "seq")
+
+
+@query("SELECT aln_idx, pos, seq FROM m WHERE ref_id = 2 AND pos >= 1000 AND pos < 5000")
+def view_region_scan(spark, sf):
     return filters.view(_mapped(spark, sf), 2, 1000, 5000).select("aln_idx", "pos", "seq")
 
 
@@ -765,6 +774,49 @@ def edit_sync(spark, sf):
     return encode.sync_edits(a.select("aln_idx", (F.col("aln_idx") % 3 == 0).alias("present")), lists, blocks, 250).select("aln_idx", "md")
 
 
+# ---- streams: a table arrives in four parts, and the query goes on from its checkpoint after each
+
+def _parts(rows, by, n=4):
+    """The rows in ranges of ``by``, one after the other."""
+    lo, hi = rows.agg(F.min(by), F.max(by)).first()
+    for i in range(n):
+        yield rows.where((F.col(by) >= (lo or 0) + ((hi or 0) + 1 - (lo or 0)) * i // n) & (F.col(by) < (lo or 0) + ((hi or 0) + 1 - (lo or 0)) * (i + 1) // n))
+
+
+@query("SELECT ref_id, pos, CAST(pos - coalesce(lag(pos) OVER (PARTITION BY ref_id ORDER BY pos), 0) AS INT) AS delta, count(*) AS mult FROM m GROUP BY ref_id, pos")
+def stream_offset_rle(spark, sf):
+    runs.enable(spark)
+    path, rows = files.new_path(spark, "stream"), _mapped(spark, sf).select("ref_id", "pos")
+    ends = rows.select("ref_id", F.lit(None).cast("int").alias("pos")).distinct()
+    for part in (*_parts(rows, "pos"), ends):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = runs.offset_runs(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return spark.read.schema(runs.OUT).parquet(f"{path}/out")
+
+
+@query(_dict_sql("flag"))
+def stream_flag_dict(spark, sf):
+    path, rows = files.new_path(spark, "stream"), v.aln(spark, sf).select("aln_idx", "flag")
+    words = GrowingDictionary(spark, f"{path}/words", "flag")
+    for part in _parts(rows, "aln_idx"):
+        part.write.mode("append").parquet(f"{path}/in")
+        words.follow(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/checkpoint").awaitTermination()
+    return words.words()
+
+
+@query("""SELECT CAST(floor(epoch(ts) / 300) * 300 AS BIGINT) AS start, ref_id, count(*) AS reads, count(*) * 32 AS bases FROM m JOIN events ON aln_idx = event_id GROUP BY ALL""")
+def stream_windowed_depth(spark, sf):
+    """Reads and bases by five minutes of arrival."""
+    path = files.new_path(spark, "stream")
+    rows = v.aln(spark, sf).select("aln_idx", "ref_id", "flag").join(v.events(spark, sf).select(F.col("event_id").alias("aln_idx"), F.col("ts").cast("timestamp").alias("ts")), "aln_idx")
+    rows.write.parquet(f"{path}/in")
+    depth = offsets.windowed_depth(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), READ)
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out")  # noqa: E731  each batch has all windows
+    depth.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select(F.unix_timestamp("window.start").alias("start"), "ref_id", "reads", "bases")
+
+
 # ---- files: written from a table, and read back
 
 @query("SELECT CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gained, count(*) AS n_reads, CAST(5 AS BIGINT) AS n_refs, '1.6' AS version FROM aln")
