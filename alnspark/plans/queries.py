@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from alnspark.functions import sequence as sq
 from alnspark.functions import text as tx
-from alnspark.operators import coverage, edits, encode, filters, intervals, ordered, quality, rebuild, report
+from alnspark.operators import compare, coverage, edits, encode, filters, intervals, ordered, quality, rebuild, report
 from alnspark.plans import views as v
 from alnspark.sources import fasta, files, head, logs, records, sam, store
 from alnspark.streaming import offsets, runs
@@ -467,10 +467,29 @@ def softclips(spark, sf):
     return edits.soft_clips(v.with_cigars(v.aln(spark, sf)).where(F.col("cigar").contains("S"))).select("aln_idx", "left_clip", "right_clip")
 
 
-@query("SELECT aln_idx, seq, md FROM aln")
+_REBUILT = _OPS + """,
+ro AS (SELECT o.*, coalesce(sum(CASE WHEN op IN ('M', '=', 'X') THEN len ELSE 0 END) OVER w, 0) AS m_at, coalesce(sum(CASE WHEN op = 'I' THEN len ELSE 0 END) OVER w, 0) AS ins_at,
+    ca.aln_idx % 3 = 0 AS has, ca.aln_idx % 32 AS spot, substr(g.seq, pos + 1, 600) AS ref, translate(md5('i' || ca.aln_idx), '0123456789abcdef', 'ACGTACGTACGTACGT') AS own
+  FROM ops o JOIN ca ON o.aln_idx = ca.aln_idx JOIN genome g ON g.ref_id = ca.ref_id WINDOW w AS (PARTITION BY o.aln_idx ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rp AS (SELECT *, has AND op IN ('M', '=', 'X') AND spot >= read_at AND spot < read_at + len AS hit, substr(ref, CAST(ref_at + spot - read_at + 1 AS INT), 1) AS ref_base,
+    CASE WHEN op IN ('M', '=', 'X') THEN substr(ref, ref_at + 1, len) WHEN op = 'I' THEN substr(own, CAST(ins_at + 1 AS INT), len) WHEN op = 'S' AND read_at = 0 THEN substr(own, 9, len) WHEN op = 'S' THEN substr(own, 17, len) ELSE '' END AS piece FROM ro),
+rs AS (SELECT aln_idx, string_agg(CASE WHEN hit THEN left(piece, CAST(spot - read_at AS INT)) || translate(ref_base, 'ACGT', 'CGTA') || substr(piece, CAST(spot - read_at + 2 AS INT)) ELSE piece END, '' ORDER BY ord) AS seq,
+    sum(CASE WHEN op IN ('M', '=', 'X') THEN len ELSE 0 END) AS aligned FROM rp GROUP BY aln_idx),
+re AS (SELECT aln_idx, m_at + spot - read_at AS m, 1 AS width, ref_base AS text FROM rp WHERE hit UNION ALL SELECT aln_idx, m_at, 0, '^' || substr(ref, ref_at + 1, len) FROM ro WHERE op = 'D'),
+rt AS (SELECT *, CAST(m - coalesce(lag(m + width) OVER (PARTITION BY aln_idx ORDER BY m, width), 0) AS BIGINT) AS gap FROM re),
+rm AS (SELECT aln_idx, string_agg(gap || text, '' ORDER BY m, width) AS md, max(m + width) AS stop FROM rt GROUP BY aln_idx)"""
+
+
+@query("SELECT rs.aln_idx, seq, coalesce(md, '') || CAST(aligned - coalesce(stop, 0) AS BIGINT) AS md FROM rs LEFT JOIN rm ON rs.aln_idx = rm.aln_idx", CIGAR_SQL + _REBUILT)
 def sam_rebuild(spark, sf):
-    rows = _with_reference(spark, sf)
-    held = rows.select("aln_idx", "cigar", F.col("ref").alias("reference"), edits.mismatches(F.col("seq"), F.col("ref")).alias("mismatches"), F.lit("").alias("inserts"), F.lit("").alias("left_clip"), F.lit("").alias("right_clip"))
+    """Reads with every kind of operation, from reference, clips, inserts and a mismatch in every third."""
+    rows, own = v.with_cigars(v.aln(spark, sf)), F.translate(F.md5(F.concat(F.lit("i"), F.col("aln_idx").cast("string"))), v.HEX, v.BASES)
+    span = F.aggregate(F.regexp_extract_all("cigar", F.lit("([0-9]+)[MDNX=]"), F.lit(1)), F.lit(0), lambda n, x: n + x.cast("int"))
+    spot, reference = F.col("aln_idx").cast("int") % 32, v.reference_at(F.col("ref_id"), F.col("pos"), span)
+    base = F.translate(v.reference_base(F.col("cigar"), F.col("reference"), spot), "ACGT", "CGTA")
+    rows = rows.withColumn("reference", reference)
+    change = F.when((F.col("aln_idx") % 3 == 0) & base.isNotNull(), F.array(F.struct(spot.alias("at"), base.alias("base"))))
+    held = rows.select("aln_idx", "cigar", "reference", change.alias("mismatches"), own.alias("inserts"), F.substring(own, 9, 8).alias("left_clip"), F.substring(own, 17, 8).alias("right_clip"))
     return rebuild.rebuild(held).select("aln_idx", "seq", "md")
 
 
@@ -479,15 +498,28 @@ def sam_rebuild(spark, sf):
   CAST(tlen AS VARCHAR), seq, qual, 'MD:Z:' || md) AS line FROM aln""")
 def sam_lines(spark, sf):
     rows = v.aln(spark, sf).withColumn("opt", F.lit(None).cast("array<struct<tag:string,type:string,value:string>>"))
-    return sam.named(rows, ref_name_map(spark, sf)).select("aln_idx", rebuild.sam_line().alias("line"))
+    return sam.named(rows, _ref_names(spark)).select("aln_idx", rebuild.sam_line().alias("line"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gained, count(*) AS n_reads FROM aln")
 def roundtrip_diff(spark, sf):
     a = v.aln(spark, sf).select("aln_idx", "flag", "mapq", "rnext", "pnext", "tlen")
-    b = flags_decode(spark, sf)
-    side = lambda df, n: df.agg(F.count("*").alias(n))
-    return side(a.exceptAll(b), "lost").join(F.broadcast(side(b.exceptAll(a), "gained"))).join(F.broadcast(side(a, "n_reads")))  # single rows
+    found = compare.difference(a, flags_decode(spark, sf))
+    side = lambda df, *x: df.agg(*x)
+    lost = side(found, F.coalesce(F.sum("lost"), F.lit(0)).alias("lost"), F.coalesce(F.sum("gained"), F.lit(0)).alias("gained"))
+    return lost.join(F.broadcast(side(a, F.count("*").alias("n_reads"))))  # single rows
+
+
+_CHANGED = """, b AS (SELECT aln_idx, CASE WHEN aln_idx % 997 = 3 THEN NULL ELSE mapq END AS mapq, qname FROM aln WHERE aln_idx % 1009 <> 5 UNION ALL SELECT aln_idx, mapq, qname FROM aln WHERE aln_idx % 499 = 7),
+c AS (SELECT aln_idx, mapq, qname, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb FROM (SELECT aln_idx, mapq, qname, 'a' AS side FROM aln UNION ALL SELECT *, 'b' FROM b) GROUP BY ALL)"""
+
+
+@query("SELECT aln_idx, mapq, qname, greatest(na - nb, 0) AS lost, greatest(nb - na, 0) AS gained FROM c WHERE na <> nb", ALN_SQL + _CHANGED)
+def planted_diff(spark, sf):
+    """Some rows changed, some left out and some twice."""
+    a = v.aln(spark, sf).select("aln_idx", "mapq", "qname")
+    changed = a.where("aln_idx % 1009 <> 5").withColumn("mapq", F.when(F.col("aln_idx") % 997 != 3, F.col("mapq")))
+    return compare.difference(a, changed.union(a.where("aln_idx % 499 = 7")))
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY key) - 1 AS INT) AS ref_id, name, CAST(length(seq) AS BIGINT) AS length FROM contigs", CONTIGS_SQL)

@@ -84,6 +84,27 @@ def iv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def reference_at(ref: Column, pos: Column, span: Column) -> Column:
+    """``span`` bases of the made-up genome from a position, out of the chunks that they touch."""
+    first = F.floor(pos / 32).cast("int")
+    chunks = F.transform(F.sequence(first, F.floor((pos + span - 1) / 32).cast("int")), lambda n: _chunk(ref, n))
+    return F.substring(F.array_join(chunks, ""), pos % 32 + 1, span)
+
+
+def reference_base(cigar: Column, reference: Column, spot: Column) -> Column:
+    """The reference's base under a place of the read; null where none is."""
+    at = lambda ops: F.aggregate(
+        ops, F.struct(F.lit(0).alias("read"), F.lit(0).alias("ref"), F.lit(None).cast("int").alias("found")),
+        lambda a, x: F.struct(
+            (a["read"] + F.when(F.substring(x, -1, 1).isin(*"MIS=X"), F.substring(x, F.lit(1), F.length(x) - 1).cast("int")).otherwise(0)).alias("read"),
+            (a["ref"] + F.when(F.substring(x, -1, 1).isin(*"MDN=X"), F.substring(x, F.lit(1), F.length(x) - 1).cast("int")).otherwise(0)).alias("ref"),
+            F.when(F.substring(x, -1, 1).isin(*"M=X") & (spot >= a["read"]) & (spot < a["read"] + F.substring(x, F.lit(1), F.length(x) - 1).cast("int")), a["ref"] + spot - a["read"]).otherwise(a["found"]).alias("found"),
+        ),
+    )
+    found = at(F.regexp_extract_all(cigar, F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1)))["found"]
+    return F.when(found.isNotNull(), F.substring(reference, found + 1, F.lit(1)))
+
+
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {1: "offs", 2: "left_clip", 3: "right_clip", 4: "edits", 5: "has_edits", 6: "flags"}
     suffix = F.lit("ids")

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alnspark.functions import sequence as sq
 from alnspark.functions import text as tx
-from alnspark.operators import coverage, edits, encode, filters, intervals, ordered, quality, rebuild
+from alnspark.operators import compare, coverage, edits, encode, filters, intervals, ordered, quality, rebuild
 from alnspark.plans import views
 from alnspark.sources import fasta, logs, sam
 from alnspark.streaming import offsets
@@ -109,10 +110,70 @@ CASES = [  # cigar, md, sequence, mismatches, inserts, left, right, reference
 ]
 
 
+def read_of(cigar, reference, mismatches, inserts, left, right):
+    """(sequence, MD) by walking the CIGAR base by base."""
+    seq, md, equal, at, used, begun = "", "", 0, 0, 0, False
+    changed = {}
+    for spot, base in sorted(mismatches):
+        changed.setdefault(spot, base)
+    for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
+        n = int(n)
+        if op == "S":
+            seq += (right if begun else left)[:n]
+        elif op == "I":
+            seq += inserts[used : used + n]
+            used += n
+        elif op == "D":
+            md += f"{equal}^{reference[at : at + n]}"
+            equal = 0
+        elif op in "M=X":
+            for own in reference[at : at + n]:
+                base = changed.get(len(seq), own)
+                seq += base
+                if base == own:
+                    equal += 1
+                else:
+                    md += f"{equal}{own}"
+                    equal = 0
+        if op in "M=XDN":
+            at += n
+        begun |= op in "MIDN=X"
+    return seq, md + str(equal)
+
+
+def _rebuilt(rows):
+    import pyarrow as pa
+
+    mm = pa.list_(pa.struct([("at", pa.int32()), ("base", pa.string())]))
+    columns = list(zip(*rows))
+    columns[2] = [None if x is None else [{"at": a, "base": b} for a, b in x] for x in columns[2]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, mm if i == 2 else pa.string()) for i, c in enumerate(columns)], rebuild.PARTS)
+    return list(zip(*(x.to_pylist() for x in rebuild.read_and_md(batch))))
+
+
+def test_rebuild_of_a_batch_equals_the_walk():
+    rng, rows = random.Random(11), []
+    bases = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    for _ in range(3000):
+        ops = [(rng.choice([1, 2, 9, 120]), rng.choice("MMM=XIDN")) for _ in range(rng.randint(0, 6))]
+        ends = [[(rng.randint(1, 5), "H")] * (rng.random() < 0.2) + [(rng.randint(1, 5), "S")] * (rng.random() < 0.3) for _ in range(2)]
+        ops = ends[0] + ops + ends[1][::-1]
+        size = lambda some: sum(n for n, op in ops if op in some)
+        read = size("M=XIS")
+        mm = [(rng.randrange(read), rng.choice("ACGTN")) for _ in range(rng.choice([0, 0, 1, 4]))] if read else []
+        soft = [n for n, op in ops if op == "S"]
+        rows.append(("".join(f"{n}{op}" for n, op in ops) or rng.choice(["*", ""]), bases(size("M=XDN") + rng.choice([0, 3])), mm or rng.choice([[], None]), bases(size("I")) or None, bases(max(soft, default=0)), bases(max(soft, default=0))))
+    want = [read_of(c, r, m or [], i or "", a, b) for c, r, m, i, a, b in rows]
+    assert _rebuilt(rows) == want
+    assert _rebuilt(rows[:1]) == want[:1]
+    with pytest.raises(ValueError, match="more bases"):
+        _rebuilt([("9M", "ACGT", [], "", "", "")])
+
+
 @pytest.mark.parametrize("case", CASES)
 def test_rebuild(case):
     cigar, md, seq, mm, ins, left, right, ref = case
-    assert rebuild.read_of(cigar, ref, mm, ins, left, right) == (seq, md)
+    assert read_of(cigar, ref, mm, ins, left, right) == (seq, md) and _rebuilt([(cigar, ref, mm, ins, left, right)]) == [(seq, md)]
 
 
 def test_md_grammar(spark):
@@ -275,6 +336,25 @@ def test_fasta_and_index(spark, tmp_path):
     assert sorted(map(tuple, fasta.read_fastq(spark, str(tmp_path / "c.fq")).collect())) == [("r1", "AC", "@I"), ("r2", "GT", "II")]
 
 
+def test_difference_is_exact_and_equal_tables_move_digests_only(spark):
+    rng = random.Random(6)
+    row = lambda: (rng.choice([None, 1, 2, 3]), rng.choice([None, "", "x", "y"]), rng.choice([None, 0.5]))
+    a = [row() for _ in range(500)]
+    b = [r for i, r in enumerate(a) if i % 50] + [row() for _ in range(9)] + [(None, "only in b", None)] * 3
+    frame = lambda rows: spark.createDataFrame(rows, "k int, s string, `a.b` double")
+    want, (x, y) = {}, (Counter(a), Counter(b))
+    for r in {*x, *y}:
+        if x[r] != y[r]:
+            want[r] = (max(x[r] - y[r], 0), max(y[r] - x[r], 0))
+    for buckets in (1, 7, 4096):
+        assert {tuple(r)[:3]: tuple(r)[3:] for r in compare.difference(frame(a), frame(b), buckets).collect()} == want
+    rng.shuffle(a)
+    assert compare.difference(frame(a), frame(a[::-1])).isEmpty()
+    assert compare.difference(frame([]), frame([])).isEmpty()
+    swapped = frame([(None, "x", None), (1, None, None)]), frame([(1, "x", None), (None, None, None)])  # nulls change places
+    assert compare.difference(*swapped).count() == 4
+
+
 def test_logs(spark, tmp_path):
     (tmp_path / "sizes").write_text("# SAM\n100 a/x.sam\n# tool\n10 a/x.offs.lz\n7 a/x.ids.lz\n")
     assert [tuple(r) for r in logs.sizes(spark, str(tmp_path / "sizes")).orderBy("bytes").collect()] == [("tool", 7, "a/x.ids.lz"), ("tool", 10, "a/x.offs.lz"), ("SAM", 100, "a/x.sam")]
