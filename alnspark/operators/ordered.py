@@ -83,9 +83,8 @@ def _passed(df: DataFrame, key: list[str], order: list[str], value: Column, kind
     dealt = df.withColumn("_value", value).repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
     own = dealt.schema
     schema = StructType(list(own)).add("_part", IntegerType()).add("_row", LongType()).add("_first", BooleanType()).add("_out", own["_value"].dataType)
-    names, place = schema.names, files.new_path(df.sparkSession, "ordered")
-    dealt.mapInArrow(go, schema).write.option("compression", "zstd").parquet(place)
-    rows = df.sparkSession.read.schema(schema).parquet(place)
+    names = schema.names
+    rows = files.stored(dealt.mapInArrow(go, schema), "ordered")
     name = F.struct(F.lit(0).alias("_"), *key)
     tail = F.col("_value" if kind == "previous" else "_out")
     ends = rows.groupBy("_part").agg(F.min_by(name, "_row").alias("lo"), F.max_by(name, "_row").alias("hi"), F.max_by(tail, "_row").alias("tail")).orderBy("_part").collect()  # a row a range

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from alnspark.functions.sequence import kmers, weighted_mode
 from alnspark.operators import ordered
+from alnspark.sources import files
 
 K, NEAR, LOW = 4, 0.05, 0.26
 
@@ -108,49 +111,101 @@ def restore_members(members: DataFrame, parts: DataFrame, pile: DataFrame) -> Da
     return restore_strings(own.join(parts, ["cluster", "n"])).union(own.where("cluster = 0").join(pile, "n").select("aln_idx", "qual"))
 
 
-def leaders_of(qv: DataFrame, sample: int = 200_001, share: float = 0.05) -> DataFrame:
+class Profiles:
+    """Strings as sparse k-mer counts: (row, k-mer) cells in order, over an alphabet that the caller names."""
+
+    def __init__(self, strings: list[str], alphabet: np.ndarray):
+        self.total = np.array([len(s) for s in strings], np.int64) - K + 1
+        text = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)
+        owner = np.repeat(np.arange(len(strings)), self.total + K - 1)
+        at = np.flatnonzero(owner[: len(owner) - K + 1] == owner[K - 1 :]) if len(owner) >= K else np.zeros(0, np.int64)
+        code, base = np.searchsorted(alphabet, text).astype(np.int64), len(alphabet)
+        if base**K >= 1 << 62:
+            raise ValueError(f"{base} different characters")
+        kmer = sum(code[at + i] * base**i for i in range(K)) if len(at) else at
+        order = np.lexsort((kmer, owner[at]))
+        row, kmer = owner[at][order], kmer[order]
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (kmer[1:] != kmer[:-1])])[: len(row)])
+        self.row, self.kmer, self.count = row[first], kmer[first], np.diff(np.append(first, len(row)))
+        self.begin = np.searchsorted(self.row, np.arange(len(strings) + 1))
+        self.norm = np.bincount(self.row, self.count * self.count, len(strings)) / self.total.astype(float) ** 2
+
+    def near(self, rows: np.ndarray, other: Profiles, one: int) -> np.ndarray:
+        """Which of ``rows`` (ascending) are near string ``one`` of ``other``."""
+        own = slice(other.begin[one], other.begin[one + 1])
+        kmer, count = other.kmer[own], other.count[own]
+        size = np.diff(self.begin)[rows]
+        cells = np.arange(size.sum()) + np.repeat(self.begin[rows] - (np.cumsum(size) - size), size)
+        at = np.minimum(np.searchsorted(kmer, self.kmer[cells]), len(kmer) - 1)
+        dot = np.add.reduceat(np.where(kmer[at] == self.kmer[cells], count[at], 0) * self.count[cells], np.cumsum(size) - size)
+        return np.round(self.norm[rows] + other.norm[one] - 2 * dot / (self.total[rows] * float(other.total[one])), 9) < NEAR
+
+
+def _alphabet(*groups: list[str]) -> np.ndarray:
+    return np.unique(np.frombuffer("".join("".join(g) for g in groups).encode("utf-32-le"), np.uint32))
+
+
+def first_near(strings: list[str], leaders: list[str]) -> np.ndarray:
+    """For each string, of K characters or more, the first of ``leaders`` that is near; -1 if none is."""
+    alphabet = _alphabet(strings, leaders)
+    own, lead = Profiles(strings, alphabet), Profiles(leaders, alphabet)
+    found, left = np.full(len(strings), -1), np.arange(len(strings))
+    for i in range(len(leaders)):
+        if not len(left):
+            break
+        near = own.near(left, lead, i)
+        found[left[near]] = i
+        left = left[~near]
+    return found
+
+
+def greedy(strings: list[str]) -> list[str]:
+    """Leaders of strings in order: the first string without a leader is one, and takes all later ones near it."""
+    own, left, out = Profiles(strings, _alphabet(strings)), np.arange(len(strings)), []
+    while len(left):
+        out.append(strings[left[0]])
+        left = left[~own.near(left, own, left[0])]
+    return out
+
+
+def with_leader(rows: DataFrame, leaders: list[str], out: str = "cluster") -> DataFrame:
+    """Add ``out`` to rows with ``qual``: the number from 1 of the first leader that is near, or 0.  The leaders go to every task."""
+    shared = rows.sparkSession.sparkContext.broadcast(leaders)
+
+    def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for lo in range(0, len(whole), 2_000):
+                pdf = whole.iloc[lo : lo + 2_000]
+                long = (pdf["qual"].str.len() >= K).to_numpy()
+                found = np.zeros(len(pdf), np.int32)
+                if long.any() and shared.value:
+                    found[long] = first_near(pdf["qual"][long].tolist(), shared.value) + 1
+                yield pdf.assign(**{out: found})
+
+    own = rows.select(*rows.columns)
+    return own.mapInPandas(give, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in own.schema)}, {out} int")
+
+
+def leaders_of(qv: DataFrame, sample: int = 200_001, share: float = 0.05, block: int = 4_096) -> DataFrame:
     """(leader, qual): greedy leaders of the first ``sample`` strings, in order; those that lead no more than ``share``
     of all strings observed (pile included) are left out and the rest numbered from 1.
 
-    Leaders depend on the order, so one task finds them, from each distinct core with its count; assigning strings
-    to them (``d2``, ``assign``) is the distributed part.  Cores without a k-mer are observed but never near."""
+    Greedy clustering depends on the order, so strings go by blocks: the leaders of a block's ``block`` first strings (a bounded number) are found
+    one after another; then all strings left are held against these leaders at once, each task its own, and those near
+    one leave.  What is left has no leader yet, so its first strings are the next block.  It ends when too few are left to
+    make another leader.  Each distinct core counts once with its number.  Cores without a k-mer are observed but never near."""
+    spark = qv.sparkSession
     first = low_complexity(qv.orderBy("aln_idx").limit(sample))
     cores = split_strings(first.withColumn("qual", F.when(F.col("pile"), "").otherwise(F.col("qual"))))
-    core = F.when(F.length("core") >= K, F.col("core")).alias("qual")
-    distinct = cores.groupBy(core).agg(F.min("aln_idx").alias("at"), F.count("*").alias("n"))
-
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        least = share * pdf["n"].sum()
-        strings = pdf.dropna(subset=["qual"]).sort_values("at")
-        kept = greedy(strings["qual"].tolist(), strings["n"].to_numpy(), least)
-        return pd.DataFrame({"leader": range(1, len(kept) + 1), "qual": kept}).astype({"leader": "int32", "qual": "object"})
-
-    return distinct.groupBy(F.lit("all")).applyInPandas(lead, "leader int, qual string")  # ``sample`` rows at most
-
-
-def greedy(strings: list[str], n: np.ndarray, least: float) -> list[str]:
-    """Of distinct ``strings`` that occur ``n`` times, the leaders with more than ``least`` members: the first string
-    without a leader is one, and takes all later ones near it that no leader before has taken."""
-    lengths = np.array([len(s) for s in strings], np.int64)
-    _, text = np.unique(np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32), return_inverse=True)
-    owner = np.repeat(np.arange(len(strings)), lengths)
-    at = np.flatnonzero(owner[: len(owner) - K + 1] == owner[K - 1 :])
-    base = int(text.max(initial=0)) + 1
-    kmer = np.unique(sum(text[at + i].astype(np.int64) * base**i for i in range(K)), return_inverse=True)[1]
-    size = int(kmer.max(initial=0)) + 1
-    cells, counts = np.unique(owner[at] * size + kmer, return_counts=True)
-    # what is left: a string's k-mers lie together
-    row, kmer, total = cells // size, cells % size, (lengths - K + 1).astype(float)
-    own = np.bincount(row, counts * counts, len(strings)) / (total * total)
-    left, held, lead, kept = np.arange(len(strings)), np.bincount(row, minlength=len(strings)), np.zeros(size), []
-    while n[left].sum() > least:  # else no further leader can have enough members
-        one, k = left[0], kmer[: held[left[0]]]
-        lead[k] = counts[: len(k)]
-        dot = np.add.reduceat(lead[kmer] * counts, np.cumsum(held[left]) - held[left])
-        near = np.round(own[left] + own[one] - 2 * dot / (total[left] * total[one]), 9) < NEAR
-        lead[k] = 0
-        if n[left[near]].sum() > least:
-            kept.append(strings[one])
-        stay = np.repeat(~near, held[left])
-        left, kmer, counts = left[~near], kmer[stay], counts[stay]
-    return kept
+    distinct = cores.groupBy(F.when(F.length("core") >= K, F.col("core")).alias("qual")).agg(F.min("aln_idx").alias("at"), F.count("*").alias("n"))
+    left = files.stored(distinct, "cores")
+    least = share * (left.agg(F.sum("n")).first()[0] or 0)
+    left, kept = left.where("qual IS NOT NULL"), []
+    while (left.agg(F.sum("n")).first()[0] or 0) > least:
+        head = [r["qual"] for r in left.orderBy("at").limit(block).select("qual").collect()]
+        leaders = greedy(head)
+        given = files.stored(with_leader(left, leaders), "cores")
+        many = given.where("cluster > 0").groupBy("cluster").agg(F.sum("n").alias("n")).where(F.col("n") > least).orderBy("cluster").collect()  # under 1 / share rows
+        kept += [leaders[r["cluster"] - 1] for r in many]
+        left = given.where("cluster = 0").drop("cluster")
+    return spark.createDataFrame(list(enumerate(kept, 1)), "leader int, qual string")

@@ -655,10 +655,10 @@ def membership_tally(spark, sf):
 @query()
 def leader_clustering(spark, sf):
     qv = v.qv(spark, sf)
+    leaders = [r["qual"] for r in quality.leaders_of(qv).orderBy("leader").collect()]  # 20 at most
     rows = quality.low_complexity(qv)
-    cores = quality.split_strings(rows.where("NOT pile")).select("aln_idx", F.col("core").alias("qual")).where(F.length("qual") >= 4)
-    found = quality.assign(quality.d2(cores, quality.leaders_of(qv)))
-    return rows.select("aln_idx").join(found, "aln_idx", "left").select("aln_idx", F.coalesce("cluster", F.lit(0)).alias("cluster"))
+    core = F.when(F.col("pile"), "").otherwise(quality.trimmed(F.col("qual"), F.col("mode"))["core"])  # the pile is near no leader
+    return quality.with_leader(rows.select("aln_idx", core.alias("qual")), leaders).select("aln_idx", "cluster")
 
 
 _TRIM = """, tp AS (SELECT aln_idx, qual, mode, length(qual) AS n, strpos(qual, mode) - 1 AS a, length(qual) - strpos(reverse(qual), mode) AS b FROM wm WHERE frequency * 100 >= length(qual) * 26),

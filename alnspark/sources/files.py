@@ -22,6 +22,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` by way of files in the shared folder: what follows starts from them."""
+    path = new_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _running(rows: DataFrame, value: Column, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the file's lines before.  Sums are kept a split, and carried."""
     rows = rows.withColumn("_x", value)

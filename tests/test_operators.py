@@ -299,6 +299,9 @@ def test_leaders_equal_greedy_by_hand(spark):
     assert got == _greedy_by_hand(strings, 0.05)
     assert any(q.count("F") > 20 for q in got) and not any("5" * 20 in q for q in got)
     assert [r["qual"] for r in quality.leaders_of(frame, sample=700).orderBy("leader").collect()] == _greedy_by_hand(strings[:700], 0.05)
+    for share, block, sample in ((0.05, 7, 10**6), (0.01, 50, 10**6), (0.002, 30, 300)):  # leaders come from many blocks
+        got = [r["qual"] for r in quality.leaders_of(frame, sample, share, block).orderBy("leader").collect()]
+        assert got == _greedy_by_hand(strings[:sample], share)
     assert quality.leaders_of(frame.limit(0)).isEmpty()
     assert quality.leaders_of(frame.withColumn("qual", F.lit("!#%+5:?@ABCDEFGH"))).isEmpty()  # all in the pile
 
