@@ -30,6 +30,8 @@ K, DEGREE, BEAM, ALPHA = 5, 32, 96, 1.2
 BLOCK_ROWS, BATCH = 2_048, 256
 #: Vectors of a shard: the table dealt to ``SHARDS`` shards, within these bounds.
 LEAST_ROWS, MOST_ROWS, SHARDS = 4_096, 262_144, 64
+#: Bytes of a shard's vectors, which are one cell: wide vectors make more shards.
+MOST_BYTES = 256 << 20
 
 
 class Graph:
@@ -151,13 +153,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
+def shards_of(n: int, dim: int) -> int:
+    """Shards for ``n`` vectors of ``dim`` numbers."""
+    most = max(1, min(MOST_ROWS, MOST_BYTES // (8 * max(dim, 1))))
+    return max(1, -(-n // min(most, max(LEAST_ROWS, -(-n // SHARDS)))))
+
+
 def build(rows: DataFrame, k: int = K) -> tuple[DataFrame, int]:
     """The index (shard, dim, vectors, edges, members, sizes) of usable rows, and its number of shards."""
     own = Window.partitionBy("v").orderBy("vec_id")
     nodes = rows.withColumn("place", F.row_number().over(own)).where(F.col("place") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     nodes = stored(nodes, "ann-nodes")
-    n = nodes.count()
-    shards = max(1, -(-n // min(MOST_ROWS, max(LEAST_ROWS, -(-n // SHARDS)))))
+    n, dim = nodes.agg(F.count("*"), F.max(F.size("v"))).first()
+    shards = shards_of(n, dim or 0)
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.iloc[np.argsort([i[0] for i in pdf["ids"]])]

@@ -35,6 +35,8 @@ from alnspark.llm.wordhash import NOT_SPACE, U, Words, chunks, mix, powers, runn
 WINDOW, GRAM, RUNS = 35, 8, 4
 TEXTS = "did long, th long, size long, n long, text string"
 BROADCAST_ROWS = 2_000_000
+#: Rows of a run's bucket (34 bytes each), which one task sorts and merges.
+BUCKET_ROWS = 4_000_000
 
 
 def _stretches(words: Words, window: int, gram: int):
@@ -164,6 +166,7 @@ class FingerprintIndex:
         """Merge all runs into one."""
         old = self.runs
         rows = reduce(DataFrame.union, [self.spark.table(t) for _, _, t in old])
+        self.buckets = max(self.buckets, -(-rows.count() // BUCKET_ROWS))  # an index that grows gets more buckets
         self.runs = [(old[0][0], old[-1][1], self._write(rows, old[0][0], old[-1][1]))]
         for _, _, table in old:
             self.spark.sql(f"DROP TABLE {table}")  # the files stay, for readers of before

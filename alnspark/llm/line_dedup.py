@@ -186,6 +186,11 @@ class LineIndex:
         touched = self._live(keys)
         before = self.counts(n - 1)
         self._write_counts(before.join(keys, "key", "left_anti").union(touched), n)
+        size = self.counts(n).count()
+        if size > 2 * self.shards * KEYS_PER_SHARD:  # an index that began small gets more shards, and all filters anew
+            self.shards = -(-size // KEYS_PER_SHARD)
+            self._write_filters(self._sharded(self.counts(n)).groupBy("shard").applyInPandas(_built, FILTERS), n)
+            return
         was, now = before.join(keys, "key", "left_semi").select("key"), touched.select("key")
         changes = now.join(was, "key", "left_anti").withColumn("enters", F.lit(True)).union(was.join(now, "key", "left_anti").withColumn("enters", F.lit(False)))
         made = self.filters(n - 1).groupBy("shard").cogroup(self._sharded(changes).groupBy("shard")).applyInPandas(_updated, FILTERS)

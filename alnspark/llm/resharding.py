@@ -22,7 +22,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alnspark.llm.common import ranked, shared_path, stored
+from alnspark.llm.common import fresh, ranked, shared_path, stored
 
 SHARDS, OLD_SHARDS, OVERHEAD = 24, 16, 8
 
@@ -178,11 +178,12 @@ def rewrite(docs: DataFrame, assigned: DataFrame, ids: list[str], path: str) ->
     linked = sets.select(F.col("_at")[0].alias("a"), F.explode("_at").alias("b")).distinct().collect()  # pairs of shards
     while more := {s for a, b in linked if a in changed or b in changed for s in (a, b)} - changed:
         changed |= more
-    nth = lambda df, *order: df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    place = fresh(docs, "nth")  # a name that no column has
+    nth = lambda df, *order: df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     if repeated.isEmpty():  # texts are dealt once
         both = docs.alias("x").join(assigned.alias("y"), same(keys))
     else:
-        both = nth(docs, digest).alias("x").join(nth(assigned, "old", "shard").alias("y"), same([*keys, "_nth"]))
+        both = nth(docs, digest).alias("x").join(nth(assigned, "old", "shard").alias("y"), same([*keys, place]))
     both = both.where(F.col("y.shard").isin(changed))
     staged = stored(both.select(*[F.col(f"x.`{c}`") for c in [*keys, *texts]], "y.shard"), "reshard-staged")
     if staged.count() != assigned.where(F.col("shard").isin(changed)).count():

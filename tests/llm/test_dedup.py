@@ -142,6 +142,22 @@ def test_a_full_filter_is_built_anew(spark):
     assert index.filters().first()["buckets"] > small and all(_filter_holds(index, index.counts()).values()) and index.counts().count() == 900
 
 
+def test_an_index_that_grows_gets_more_shards(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 10)
+    path = shared_path(spark, "t")
+    docs = lambda lo, hi: fx.frame(spark, [(i, "\n".join(f"line number {k} of many lines" for k in range(lo, hi)), None, None, 0, 0, 0.0, "") for i in range(3)])
+    index = line_dedup.LineIndex(spark, path)
+    index.insert(docs(0, 5))
+    assert index.shards == 1
+    index.insert(docs(5, 300))
+    assert index.shards == 30 and index.filters().count() == 30
+    again = line_dedup.LineIndex(spark, path)  # opened again
+    again.insert(docs(300, 310))
+    assert again.shards == 30 and again.counts().count() == 310 and all(_filter_holds(again, again.counts()).values())
+    again.delete(docs(0, 5))
+    assert again.counts().count() == 305
+
+
 @pytest.mark.parametrize("per_copy", [1_000_000, 3])
 def test_filters_dealt_by_shard(spark, monkeypatch, per_copy):
     rows = fx.documents()
@@ -211,6 +227,20 @@ def test_suffix_dedup_with_whole_windows_and_shuffled_texts(spark, monkeypatch):
     fx.same(suffix_dedup.query(spark, fx.frame(spark, rows)), fx.sql(suffix_dedup.SQL, documents=(rows, fx.DOCS)))
 
 
+def test_buckets_grow_when_runs_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint_dedup, "RUNS", 1)
+    monkeypatch.setattr(fingerprint_dedup, "BUCKET_ROWS", 20)
+    rows = fx.documents()
+    docs = fx.frame(spark, rows)
+    path = shared_path(spark, "t")
+    index = fingerprint_dedup.FingerprintIndex(spark, path, buckets=1)
+    for i in range(3):
+        index.append(docs.where(F.col("doc_id") % 3 == i))
+    assert index.buckets > 1 and fingerprint_dedup.FingerprintIndex(spark, path).buckets == index.buckets
+    out = index.apply(docs).select(F.col("did").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    fx.same(out, fx.sql(fingerprint_dedup.SQL, documents=(rows, fx.DOCS)))
+
+
 def test_fingerprint_index_is_incremental(spark, monkeypatch):
     monkeypatch.setattr(fingerprint_dedup, "RUNS", 2)
     monkeypatch.setattr(fingerprint_dedup, "BROADCAST_ROWS", -1)

@@ -139,6 +139,21 @@ def test_rewrite_touches_changed_shards_only(spark):
     assert back.count() == placed.where(F.col("shard").isin(changed)).count()
 
 
+def test_rewrite_keeps_columns_of_any_name(spark):
+    path = shared_path(spark, "shards")
+    docs = spark.createDataFrame([(5, 77, "a"), (5, 78, "b"), (5, 79, "c"), (6, 80, "d")], "doc_id long, _nth int, text string")
+    places = spark.createDataFrame([(5, 0, 1), (5, 0, 0), (5, 0, 1), (6, 0, 0)], "doc_id long, old int, shard int")
+    resharding.rewrite(docs, places, ["doc_id"], path)
+    back = spark.read.parquet(path).select("doc_id", "_nth", "text")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_wide_vectors_make_more_shards():
+    assert ann.shards_of(262_144, 64) == 64 and ann.shards_of(100 * 262_144, 64) == 100
+    assert all(-(-n // ann.shards_of(n, dim)) * dim * 8 <= ann.MOST_BYTES * 1.01 for n in (10**6, 10**9) for dim in (64, 1024, 4096))
+    assert ann.shards_of(0, 0) == 1
+
+
 def test_rewrite_keeps_rows_and_other_shards(spark):
     # shard 0 stays as it is, shard 1 loses all rows to shard 2, shard 3 has the only copies of two ids
     rows = [(None, "a", 1, 2), (None, "a", 1, 2), (None, "b", 1, 2), (5, "c", 1, 2), (5, "d", 1, 2), (6, "e", 2, 2), (7, "f", 0, 0), (8, "g", 0, 0), (9, "h", 3, 2), (9, "i", 3, 3)]
