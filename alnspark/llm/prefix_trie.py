@@ -178,7 +178,8 @@ def trie(rows: DataFrame, convs: DataFrame) -> DataFrame:
     carry = retired.select("c", one.alias("leaf"), F.lit(0).cast("long").alias("saved")) if retired else None
     folded = []
     for own, nodes in reversed(rounds):
-        known = nodes.join(kids, ["d", "digest"], "left").select("d", "digest", "conv_id", "n", "n_children")
+        # written apart: a join below a join would keep Spark from splitting a very common node's members
+        known = stored(nodes.join(kids, ["d", "digest"], "left").select("d", "digest", "conv_id", "n", "n_children"), "trie-known")
         mine = F.col("c") == F.col("conv_id")
         parts = own.join(known, ["d", "digest"]).select(
             "c", "d", "digest", F.when(mine, (F.col("n") - 1) * F.col("chars")).otherwise(0).alias("part"),
