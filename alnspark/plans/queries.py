@@ -652,15 +652,6 @@ def membership_tally(spark, sf):
     return leader_assign(spark, sf).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-@query()
-def leader_clustering(spark, sf):
-    qv = v.qv(spark, sf)
-    leaders = [r["qual"] for r in quality.leaders_of(qv).orderBy("leader").collect()]  # 20 at most
-    rows = quality.low_complexity(qv)
-    core = F.when(F.col("pile"), "").otherwise(quality.trimmed(F.col("qual"), F.col("mode"))["core"])  # the pile is near no leader
-    return quality.with_leader(rows.select("aln_idx", core.alias("qual")), leaders).select("aln_idx", "cluster")
-
-
 _TRIM = """, tp AS (SELECT aln_idx, qual, mode, length(qual) AS n, strpos(qual, mode) - 1 AS a, length(qual) - strpos(reverse(qual), mode) AS b FROM wm WHERE frequency * 100 >= length(qual) * 26),
 th AS (SELECT *, greatest(a, 1) AS head FROM tp),
 tt AS (SELECT *, greatest(least(b + 1, n - 1), least(head + 1, n - 1)) AS tail FROM th),
@@ -672,6 +663,36 @@ def trim_ends(spark, sf):
     return quality.split_strings(quality.low_complexity(v.qv(spark, sf)).where("NOT pile")).select("aln_idx", "prefix", "core", "suffix")
 
 
+_LEADERS = _mode_sql() + _TRIM + """,
+sm AS (SELECT aln_idx FROM qv ORDER BY aln_idx LIMIT 200001),
+cr AS (SELECT aln_idx, substr(qual, lo + 1, hi - lo) AS core FROM tc WHERE hi - lo >= 4),
+ks AS (SELECT aln_idx, t, k, count(*) AS c FROM (SELECT aln_idx, length(core) - 3 AS t, unnest(list_transform(range(1, length(core) - 2), lambda i: substr(core, i, 4))) AS k FROM cr) GROUP BY ALL),
+nm AS (SELECT aln_idx, t, CAST(sum(c * c) AS DOUBLE) / (t * t) AS norm FROM ks GROUP BY aln_idx, t),
+least_n AS (SELECT count(*) * 0.05 AS least FROM sm),
+rec AS (  -- what is left at each step; its first string is the step's leader
+  SELECT 0 AS step, aln_idx FROM cr WHERE aln_idx IN (SELECT aln_idx FROM sm)
+  UNION ALL
+  SELECT r.step + 1, r.aln_idx
+  FROM rec r JOIN (SELECT min(aln_idx) AS one, count(*) AS n FROM rec) l ON l.n > (SELECT least FROM least_n) JOIN nm a ON a.aln_idx = r.aln_idx JOIN nm b ON b.aln_idx = l.one
+    LEFT JOIN (SELECT x.aln_idx, sum(x.c * y.c) AS dot FROM ks x JOIN ks y ON x.k = y.k WHERE y.aln_idx = (SELECT min(aln_idx) FROM rec) GROUP BY x.aln_idx) d ON d.aln_idx = r.aln_idx
+  WHERE round(a.norm + b.norm - 2 * coalesce(dot, 0) / (a.t * b.t), 9) >= 0.05),
+st AS (SELECT step, min(aln_idx) AS one, count(*) AS n FROM rec GROUP BY step),
+ld AS (SELECT one, row_number() OVER (ORDER BY step) AS leader FROM (SELECT *, n - coalesce(lead(n) OVER (ORDER BY step), 0) AS took FROM st) WHERE n > (SELECT least FROM least_n) AND took > (SELECT least FROM least_n)),
+nr AS (
+  SELECT a.aln_idx, min(leader) AS leader FROM nm a CROSS JOIN ld JOIN nm b ON b.aln_idx = ld.one
+    LEFT JOIN (SELECT x.aln_idx, y.aln_idx AS one, sum(x.c * y.c) AS dot FROM ks x JOIN ks y ON x.k = y.k WHERE y.aln_idx IN (SELECT one FROM ld) GROUP BY ALL) d ON d.aln_idx = a.aln_idx AND d.one = ld.one
+  WHERE round(a.norm + b.norm - 2 * coalesce(dot, 0) / (a.t * b.t), 9) < 0.05 GROUP BY a.aln_idx)"""
+
+
+@query("SELECT qv.aln_idx, CAST(coalesce(leader, 0) AS INT) AS cluster FROM qv LEFT JOIN nr ON nr.aln_idx = qv.aln_idx", "RECURSIVE " + ALN_SQL + _LEADERS)
+def leader_clustering(spark, sf):
+    qv = v.qv(spark, sf)
+    leaders = [r["qual"] for r in quality.leaders_of(qv).orderBy("leader").collect()]  # 20 at most
+    rows = quality.low_complexity(qv)
+    core = F.when(F.col("pile"), "").otherwise(quality.trimmed(F.col("qual"), F.col("mode"))["core"])  # the pile is near no leader
+    return quality.with_leader(rows.select("aln_idx", core.alias("qual")), leaders).select("aln_idx", "cluster")
+
+
 @query("SELECT aln_idx, qual FROM wm WHERE frequency * 100 >= length(qual) * 26", ALN_SQL + _mode_sql())
 def mode_delta_roundtrip(spark, sf):
     return quality.restore_strings(quality.split_strings(quality.low_complexity(v.qv(spark, sf)).where("NOT pile")))
