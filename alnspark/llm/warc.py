@@ -5,8 +5,9 @@ and the others become revisit records that refer to it.  Payloads stay where the
 are few enough to hand out.  Beyond that a bit table of bounded size tells which payloads may be repeated: only
 these move, dealt by digest and page, and revisit records are made of headers alone.
 
-The archives are written with fresh headers by Spark's text writer (a record ends with the four bytes that the
-writer puts after each line) and read back as a stream: the text reader cuts at the same four bytes, and records
+The archives are ordinary ``.warc.gz`` files: a ``warcinfo`` record, then the records with fresh headers, each a gzip member of its own.  A data
+source writes them through pyarrow, hidden until the job commits, so a task that runs twice leaves one file.  They are read back as a
+stream: the text reader cuts at the four bytes that end a record, and records
 are put together again by their Content-Length, one at a time.
 
 Defined cases: a null html is an empty payload; payloads under ``min_bytes`` are always responses; a null
@@ -17,22 +18,28 @@ breaks in a url are percent-encoded; an empty table gives no records; a record m
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from alnspark.llm.common import bit_table, in_bits, shared_path, stored
+from alnspark.sources.ranges import located
 
 END = "\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-#: Payload bytes of a file, about; and repeated digests (of some 100 bytes) that are handed to every task.
+#: Compressed bytes of a file, about; and repeated digests (of some 100 bytes) that are handed to every task.
 FILE_BYTES, BROADCAST_ROWS = 256 << 20, 1_000_000
 
 
@@ -97,10 +104,77 @@ def records(resolved: DataFrame) -> DataFrame:
     return resolved.select(F.concat(head, block).alias("value"))
 
 
+class _Writer(DataSourceArrowWriter):
+    """Archives of about ``filebytes`` compressed bytes below ``path``, from rows with a record's text."""
+
+    def __init__(self, options):
+        self.path, self.most = options["path"].rstrip("/"), int(options["filebytes"])
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        store, folder = located(self.path)
+        made, out, size = [], None, 0
+        try:
+            for batch in iterator:
+                for value in batch.column("value"):
+                    if out is None or size > self.most:
+                        if out:
+                            out.close()
+                        made.append(f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz")
+                        out, size = store.open_output_stream(f"{folder}/_{made[-1]}", compression=None), 0
+                        out.write(member(about(made[-1])))
+                    data = member(value.as_py())
+                    out.write(data)
+                    size += len(data)
+        finally:
+            if out:
+                out.close()
+        return Made(made)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, folder = located(self.path)
+        for name in (n for m in messages if m for n in m.files):
+            store.move(f"{folder}/_{name}", f"{folder}/{name}")
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, folder = located(self.path)
+        for name in (n for m in messages if m for n in m.files):
+            store.delete_file(f"{folder}/_{name}")
+
+
+@dataclass
+class Made(WriterCommitMessage):
+    files: list[str]
+
+
+class Archives(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "warc_archives"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def writer(self, schema, overwrite: bool) -> _Writer:
+        return _Writer(self.options)
+
+
+def about(name: str) -> str:
+    """The record that opens an archive."""
+    block = f"format: WARC File Format 1.1{END}"
+    head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields"), ("Content-Length", len(block))]
+    return f"WARC/1.1{END}" + "".join(f"{k}: {v}{END}" for k, v in head) + END + block
+
+
+def member(record: str) -> bytes:
+    return gzip.compress((record + END * 2).encode(), 6, mtime=0)
+
+
 def write(resolved: DataFrame, path: str) -> None:
-    size = resolved.agg(F.avg(F.octet_length("payload"))).first()[0] or 0
-    most = max(1, int(FILE_BYTES / (size + 1_000)))
-    records(resolved).write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+    spark = resolved.sparkSession
+    spark.dataSource.register(Archives)
+    store, folder = located(path)
+    store.create_dir(folder)
+    records(resolved).write.format("warc_archives").mode("append").option("fileBytes", FILE_BYTES).save(path)
 
 
 def parse(data: bytearray) -> tuple[dict[str, str], bytes] | int:
@@ -151,6 +225,8 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                         need = found
                         break
                     need = 0
+                    if found[0]["WARC-Type"] == "warcinfo":
+                        continue
                     rows.append(row(*found))
                     size += len(found[1])
                 if size > 8 << 20:
@@ -161,7 +237,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         if held.strip():
             raise ValueError("a file ends within a record")
 
-    lines = spark.read.option("lineSep", END * 2).text(path).select("value", F.xxhash64("_metadata.file_path").alias("file"))
+    lines = spark.read.schema("value string").option("lineSep", END * 2).text(path).select("value", F.xxhash64("_metadata.file_path").alias("file"))
     return lines.mapInArrow(assemble, schema)
 
 

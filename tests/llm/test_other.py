@@ -64,6 +64,37 @@ def test_warc_round_trip(spark, monkeypatch):
     assert {r["page_id"] for r in got} == {p for p, *_ in rows} and max(r["payload_bytes"] for r in got) == 3_000_000
 
 
+def test_archives_are_ordinary(spark, monkeypatch, tmp_path):
+    """A gzip member a record, read without Spark: headers, lengths and payloads fit; files begin with warcinfo and are cut by size."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 2_000)
+    rows = _pages() + [(500 + i, f"http://b/{i}", f"<html>{i} " + "é" * (i * 7) + "\r\n\r\n</html>") for i in range(60)]
+    warc.write(warc.resolve(fx.frame(spark, rows, PAGES).repartition(2)), f"file:{tmp_path}/warc")
+    files = sorted((tmp_path / "warc").iterdir())
+    assert len(files) > 4 and all(f.name.endswith(".warc.gz") and f.name.startswith("part-") for f in files)
+    pages, ids = [], set()
+    for file in files:
+        data, kinds = file.read_bytes(), []
+        while data:
+            one = zlib.decompressobj(31)
+            record = one.decompress(data)
+            assert one.eof
+            data = one.unused_data
+            head, block = record.split(b"\r\n\r\n", 1)
+            lines = head.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines[1:])
+            assert lines[0] == "WARC/1.1" and block[int(fields["Content-Length"]) :] == b"\r\n\r\n"
+            assert fields["WARC-Record-ID"].startswith("<urn:uuid:") and {"WARC-Date", "Content-Type"} <= set(fields)
+            kinds.append(fields["WARC-Type"])
+            if kinds[-1] == "response":
+                pages.append(block[: int(fields["Content-Length"])].split(b"\r\n\r\n", 1)[1].decode())
+            if kinds[-1] == "revisit":
+                assert fields["WARC-Refers-To"].startswith("<urn:uuid:") and fields["WARC-Profile"] == warc.PROFILE
+            ids.add(fields["WARC-Record-ID"])
+        assert kinds[0] == "warcinfo" and set(kinds[1:]) <= {"response", "revisit"}
+    assert set(pages) == {h or "" for _, _, h in rows}
+    assert len(warc.read(spark, f"file:{tmp_path}/warc").collect()) == len(rows)
+
+
 def _check_rows_law(out, n):
     shards = fx.pdf(out)
     counts = shards.groupby("shard").size().reindex(range(resharding.SHARDS), fill_value=0)
