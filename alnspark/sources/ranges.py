@@ -97,7 +97,7 @@ class FastaReader(Pushing):
         out, held = [], 0
         for file, name, bases, offset, width, line in sorted(self.entries(), key=lambda e: (e[0], e[3])):
             lines = max(1, piece // max(line, 1))
-            total = bases // width * line + bases % width if width else 0
+            total = bases + (-(-bases // width) - 1) * (line - width) if bases else 0  # without the last line's end
             for k in range(0, max(total, 1), lines * max(line, 1)):
                 size = min(lines * line, total - k) if total else 0
                 if not out or held + size > most:

@@ -92,4 +92,4 @@ def test_pushed_names_pick_the_ranges():
     left = list(reader.pushFilters([In(("name",), ("a", "b")), EqualTo(("file",), "f"), StringStartsWith(("name",), "a")]))
     assert left == [StringStartsWith(("name",), "a")]
     reader.entries = lambda: [e for e in [("f", "a", 10, 0, 5, 6), ("f", "c", 10, 50, 5, 6), ("g", "b", 10, 0, 5, 6)] if reader.passes(file=e[0], name=e[1])]
-    assert [p.parts for p in reader.partitions()] == [[("f", 0, 12, "a", 0)]]
+    assert [p.parts for p in reader.partitions()] == [[("f", 0, 11, "a", 0)]]
