@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alnspark.sources import files, ranges, records
 
 FAI = "name string, bases long, byte_offset long, bases_per_line int, bytes_per_line int"
+_PIECE = "file string, split long, group long, name string, at long, head_size long, first long, last long, n long, bases long, widest long, bytes long"
 _FAI = [c.split()[0] for c in FAI.split(", ")]
 
 
@@ -21,18 +26,61 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return records.read(spark, path).where("qual IS NOT NULL").select("name", "seq", "qual")
 
 
+def _pieces_of(lines: DataFrame) -> DataFrame:
+    """For each split the parts of records in it, by the headers there (0: what comes before the first), with places from the split's first line; and the split's bytes."""
+    names = [c.split()[0] for c in _PIECE.split(", ")]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file, split, held in records.splits(batches):
+            values = pa.chunked_array([b.column("value") for b in held]).combine_chunks().cast(pa.large_binary())
+            at = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+            raw = values.buffers()[2]
+            data = np.append(np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8), np.uint8(0))
+            length, n = np.diff(at), len(values)
+            size = length - ((length > 0) & (data[at[1:] - 1] == ord("\r")))
+            start = at[:-1] - at[0] + np.arange(n)
+            head = (length > 0) & (data[at[:-1]] == ord(">"))
+            group, heads = np.cumsum(head), np.flatnonzero(head)
+            body = np.flatnonzero(~head & (size > 0))
+            own, many = group[body], len(heads) + 1
+            first, last = np.full(many, -1), np.full(many, -1)
+            last[own] = body  # of several the last one stays
+            first[own[::-1]] = body[::-1]
+            widest = np.zeros(many, np.int64)
+            np.maximum.at(widest, own, size[body])
+            none = first < 0
+            place = lambda x: pa.array(np.where(none, 0, start[x]) if n else np.zeros(many, np.int64), mask=none)
+            name = [None, *((values[int(h)].as_py()[1:].split() or [b""])[0].decode("utf-8", "replace") if data[at[h] + 1] > 32 else "" for h in heads)]
+            begin = np.append(0, start[heads])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([file] * many), pa.array(np.full(many, split)), pa.array(np.arange(many)), pa.array(name, pa.string()), pa.array(begin), pa.array(np.append(0, size[heads])), place(first), place(last),
+                    pa.array(np.bincount(own, minlength=many)), pa.array(np.bincount(own, size[body], many).astype(np.int64)), pa.array(widest),
+                    pa.array(np.full(many, int(length.sum()) + n)),
+                ],
+                names,
+            )
+
+    return lines.mapInArrow(each, _PIECE)
+
+
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """The columns of an .fai file and the file's path, in the files' order, from line lengths and byte offsets."""
-    is_head = F.col("value").startswith(">")
-    rows = files.lines(spark, path, {"heads": is_head}).withColumn("size", F.octet_length("value"))
-    # a line's width in bytes, its break included, is the distance to the next line's offset: 1, or 2 with a carriage return
-    head = rows.where(is_head).select("file", F.col("heads").alias("rec"), F.col("offset").alias("at"), F.regexp_extract("value", r"^>(\S+)", 1).alias("name"))
-    body = rows.where(~is_head & (F.col("size") > 0) & (F.col("heads") > 0)).groupBy("file", (F.col("heads") - 1).alias("rec")).agg(
-        F.sum("size").alias("bases"), F.max("size").alias("bases_per_line"), F.min("offset").alias("byte_offset"), F.max("offset").alias("_last"), F.count("*").alias("_n"), F.max_by("size", "offset").alias("_tail"),
-    )
-    width = F.when(F.col("_n") > 1, ((F.col("_last") - F.col("byte_offset")) / (F.col("_n") - 1)).cast("int")).otherwise(F.col("bases_per_line") + F.col("byte_offset") - F.col("at") - F.col("head_size"))
-    both = head.join(rows.where(is_head).select("file", F.col("heads").alias("rec"), F.col("size").alias("head_size")), ["file", "rec"]).join(body, ["file", "rec"])
-    return both.orderBy("file", "rec").select("name", "bases", "byte_offset", F.col("bases_per_line").cast("int").alias("bases_per_line"), width.cast("int").alias("bytes_per_line"), "file")
+    """The columns of an .fai file and the file's path, in the files' order.
+
+    Each split is read once and tells where its records lie in it; what lies before a split, in bytes and records, is summed over the file's splits."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    parts = files.stored(_pieces_of(raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))), "fasta-parts")
+    ahead = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    base = parts.groupBy("file", "split").agg(F.max("bytes").alias("bytes"), F.max("group").alias("heads"))
+    base = base.select("file", "split", F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("bytes_ahead"), F.coalesce(F.sum("heads").over(ahead), F.lit(0)).alias("heads_ahead"))
+    own = parts.join(base, ["file", "split"]).withColumn("rec", F.col("heads_ahead") + F.col("group")).where("rec > 0")
+    at = lambda c: F.col("bytes_ahead") + F.col(c)
+    whole = own.groupBy("file", "rec").agg(
+        F.max("name").alias("name"), F.max(F.when(F.col("group") > 0, at("at") + F.col("head_size"))).alias("head_end"), F.sum("bases").alias("bases"), F.max("widest").alias("bases_per_line"),
+        F.min(at("first")).alias("byte_offset"), F.max(at("last")).alias("last"), F.sum("n").alias("n"),
+    ).where("n > 0")
+    width = F.when(F.col("n") > 1, (F.col("last") - F.col("byte_offset")) / (F.col("n") - 1)).otherwise(F.col("bases_per_line") + F.col("byte_offset") - F.col("head_end"))
+    return whole.orderBy("file", "rec").select("name", "bases", "byte_offset", F.col("bases_per_line").cast("int").alias("bases_per_line"), width.cast("int").alias("bytes_per_line"), "file")
 
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:

@@ -138,7 +138,7 @@ def state_after(f: dict, state: int, count: int, at: int) -> tuple[int, int, int
     return f["s_state"][i], f["s_count"][i], f["s_at"][i]
 
 
-def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[pa.RecordBatch]]]:
+def splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[pa.RecordBatch]]]:
     """The batches' rows by (file, split), which lie together and in order."""
     held, key = [], None
     for batch in batches:
@@ -167,7 +167,7 @@ def functions(lines: DataFrame) -> DataFrame:
     """The transition function of each split, one row each."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for file, split, held in _splits(batches):
+        for file, split, held in splits(batches):
             yield pa.RecordBatch.from_pylist([{"file": file, "split": split} | _lines_of(split, held).function()], schema=_SCHEMA)
 
     return lines.mapInArrow(each, FUNCTION)
@@ -203,7 +203,7 @@ def _cut(lines: DataFrame, whole: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), _KINDS)], _NAMES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, split, held in _splits(batches):
+        for file, split, held in splits(batches):
             own, rows, size = _lines_of(split, held), [], 0
             text = lambda x: b"".join(own.values[x.start : x.stop].to_pylist()).translate(None, _UNPRINTED).decode()
             for at, head, bases, qualities, complete in own.records(*(held[0].column(c)[0].as_py() for c in STATE)):

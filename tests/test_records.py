@@ -118,3 +118,20 @@ def test_fasta_and_fastq(spark, tmp_path):
     path = write(tmp_path / "x", a=">c1 x->y\nAC\nGT\n@r1\nA\nC\n+\n@\nI\n")
     assert [tuple(r) for r in fasta.read(spark, path).collect()] == [("c1", 4, "ACGT")]
     assert [tuple(r) for r in fasta.read_fastq(spark, path).collect()] == [("r1", "AC", "@I")]
+
+
+def test_index_across_splits(spark, tmp_path, small_splits):
+    """Against a walk through the bytes."""
+    rng = random.Random(3)
+    want = []
+    (tmp_path / "fa").mkdir()
+    for k, end in enumerate(["\n", "\r\n"]):
+        data = b"" if k else b"no record yet\n"
+        for i in range(30):
+            seq, head = "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 1, 59, 60, 61, 700]))), f">s{k}.{i}{rng.choice(['', ' a > b'])}{end}"
+            if seq:
+                want.append((f"s{k}.{i}", len(seq), len(data) + len(head), min(60, len(seq)), min(60, len(seq)) + len(end), f"f{k}.fa"))
+            data += (head + "".join(seq[j : j + 60] + end for j in range(0, len(seq), 60))).encode()
+        (tmp_path / "fa" / f"f{k}.fa").write_bytes(data)
+    got = [(*tuple(r)[:5], r["file"].rsplit("/", 1)[1]) for r in fasta.index(spark, str(tmp_path / "fa")).collect()]
+    assert got == want
