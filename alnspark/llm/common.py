@@ -18,6 +18,8 @@ SPACE = " \t\n\x0b\x0c\r"
 MOST_BUCKETS = 100_000
 #: A bit table has 2**bits bits, this many times the number of values where these bounds allow.
 MOST_BITS, LEAST_BITS, ROOM, BIT_PARTS = 27, 16, 64, 64
+#: Spark's setting by which a query's shuffle files are deleted when it ends, not when the driver's memory is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +40,24 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: later steps start from the
-    files, also after executors are lost, and nothing is computed twice."""
-    path = shared_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, also after executors are lost, and nothing is computed twice.  The write's shuffle files go with its end."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def finished(spark: SparkSession, folder: str) -> list[str]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alnspark.llm.common import NO_ID, fresh, id_or_null, keyed, row_key, slices, stored
+from alnspark.llm.common import NO_ID, discard, fresh, id_or_null, keyed, row_key, slices, stored
 from alnspark.llm.components import components
 from alnspark.llm.wordhash import NOT_SPACE, U, Words, chunks, mix
 
@@ -41,6 +41,10 @@ SKETCH = 8
 #: Rounds, and best-linked sets a signature, before its members are compared pairwise.
 ROUNDS, CENTRES = 2, 3
 SIGNATURES = 500_000
+#: A signature's bits beside its part; expected signatures an element of a set, and signatures a part.  A chance meeting is one more pair to verify.
+KEY_BITS, EXPECTED, PART_ENTRIES = 40, 0.6, 250_000
+#: Unlike elements share a 32-bit mark once in 2**32 pairs of them: within ``SURE`` of them ``SPARE`` times by chance in 1 of 10**13 comparisons.
+SPARE, SURE = 4, 1 << 22
 #: A table of needed sets is handed to every task up to this many rows (16 bytes each).
 BROADCAST_ROWS = 2_000_000
 
@@ -187,29 +191,35 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInPandas(cut, "did long, th long, n long, sid long, " + ", ".join(f"{p} long" for p in parities))
 
 
-def signature_rows(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
-    """(sid, rep, sigs): the signatures of each set.
+def signature_rows(docs: DataFrame, words: int, t: Fraction, parts: int) -> DataFrame:
+    """(sig, sid, lo): the sets that share a signature with a smaller one, ``lo``.
 
-    Within a batch (of about ``SIGNATURES`` at most) a signature keeps one row as its own, that of its least set, ``rep``; the other sets' rows
-    name that ``rep``, so a very common signature has one row a batch that must meet others."""
-    names = ["sid", "rep", "sigs"]
+    Within a batch (of about ``SIGNATURES`` at most) a signature keeps one row as its own, that of its least set; the other sets have found
+    theirs.  Only the own rows meet, in ``parts`` that their hashes deal, packed in 13 bytes a row; a very common signature has one a batch."""
+    names = ["part", "keys", "sids", "met"]
 
-    def gathered(sids: list[np.ndarray], sigs: list[np.ndarray]) -> pa.RecordBatch:
+    def packed(sids: list[np.ndarray], sigs: list[np.ndarray]) -> pa.RecordBatch:
         sid, sig = np.concatenate(sids), np.concatenate(sigs)
-        order = np.lexsort((sid, sig))
-        sid, sig = sid[order], sig[order]
-        head = np.ones(len(sig), bool)
-        head[1:] = sig[1:] != sig[:-1]
-        rep = sid[np.flatnonzero(head)][np.cumsum(head) - 1] if len(sig) else sid
-        new = head | np.concatenate([[True], sid[1:] != sid[:-1]])[: len(sig)]
-        sid, sig, rep = sid[new], sig[new], rep[new]
-        order = np.lexsort((rep, sid))
-        sid, sig, rep = sid[order], sig[order], rep[order]
-        edge = np.flatnonzero(np.concatenate([[True], (sid[1:] != sid[:-1]) | (rep[1:] != rep[:-1])])[: len(sid)])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(sid)).astype(np.int32)), pa.array(sig))
-        return pa.RecordBatch.from_arrays([pa.array(sid[edge]), pa.array(rep[edge]), lists], names)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = (sig & U(0xFFFFFF)).astype(np.int64) % parts
+        name = (part << KEY_BITS) + (sig >> U(64 - KEY_BITS)).astype(np.int64)
+        order = np.lexsort((sid, name))
+        sid, name = sid[order], name[order]
+        head = np.ones(len(name), bool)
+        head[1:] = name[1:] != name[:-1]
+        rep = sid[np.flatnonzero(head)][np.cumsum(head) - 1]
+        other = np.flatnonzero(sid != rep)
+        met = np.stack([name[other], sid[other], rep[other]], 1)
+        own, sid = name[head], sid[head]
+        cut = np.flatnonzero(np.append(True, (own[1:] >> KEY_BITS) != (own[:-1] >> KEY_BITS)))
+        stop = np.append(cut[1:], len(own))
+        five = np.ascontiguousarray(own & ((1 << KEY_BITS) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
+        share = np.array_split(met, len(cut))  # no matter where
+        return pa.RecordBatch.from_arrays(
+            [pa.array((own[cut] >> KEY_BITS).astype(np.int32)), pa.array([five[i:j].tobytes() for i, j in zip(cut, stop)]), pa.array([sid[i:j].astype("<i8").tobytes() for i, j in zip(cut, stop)]), pa.array([m.astype("<i8").tobytes() for m in share])],
+            names,
+        )
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(t)
         for batch in batches:
             sids, sigs, held = [], [], 0
@@ -223,15 +233,30 @@ def signature_rows(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
                     keep = first[row]
                     r, v = bands.signatures(row[keep], feature[keep], np.where(first, size, 0))
                     sids.append(sid[r])
-                    sigs.append(v.view(np.int64))
+                    sigs.append(v)
                     held += len(r)
                     if held > SIGNATURES:
-                        yield gathered(sids, sigs)
+                        yield packed(sids, sigs)
                         sids, sigs, held = [], [], 0
             if held:
-                yield gathered(sids, sigs)
-
-    return docs.select("text").mapInArrow(cut, "sid long, rep long, sigs array<long>")
+                yield packed(sids, sigs)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        raw = np.zeros((sum(map(len, pdf["keys"])) * 8 // KEY_BITS, 8), np.uint8)
+        raw[:, : KEY_BITS // 8] = np.frombuffer(b"".join(pdf["keys"]), np.uint8).reshape(-1, KEY_BITS // 8)
+        name = raw.view("<u8").ravel().astype(np.int64) + (int(pdf["part"].iloc[0]) << KEY_BITS)
+        sid = np.frombuffer(b"".join(pdf["sids"]), "<i8")
+        order = np.lexsort((sid, name))
+        name, sid = name[order], sid[order]
+        head = np.ones(len(name), bool)
+        head[1:] = name[1:] != name[:-1]
+        lo = sid[np.flatnonzero(head)][np.cumsum(head) - 1]
+        new = (sid != lo) & (head | np.append(True, sid[1:] != sid[:-1]))
+        met = np.frombuffer(b"".join(pdf["met"]), "<i8").reshape(-1, 3)
+        return pd.DataFrame({"sig": np.append(name[new], met[:, 0]), "sid": np.append(sid[new], met[:, 1]), "lo": np.append(lo[new], met[:, 2])})
+
+    posted = docs.select("text").mapInArrow(post, "part int, keys binary, sids binary, met binary")
+    return posted.groupBy("part").applyInPandas(meet, "sig long, sid long, lo long")
 
 
 def _needed(texts: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
@@ -239,16 +264,34 @@ def _needed(texts: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
     return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, on)
 
 
-def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sid, text): one text for each set in ``pairs``."""
+def _rows_of(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sid, text): a text for each set in ``pairs``, or several equal rows."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     one = sets.join(ends, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("did", "th")).alias("d")).select("sid", "d.*")
-    wanted = stored(one, "jaccard-wanted")
-    return stored(_needed(docs, wanted, ["did", "th"]).select("sid", "text").dropDuplicates(["sid"]), "jaccard-texts")
+    return _needed(docs, stored(one, "jaccard-wanted"), ["did", "th"]).select("sid", "text")
+
+
+def _marked(rows: DataFrame, words: int) -> DataFrame:
+    """(sid, marks): 32 bits of each element of a set, packed."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in (part for whole in batches for part in slices(whole)):
+            for begin, texts in chunks(pdf["text"]):
+                row, feature, size = shingle_sets(texts, words)
+                mark, stop = (feature >> U(32)).astype("<u4"), np.cumsum(size)
+                yield pd.DataFrame({"sid": pdf["sid"].to_numpy()[begin : begin + len(texts)], "marks": [mark[i:j].tobytes() for i, j in zip(stop - size, stop)]})
+
+    return rows.mapInPandas(cut, "sid long, marks binary")
+
 
+def _sides(pairs: DataFrame, own: DataFrame, column: str) -> DataFrame:
+    """The pairs with ``column`` of both sets."""
+    side = lambda c: own.select(F.col("sid").alias(c), F.col(column).alias(f"{column}_{c}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", f"{column}_a", f"{column}_b")
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity is ``t`` or more."""
+
+def exact(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity is ``t`` or more, by their texts."""
     num, den = t.numerator, t.denominator
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,9 +303,43 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> Dat
                 keep.append(den * both >= num * (int(size.sum()) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    a = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(test, "a long, b long")
+    return _sides(pairs, texts, "text").mapInPandas(test, "a long, b long")
+
+
+def in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Elements that two sets share, at most: unlike elements may have one mark, equal ones always have."""
+    u, v = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(u[0], v[0], assume_unique=True, return_indices=True)
+    return int(np.minimum(u[1][i], v[1][j]).sum())
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, t: Fraction) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity is ``t`` or more.
+
+    Half the bytes move: marks never count too few common elements, so what they refuse is refused, and too many only by chance.  A pair is a
+    link by them if it would be one with ``SPARE`` fewer; the texts decide the others, and those of so large sets that chance matters."""
+    num, den = t.numerator, t.denominator
+    marks = stored(_marked(_rows_of(docs, sets, pairs), words).dropDuplicates(["sid"]), "jaccard-marks")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in (part for whole in batches for part in slices(whole)):
+            fits, sure = np.zeros(len(pdf), bool), np.zeros(len(pdf), bool)
+            for i, (x, y) in enumerate(zip(pdf["marks_a"], pdf["marks_b"])):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                both = in_common(x, y)
+                least = -(-num * (len(x) + len(y)) // (den + num))  # den * both >= num * (all - both)
+                fits[i], sure[i] = both >= least, both >= least + SPARE and len(x) * len(y) <= SURE
+            yield pdf[["a", "b"]].assign(sure=sure)[fits]
+
+    found = stored(_sides(pairs, marks, "marks").mapInPandas(judge, "a long, b long, sure boolean"), "jaccard-judged")
+    discard(marks)
+    sure, open_ = found.where("sure").select("a", "b"), found.where("NOT sure").select("a", "b")
+    if open_.isEmpty():
+        return sure
+    texts = stored(_rows_of(docs, sets, open_).dropDuplicates(["sid"]), "jaccard-texts")
+    more = stored(exact(open_, texts, words, t), "jaccard-exact")
+    discard(texts)
+    return sure.union(more)
 
 
 def _close(t: Fraction):
@@ -287,23 +364,18 @@ def join(docs: DataFrame, words: int = 5, t: Fraction = Fraction(4, 5), id_col:
     ``root`` the component's set, which also tells components of one id apart."""
     own = keyed(docs, id_col, text_col)
     sets = stored(set_rows(own, words), "jaccard-sets")
-    sigs = signature_rows(own, words, t).select("sid", "rep", F.explode("sigs").alias("sig"))
-    # rows of a batch's least set meet by signature; the others know their partner, and are dealt evenly
-    meets = F.col("sid") == F.col("rep")
-    where = Window.partitionBy(F.when(meets, F.col("sig")).otherwise(F.xxhash64("sig", "sid")), meets)
-    spans = sigs.select("sig", "sid", "rep", F.min("rep").over(where).alias("lo"), F.max("rep").over(where).alias("hi"))
-    shared = stored(spans.where((F.col("lo") < F.col("hi")) | ~meets).select("sig", "sid", "lo").distinct(), "jaccard-shared")
+    parts = min(1 << 22, max(1, math.ceil((sets.agg(F.sum("n")).first()[0] or 0) * EXPECTED / PART_ENTRIES)))
+    shared = stored(signature_rows(own, words, t, parts), "jaccard-shared")
     edges = stored(shared.select("sid", "lo").where("sid <> lo").distinct().toDF("a", "b"), "jaccard-edges")
     marks = sets.select("sid", "n", *[f"s{i}" for i in range(SKETCH)]).dropDuplicates(["sid"])
     x, y = marks.alias("x"), marks.alias("y")
     # most edges of unlike sets end here, before any text is fetched
     both = edges.join(x, F.col("a") == F.col("x.sid")).join(y, (F.col("b") == F.col("y.sid")) & _close(t))
     hopeful = stored(both.select("a", "b"), "jaccard-hopeful")
-    texts = _texts(own, sets, hopeful)
     # first each set's least partner; then the edges that still lead to another component
-    links = stored(verified(hopeful.groupBy("a").agg(F.min("b").alias("b")), texts, words, t), "jaccard-links")
+    links = stored(verified(hopeful.groupBy("a").agg(F.min("b").alias("b")), own, sets, words, t), "jaccard-links")
     rest = stored(_unjoined(hopeful, components(links)), "jaccard-rest")
-    links = stored(links.union(verified(rest, texts, words, t)).distinct(), "jaccard-links")
+    links = stored(links.union(verified(rest, own, sets, words, t)).distinct(), "jaccard-links")
     roots = components(links)
     # signatures with a failed link: all their members in different components
     failed = stored(_unjoined(edges, roots), "jaccard-failed")
@@ -322,7 +394,9 @@ def join(docs: DataFrame, words: int = 5, t: Fraction = Fraction(4, 5), id_col:
             met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & _close(t))
             pairs = met.select(F.greatest("x.sid", "y.sid").alias("a"), F.least("x.sid", "y.sid").alias("b")).distinct()
             pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-            return pairs, stored(verified(pairs, _texts(own, sets, pairs), words, t), "jaccard-more")
+            more = verified(pairs, own, sets, words, t)
+            discard(side)
+            return pairs, more
 
         # a signature's best-linked sets first: they join most of a large group of near copies
         best = Window.partitionBy("sig").orderBy(F.desc("degree"), "sid")

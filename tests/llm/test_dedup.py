@@ -1,11 +1,13 @@
 import hashlib
+import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from alnspark.llm import fingerprint_dedup, jaccard_join, line_dedup, suffix_array as suffixes, suffix_dedup
+from alnspark.llm import common, fingerprint_dedup, jaccard_join, line_dedup, suffix_array as suffixes, suffix_dedup
 from alnspark.llm.common import shared_path
 from alnspark.llm.suffix_array import shares_prefix, suffix_array
 from tests.llm import fixtures as fx
@@ -261,3 +263,38 @@ def test_fingerprint_index_is_incremental(spark, monkeypatch):
 
 def test_hash_of_nothing():
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum("shuffle_" in files.apply(i).getName() for i in range(files.size()))
+
+
+def test_a_stored_table_leaves_no_shuffle_files_and_goes_when_discarded(spark):
+    """Near duplicates filled the disk with the shuffles of all their steps."""
+    import time
+
+    before = _shuffle_files(spark)
+    kept = common.stored(spark.range(20_000).repartition(7, "id").groupBy((F.col("id") % 900).alias("k")).count(), "some")
+    for _ in range(100):
+        if _shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert _shuffle_files(spark) <= before and kept.count() == 900
+    files = [f.removeprefix("file://") for f in kept.inputFiles()]
+    common.discard(kept)
+    assert files and not any(os.path.exists(f) for f in files)
+
+
+def test_marks_never_count_too_few_and_texts_decide_near_the_threshold(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        x, y = (rng.integers(0, 40, rng.integers(0, 30)).astype("<u4") for _ in range(2))
+        assert jaccard_join.in_common(x, y) == sum((Counter(x.tolist()) & Counter(y.tolist())).values())
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[: 60 - i] + [f"x{i}.{j}" for j in range(i)]), "en", "s", 0, None, None, None) for i in range(14)]
+    want = fx.sql(jaccard_join.SQL, documents=(rows, fx.DOCS))
+    for spare, sure in ((4, 1 << 22), (0, 1 << 22), (0, 0)):
+        monkeypatch.setattr(jaccard_join, "SPARE", spare)
+        monkeypatch.setattr(jaccard_join, "SURE", sure)
+        fx.same(jaccard_join.query(spark, fx.frame(spark, rows)), want)
