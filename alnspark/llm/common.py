@@ -38,24 +38,26 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, *by: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: later steps start from the
-    files, also after executors are lost, and nothing is computed twice.  The write's shuffle files go with its end."""
+    files, also after executors are lost, and nothing is computed twice.  The write's shuffle files go with its end.
+
+    Rows lie in a folder for each value of ``by``."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of ``stored`` tables that nothing reads any more."""
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Delete the files of ``stored`` tables that nothing reads any more, or of ``part`` (column=value) of them."""
     for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if f"/{part}/" in f or not part}:
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 

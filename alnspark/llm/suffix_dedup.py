@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alnspark.llm.common import id_or_null, keyed, slices, stored
+from alnspark.llm.common import discard, id_or_null, keyed, slices, stored
 from alnspark.llm.suffix_array import shares_prefix, suffix_array, words_at
 from alnspark.llm.wordhash import U, mix, powers, running_min
 
@@ -356,8 +356,13 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     own = marked.where("first IS NULL OR did = first").select("did", "th", "text")
     parts = min(1 << 23, max(1, math.ceil(total / (length - GRAM) * 2 / PART_ENTRIES)))
     own = own.withColumn("b", F.pmod(F.xxhash64("did", "th"), F.lit(groups)).cast("int"))
-    cut = stored(pieces(own, repeated_prints(own, length, parts, groups), length, parts, shards), "suffix-pieces")
+    # a step's shuffle files, and what nothing reads any more, go before the next step begins
+    hits = stored(repeated_prints(own, length, parts, groups), "suffix-prints")
+    cut = stored(pieces(own, hits, length, parts, shards), "suffix-pieces", "kind")
+    discard(hits)
     holders = cut.where("kind = 1").select("b", "shard", *[f"x{i}" for i in range(1, 6)]).groupBy("shard").applyInPandas(lambda pdf: least_holders(pdf, length), "b int, idx binary, off binary, least binary")
+    holders = stored(holders, "suffix-holders")
+    discard(cut, part="kind=1")
     gone = stored(removals(cut.where("kind = 2").select("b", *[f"x{i}" for i in range(1, 7)]), holders, length), "suffix-removed")
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -298,3 +298,10 @@ def test_marks_never_count_too_few_and_texts_decide_near_the_threshold(spark, mo
         monkeypatch.setattr(jaccard_join, "SPARE", spare)
         monkeypatch.setattr(jaccard_join, "SURE", sure)
         fx.same(jaccard_join.query(spark, fx.frame(spark, rows)), want)
+
+
+def test_discarding_one_kind_leaves_the_others(spark):
+    rows = common.stored(spark.range(9).select("id", (F.col("id") % 3).cast("int").alias("kind")), "kinds", "kind")
+    common.discard(rows, part="kind=1")
+    assert sorted(r["id"] for r in rows.where("kind <> 1").collect()) == [0, 2, 3, 5, 6, 8]
+    common.discard(common.stored(spark.range(0).withColumn("kind", F.lit(0)), "kinds", "kind"))
