@@ -31,9 +31,13 @@ def genome_chunks(spark: SparkSession) -> DataFrame:
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, name, seq): a sequence for each part, of 32 to 1632 bases."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return contigs_of(spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
+def contigs_of(part: DataFrame, *more: str) -> DataFrame:
+    """(more, key, name, seq) of parts, row by row."""
     bases = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size")), lambda n: _chunk(F.col("p_partkey"), n)), "")
-    return part.select(F.col("p_partkey").alias("key"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("name"), bases.alias("seq"))
+    return part.select(*more, F.col("p_partkey").alias("key"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("name"), bases.alias("seq"))
 
 
 def aln(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ def _pieces_of(lines: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in _PIECE.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, split, held in records.splits(batches):
-            values = pa.chunked_array([b.column("value") for b in held]).combine_chunks().cast(pa.large_binary())
+        for file, split, ahead, _, values in records.blocks(batches):
+            split += ahead  # a block counts as a split
             at = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
             raw = values.buffers()[2]
             data = np.append(np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8), np.uint8(0))

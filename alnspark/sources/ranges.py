@@ -22,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 #: Bytes of a partition, and of one piece of a record.
 PARTITION_BYTES, PIECE_BYTES = 32 << 20, 4 << 20
 BATCH = 8_192
+#: An index up to this size is read by the driver; bytes of a task's range of a larger one.
+PLAN_BYTES, INDEX_BYTES = 4 << 20, 1 << 20
 
 
 def register(spark: SparkSession) -> None:
@@ -80,47 +82,90 @@ class Ranges(InputPartition):
     parts: Sequence[tuple]
 
 
+@dataclass
+class IndexRange(InputPartition):
+    """A byte range of an index."""
+
+    file: str
+    first: int
+    size: int
+    whole: int
+
+
 class FastaReader(Pushing):
     columns = ("file", "name")
 
+    def entry(self, row: list[str]) -> tuple | None:
+        """(file, name, bases, first byte, bases and bytes a line) of a line of the index, if it is wanted."""
+        file, name, *numbers = row if len(row) > 5 else [self.options["path"], *row]
+        return (file, name, *map(int, numbers)) if self.passes(file=file, name=name) else None
+
     def entries(self) -> Iterator[tuple]:
         for path, _ in listed(self.options["index"]):
             store, place = located(path)
             with store.open_input_stream(place) as f:
                 for row in csv.reader(io.TextIOWrapper(f), delimiter="\t"):
-                    file, name, *numbers = row if len(row) > 5 else [self.options["path"], *row]
-                    if self.passes(file=file, name=name):
-                        yield file, name, *map(int, numbers)
-
-    def partitions(self) -> list[Ranges]:
-        most, piece = (int(self.options.get(k, n)) for k, n in (("partitionbytes", PARTITION_BYTES), ("piecebytes", PIECE_BYTES)))
-        out, held = [], 0
-        for file, name, bases, offset, width, line in sorted(self.entries(), key=lambda e: (e[0], e[3])):
-            lines = max(1, piece // max(line, 1))
-            total = bases + (-(-bases // width) - 1) * (line - width) if bases else 0  # without the last line's end
-            for k in range(0, max(total, 1), lines * max(line, 1)):
-                size = min(lines * line, total - k) if total else 0
-                if not out or held + size > most:
+                    if found := self.entry(row):
+                        yield found
+
+    def cut(self, entry: tuple) -> Iterator[tuple]:
+        """The ranges of an entry, of whole lines."""
+        piece = int(self.options.get("piecebytes", PIECE_BYTES))
+        file, name, bases, offset, width, line = entry
+        lines = max(1, piece // max(line, 1))
+        total = bases + (-(-bases // width) - 1) * (line - width) if bases else 0  # without the last line's end
+        for k in range(0, max(total, 1), lines * max(line, 1)):
+            yield file, offset + k, min(lines * line, total - k) if total else 0, name, k // line * width if line else 0
+
+    def partitions(self) -> list[Ranges | IndexRange]:
+        """An index of few records is cut here, so that long ones are shared out; of a larger one, each task cuts its own lines."""
+        files = listed(self.options["index"]) if "index" in self.options else []
+        if sum(size for _, size in files) > int(self.options.get("planbytes", PLAN_BYTES)):
+            step = int(self.options.get("indexbytes", INDEX_BYTES))
+            return [IndexRange(file, k, min(step, size - k), size) for file, size in files for k in range(0, size, step)]
+        most, out, held = int(self.options.get("partitionbytes", PARTITION_BYTES)), [], 0
+        for entry in sorted(self.entries(), key=lambda e: (e[0], e[3])):
+            for part in self.cut(entry):
+                if not out or held + part[2] > most:
                     out.append(Ranges([]))
                     held = 0
-                out[-1].parts.append((file, offset + k, size, name, k // line * width if line else 0))
-                held += size
+                out[-1].parts.append(part)
+                held += part[2]
         return out or [Ranges([])]
 
-    def read(self, partition: Ranges) -> Iterator[tuple]:
+    def parts(self, partition: Ranges | IndexRange) -> Iterator[tuple]:
+        if isinstance(partition, Ranges):
+            yield from partition.parts
+            return
+        lines = (line.decode() for _, line in _lines(partition.file, partition.first, partition.size, partition.whole))
+        for row in csv.reader((x for x in lines if x), delimiter="\t"):
+            if found := self.entry(row):
+                yield from self.cut(found)
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         path = handle = None
-        for file, offset, size, name, base in partition.parts:
+        rows, held = [], 0
+        for file, offset, size, name, base in self.parts(partition):
             if file != path:
                 if handle:
                     handle.close()
                 store, place = located(file)
                 path, handle = file, store.open_input_file(place)
             data = handle.read_at(size, offset)
-            yield file, name, base, data.translate(None, b"\r\n\t ").decode(), len(data)
+            rows.append((file, name, base, data.translate(None, b"\r\n\t ").decode(), len(data)))
+            held += len(data)
+            if len(rows) == BATCH or held >= PIECE_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), _PIECES.types)], schema=_PIECES)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), _PIECES.types)], schema=_PIECES)
         if handle:
             handle.close()
 
 
+_PIECES = pa.schema([("file", pa.string()), ("name", pa.string()), ("start", pa.int64()), ("seq", pa.string()), ("bytes_read", pa.int64())])
+
+
 class FastaRanges(DataSource):
     """Pieces of indexed sequences.  Options: ``index`` (tab-separated: name, bases, first byte, bases and bytes a line; a first column names the
     file if there are several), ``path`` of the only file otherwise."""

@@ -8,9 +8,9 @@ that begins with ``@`` or ``+`` is no header, and ``>`` inside a header opens no
 What a line means depends on all lines before it, so a split alone cannot tell.  Each split yields its transition function instead: the state that it ends in
 for each state that it may begin in.  From state 0 that is one state; from 2 it is a step function of the missing number, and as runs soon meet,
 a few steps; 1 leads to 2 or to a header.  The functions are composed along each file, a row a split, and then all splits cut their
-records at once.  Records across splits leave pieces, which are put together.
+records at once.  Records across blocks leave pieces, which are put together.
 
-A split's line sizes (not its text) and a record must fit in a task's memory.
+A split is gone through in blocks of some ``BLOCK_BYTES``, each with a function of its own, and only the block at hand and a record must fit in a task's memory.
 """
 
 from __future__ import annotations
@@ -20,13 +20,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of lines that a task holds at a time.
+BLOCK_BYTES = 2 << 20
 BETWEEN, BASES, QUALITIES = 0, 1, 2
 HEAD, PLUS = 1, 2
 STATE = ("state", "count", "at")
-FUNCTION = "file string, split long, state int, count long, at long, total long, kind int, before long, after long, f_state int, f_count long, f_at long, bound array<long>, s_state array<int>, s_count array<long>, s_at array<long>"
+FUNCTION = "file string, split long, ahead long, state int, count long, at long, total long, kind int, before long, after long, f_state int, f_count long, f_at long, bound array<long>, s_state array<int>, s_count array<long>, s_at array<long>"
 
 
 class Lines:
@@ -138,9 +141,15 @@ def state_after(f: dict, state: int, count: int, at: int) -> tuple[int, int, int
     return f["s_state"][i], f["s_count"][i], f["s_at"][i]
 
 
-def splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[pa.RecordBatch]]]:
-    """The batches' rows by (file, split), which lie together and in order."""
-    held, key = [], None
+def blocks(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[str, int, int, pa.RecordBatch, pa.Array]]:
+    """(file, split, bytes before in the split, first rows, lines) by blocks of about ``most`` bytes, in order; the lines are a block's whole."""
+    most = most or BLOCK_BYTES
+    held, size, key, ahead = [], 0, None, 0
+
+    def block():
+        values = pa.chunked_array([b.column("value").cast(pa.large_binary()) for b in held]).combine_chunks()
+        return *key, ahead, held[0].slice(0, 1), values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -148,27 +157,31 @@ def splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[p
         cut = np.flatnonzero(split[1:] != split[:-1]) + 1
         names = file.dictionary_encode().indices.to_numpy() if batch.num_rows > 1 else np.zeros(1, int)
         cut = np.union1d(cut, np.flatnonzero(names[1:] != names[:-1]) + 1).astype(int)
+        end = np.cumsum(pc.fill_null(pc.binary_length(batch.column("value")), 0).to_numpy().astype(np.int64) + 1)  # bytes up to and with each line
         for lo, hi in zip([0, *cut], [*cut, batch.num_rows]):
             own = file[int(lo)].as_py(), int(split[lo])
             if own != key:
                 if held:
-                    yield *key, held
-                held, key = [], own
-            held.append(batch.slice(int(lo), int(hi - lo)))
+                    yield block()
+                held, size, key, ahead = [], 0, own, 0
+            while lo < hi:
+                if size >= most:
+                    yield block()
+                    held, size, ahead = [], 0, ahead + size
+                before = int(end[lo - 1]) if lo else 0
+                to = min(int(hi), max(int(lo) + 1, int(np.searchsorted(end, before + most - size))))
+                held.append(batch.slice(int(lo), to - int(lo)))
+                size, lo = size + int(end[to - 1]) - before, to
     if held:
-        yield *key, held
-
-
-def _lines_of(split: int, batches: list[pa.RecordBatch]) -> Lines:
-    return Lines(split, pa.chunked_array([b.column("value") for b in batches]).combine_chunks() if len(batches) > 1 else batches[0].column("value"))
+        yield block()
 
 
 def functions(lines: DataFrame) -> DataFrame:
-    """The transition function of each split, one row each."""
+    """The transition functions of each split's blocks, one row each."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for file, split, held in splits(batches):
-            yield pa.RecordBatch.from_pylist([{"file": file, "split": split} | _lines_of(split, held).function()], schema=_SCHEMA)
+        for file, split, ahead, _, values in blocks(batches):
+            yield pa.RecordBatch.from_pylist([{"file": file, "split": split, "ahead": ahead} | Lines(split + ahead, values).function()], schema=_SCHEMA)
 
     return lines.mapInArrow(each, FUNCTION)
 
@@ -182,12 +195,13 @@ def starts(found: DataFrame) -> DataFrame:
 
     def along(rows: pd.DataFrame) -> pd.DataFrame:
         now, out = (BETWEEN, 0, 0), []
-        for f in rows.sort_values("split").to_dict("records"):
-            out.append((f["file"], f["split"], *now))
+        for f in rows.sort_values(["split", "ahead"]).to_dict("records"):
+            if not f["ahead"]:
+                out.append((f["file"], f["split"], *now))
             now = state_after(f, *now)
         return pd.DataFrame(out, columns=["file", "split", *STATE])
 
-    return found.groupBy("file").applyInPandas(along, "file string, split long, state int, count long, at long")  # a file's splits, a short row each
+    return found.groupBy("file").applyInPandas(along, "file string, split long, state int, count long, at long")  # a file's blocks, a short row each
 
 
 RECORD = "file string, at long, split long, head string, seq string, qual string"
@@ -197,25 +211,28 @@ _UNPRINTED = bytes(x for x in range(256) if not 32 < x < 127)
 
 
 def _cut(lines: DataFrame, whole: bool) -> DataFrame:
-    """The records that lie in one split (``whole``), or the pieces of the others; ``qual`` is null before the qualities."""
+    """The records that lie in one block (``whole``), or the pieces of the others; ``qual`` is null before the qualities."""
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), _KINDS)], _NAMES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, split, held in splits(batches):
-            own, rows, size = _lines_of(split, held), [], 0
+        now = None
+        for file, split, ahead, first, values in blocks(batches):
+            own, rows, size = Lines(split + ahead, values), [], 0
+            now = now if ahead else tuple(first.column(c)[0].as_py() for c in STATE)
             text = lambda x: b"".join(own.values[x.start : x.stop].to_pylist()).translate(None, _UNPRINTED).decode()
-            for at, head, bases, qualities, complete in own.records(*(held[0].column(c)[0].as_py() for c in STATE)):
+            for at, head, bases, qualities, complete in own.records(*now):
                 if complete == whole:
                     name = None if head is None else own.values[head].as_py()[1:].rstrip(b"\r").decode("utf-8", "replace")
-                    rows.append((file, at, split, name, text(bases), None if qualities is None else text(qualities)))
+                    rows.append((file, at, split + ahead, name, text(bases), None if qualities is None else text(qualities)))
                     size += len(rows[-1][4])
                 if len(rows) >= 10_000 or size > 1 << 24:
                     yield batch(rows)
                     rows, size = [], 0
             if rows:
                 yield batch(rows)
+            now = state_after(own.function(), *now)
 
     return lines.mapInArrow(cut, RECORD)
 

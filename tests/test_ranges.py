@@ -84,6 +84,28 @@ def test_bytes_read_follow_the_entries(spark, tmp_path):
     assert f"EqualTo(name,{wanted[0]})" in _plan(one)
 
 
+def test_a_large_index_is_cut_by_the_tasks(spark, tmp_path):
+    """The driver read and cut all of it."""
+    seqs = {f"s{i}": "ACGT" * (1 + i % 40) for i in range(300)}
+    (tmp_path / "a.fa").write_text("".join(f">{n}\n" + "".join(s[i : i + 60] + "\n" for i in range(0, len(s), 60)) for n, s in seqs.items()))
+    index = str(tmp_path / "index")
+    fasta.write_index(fasta.index(spark, str(tmp_path / "a.fa")), index)
+    options = {"planBytes": 0, "indexBytes": 500, "pieceBytes": 70}
+    planned = ranges.FastaReader({k.lower(): str(v) for k, v in options.items()} | {"index": index}).partitions()
+    assert len(planned) > 10 and all(isinstance(p, ranges.IndexRange) and p.size <= 500 for p in planned)
+    assert {r["name"]: r["seq"] for r in fasta.load(spark, index, **options).collect()} == seqs
+    one = fasta.pieces(spark, index, **options).where("name = 's7'").collect()
+    assert "".join(r["seq"] for r in sorted(one, key=lambda r: r["start"])) == seqs["s7"]
+
+
+def test_batches_are_bounded_in_bytes(tmp_path):
+    (tmp_path / "a").write_bytes(b"A" * (40 << 20))
+    reader = ranges.FastaReader({"index": str(tmp_path)})
+    part = ranges.Ranges([(str(tmp_path / "a"), k << 20, 1 << 20, "a", k << 20) for k in range(40)])
+    sizes = [b.nbytes for b in reader.read(part)]
+    assert len(sizes) == 10 and max(sizes) < 5 << 20
+
+
 def test_pushed_names_pick_the_ranges():
     """The reader plans nothing but what is asked for."""
     from pyspark.sql.datasource import EqualTo, In, StringStartsWith

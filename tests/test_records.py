@@ -135,3 +135,32 @@ def test_index_across_splits(spark, tmp_path, small_splits):
         (tmp_path / "fa" / f"f{k}.fa").write_bytes(data)
     got = [(*tuple(r)[:5], r["file"].rsplit("/", 1)[1]) for r in fasta.index(spark, str(tmp_path / "fa")).collect()]
     assert got == want
+
+
+def test_blocks_of_a_split_are_bounded_and_compose(spark):
+    """A task held the whole split, at some 20 bytes of memory a byte."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    for _ in range(40):
+        lines = random_text(rng, 12).encode().split(b"\n")[:-1]
+        step = rng.choice([1, 7, 1000])
+        parts = [lines[i : i + step] for i in range(0, len(lines), step)]
+        batches = [pa.RecordBatch.from_pydict({"file": ["f"] * len(x), "split": pa.array([5] * len(x), pa.int64()), "value": [y.decode() for y in x]}) for x in parts]
+        whole, now, got, many = records.Lines(5, pa.array(lines, pa.binary())), (0, 0, 0), [], 0
+        for file, split, ahead, first, values in records.blocks(iter(batches), 120):
+            assert (file, split, first.num_rows) == ("f", 5, 1) and ahead == sum(len(x) + 1 for x in got)
+            own = values.to_pylist()
+            assert len(own) == 1 or sum(len(x) + 1 for x in own[:-1]) <= 120
+            now, got, many = records.state_after(records.Lines(split + ahead, values).function(), *now), got + own, many + 1
+        assert got == lines and many > 2
+        assert now == records.state_after(whole.function(), 0, 0, 0)
+
+
+def test_many_blocks_a_split(spark, tmp_path):
+    text = "".join(f"@r{i}\nACGT\nAC\n+\n@>+I\nII\n>c{i} x\nAC\nGT\n" for i in range(150_000))
+    path = write(tmp_path / "x", a=text)
+    found = records.read(spark, path).groupBy("comment", "seq", "qual").count().collect()
+    assert sorted((r["seq"], r["qual"], r["count"]) for r in found) == [("ACGT", None, 150_000), ("ACGTAC", "@>+III", 150_000)]
+    assert len(text) > 2 * records.BLOCK_BYTES
+    assert fasta.index(spark, write(tmp_path / "y", a=text.replace("@", "N").replace("+", "N"))).count() == 150_000
