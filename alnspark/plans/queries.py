@@ -890,12 +890,13 @@ def sam_roundtrip(spark, sf):
 
 
 def _sam_folder(spark, sf):
-    """Five files of mixed sizes, each in the order of its reads."""
+    """Five folders of mixed sizes, each in the order of its reads by its files' names."""
     refs = v.genome(spark).select("ref_id", F.concat(F.lit("chr"), (F.col("ref_id") + 1).cast("string")).alias("name"))
     part = F.when(F.col("aln_idx") % 10 < 6, 3).otherwise(F.col("aln_idx") % 10 - 5).cast("int")
     rows = sam.named(sam.with_tags(v.aln(spark, sf)), refs).select("aln_idx", part.alias("part"), rebuild.sam_line().alias("value"))
     path = files.new_path(spark, "sam")
-    rows.repartition("part").sortWithinPartitions("part", "aln_idx").select("part", "value").write.partitionBy("part").text(path)
+    # a folder for each file's reads, in as many files as they ask for, by name in their order
+    rows.repartitionByRange("part", "aln_idx").sortWithinPartitions("part", "aln_idx").select("part", "value").write.partitionBy("part").text(path)
     return path
 
 
