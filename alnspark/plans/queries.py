@@ -639,7 +639,7 @@ _ASSIGN = _D2 + ", asg AS (SELECT aln_idx, coalesce(min(CASE WHEN d2 < 0.05 THEN
 
 @query("SELECT aln_idx, cluster FROM asg", ALN_SQL + _ASSIGN)
 def leader_assign(spark, sf):
-    return quality.assign(_d2(spark, sf))
+    return quality.nearest(v.qv(spark, sf), v.leaders(spark, sf))
 
 
 @query("SELECT cluster, count(*) AS n FROM asg GROUP BY cluster HAVING count(*) > 0.05 * (SELECT count(*) FROM asg)", ALN_SQL + _ASSIGN)
@@ -707,7 +707,7 @@ def quality_restore(spark, sf):
 
 @query("SELECT aln_idx, qual FROM qv")
 def membership_restore(spark, sf):
-    members = leader_assign(spark, sf)
+    members = files.stored(leader_assign(spark, sf), "members")
     parts, pile = quality.stored_clusters(quality.low_complexity(v.qv(spark, sf)), members)
     return quality.restore_members(members, parts, pile)
 

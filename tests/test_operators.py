@@ -388,3 +388,28 @@ def test_empty_inputs(spark):
     none = views.aln(spark, SF).limit(0)
     for df in (coverage.depth(none, 32), encode.offset_runs(none), intervals.block_spans(none, 10), edits.cigar_ops(none)):
         assert df.isEmpty()
+
+
+def test_distances_move_no_string(spark):
+    """Every k-mer was a row that was shuffled."""
+    import random
+    from collections import Counter
+
+    from alnspark.operators import quality
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("IHFé") for _ in range(rng.choice([0, 3, 4, 9, 32]))) for _ in range(300)] + [None]
+    strings = spark.createDataFrame(list(enumerate(texts)), "aln_idx long, qual string")
+    leaders = spark.createDataFrame([(3, "IIIIHHHH"), (5, "III"), (9, "HIFHIFHIFH")], "leader int, qual string")
+    found = quality.d2(strings, leaders)
+    parts = lambda s: Counter(s[i : i + 4] for i in range(len(s) - 3))
+    want = {}
+    for i, s in enumerate(texts):
+        for n, other in ((3, "IIIIHHHH"), (9, "HIFHIFHIFH")) if s and len(s) > 3 else ():
+            x, y = parts(s), parts(other)
+            want[i, n] = sum((x[k] / x.total() - y[k] / y.total()) ** 2 for k in x | y)
+    got = {(r["aln_idx"], r["leader"]): r["d2"] for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    near = {r["aln_idx"]: r["cluster"] for r in quality.nearest(strings, leaders).collect()}
+    assert near == {r["aln_idx"]: r["cluster"] for r in quality.assign(found).collect()}
