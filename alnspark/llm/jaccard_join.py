@@ -38,6 +38,8 @@ from alnspark.llm.wordhash import NOT_SPACE, U, Words, chunks, mix
 THREE_PARTS_UP_TO = 256
 SALTS = 16
 SKETCH = 8
+#: Sets of more elements, in whose ``SKETCH`` nearly every cell is as often odd as even, have parities of as many cells as elements beside it.
+WIDE = 400
 #: Rounds, and best-linked sets a signature, before its members are compared pairwise.
 ROUNDS, CENTRES = 2, 3
 SIGNATURES = 500_000
@@ -168,6 +170,28 @@ def sketches(row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd.reshape(n, -1), axis=1).view(np.int64)
 
 
+def wide_sketches(row: np.ndarray, feature: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """Parities of the elements of each set of more than ``WIDE`` in cells of a power of two, at least their number.  The halves of a sketch, added, are the one of half the cells."""
+    large = sizes > WIDE
+    cells = np.where(large, 1 << np.ceil(np.log2(np.maximum(sizes, 8))).astype(np.int64), 0)
+    stop = np.cumsum(cells)
+    own = large[row]
+    r = row[own]
+    cell = (stop - cells)[r] + (mix(feature[own] + U(98)) & (cells[r] - 1).astype(U)).astype(np.int64)
+    packed = np.packbits((np.bincount(cell, minlength=int(cells.sum())) & 1).astype(np.uint8))
+    return [packed[(j - n) // 8 : j // 8].tobytes() if n else None for j, n in zip(stop.tolist(), cells.tolist())]
+
+
+def odd_cells(x: bytes, y: bytes) -> int:
+    """Cells in which two wide sketches differ, the larger one folded to the other's size."""
+    x, y = (np.frombuffer(v, np.uint8) for v in (x, y))
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _set_ids(row: np.ndarray, feature: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     code, total = mix(feature ^ U(0x5DEECE66D)), np.zeros(len(sizes), U)
     some = np.flatnonzero(sizes)
@@ -177,7 +201,7 @@ def _set_ids(row: np.ndarray, feature: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """(did, th, n, sid, s0 ... s7): each document's set size, set and parities."""
+    """(did, th, n, sid, wide, s0 ... s7): each document's set size, set and parities."""
     parities = [f"s{i}" for i in range(SKETCH)]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,9 +210,9 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
                 row, feature, size = shingle_sets(texts, words)
                 mark = sketches(row, feature, len(texts))
                 own = pdf.iloc[begin : begin + len(texts)]
-                yield pd.DataFrame({"did": own["did"].to_numpy(), "th": own["th"].to_numpy(), "n": size, "sid": _set_ids(row, feature, size), **{p: mark[:, i] for i, p in enumerate(parities)}})
+                yield pd.DataFrame({"did": own["did"].to_numpy(), "th": own["th"].to_numpy(), "n": size, "sid": _set_ids(row, feature, size), "wide": wide_sketches(row, feature, size), **{p: mark[:, i] for i, p in enumerate(parities)}})
 
-    return docs.mapInPandas(cut, "did long, th long, n long, sid long, " + ", ".join(f"{p} long" for p in parities))
+    return docs.mapInPandas(cut, "did long, th long, n long, sid long, wide binary, " + ", ".join(f"{p} long" for p in parities))
 
 
 def signature_rows(docs: DataFrame, words: int, t: Fraction, parts: int) -> DataFrame:
@@ -284,10 +308,10 @@ def _marked(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInPandas(cut, "sid long, marks binary")
 
 
-def _sides(pairs: DataFrame, own: DataFrame, column: str) -> DataFrame:
-    """The pairs with ``column`` of both sets."""
-    side = lambda c: own.select(F.col("sid").alias(c), F.col(column).alias(f"{column}_{c}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", f"{column}_a", f"{column}_b")
+def _sides(pairs: DataFrame, own: DataFrame, *columns: str, how: str = "inner") -> DataFrame:
+    """The pairs with ``columns`` of both sets."""
+    side = lambda c: own.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns])
+    return pairs.select("a", "b").join(side("a"), "a", how).join(side("b"), "b", how).select("a", "b", *[f"{x}_{c}" for x in columns for c in "ab"])
 
 
 def exact(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> DataFrame:
@@ -313,6 +337,23 @@ def in_common(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.minimum(u[1][i], v[1][j]).sum())
 
 
+def screened(pairs: DataFrame, wide: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) whose wide sketches leave room for similarity ``t``: ``_close`` for large sets, by a bit an element.
+
+    Chance pairs of large sets grow with the square of the documents.  They end here, before marks of 32 bits an element move."""
+    num, den = t.numerator, t.denominator
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in (part for whole in batches for part in slices(whole)):
+            keep = [
+                x is None or y is None or odd_cells(x, y) * (den + num) <= (n + m) * (den - num)
+                for x, y, n, m in zip(pdf["wide_a"], pdf["wide_b"], pdf["n_a"], pdf["n_b"])
+            ]
+            yield pdf.loc[keep, ["a", "b"]]
+
+    return _sides(pairs, wide, "n", "wide", how="left").mapInPandas(test, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, t: Fraction) -> DataFrame:
     """The pairs (a, b) of sets whose similarity is ``t`` or more.
 
@@ -368,10 +409,11 @@ def join(docs: DataFrame, words: int = 5, t: Fraction = Fraction(4, 5), id_col:
     shared = stored(signature_rows(own, words, t, parts), "jaccard-shared")
     edges = stored(shared.select("sid", "lo").where("sid <> lo").distinct().toDF("a", "b"), "jaccard-edges")
     marks = sets.select("sid", "n", *[f"s{i}" for i in range(SKETCH)]).dropDuplicates(["sid"])
+    wide = stored(sets.where("wide IS NOT NULL").select("sid", "n", "wide").dropDuplicates(["sid"]), "jaccard-wide")
     x, y = marks.alias("x"), marks.alias("y")
     # most edges of unlike sets end here, before any text is fetched
     both = edges.join(x, F.col("a") == F.col("x.sid")).join(y, (F.col("b") == F.col("y.sid")) & _close(t))
-    hopeful = stored(both.select("a", "b"), "jaccard-hopeful")
+    hopeful = stored(screened(both, wide, t), "jaccard-hopeful")
     # first each set's least partner; then the edges that still lead to another component
     links = stored(verified(hopeful.groupBy("a").agg(F.min("b").alias("b")), own, sets, words, t), "jaccard-links")
     rest = stored(_unjoined(hopeful, components(links)), "jaccard-rest")
@@ -393,7 +435,7 @@ def join(docs: DataFrame, words: int = 5, t: Fraction = Fraction(4, 5), id_col:
             x, y = side.alias("x"), y_of(side).alias("y")
             met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & _close(t))
             pairs = met.select(F.greatest("x.sid", "y.sid").alias("a"), F.least("x.sid", "y.sid").alias("b")).distinct()
-            pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+            pairs = stored(screened(pairs.join(tested, ["a", "b"], "left_anti"), wide, t), "jaccard-pairs")
             more = verified(pairs, own, sets, words, t)
             discard(side)
             return pairs, more

@@ -305,3 +305,41 @@ def test_discarding_one_kind_leaves_the_others(spark):
     common.discard(rows, part="kind=1")
     assert sorted(r["id"] for r in rows.where("kind <> 1").collect()) == [0, 2, 3, 5, 6, 8]
     common.discard(common.stored(spark.range(0).withColumn("kind", F.lit(0)), "kinds", "kind"))
+
+
+def test_wide_sketches_never_differ_more_than_their_sets(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "WIDE", 20)
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        pool = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+        x, y = (np.unique(rng.choice(pool, n, replace=False)) for n in rng.integers(0, 300, 2))
+        found = jaccard_join.wide_sketches(np.repeat([0, 1], [len(x), len(y)]), np.concatenate([x, y]), np.array([len(x), len(y)]))
+        assert [w is None for w in found] == [len(x) <= 20, len(y) <= 20]
+        if None not in found:
+            differ = len(np.setxor1d(x, y))
+            odd = jaccard_join.odd_cells(*found)
+            assert odd <= differ and (differ - odd) % 2 == 0
+
+
+def test_chance_pairs_of_large_sets_end_before_their_marks_move(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    common = [[word() for _ in range(12)] for _ in range(40)]
+
+    def text(n):  # passages that many documents hold, between words of its own
+        return [w for _ in range(n) for w in [*rng.choice(common), *[word() for _ in range(36)]]]
+
+    sets = [text(40) for _ in range(60)]
+    near = list(sets[0])
+    near[100] = word()
+    rows = [(i, " ".join(w), "en", "s", 0, None, None, None) for i, w in enumerate([*sets, near])]
+    tested, verified = [], jaccard_join.verified
+
+    def spy(pairs, *rest):
+        tested.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "verified", spy)
+    got = {r["did"]: r["component"] for r in jaccard_join.join(fx.frame(spark, rows)).collect()}
+    assert got == {i: i % 60 for i in range(61)}
+    assert sum(tested) <= 3
