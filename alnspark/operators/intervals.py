@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alnspark.operators import ordered
+from alnspark.sources import files
 
 #: Bins of the lowest level span 2**FIRST places, and each level's 2**STEP times as many as those below; the last one is everything.
 FIRST, STEP, LEVELS = 10, 3, 18
@@ -55,6 +56,44 @@ def contained(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.where((F.col("a_start") >= F.col("b_start")) & (F.col("a_stop") <= F.col("b_stop"))).drop("_level", "_bin")
 
 
+def overlap_totals(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
+    """``b`` with the number ``n`` and the sum ``total`` of ``value`` of the intervals of ``a`` that overlap it, if any do: ``overlap``, grouped, without its pairs."""
+    return _totals(a, b, value, "a_start", "a_stop")
+
+
+def contained_totals(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
+    """``b`` with the number ``n`` and the sum ``total`` of ``value`` of the intervals of ``a`` that lie inside it, if any do: ``contained``, grouped, without its pairs."""
+    return _totals(a, b, value, "a_stop", "a_start")
+
+
+def _totals(a: DataFrame, b: DataFrame, value: str, x: str, y: str) -> DataFrame:
+    """Of the points (``x``, ``y``) of ``a``, those with x <= b_stop and y >= b_start.
+
+    Blocks of 2**level places are nested: a stop is the end of one block for each bit set in it, and a point lies in one block a level (an
+    odd one is never asked).  Equal points are one; in each block they and the asking starts are summed up in one ordered pass, so the
+    work grows with the rows of both sides times the bits of a place, however many pairs there are.  Places are within 2**62 of each other."""
+    on = ["ref_id", "b_start", "b_stop"]
+    points = a.where(F.col("ref_id").isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull()).select("ref_id", F.col(x).cast("long").alias("_x"), F.col(y).cast("long").alias("_y"), value)
+    points = files.stored(points.groupBy("ref_id", "_x", "_y").agg(F.count("*").alias("_n"), F.sum(value).alias("_total")), "points")
+    low, high = points.agg(F.min("_x"), F.max("_x")).first()
+    low, high = low or 0, high or 0
+    levels = F.explode(F.array(*[F.lit(n) for n in range((high - low + 1).bit_length())]))
+    at = points.withColumn("_place", F.col("_x") - low).withColumn("_level", levels).withColumn("_bin", _block("_place"))
+    at = at.where(F.col("_bin") % 2 == 0).select("ref_id", "_level", "_bin", F.bitwise_not("_y").alias("_order"), F.lit(0).alias("_side"), "_n", "_total", *[F.lit(None).cast("long").alias(c) for c in on[1:]])
+    asked = b.where("b_start IS NOT NULL").select("ref_id", *[F.col(c).cast("long") for c in on[1:]]).distinct().where(F.col("b_stop") >= low)
+    asked = asked.withColumn("_place", F.least("b_stop", F.lit(high)) - low + 1).withColumn("_level", levels).withColumn("_bin", _block("_place")).where(F.col("_bin") % 2 == 1)
+    asked = asked.select("ref_id", "_level", F.col("_bin") - 1, F.bitwise_not("b_start"), F.lit(1), F.lit(0).cast("long"), F.lit(0).cast("long"), *on[1:])
+    both, key, order = at.union(asked), ["ref_id", "_level", "_bin"], ["_order", "_side"]  # a point at the start itself comes before it
+    for c in ("_n", "_total"):
+        both = ordered.running_sum(both, key, order, F.col(c), c)
+    found = both.where("_side = 1").groupBy(*on).agg(F.sum("_n").alias("n"), F.sum("_total").alias("total")).where("n > 0")
+    return b.join(found, on)
+
+
+def _block(place: str) -> Column:
+    return F.call_function("shiftright", F.col(place), F.col("_level"))
+
+
 def block_spans(aln: DataFrame, rows: int) -> DataFrame:
     """Blocks of ``rows`` alignments in coordinate order: their span, and the alignments before."""
     at = aln.withColumn("_axis", F.col("ref_id").cast("long") * (1 << 32) + F.col("pos"))

@@ -553,7 +553,7 @@ def _iv_and_reads(spark, sf):
 
 @query("SELECT iv_id, count(*) AS n, CAST(sum(aln_idx) AS BIGINT) AS ids FROM iv JOIN rd ON iv.ref_id = rd.ref_id AND rd.start <= iv.stop AND rd.stop >= iv.start GROUP BY iv_id", ALN_SQL + ", " + IV_SQL + _READS)
 def interval_overlap(spark, sf):
-    return intervals.overlap(*_iv_and_reads(spark, sf)).groupBy("iv_id").agg(F.count("*").alias("n"), F.sum("aln_idx").alias("ids"))
+    return intervals.overlap_totals(*_iv_and_reads(spark, sf), "aln_idx").groupBy("iv_id").agg(F.sum("n").alias("n"), F.sum("total").alias("ids"))
 
 
 @query("SELECT iv_id, count(*) AS n, CAST(sum(aln_idx) AS BIGINT) AS ids FROM iv JOIN rd ON iv.ref_id = rd.ref_id AND rd.start >= iv.start AND rd.stop <= iv.stop GROUP BY iv_id", ALN_SQL + ", " + IV_SQL + _READS)

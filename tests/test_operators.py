@@ -413,3 +413,28 @@ def test_distances_move_no_string(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     near = {r["aln_idx"]: r["cluster"] for r in quality.nearest(strings, leaders).collect()}
     assert near == {r["aln_idx"]: r["cluster"] for r in quality.assign(found).collect()}
+
+
+@pytest.mark.parametrize("shift", [-1000, 2**40])
+def test_totals_of_intervals_equal_grouped_pairs(spark, shift):
+    rng = random.Random(8)
+    length = lambda: rng.choice([0, 1, 31, 300, -4, -60, rng.randint(0, 2000)])  # noqa: E731  some end before they begin
+    def some(n, p):
+        rows = [(rng.choice([0, 1, 1, None]), i, s + shift, s + shift + length()) for i in range(n) for s in [rng.choice([5, 512, rng.randint(-30, 2000)])]]
+        return spark.createDataFrame([*rows, *rows[:9], (1, n, None, 7), (1, n + 1, 7, None)], f"ref_id int, {p} long, {p}_start long, {p}_stop long")
+    a, b = some(200, "a"), some(120, "b")
+    base = a.join(b.distinct(), "ref_id")
+    for pairs, totals in (("a_start <= b_stop AND a_stop >= b_start", intervals.overlap_totals), ("a_start >= b_start AND a_stop <= b_stop", intervals.contained_totals)):
+        want = base.where(pairs).groupBy("b").agg(F.count("*"), F.sum("a"))
+        got = totals(a, b.distinct(), "a").select("b", "n", "total")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+        assert totals(a, b, "a").count() == b.join(want, "b").count()
+        assert totals(a.limit(0), b, "a").count() == totals(a, b.limit(0), "a").count() == 0
+
+
+def test_totals_of_intervals_make_no_pairs(spark):
+    n = 100_000  # 10**10 pairs
+    a = spark.range(n).select(F.lit(0).alias("ref_id"), "id", (F.col("id") % 50).alias("a_start"), (F.col("id") % 50 + 60).alias("a_stop"))
+    b = spark.range(n).select(F.lit(0).alias("ref_id"), F.col("id").alias("b"), F.lit(0).alias("b_start"), (F.col("id") + 200).alias("b_stop"))
+    for totals in (intervals.overlap_totals, intervals.contained_totals):
+        assert totals(a, b, "id").agg(F.count("*"), F.min("n"), F.max("n"), F.min("total"), F.max("total")).first()[:] == (n, n, n, n * (n - 1) // 2, n * (n - 1) // 2)
