@@ -558,7 +558,7 @@ def interval_overlap(spark, sf):
 
 @query("SELECT iv_id, count(*) AS n, CAST(sum(aln_idx) AS BIGINT) AS ids FROM iv JOIN rd ON iv.ref_id = rd.ref_id AND rd.start >= iv.start AND rd.stop <= iv.stop GROUP BY iv_id", ALN_SQL + ", " + IV_SQL + _READS)
 def interval_contained(spark, sf):
-    return intervals.contained(*_iv_and_reads(spark, sf)).groupBy("iv_id").agg(F.count("*").alias("n"), F.sum("aln_idx").alias("ids"))
+    return intervals.contained_totals(*_iv_and_reads(spark, sf), "aln_idx").groupBy("iv_id").agg(F.sum("n").alias("n"), F.sum("total").alias("ids"))
 
 
 @query("SELECT ref_id, start, iv_id FROM iv QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY start, iv_id) = 1", IV_SQL)
