@@ -1,7 +1,9 @@
 """Byte-level deduplication with induced suffix arrays over shards of the repeated text.
 
 Each window of ``length`` bytes has a fingerprint, its least 16-byte hash, and neighbouring windows mostly share
-it: a document is a row of runs.  Fingerprints of one document alone cannot repeat.  The runs of the others,
+it: a document is a row of runs.  Sixteen bytes repeat by chance, the more the larger the corpus is, so a window also has a
+context: the bytes beside that hash's place, on the side that reaches farther into the window.  Contexts of one
+document alone cannot repeat.  The runs that hold others,
 each with the bytes that its windows cover, are dealt by fingerprint, so equal windows meet in one shard.
 There, distinct runs are joined to one text whose suffix array and permuted common prefixes group the equal
 windows; a window's least document goes back to the documents that hold it.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from alnspark.llm.common import discard, id_or_null, keyed, slices, stored
 from alnspark.llm.suffix_array import shares_prefix, suffix_array, words_at
-from alnspark.llm.wordhash import U, mix, powers, running_min
+from alnspark.llm.wordhash import U, mix, powers
 
 LENGTH, GRAM = 50, 16
 GROUP_BYTES, SHARD_BYTES, BLOCK = 4 << 20, 2 << 20, 2 << 20
@@ -36,19 +38,21 @@ EXPECTED = 0.4
 PART_ENTRIES = 1_000_000
 #: A fingerprint in more documents than this is dealt by whole windows.
 HOT = 2_000
-HASH_BITS = 39
+HASH_BITS, PRINT_BITS = 39, 16
 BROADCAST_ROWS = 2_000_000
 
 
 class Runs:
-    """The runs of some documents: number of the document, start, windows, fingerprint, and hash of the bytes covered."""
+    """The runs of some documents: number of the document, start, windows, fingerprint, and hash of the bytes covered; and the contexts
+    of their windows, each with the number of its run."""
 
     def __init__(self, texts: list[bytes], length: int):
         out = []
         for slices, doc, base in _blocks(texts, length):
-            out.append(self._of(slices, doc, base, length))
-        self.doc, self.start, self.windows, self.print, self.code = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(5))
-        self.print, self.code = self.print.astype(U), self.code.astype(U)
+            *more, run = self._of(slices, doc, base, length)
+            out.append((*more, run + sum(len(o[0]) for o in out)))
+        self.doc, self.start, self.windows, self.print, self.code, self.context, self.run = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(7))
+        self.print, self.code, self.context = self.print.astype(U), self.code.astype(U), self.context.astype(U)
 
     @staticmethod
     def _of(slices: list[bytes], doc: np.ndarray, base: np.ndarray, length: int):
@@ -57,7 +61,7 @@ class Runs:
         at = np.concatenate([[0], np.cumsum(sizes + 1)])
         n = int(at[-1])
         gram = _grams(data)
-        least = running_min(gram, length - GRAM + 1)[:n]
+        least, ahead = (x[:n] for x in _least(gram, length - GRAM + 1))
         owner = np.repeat(np.arange(len(slices)), sizes + 1)
         valid = np.arange(n) + length <= (at[:-1] + sizes)[owner]
         edge = np.ones(n + 1, bool)
@@ -67,7 +71,27 @@ class Runs:
         keep = valid[start]
         start, stop = start[keep], stop[keep]
         own = owner[start]
-        return doc[own], start - at[own] + base[own], stop - start, least[start], _codes(gram, start, stop - start + length - 1)
+        run = np.cumsum(np.bincount(start, minlength=n)) - 1
+        side = (length - GRAM) // 2
+        right = ahead <= length - GRAM - side
+        new = valid.copy()  # another place of the least hash, or its other side
+        new[1:] &= (ahead[1:] + 1 != ahead[:-1]) | (right[1:] != right[:-1]) | ~valid[:-1]
+        new = np.flatnonzero(new)
+        begin = new + ahead[new] - np.where(right[new], 0, side)
+        context = mix(mix(gram[begin]) + gram[begin + side])
+        return doc[own], start - at[own] + base[own], stop - start, least[start], _codes(gram, start, stop - start + length - 1), context, run[new]
+
+
+def _least(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of ``width`` values from each place, and how far ahead it is; of equal ones the first."""
+    ahead, held = np.zeros(len(values), np.min_scalar_type(width)), 1
+    while held < width:
+        step = min(held, width - held)
+        before, after = values[:-step], values[step:]
+        ahead = np.where(after < before, ahead[step:] + step, ahead[:-step])
+        values = np.minimum(before, after)
+        held += step
+    return values, ahead
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -100,10 +124,10 @@ def _blocks(texts: list[bytes], length: int) -> Iterator[tuple[list[bytes], np.n
         yield slices, np.array(doc), np.array(base)
 
 
-def _keys(prints: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """A fingerprint's part and its key there."""
-    spread = mix(prints)
-    return (spread & U(0xFFFFFF)).astype(np.int64) % parts, (spread >> U(64 - HASH_BITS)).astype(np.int64)
+def _keys(runs: Runs, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of contexts and their keys there: first ``PRINT_BITS`` of the fingerprint, by which the parts are dealt too."""
+    spread, low = mix(runs.print)[runs.run], HASH_BITS - PRINT_BITS
+    return (spread & U(0xFFFFFF)).astype(np.int64) % parts, (spread >> U(64 - PRINT_BITS) << U(low) | runs.context >> U(64 - low)).astype(np.int64)
 
 
 def _spans_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,16 +142,17 @@ def _pack(values: np.ndarray, kind: str) -> bytes:
 
 
 def repeated_prints(docs: DataFrame, length: int, parts: int, groups: int) -> DataFrame:
-    """(b, keys): for each group of documents, the packed keys of its fingerprints that two documents hold."""
+    """(b, keys): for each group of documents, the packed keys of its contexts that two documents hold."""
     small = "<u2" if groups <= 1 << 16 else "<u4"
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             runs = Runs([t.encode() for t in pdf["text"]], length)
-            part, key = _keys(runs.print, parts)
-            b = pdf["b"].to_numpy()[runs.doc]
-            order = np.lexsort((runs.doc, b, key, part))
-            part, key, b, doc = part[order], key[order], b[order], runs.doc[order]
+            part, key = _keys(runs, parts)
+            doc = runs.doc[runs.run]
+            b = pdf["b"].to_numpy()[doc].astype(np.int64)
+            order = np.lexsort(((b << 32) + doc, (part << HASH_BITS) + key))
+            part, key, b, doc = part[order], key[order], b[order], doc[order]
             first = _first_of(part, key, b)
             several = np.zeros(len(first), bool)
             if len(first):
@@ -149,8 +174,13 @@ def repeated_prints(docs: DataFrame, length: int, parts: int, groups: int) -> Da
         count = np.bincount(number) if len(key) else np.zeros(0, np.int64)
         several = np.bitwise_or.reduceat(key & 1, first) if len(key) else count
         take = ((count > 1) | (several > 0))[number]
-        out = (key[take] >> 1) * 2 + (count > HOT)[number][take]
-        b = b[take]
+        key, b = key[take] >> 1, b[take]
+        # a fingerprint's contexts are neighbours; it goes by windows where they are held by too many groups together
+        first, number = _spans_of(key >> (HASH_BITS - PRINT_BITS))
+        order = np.lexsort((b, number))
+        new = np.ones(len(b), bool)
+        new[1:] = (b[order][1:] != b[order][:-1]) | (number[order][1:] != number[order][:-1])
+        out = key * 2 + (np.bincount(number[order][new], minlength=len(first)) > HOT)[number]
         order = np.lexsort((out, b))
         out, b = out[order], b[order]
         cut, _ = _spans_of(b)
@@ -180,11 +210,12 @@ def pieces(docs: DataFrame, hits: DataFrame, length: int, parts: int, shards: in
             b = int(left["b"].iloc[0])
             known = np.sort(np.concatenate([np.frombuffer(k, "<i8") + (int(p) << (HASH_BITS + 1)) for p, k in zip(right["part"], right["keys"])]))
             runs = Runs(texts, length)
-            part, key = _keys(runs.print, parts)
+            part, key = _keys(runs, parts)
             full = (part << HASH_BITS) + key
             at = np.minimum(np.searchsorted(known >> 1, full), len(known) - 1)
-            take = np.flatnonzero((known >> 1)[at] == full)
-            hot = (known[at] & 1).astype(bool)[take]
+            hit = (known >> 1)[at] == full
+            take, one = np.unique(runs.run[hit], return_index=True)
+            hot = (known[at] & 1).astype(bool)[hit][one]
             doc, start, windows, prints, code = runs.doc[take], runs.start[take], runs.windows[take], runs.print[take], runs.code[take]
             del runs, part, key, full, at
             offset = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -354,7 +385,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     marked = own.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, ["th", "size"], "left")
     copies = marked.where("did > first")
     own = marked.where("first IS NULL OR did = first").select("did", "th", "text")
-    parts = min(1 << 23, max(1, math.ceil(total / (length - GRAM) * 2 / PART_ENTRIES)))
+    parts = min(1 << 23, max(1, math.ceil(total / (length - GRAM) * 4 / PART_ENTRIES)))
     own = own.withColumn("b", F.pmod(F.xxhash64("did", "th"), F.lit(groups)).cast("int"))
     # a step's shuffle files, and what nothing reads any more, go before the next step begins
     hits = stored(repeated_prints(own, length, parts, groups), "suffix-prints")

@@ -343,3 +343,38 @@ def test_chance_pairs_of_large_sets_end_before_their_marks_move(spark, monkeypat
     got = {r["did"]: r["component"] for r in jaccard_join.join(fx.frame(spark, rows)).collect()}
     assert got == {i: i % 60 for i in range(61)}
     assert sum(tested) <= 3
+
+
+def test_short_phrases_that_repeat_by_chance_send_no_runs(spark):
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrst", k=n))
+    phrases = [letters(26) for _ in range(5)]
+    texts = ["".join(x for _ in range(40) for x in (letters(30), rng.choice(phrases))) for _ in range(30)]
+    passage = letters(50)
+    texts += [letters(200) + passage + letters(200), letters(70) + passage]
+    rows = [(i, i, t, i % 4) for i, t in enumerate(texts)]
+    hits = suffix_dedup.repeated_prints(spark.createDataFrame(rows, "did long, th long, text string, b int"), 50, 2, 4).collect()
+    assert {r["b"] for r in hits} == {30 % 4, 31 % 4} and sum(len(r["keys"]) for r in hits) == 16
+
+
+@pytest.mark.parametrize("hot", [2_000, 1])
+def test_equal_windows_share_a_context_in_periodic_texts(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(10)
+    texts = []
+    for i in range(40):
+        period = "".join(rng.choices("ab", k=rng.randint(1, 40)))
+        body = list((period * 300)[: rng.randint(49, 400)])
+        for _ in range(rng.randint(0, 3)):
+            body[rng.randrange(len(body))] = rng.choice("abc")
+        texts += ["".join(body), "".join(rng.choices("xyz", k=rng.randint(0, 20))) + "".join(body[rng.randint(0, 30) :]) + "q"]
+    rows = [(i, t, "en", "s", 0, None, None, None) for i, t in enumerate(texts)]
+    fx.same(suffix_dedup.query(spark, fx.frame(spark, rows)), fx.sql(suffix_dedup.SQL, documents=(rows, fx.DOCS)))
+    held = [suffix_dedup.Runs([t.encode()], 50) for t in texts]
+    seen = {}
+    for runs, text in zip(held, texts):  # each window lies in one run; equal windows have one of its contexts in common
+        for n, (start, windows) in enumerate(zip(runs.start, runs.windows)):
+            for at in range(start, start + windows):
+                own = set(runs.context[runs.run == n].tolist())
+                assert seen.setdefault(text[at : at + 50], own) & own
+                seen[text[at : at + 50]] &= own
