@@ -36,7 +36,7 @@ GROUP_BYTES, SHARD_BYTES, BLOCK = 4 << 20, 2 << 20, 2 << 20
 #: Share of the text expected in shards; only the number of shards follows from it.
 EXPECTED = 0.4
 PART_ENTRIES = 1_000_000
-#: A fingerprint in more documents than this is dealt by whole windows.
+#: A fingerprint whose repeated contexts are in more groups of documents than this is dealt by whole windows.
 HOT = 2_000
 HASH_BITS, PRINT_BITS = 39, 16
 BROADCAST_ROWS = 2_000_000
