@@ -71,7 +71,6 @@ class Runs:
         keep = valid[start]
         start, stop = start[keep], stop[keep]
         own = owner[start]
-        run = np.cumsum(np.bincount(start, minlength=n)) - 1
         side = (length - GRAM) // 2
         right = ahead <= length - GRAM - side
         new = valid.copy()  # another place of the least hash, or its other side
@@ -79,7 +78,7 @@ class Runs:
         new = np.flatnonzero(new)
         begin = new + ahead[new] - np.where(right[new], 0, side)
         context = mix(mix(gram[begin]) + gram[begin + side])
-        return doc[own], start - at[own] + base[own], stop - start, least[start], _codes(gram, start, stop - start + length - 1), context, run[new]
+        return doc[own], start - at[own] + base[own], stop - start, least[start], _codes(gram, start, stop - start + length - 1), context, np.searchsorted(start, new, side="right") - 1
 
 
 def _least(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +145,7 @@ def repeated_prints(docs: DataFrame, length: int, parts: int, groups: int) -> Da
     small = "<u2" if groups <= 1 << 16 else "<u4"
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (part for whole in batches for part in slices(whole, 4_000)):
             runs = Runs([t.encode() for t in pdf["text"]], length)
             part, key = _keys(runs, parts)
             doc = runs.doc[runs.run]
